@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, media, packing, token_shards
+from plumbline.llm import exact_dedup, lexicon, media, near_dedup, packing, token_shards, toxicity
 from plumbline.llm.storage import materialize, new_path
 
 #: Rows of an Arrow batch: documents are long, and a batch is held whole by a task.
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)
+    shipped = lexicon.ship_lexicon(spark, lexicon.frequent_words(docs), path)
+    return lexicon.digest(lexicon.encode(docs, path, shipped), path)
+
+
 def op4_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_shards.write_shards(docs, new_path(spark, "token-shards"), tokenizer_path(BYTE_BPE), 2)
@@ -38,6 +44,17 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 2048)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 def op9_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return media.media_digest(media.encode_media(media.text_payloads(docs), "payload"))
@@ -60,8 +77,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe_lexicon": op3_bpe_lexicon,
         "op4_binary_ids": op4_binary_ids,
         "op5_best_two_fit": op5_best_two_fit,
+        "op7_near_dedup": op7_near_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_media_flac": op9_media_flac,
         "op10_exact_dedup": op10_exact_dedup,
     }

@@ -106,7 +106,7 @@ def byte_letters() -> list[str]:
 class Vocabulary:
     """What this module needs of a tokenizer file: special strings, splitting rules, and an encoder of single words."""
 
-    def __init__(self, path: str, word_ids: Callable[[list[str]], list[list[int]]] | None = None) -> None:
+    def __init__(self, path: str, word_ids: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -147,13 +147,13 @@ class Vocabulary:
         at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
         new = [words[i] for i in np.flatnonzero(at >= first).tolist()]
         if new:
-            marked = {w: [self.special[w[2:]]] for w in new if w[0] == "\0" and w[:2] == "\0\0" and w[2:] in self.special}
-            ids = self.word_ids([w for w in new if w not in marked] if marked else new)
+            flat, lengths = self.word_ids(new)
+            marked = [(i, self.special[w[2:]]) for i, w in enumerate(new) if w[0] == "\0" and w[:2] == "\0\0" and w[2:] in self.special]
             if marked:
-                rest = iter(ids)
-                ids = [marked[w] if w in marked else next(rest) for w in new]
-            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+                rows = np.split(flat, np.cumsum(lengths)[:-1])
+                for i, token in marked:
+                    rows[i], lengths[i] = np.array([token], np.uint32), 1
+                flat = np.concatenate(rows)
             if first + len(new) > len(self.starts):
                 room = max(2 * len(self.starts), first + len(new))
                 self.starts, self.lengths = np.resize(self.starts, room), np.resize(self.lengths, room)
@@ -195,12 +195,14 @@ class LibraryWords:
         self.model = self.tokenizer.model
         self.table = dict(enumerate(byte_letters()))
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, table, space = self.model.tokenize, self.table, self.table[32]
-        return [
+        ids = [
             [t.id for t in tokenize(w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(table))]
             for w in words
         ]
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
 def text_slices(texts: Iterable[str | None], most: int = SLICE_BYTES):
