@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, lexicon, media, near_dedup, packing, secrets, token_shards, toxicity
+from plumbline.llm import chat, exact_dedup, lexicon, line_dedup, media, near_dedup, packing, secrets, token_shards, toxicity
 from plumbline.llm.storage import materialize, new_path
 
 #: Rows of an Arrow batch: documents are long, and a batch is held whole by a task.
@@ -75,6 +75,13 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 2048)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, counts=True)
+    body = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length(body).cast("long").alias("kept_chars"), F.sha2(body.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -113,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_lexicon": op3_bpe_lexicon,
         "op4_binary_ids": op4_binary_ids,
         "op5_best_two_fit": op5_best_two_fit,
+        "op6_line_dedup": op6_line_dedup,
         "op7_near_dedup": op7_near_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_media_flac": op9_media_flac,

@@ -20,7 +20,6 @@ other count as toxic if any says so; without labels of both classes every score
 from __future__ import annotations
 
 import random
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -164,22 +163,40 @@ def score(docs: DataFrame, model: dict | None, *, key: str = "doc_id", text: str
         return rows.select(key, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # under a megabyte, by the sizes above
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        distance = Distance(own["ordinary"], own["toxic"])
-        mean, deviation, w = own["calibration"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = Rater(shared.value)
         for batch in batches:
-            x = np.array([statistics(distance.excess(windows(b))) for b in batch.column(1).to_pylist()]).reshape(-1, len(mean))
-            p = 1 / (1 + np.exp(-np.clip((x - mean) / deviation @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rate(batch.column(1).to_pylist()))], names=[key, "score"])
 
-    return rows.mapInArrow(rate, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
-def held_out(key: str):
-    return F.coalesce(fold(key) == 0, F.lit(False))
+def keep_below(docs: DataFrame, model: dict | None, limit: float, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns; nothing is shuffled."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = Rater(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(rate([(t or "").encode() for t in batch.column(text).to_pylist()]) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
-def crc32_fold(value: int) -> int:
-    """The fold of an id, as ``fold`` computes it; for tests."""
-    return zlib.crc32(str(value).encode()) % FOLDS
+class Rater:
+    """Scores of texts, in a task."""
+
+    def __init__(self, model: dict) -> None:
+        self.distance = Distance(model["ordinary"], model["toxic"])
+        self.mean, self.deviation, self.weights = model["calibration"]
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        x = np.array([statistics(self.distance.excess(windows(t))) for t in texts]).reshape(-1, len(self.mean))
+        logit = (x - self.mean) / self.deviation @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def held_out(key: str):
+    return F.coalesce(fold(key) == 0, F.lit(False))
