@@ -215,6 +215,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     banded = sets.select("rep", F.posexplode("bands").alias("band", "value"))
     stars = banded.groupBy("band", "value").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = banded.join(stars, ["band", "value"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    # A member's heads are connected through it: it keeps its least head only, and its other heads get an edge to that.
+    # Heads are few and shared by many members, so this leaves about one edge a member.
+    heads = edges.groupBy("a").agg(F.collect_set("b").alias("heads"))
+    pairs = F.explode(F.transform(F.concat(F.array("a"), "heads"), lambda x: F.struct(x.alias("a"), F.array_min("heads").alias("b"))))
+    edges = heads.select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
     families = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = families.join(sets.select("rep", "s1", "s2"), "rep")
     texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
