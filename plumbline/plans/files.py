@@ -122,14 +122,14 @@ def posts_of_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.orderBy("ts", "event_id").limit(20).select("event_id", "ts")
 
 
-@query("S12 K04 X33", "SELECT user_id, count(*) AS n, date_trunc('day', ts)::DATE AS date FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04' GROUP BY 1, 3")
+@query("S12 K04 X33", "SELECT user_id, count(*) AS n, date_trunc('day', ts)::DATE::VARCHAR AS date FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04' GROUP BY 1, 3")
 def offline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date partitions of a feature view, one of them written twice, and an inclusive range read back."""
     daily = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     path = new_path(spark, "features")
     for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-02"):
         W.write_offline(daily.where(F.col("day") == F.lit(day).cast("date")).drop("day"), path, day)
-    return W.read_offline(spark, path, "2024-01-02", "2024-01-03")
+    return W.read_offline(spark, path, "2024-01-02", "2024-01-03").withColumn("date", F.col("date").cast("string"))
 
 
 @query(

@@ -84,7 +84,7 @@ def first_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "W20",
     """WITH o AS (SELECT c_custkey, c_acctbal AS x, c_custkey % 2 AS g, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_custkey) AS r FROM customer),
-p AS (SELECT n, g, count(*) AS c, avg(x) AS m, var_samp(x) AS v FROM o JOIN range(100, 701, 100) t(n) ON r <= n GROUP BY n, g)
+p AS (SELECT n, g, count(*) AS c, avg(x) AS m, var_samp(x) AS v FROM o JOIN range(100, 701, 100) t(n) ON r <= n GROUP BY n, g HAVING count(*) = n)
 SELECT a.n, round((b.m - a.m) / sqrt(a.v / a.c + b.v / b.c), 5) AS t FROM p a JOIN p b ON a.n = b.n AND a.g = 0 AND b.g = 1""",
 )
 def sequential_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,8 @@ def sequential_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = rows.withColumn("n", block * 100).where("n <= 700").groupBy("g", "n").agg(F.count("*").alias("c"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     run = Window.partitionBy("g").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.select("g", "n", *(F.sum(c).over(run).alias(c) for c in ("c", "s", "q")))
-    sums = sums.select("g", "n", (F.col("s") / F.col("c")).alias("m"), ((F.col("q") - F.col("s") * F.col("s") / F.col("c")) / (F.col("c") - 1) / F.col("c")).alias("v"))
+    sums = sums.select("g", "n", "c", (F.col("s") / F.col("c")).alias("m"), ((F.col("q") - F.col("s") * F.col("s") / F.col("c")) / (F.col("c") - 1) / F.col("c")).alias("v"))
+    sums = sums.where("c = n").drop("c")  # whole hundreds only
     a, b = sums.where("g = 0"), sums.where("g = 1").select("n", F.col("m").alias("m2"), F.col("v").alias("v2"))
     return a.join(b, "n").select("n", F.round((F.col("m2") - F.col("m")) / F.sqrt(F.col("v") + F.col("v2")), 5).alias("t"))
 
