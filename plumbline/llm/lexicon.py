@@ -28,6 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.storage import materialize
 from plumbline.llm.words import Vocabulary, byte_letters, ragged_take, text_slices
 
 #: Distinct words of the corpus that the lexicon takes, by frequency; each with and without a leading space.
@@ -276,10 +277,21 @@ class LexiconWords:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, *, text: str = "text") -> list[str]:
-    """The most frequent words of all documents, cut at white space and common marks; ties go by the word."""
+    """The most frequent words of all documents, cut at white space and common marks; at most ``most``, in no order.
+
+    Words are counted by Spark; the driver sees how many words there are at each level of frequency (eight levels to a
+    doubling, a few hundred rows), chooses the lowest level that fits, and fetches the words from there up.
+    """
     words = docs.select(F.explode(F.split(F.col(text), r"[\s,.;:!?]+")).alias("w")).where("w <> ''")
-    rows = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most)
-    return [r[0] for r in rows.select("w").collect()]
+    level = F.floor(F.log2("count") * 8).cast("int")
+    counts = materialize(words.groupBy("w").count().where("count > 1").select("w", level.alias("level")), "word-counts")
+    total, cut = 0, None
+    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += row["count"]
+        if total > most:
+            break
+        cut = row["level"]
+    return [] if cut is None else [r[0] for r in counts.where(F.col("level") >= cut).select("w").collect()]
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
