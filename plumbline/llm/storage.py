@@ -1,34 +1,12 @@
-"""Tables and files in the folder that all executors share.
-
-The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is absent (tests, a laptop) does the
-library choose one itself. Lineage is cut by writing a table there and reading it back, so that a lost executor costs the
-recomputation of its running tasks only.
-"""
+"""Tables and files in the folder that all executors share, and Arrow schemas of tasks' batches."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The URI of the shared folder, without a trailing slash."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file:///tmp/checkpoints/plumbline-{spark.sparkContext.applicationId}"
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
+from plumbline.storage import materialize, new_path, shared_folder
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_schema", "materialize", "new_path", "open_fs", "shared_folder", "write_file"]
 
 
 def open_fs(uri: str):
