@@ -1,19 +1,17 @@
-"""One local session for all tests, and comparison of a query with its SQL in DuckDB."""
+"""One local session for all tests, and DuckDB over the same tables."""
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
+sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from support import SF, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -42,34 +40,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     return con
-
-
-def canonical(value):
-    """A value in one spelling, whichever engine gave it."""
-    if value is None or (isinstance(value, float) and math.isnan(value)):
-        return None
-    if isinstance(value, (list, tuple)) or type(value).__name__ == "ndarray":
-        return tuple(canonical(v) for v in value)
-    if isinstance(value, bool) or type(value).__name__ in ("bool_", "bool"):
-        return bool(value)
-    if hasattr(value, "isoformat"):
-        return str(value).replace("T", " ")
-    if isinstance(value, str):
-        return value
-    number = float(value)
-    return 0.0 if number == 0 else number
-
-
-def rows_of(columns, rows):
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(canonical(r[i]) for i in order) for r in rows), key=repr)
-
-
-def same_rows(df, con, sql) -> None:
-    relation = con.sql(sql)
-    assert sorted(df.columns) == sorted(relation.columns)
-    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    want = rows_of(relation.columns, relation.fetchall())
-    assert len(got) == len(want)
-    different = [(a, b) for a, b in zip(got, want, strict=True) if a != b]
-    assert not different, different[:2]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF, same_rows
+from support import SF, same_rows
 
 from plumbline import catalog
 
