@@ -118,7 +118,7 @@ def rule_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "C12 A28 A29 A31 D06 U08 K19",
+    "C12 A28 A29 A31 D06 U08",
     """WITH a AS (SELECT count(*) AS n, count(*) FILTER (text IS NULL) AS nulls, count(*) - count(DISTINCT doc_id) AS dup_ids, count(*) - count(DISTINCT text) AS dup_texts, avg((length(coalesce(text, '')) < 10)::INT) AS short,
   avg((n_chars <> length(coalesce(text, '')))::INT) AS wrong_length, count(DISTINCT lang) AS langs, avg(regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]')::INT) AS non_ascii FROM documents)
 SELECT 'rows' AS check_name, n >= 100 AS passed, n::DOUBLE AS value FROM a UNION ALL SELECT 'nulls', nulls = 0, nulls FROM a UNION ALL SELECT 'unique_ids', dup_ids = 0, dup_ids FROM a UNION ALL SELECT 'duplicates', dup_texts <= 0.2 * n, dup_texts FROM a
@@ -378,3 +378,19 @@ def label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, model in (("forest", RandomForestClassifier(numTrees=10, seed=1)), ("svc", LinearSVC(maxIter=10))):
         results.append(model.fit(sure).transform(rows).select(F.lit(name).alias("model"), (F.col("prediction") == F.col("label")).alias("same")))
     return results[0].unionByName(results[1]).unionByName(results[2]).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.col("same").cast("int")).alias("agreement"))
+
+
+@query(
+    "C10 F17 T02",
+    """WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low, coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, len(regexp_extract_all(low, 'stupid|idiot|scum')) AS bad, len(regexp_extract_all(t, '!')) AS marks, len(regexp_extract_all(t, '[A-Z]')) / greatest(length(t), 1)::DOUBLE AS caps FROM t),
+p AS (SELECT doc_id, least(bad * 0.2::DOUBLE, 1.0) AS plain, least(bad * 0.15::DOUBLE + marks * 0.05::DOUBLE, 1.0) AS marked, least(bad * 0.1::DOUBLE + caps, 1.0) AS shouted FROM h)
+SELECT doc_id, round(plain, 6) AS plain, round(marked, 6) AS marked, round(shouted, 6) AS shouted, greatest(plain, marked, shouted) < 0.7 AS passes FROM p""",
+)
+def toxicity_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cheap proxies of toxicity, and whether a text passes moderation by all of them."""
+    t = X.whole(F.col("text"))
+    bad, marks = F.regexp_count(F.lower(t), F.lit("stupid|idiot|scum")), F.regexp_count(t, F.lit("!"))
+    own = {"plain": bad * F.lit(0.2), "marked": bad * F.lit(0.15) + marks * F.lit(0.05), "shouted": bad * F.lit(0.1) + X.caps_ratio(F.col("text"))}
+    capped = {n: F.least(c, F.lit(1.0)) for n, c in own.items()}
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.round(c, 6).alias(n) for n, c in capped.items()), (F.greatest(*capped.values()) < 0.7).alias("passes"))

@@ -53,7 +53,7 @@ def arrow_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "S05 S06 S16 G02 K20",
+    "S05 S06 S16 G02",
     "SELECT event_id, user_id, 'ok' AS state FROM events WHERE event_id % 10 <> 3 UNION ALL SELECT NULL, NULL, 'broken' FROM events WHERE event_id % 10 = 3",
 )
 def json_lines_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "K14 K15 K16 K21",
+    "K14 K15 K16",
     "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_mktsegment END AS segment, c_acctbal AS balance FROM customer",
 )
 def upsert_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,3 +225,38 @@ def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with a time to live: expired ones are not read."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return W.alive(W.with_expiry(e, "ts", 7 * 86400), F.lit(AS_OF).cast("timestamp")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("K20", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type")
+def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of JSON lines appended to twice."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    path = new_path(spark, "log")
+    for _ in range(2):
+        W.append_log(e, path)
+    return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("K19 C12", "SELECT 'rows' AS check_name, count(*) >= 10 AS passed, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'null_text', count(*) FILTER (text IS NULL) = 0, count(*) FILTER (text IS NULL) FROM documents")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as JSON and HTML; the JSON is read back."""
+    from plumbline.operators.validate import validate
+
+    figures = {"n": F.count("*"), "nulls": F.count_if(F.col("text").isNull())}
+    results = validate(table(spark, sf_dir, "documents"), figures, {"rows": ("n", "n >= 10"), "null_text": ("nulls", "nulls = 0")})
+    W.write_report(results, path := new_path(spark, "report"), "documents")
+    schema = "checks array<struct<check_name:string, passed:boolean, value:double>>"
+    return spark.read.schema(schema).json(f"{path}.json").select(F.explode("checks").alias("c")).select("c.*")
+
+
+@query("K21 A32", "SELECT o_custkey, count(*) AS n, 1::BIGINT AS second_runs FROM orders GROUP BY o_custkey")
+def resumed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages; the second run finds the first complete and runs the other only."""
+    from plumbline.operators.stages import run_stages
+
+    first = ("orders", lambda s, _: table(s, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    second = ("counts", lambda s, df: df.groupBy("o_custkey").agg(F.count("*").alias("n")))
+    folder = new_path(spark, "stages")
+    run_stages(spark, folder, [first])
+    out, report = run_stages(spark, folder, [first, second])
+    return out.withColumn("second_runs", F.lit(sum(r["ran"] for r in report)).cast("long"))

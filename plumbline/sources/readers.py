@@ -154,3 +154,8 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, starting: str =
 
 def json_text(value: object) -> str:
     return json.dumps(value, sort_keys=True)
+
+
+def rate_source(spark: SparkSession, per_second: int = 10) -> DataFrame:
+    """A stream of numbered rows, in place of a message queue."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()

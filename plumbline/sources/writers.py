@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import io
 import json
 import tarfile
@@ -140,3 +141,26 @@ def kafka_sink(rows: DataFrame, servers: str, topic: str, key: str, checkpoint:
     """Start a stream into a Kafka topic, keyed; it needs Spark's Kafka package."""
     own = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
     return own.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+
+
+def read_text_file(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is no such file."""
+    from plumbline.sources.readers import path_exists
+
+    if not path_exists(spark, path):
+        return None
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append rows to a log of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
+def write_report(results: DataFrame, path: str, title: str) -> None:
+    """A validation's checks as JSON and as an HTML table; there is a row per check."""
+    rows = [r.asDict() for r in results.orderBy("check_name").collect()]
+    text = json.dumps({"title": title, "passed": all(r["passed"] for r in rows), "checks": rows}, sort_keys=True)
+    write_text_file(results.sparkSession, f"{path}.json", text)
+    cells = "".join(f"<tr><td>{html.escape(r['check_name'])}</td><td>{'ok' if r['passed'] else 'failed'}</td><td>{r['value']}</td></tr>" for r in rows)
+    write_text_file(results.sparkSession, f"{path}.html", f"<h1>{html.escape(title)}</h1><table>{cells}</table>")
