@@ -1,13 +1,13 @@
 """Toxicity by compression distance: how much shorter a window gets when toxic text is in the zstandard dictionary.
 
-Two dictionaries are trained: one on windows of ordinary documents, one on windows of toxic documents. A window (a few whole
-words, about ``WINDOW`` bytes) is compressed against the ordinary dictionary alone and against the ordinary followed by the
-toxic one; the difference of the lengths is its excess. Ordinary text finds its matches in either case; toxic expressions
+Separate dictionaries are trained on windows of ordinary and of toxic documents. A window (a few whole words, about ``WINDOW``
+bytes) is compressed against the ordinary dictionary alone and against the ordinary followed by a toxic one; the difference
+of the lengths, averaged over ``DICTIONARIES`` toxic ones, is its excess. Ordinary text finds its matches in either case; toxic expressions
 are only short where the toxic dictionary has them.
 
 Most of a toxic document is ordinary, so its windows are refined in rounds: those with the highest excess train the next
-toxic dictionary. Windows that occur more than once in the sample are left out, since copies of a document would otherwise
-fill the dictionary. Thresholds are calibrated on other labelled documents than those of the dictionaries: a logistic
+toxic dictionary, and the round whose dictionary parts the classes best is taken. Windows that occur more than once in the
+sample are left out, since copies of a document would otherwise fill the dictionary. Thresholds are calibrated on other labelled documents than those of the dictionaries: a logistic
 function of five statistics of a document's excesses.
 
 The sample is bounded by ``TOXIC_DOCS``, ``ORDINARY_DOCS`` and ``CALIBRATION_DOCS`` (documents with the smallest hashes of
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 24
-ORDINARY_BYTES, TOXIC_BYTES = 512 << 10, 3 << 10
-ROUNDS, MIN_MATCH, LEVEL = 4, 5, 3
+ORDINARY_BYTES, TOXIC_BYTES = 256 << 10, 3 << 10
+DICTIONARIES, ROUNDS, MIN_MATCH, LEVEL = 3, 5, 5, 3
 TOXIC_DOCS, ORDINARY_DOCS, CALIBRATION_DOCS = 2000, 3000, 2500
 #: Labelled rows are divided by crc32 of the id, modulo FOLDS: fold 0 is never seen, fold 1 calibrates, the rest train.
 FOLDS = 5
@@ -58,26 +58,28 @@ def windows(text: bytes) -> list[bytes]:
 
 
 class Distance:
-    """Excess of windows: compressed length with the ordinary dictionary less that with the toxic one added."""
+    """Excess of windows: compressed length with the ordinary dictionary less that with a toxic one added, averaged over
+    the toxic dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.compress = [self._compressor(ordinary), self._compressor(ordinary + toxic)]
+    def __init__(self, ordinary: bytes, toxic: list[bytes]) -> None:
+        self.plain, *self.both = map(compressor, [ordinary, *(ordinary + t for t in toxic)])
 
-    @staticmethod
-    def _compressor(content: bytes):
-        import zstandard as zs
+    def excess(self, parts: list[bytes]) -> np.ndarray:
+        plain = np.fromiter(map(len, map(self.plain, parts)), np.float64, len(parts))
+        return plain - sum(np.fromiter(map(len, map(c, parts)), np.float64, len(parts)) for c in self.both) / len(self.both)
 
-        own = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-        params = zs.ZstdCompressionParameters.from_level(
-            LEVEL, dict_size=len(content), source_size=WINDOW, min_match=MIN_MATCH,
-            write_checksum=False, write_content_size=False, write_dict_id=False,
-        )
-        own.precompute_compress(compression_params=params)
-        return zs.ZstdCompressor(dict_data=own, compression_params=params).compress
 
-    def excess(self, parts: list[bytes]) -> np.ndarray:
-        plain, both = self.compress
-        return np.array([len(plain(p)) - len(both(p)) for p in parts], np.float64)
+def compressor(content: bytes):
+    """A function that compresses one window against a dictionary of this content."""
+    import zstandard as zs
+
+    own = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    params = zs.ZstdCompressionParameters.from_level(
+        LEVEL, dict_size=len(content), source_size=WINDOW, min_match=MIN_MATCH,
+        write_checksum=False, write_content_size=False, write_dict_id=False,
+    )
+    own.precompute_compress(compression_params=params)
+    return zs.ZstdCompressor(dict_data=own, compression_params=params).compress
 
 
 def statistics(excess: np.ndarray) -> list[float]:
@@ -87,10 +89,11 @@ def statistics(excess: np.ndarray) -> list[float]:
     return [top[0], top.mean(), np.sqrt((excess > 1).sum() / n), np.sqrt((excess > 3).sum() / n), excess.mean(), np.log1p((excess > 3).sum()), np.log(n)]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and of the toxic dictionary, from documents."""
-    import zstandard as zs
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0) -> tuple[bytes, list[bytes]]:
+    """The content of the ordinary dictionary, and of ``DICTIONARIES`` toxic ones trained in other orders of the samples.
 
+    Which substrings a dictionary takes depends on that order; the mean over several is much steadier than any one.
+    """
     order = random.Random(seed)
     toxic_parts, ordinary_parts = [windows(t) for t in toxic], [windows(t) for t in ordinary]
     times = Counter(w for parts in toxic_parts + ordinary_parts for w in set(parts))
@@ -99,10 +102,18 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0)
     content = b"".join(base)[:ORDINARY_BYTES]
     alone = [[w for w in parts if times[w] == 1] for parts in toxic_parts]
     check = [[w for w in parts if times[w] == 1] for parts in ordinary_parts[len(ordinary_parts) // 2 :]]
-    compress = Distance._compressor(content)
-    scores = [np.array([len(compress(w)) / len(w) for w in parts]) for parts in alone]
-    least, share, found = -1.0, 6, b""
-    for i in range(ROUNDS):
+    compress = compressor(content)
+    lengths = [np.array([len(compress(w)) for w in parts], np.float64) for parts in alone]
+    costs = [s / [len(w) for w in parts] if parts else s for s, parts in zip(lengths, alone, strict=True)]
+    return content, [_toxic_dictionary(content, alone, check, costs, order) for _ in range(DICTIONARIES)]
+
+
+def _toxic_dictionary(content: bytes, alone: list[list[bytes]], check: list[list[bytes]], scores: list[np.ndarray], order: random.Random) -> bytes:
+    """Rounds of training on the windows of the highest scores, first their cost, then their excess."""
+    import zstandard as zs
+
+    least, share, best = -1.0, 6, (-1.0, b"")
+    for _ in range(ROUNDS):
         kept = [parts[k] for parts, s in zip(alone, scores, strict=True) for k in np.argsort(-s, kind="stable")[: max(2, len(parts) // share)] if s[k] > least]
         order.shuffle(kept)
         if len(kept) < 10:
@@ -111,12 +122,19 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0)
             found = zs.train_dictionary(TOXIC_BYTES, kept, level=LEVEL).as_bytes()
         except zs.ZstdError:  # too few or too uniform samples to train on
             found = b"".join(kept)[-TOXIC_BYTES:]
-        if i + 1 < ROUNDS:
-            distance = Distance(content, found)
-            scores = [distance.excess(parts) if parts else np.zeros(0) for parts in alone]
-            plain = np.concatenate([distance.excess(parts) for parts in check if parts] or [np.zeros(1)])
-            least, share = max(1.0, float(np.percentile(plain, 99)) - 1e-9), 20
-    return content, found
+        distance = Distance(content, [found])
+        scores = [distance.excess(parts) for parts in alone]
+        plain = [distance.excess(parts) for parts in check if parts] or [np.zeros(1)]
+        best = max(best, (_separation(scores, plain), found))
+        least, share = max(1.0, float(np.percentile(np.concatenate(plain), 99)) - 1e-9), 20
+    return best[1]
+
+
+def _separation(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> float:
+    """How often a toxic document has the larger share of windows of some excess than an ordinary one; ties count half."""
+    a, b = (np.array([(x > 2).mean() if len(x) else 0.0 for x in rows]) for rows in (toxic, ordinary))
+    order = np.sort(b)
+    return float((np.searchsorted(order, a, "left") + np.searchsorted(order, a, "right")).mean() / (2 * len(b)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
