@@ -6,9 +6,10 @@
    document holds a value below ``j + 1``, later offers can change nothing and the document stops.
 2. Documents of equal sets are one representative (the smallest key). Signatures are cut into bands; representatives that
    share a band belong to one family (connected components over stars, one star a band value).
-3. The members of a family meet in one task with their texts, recompute their sets and are linked exactly: a member more
-   than ``1 - threshold`` of whose shingles no other member has can't be linked; the others are compared, one against all
-   at a time, until all that are not yet compared are in one component.
+3. The members of a family meet with their texts in one task, or, block by block, in the tasks of a large family; they
+   recompute their sets and are linked exactly: a member more than ``1 - threshold`` of whose shingles no other member has
+   can't be linked; the others are compared, one against all at a time, until all that are not yet compared are in one
+   component. Of each task's components a tree of links is kept; trees are joined to the components of the corpus.
 
 A pair at the threshold 0.85 is missed by all bands with probability 4e-7 (25 bands of 5), and then only if no chain of
 bands joins it.
@@ -34,6 +35,8 @@ SHINGLE, PERCENT = 5, 85
 REGISTERS, BANDS, ROWS = 128, 25, 5
 #: Text bytes a task turns into shingles at once.
 SLICE_BYTES = 2 << 20
+#: Members that meet in one task, and blocks of a larger family.
+CELL, MOST_BLOCKS = 1000, 64
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -170,8 +173,24 @@ def link_sets(values: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) ->
     return np.array([found.find(i) for i in range(n)])
 
 
-def _link_families(members: DataFrame, percent: int, k: int) -> DataFrame:
-    """``rep, root`` of all members: ``family, rep, s1, s2, body`` rows, dealt by family and streamed family by family."""
+def _with_cells(families: DataFrame) -> DataFrame:
+    """``rep, family`` with ``cells``: where each member meets others, so that any two members of a family meet somewhere.
+
+    A family of up to ``CELL`` members is one cell. A larger one is cut into blocks by hash, at most ``MOST_BLOCKS``, and
+    each two blocks are a cell: a task holds two blocks, and a member is sent once for each other block.
+    """
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    blocks = F.when(F.col("n") <= CELL, 1).otherwise(F.least(F.ceil(F.col("n") * 2 / CELL), F.lit(MOST_BLOCKS))).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))
+    pairs = F.transform(others, lambda j: F.least("block", j) * MOST_BLOCKS + F.greatest("block", j))
+    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pairs)
+    sizes = sizes.select("family", blocks.alias("blocks"))
+    return families.join(sizes, "family").withColumn("block", own).select("rep", "family", cells.alias("cells"))
+
+
+def _link_cells(members: DataFrame, percent: int, k: int) -> DataFrame:
+    """Edges ``rep, root`` within each cell: ``family, cell, rep, s1, s2, body`` rows, streamed cell by cell."""
     id_type = members.schema["rep"].dataType.simpleString()
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -184,26 +203,29 @@ def _link_families(members: DataFrame, percent: int, k: int) -> DataFrame:
             reps = sorted(kept)
             bounds = np.concatenate([[0], np.cumsum([len(kept[r]) for r in reps])])
             roots = link_sets(np.concatenate([kept[r] for r in reps]), bounds, percent)
-            return pa.RecordBatch.from_arrays([pa.array(reps, batch.schema.field("rep").type), pa.array([reps[i] for i in roots.tolist()], batch.schema.field("rep").type)], names=["rep", "root"])
+            pairs = [(reps[i], reps[r]) for i, r in enumerate(roots.tolist()) if i != r]
+            own = batch.schema.field("rep").type
+            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], own) for x in (0, 1)], names=["rep", "root"])
 
         for batch in batches:
             data, offsets = text_buffer(batch.column("body"))
-            families, reps = batch.column("family").to_pylist(), batch.column("rep").to_pylist()
+            cells = list(zip(batch.column("family").to_pylist(), batch.column("cell").to_pylist(), strict=True))
+            reps = batch.column("rep").to_pylist()
             own1, own2 = batch.column("s1").to_numpy(), batch.column("s2").to_numpy()
             for i, j in slices(offsets, SLICE_BYTES):
                 values, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers, k)
                 s1, s2 = set_keys(values, bounds)
                 for x in range(i, j):
-                    if families[x] != current:
+                    if cells[x] != current:
                         if len(kept) > 1:
                             yield solve()
-                        kept, current = {}, families[x]
+                        kept, current = {}, cells[x]
                     if s1[x - i] == own1[x] and s2[x - i] == own2[x]:  # else another row of the same key
                         kept[reps[x]] = values[bounds[x - i] : bounds[x - i + 1]].copy()
         if len(kept) > 1:
             yield solve()
 
-    dealt = members.repartition(n, "family").sortWithinPartitions("family")
+    dealt = members.repartition(n, "family", "cell").sortWithinPartitions("family", "cell")
     return dealt.mapInArrow(run, f"rep {id_type}, root {id_type}")
 
 
@@ -221,9 +243,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     pairs = F.explode(F.transform(F.concat(F.array("a"), "heads"), lambda x: F.struct(x.alias("a"), F.array_min("heads").alias("b"))))
     edges = heads.select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
     families = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    members = families.join(sets.select("rep", "s1", "s2"), "rep")
+    members = _with_cells(families).join(sets.select("rep", "s1", "s2"), "rep")
     texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    roots = materialize(_link_families(texts.join(members, "rep"), percent, k), "near-roots")
+    met = texts.join(members, "rep").select("family", F.explode("cells").alias("cell"), "rep", "s1", "s2", "body")
+    links = materialize(_link_cells(met, percent, k), "near-links")
+    roots = connected_components(links, "rep", "root").select(F.col("node").alias("rep"), F.col("component").alias("root"))
     of_set = sets.drop("bands").join(roots, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     out = rows.drop("bands").join(of_set, ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce("root", "doc_id")

@@ -285,8 +285,10 @@ def test_near_duplicates(docs):
     assert all(r["kept"] == (i == want[i]) and r["n_shingles"] == len(shingle_set(TEXT[i])) for i, r in got.items())
 
 
-def test_near_duplicates_large_group(spark):
-    """A group of copies at all distances, with chains of links: components over all pairs."""
+@pytest.mark.parametrize("cell", [20, 1000])
+def test_near_duplicates_large_group(spark, monkeypatch, cell):
+    """A group of copies at all distances, with chains of links: components over all pairs, in one cell and in many."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     texts = {0: " ".join(base)}
