@@ -255,6 +255,7 @@ def line_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ed
     classes = classes.select(F.col("node").alias("h"), F.col("component").alias("near"))
     known = lines.join(classes, "h", "left").select("doc_id", "line", F.coalesce("near", "h").alias("class"))
     firsts = known.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = materialize(firsts, "line-firsts")  # a table of its own, so that Spark can split a class of very many lines in the join
     return known.join(firsts, "class").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
 
 
