@@ -22,7 +22,7 @@ def vote(positive: Column, negative: Column) -> Column:
     return F.when(F.coalesce(positive, F.lit(False)), 1).when(F.coalesce(negative, F.lit(False)), 0).otherwise(-1)
 
 
-def standard_functions(*, engagement: str, sentiment: str, toxicity: str, comments: str, communities: str, days: str, actions: str, hedges: str, verified: str) -> list[LabelingFunction]:
+def standard_functions(*, engagement: str, sentiment: str, toxicity: str, comments: str, communities: str, days: str, actions: str, hedges: str) -> list[LabelingFunction]:
     """The seven functions; their thresholds and weights are fixed values."""
     c = F.col
     return [

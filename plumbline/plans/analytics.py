@@ -45,9 +45,8 @@ def weak_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 7).alias("days"),
         X.distinct_hits(F.col("text"), ACTION).alias("actions"),
         X.distinct_hits(F.col("text"), HEDGE).alias("hedges"),
-        F.lit(False).alias("verified"),
     )
-    names = {n: n for n in ("engagement", "sentiment", "toxicity", "comments", "communities", "days", "actions", "hedges", "verified")}
+    names = {n: n for n in ("engagement", "sentiment", "toxicity", "comments", "communities", "days", "actions", "hedges")}
     return weak_label(rows, standard_functions(**names))
 
 

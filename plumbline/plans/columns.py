@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,7 +209,7 @@ def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(S.weighted_mean(list(zip(models, (0.5, 0.3, 0.2), strict=True))), 6).alias("ensemble"),
         F.round(S.null_mean(models), 6).alias("mean_of"),
         F.round(F.greatest(*models), 6).alias("max_of"),
-        F.coalesce(models[0] > 0.5, F.lit(False)) .__or__(F.coalesce(models[1] > 0.5, F.lit(False))).__or__(models[2] > 0.5).alias("any_of"),
+        reduce(or_, [F.coalesce(m > 0.5, F.lit(False)) for m in models]).alias("any_of"),
         F.round(S.sigmoid(F.col("sentiment")), 6).alias("sig"),
         F.round(S.logit(F.col("toxicity")), 6).alias("logit"),
     )

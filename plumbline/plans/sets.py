@@ -161,18 +161,18 @@ def unified_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "C08 N01 P06",
-    """WITH u AS (SELECT 'labels' AS source, quality::DOUBLE AS doom FROM labels UNION ALL SELECT 'events', value / 100 FROM events UNION ALL SELECT 'docs', NULL FROM documents), c AS (SELECT source, CASE WHEN doom IS NULL THEN 0.5 ELSE least(greatest(doom, 0), 1) END AS doom FROM u)
-SELECT source, count(*) AS n, round(avg(doom), 9) AS mean, round(avg((doom > 0.5)::INT), 9) AS positive, round(median(doom), 9) AS median FROM c GROUP BY source""",
+    """WITH u AS (SELECT 'labels' AS source, quality::DOUBLE AS level FROM labels UNION ALL SELECT 'events', value / 100 FROM events UNION ALL SELECT 'docs', NULL FROM documents), c AS (SELECT source, CASE WHEN level IS NULL THEN 0.5 ELSE least(greatest(level, 0), 1) END AS level FROM u)
+SELECT source, count(*) AS n, round(avg(level), 9) AS mean, round(avg((level > 0.5)::INT), 9) AS positive, round(median(level), 9) AS median FROM c GROUP BY source""",
 )
 def consolidated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.functions.scores import clip
 
     parts = [
-        table(spark, sf_dir, "labels").select(F.lit("labels").alias("source"), F.col("quality").cast("double").alias("doom")),
-        table(spark, sf_dir, "events").select(F.lit("events").alias("source"), (F.col("value") / 100).alias("doom")),
-        table(spark, sf_dir, "documents").select(F.lit("docs").alias("source"), F.lit(None).cast("double").alias("doom")),
+        table(spark, sf_dir, "labels").select(F.lit("labels").alias("source"), F.col("quality").cast("double").alias("level")),
+        table(spark, sf_dir, "events").select(F.lit("events").alias("source"), (F.col("value") / 100).alias("level")),
+        table(spark, sf_dir, "documents").select(F.lit("docs").alias("source"), F.lit(None).cast("double").alias("level")),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("doom", F.coalesce(clip(F.col("doom"), 0, 1), F.lit(0.5)))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("level", F.coalesce(clip(F.col("level"), 0, 1), F.lit(0.5)))
     return rows.groupBy("source").agg(
-        F.count("*").alias("n"), F.round(F.avg("doom"), 9).alias("mean"), F.round(F.avg((F.col("doom") > 0.5).cast("int")), 9).alias("positive"), F.round(F.percentile("doom", 0.5), 9).alias("median")
+        F.count("*").alias("n"), F.round(F.avg("level"), 9).alias("mean"), F.round(F.avg((F.col("level") > 0.5).cast("int")), 9).alias("positive"), F.round(F.percentile("level", 0.5), 9).alias("median")
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -152,10 +151,6 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, starting: str =
     return rows.select(F.col("key").cast("string"), F.col("value").cast("string"), "timestamp")
 
 
-def json_text(value: object) -> str:
-    return json.dumps(value, sort_keys=True)
-
-
 def rate_source(spark: SparkSession, per_second: int = 10) -> DataFrame:
     """A stream of numbered rows, in place of a message queue."""
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
