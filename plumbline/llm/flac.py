@@ -90,25 +90,28 @@ def _residuals(samples: np.ndarray, order: int, coefficients: tuple[int, ...], s
 
 
 def _best_rice(residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits and parameter of each row's cheapest Rice code."""
-    folded = np.where(residuals < 0, -2 * residuals - 1, 2 * residuals)
+    """Bits and parameter of each row's cheapest Rice code, among those next to the logarithm of its mean."""
+    folded = (residuals << 1) ^ (residuals >> 31)
     n = folded.shape[1]
-    bits = np.stack([(folded >> k).sum(1) + n * (k + 1) for k in range(9)])
-    k = bits.argmin(0)
-    return bits[k, np.arange(len(k))], k
+    guess = np.log2(np.maximum(folded.sum(1) / n, 1)).astype(np.int32)
+    tried = [np.clip(guess + d, 0, 8) for d in (-1, 0, 1)]
+    bits = np.stack([(folded >> k[:, None]).sum(1) + n * (k + 1) for k in tried])
+    best = bits.argmin(0)
+    at = np.arange(len(best))
+    return bits[best, at], np.stack(tried)[best, at]
 
 
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """The frames of rows of ``BLOCK`` unsigned bytes, each with its number in its stream."""
     signed = samples.astype(np.int32) - 128
     predictors = [(order, FIXED[order], 0, 8 + order) for order in range(3)] + [(MEAN_ORDER, (1,) * MEAN_ORDER, MEAN_SHIFT, 32 + MEAN_ORDER - 1)]
-    own, sizes, ks = [], [np.full(len(samples), 8 * BLOCK)], [np.zeros(len(samples), np.int64)]
+    own, sizes, ks = [], [np.full(len(samples), 8 * BLOCK)], [np.zeros(len(samples), np.int32)]
     for order, coefficients, shift, _ in predictors:
         own.append(_residuals(signed, order, coefficients, shift))
         bits, k = _best_rice(own[-1])
         lpc = 9 + MEAN_PRECISION * order if shift else 0
         sizes.append(bits + 8 * order + 10 + lpc)
-        ks.append(k)
+        ks.append(k.astype(np.int32))
     kind = np.stack(sizes).argmin(0)  # 0: verbatim, else a predictor
     kind[(signed == signed[:, :1]).all(1)] = -1
     out: list[bytes] = [b""] * len(samples)
@@ -135,7 +138,7 @@ def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray | int, width: int)
 
 
 def _rice_bodies(warm: np.ndarray, residuals: np.ndarray, k: np.ndarray, code: int, order: int, coefficients: tuple[int, ...], shift: int) -> list[bytes]:
-    folded = np.where(residuals < 0, -2 * residuals - 1, 2 * residuals)
+    folded = (residuals << 1) ^ (residuals >> 31)
     quotients = folded >> k[:, None]
     lengths = quotients + 1 + k[:, None]
     fixed = 8 + 8 * order + 10 + (9 + MEAN_PRECISION * order if shift else 0)
