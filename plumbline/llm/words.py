@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 
 #: Bytes of text handled at once; bounds a task's memory whatever the batch.
 SLICE_BYTES = 8 << 20
@@ -139,42 +138,39 @@ class Vocabulary:
         text = self.normal(text) if self.normal else text
         return self.patterns[alphabet(text)].findall(text)
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Table positions of distinct words, encoding those not seen yet."""
-        if self.cache and len(self.cache) + len(words) > CACHE_WORDS:
-            self._reset()
-        first = len(self.cache)
-        at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        new = [words[i] for i in np.flatnonzero(at >= first).tolist()]
-        if new:
-            flat, lengths = self.word_ids(new)
-            marked = [(i, self.special[w[2:]]) for i, w in enumerate(new) if w[0] == "\0" and w[:2] == "\0\0" and w[2:] in self.special]
-            if marked:
-                rows = np.split(flat, np.cumsum(lengths)[:-1])
-                for i, token in marked:
-                    rows[i], lengths[i] = np.array([token], np.uint32), 1
-                flat = np.concatenate(rows)
-            if first + len(new) > len(self.starts):
-                room = max(2 * len(self.starts), first + len(new))
-                self.starts, self.lengths = np.resize(self.starts, room), np.resize(self.lengths, room)
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(flat)))
-            self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[first : first + len(new)] = lengths
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-        return at
+    def _learn(self, new: list[str], first: int) -> None:
+        """Put the ids of words into the table, at positions from ``first`` on."""
+        flat, lengths = self.word_ids(new)
+        marked = [(i, self.special[w[2:]]) for i, w in enumerate(new) if w[0] == "\0" and w[:2] == "\0\0" and w[2:] in self.special]
+        if marked:
+            rows = np.split(flat, np.cumsum(lengths)[:-1])
+            for i, token in marked:
+                rows[i], lengths[i] = np.array([token], np.uint32), 1
+            flat = np.concatenate(rows)
+        if first + len(new) > len(self.starts):
+            room = max(2 * len(self.starts), first + len(new))
+            self.starts, self.lengths = np.resize(self.starts, room), np.resize(self.lengths, room)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(flat)))
+        self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : first + len(new)] = lengths
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), and the bounds of each text's ids (one more than texts)."""
+        if len(self.cache) > CACHE_WORDS:
+            self._reset()
+        first = len(self.cache)
         split = [self.words(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = pa.array(itertools.chain.from_iterable(split), pa.large_string(), size=int(counts.sum()))
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+        # A word the cache lacks gets the next position as it is looked up.
+        at = np.fromiter(map(self.cache.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(bounds[-1]))
         del split
-        coded = flat.dictionary_encode()
-        at = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        if len(self.cache) > first:
+            self._learn(list(itertools.islice(self.cache, first, None)), first)
         ids, ends = ragged_take(self.ids, self.starts[at], self.lengths[at])
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, ends[bounds]
 
 
 def ragged_take(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
