@@ -16,6 +16,8 @@ from plumbline.llm.queries import BATCH_ROWS, WORD_BPE, tokenizer_path
 from plumbline.llm.storage import materialize
 
 SEQUENCE_TOKENS, END_ID, TOXIC_FROM = 2048, 0, 0.5
+#: Documents are linked from this similarity on; op7 has a threshold of its own.
+NEAR_PERCENT = 80
 
 
 def _batches(spark: SparkSession) -> None:
@@ -39,7 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _batches(spark)
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

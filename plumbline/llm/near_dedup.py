@@ -11,8 +11,8 @@
    can't be linked; the others are compared, one against all at a time, until all that are not yet compared are in one
    component. Of each task's components a tree of links is kept; trees are joined to the components of the corpus.
 
-A pair at the threshold 0.85 is missed by all bands with probability 4e-7 (25 bands of 5), and then only if no chain of
-bands joins it.
+A pair at the threshold 0.85 is missed by all bands with probability 4e-7 (25 bands of 5), one at 0.80, from which the
+pipeline links, with 5e-5, and then only if no chain of bands joins it.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; fewer words than a shingle make one
 shingle of all of them; repeated rows are near-duplicates of each other; an empty table gives no rows.
