@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _batches(spark)
-    return _recounted(line_dedup.dedup_lines(docs))
+    return _recounted(line_dedup.dedup_lines(docs, shortest=1))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line deduplication: exact copies by hash, near copies by a segment-partition edit join.
 
-Lines are trimmed; those of at least ``LEAST`` characters take part. Two lines are near copies if one becomes the other by
+Lines are trimmed. Exact copies are found among lines of at least ``shortest`` characters (1 is every line that is not
+blank), near copies among those of at least ``LEAST``. Two lines are near copies if one becomes the other by
 at most ``EDITS`` insertions, deletions or substitutions of characters. A class is all lines connected by exact or near
 copies; of its occurrences in all documents the first (by document, then line) stays.
 
@@ -11,7 +12,7 @@ it may be joined with, the substrings that can match. Candidates must also agree
 most two bits of the characters' and four of the bigrams'), which ends nearly all chance matches inside the join; the rest
 is verified by a banded bit-parallel edit distance, many pairs at a time.
 
-Defined cases: null texts are empty; blank and short lines stay; repeated rows are copies of each other, so the second
+Defined cases: null texts are empty; blank lines and those below ``shortest`` stay; repeated rows are copies of each other, so the second
 loses its lines; an empty table gives no rows. Keys must be distinct and not null.
 """
 
@@ -248,9 +249,9 @@ def near_pairs(docs: DataFrame, *, text: str = "text", edits: int = EDITS, least
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def line_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int = LEAST) -> DataFrame:
     """Lines that go: ``doc_id, line`` of every occurrence in a class but the class's first."""
-    lines = materialize(occurrences(docs, key=key, text=text, least=least), "lines")
+    lines = materialize(occurrences(docs, key=key, text=text, least=shortest), "lines")
     classes = connected_components(materialize(near_pairs(docs, text=text, edits=edits, least=least), "line-pairs"))
     classes = classes.select(F.col("node").alias("h"), F.col("component").alias("near"))
     known = lines.join(classes, "h", "left").select("doc_id", "line", F.coalesce("near", "h").alias("class"))
@@ -281,7 +282,9 @@ def drop_lines(docs: DataFrame, gone: DataFrame, *, key: str = "doc_id", text: s
     return joined.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, counts: bool = False) -> DataFrame:
-    """``docs`` with each class of lines at its first occurrence only."""
-    return drop_lines(docs, line_classes(docs, key=key, text=text, edits=edits, least=least), key=key, text=text, counts=counts)
+def dedup_lines(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int = LEAST, counts: bool = False
+) -> DataFrame:
+    """``docs`` with each class of lines at its first occurrence only; ``shortest``: the length from which exact copies go."""
+    return drop_lines(docs, line_classes(docs, key=key, text=text, edits=edits, least=least, shortest=shortest), key=key, text=text, counts=counts)
 

@@ -77,7 +77,7 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.dedup_lines(docs, counts=True)
+    kept = line_dedup.dedup_lines(docs, shortest=1, counts=True)
     body = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", "n_lines", "n_dropped", F.length(body).cast("long").alias("kept_chars"), F.sha2(body.cast("binary"), 256).alias("kept_sha256"))
 

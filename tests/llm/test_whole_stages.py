@@ -31,3 +31,10 @@ def test_near_stage_links_from_80(spark):
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table(spark, texts.items()), "").collect()}
     assert got == {i for i, c in linked_from(80, texts).items() if i == c}
     assert set(texts) - got == {2 * n + 1 for n in (10, 18, 19, 20, 21, 22)}
+
+
+def test_short_lines_go(spark):
+    """Exact copies of a line of any length go; near copies are joined from 20 characters on; blank lines stay."""
+    texts = {0: "Yes\n\n}\nshort line", 1: " Yes\n\n}\nshort line", 2: "short lime\n}\nYes", 3: "a line of more than 20 letters", 4: "a line of more than 20 lettres?\nYes"}
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, table(spark, texts.items()), "").collect()}
+    assert got == {0: texts[0], 1: "", 2: "short lime", 3: texts[3], 4: "a line of more than 20 lettres?"}
