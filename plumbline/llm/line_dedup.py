@@ -3,7 +3,7 @@
 Lines are trimmed. Exact copies are found among lines of at least ``shortest`` characters (1 is every line that is not
 blank), near copies among those of at least ``LEAST``. Two lines are near copies if one becomes the other by
 at most ``EDITS`` insertions, deletions or substitutions of characters. A class is all lines connected by exact or near
-copies; of its occurrences in all documents the first (by document, then line) stays.
+copies; of its occurrences in all documents the first (by document, a null key before others, then line) stays.
 
 The edit join splits each line into ``EDITS + 1`` even segments, at places that depend on its length alone. Of two near
 copies, the shorter has a segment that the longer contains unchanged, at a place that differs by no more than the edits
@@ -13,7 +13,8 @@ most two bits of the characters' and four of the bigrams'), which ends nearly al
 is verified by a banded bit-parallel edit distance, many pairs at a time.
 
 Defined cases: null texts are empty; blank lines and those below ``shortest`` stay; repeated rows are copies of each other, so the second
-loses its lines; an empty table gives no rows. Keys must be distinct and not null.
+loses its lines; an empty table gives no rows. Keys may be null or repeat: rows have numbers of their own, and those of one
+key come in the order of their texts' hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import Powers, mix64
-from plumbline.llm.storage import materialize
+from plumbline.llm.storage import ROW, materialize, with_rows
 from plumbline.llm.words import text_slices
 
 LEAST, EDITS = 20, 1
@@ -101,23 +102,24 @@ def _key(length: np.ndarray, i: int, value: np.ndarray) -> np.ndarray:
     return mix64(value ^ mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(i))).view(np.int64)
 
 
-def occurrences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``doc_id, line int, h long`` of every line that takes part."""
-    id_type = docs.schema[key].dataType.simpleString()
+def occurrences(rows: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """``row long, doc_id, text_hash long, line int, h long`` of every line that takes part; ``rows`` have a ``ROW``."""
+    id_type = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             at = 0
-            for texts in text_slices(batch.column(1).to_pylist(), SLICE_CHARS):
+            for texts in text_slices(batch.column(3).to_pylist(), SLICE_CHARS):
                 lines = Lines(texts, powers, least)
+                own = [batch.column(i).take(pa.array(lines.doc + at)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lines.doc + at)), pa.array(lines.number.astype(np.int32)), pa.array(lines.keys().view(np.int64))],
-                    names=["doc_id", "line", "h"],
+                    [*own, pa.array(lines.number.astype(np.int32)), pa.array(lines.keys().view(np.int64))], names=["row", "doc_id", "text_hash", "line", "h"]
                 )
                 at += len(texts)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {id_type}, line int, h long")
+    columns = rows.select(F.col(ROW), F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text))
+    return columns.mapInArrow(run, f"row long, doc_id {id_type}, text_hash long, line int, h long")
 
 
 def segments(docs: DataFrame, *, text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -249,15 +251,20 @@ def near_pairs(docs: DataFrame, *, text: str = "text", edits: int = EDITS, least
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def line_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int = LEAST) -> DataFrame:
-    """Lines that go: ``doc_id, line`` of every occurrence in a class but the class's first."""
-    lines = materialize(occurrences(docs, key=key, text=text, least=shortest), "lines")
-    classes = connected_components(materialize(near_pairs(docs, text=text, edits=edits, least=least), "line-pairs"))
+def line_classes(
+    rows: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int = LEAST
+) -> DataFrame:
+    """Lines that go: ``doc_id`` (the row's ``ROW``) and ``line`` of every occurrence in a class but the class's first."""
+    lines = materialize(occurrences(rows, key=key, text=text, least=shortest), "lines")
+    classes = connected_components(materialize(near_pairs(rows, text=text, edits=edits, least=least), "line-pairs"))
     classes = classes.select(F.col("node").alias("h"), F.col("component").alias("near"))
-    known = lines.join(classes, "h", "left").select("doc_id", "line", F.coalesce("near", "h").alias("class"))
-    firsts = known.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    place = F.struct("doc_id", "text_hash", "row", "line")
+    known = lines.join(classes, "h", "left").select("doc_id", "text_hash", "row", "line", F.coalesce("near", "h").alias("class"))
+    firsts = known.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("class", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"))
     firsts = materialize(firsts, "line-firsts")  # a table of its own, so that Spark can split a class of very many lines in the join
-    return known.join(firsts, "class").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
+    later = known.select("class", "row", "line").join(firsts, "class").where("row <> first_row OR line <> first_line")
+    return later.select(F.col("row").alias("doc_id"), "line")
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, *, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
@@ -286,5 +293,7 @@ def dedup_lines(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int = LEAST, counts: bool = False
 ) -> DataFrame:
     """``docs`` with each class of lines at its first occurrence only; ``shortest``: the length from which exact copies go."""
-    return drop_lines(docs, line_classes(docs, key=key, text=text, edits=edits, least=least, shortest=shortest), key=key, text=text, counts=counts)
+    rows = with_rows(docs, "line-rows")
+    gone = line_classes(rows, key=key, text=text, edits=edits, least=least, shortest=shortest)
+    return drop_lines(rows, gone, key=ROW, text=text, counts=counts).drop(ROW)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import Powers, mix64, shingle_sets, slices, text_buffer
-from plumbline.llm.storage import materialize
+from plumbline.llm.storage import ROW, materialize, with_rows
 
 SHINGLE, PERCENT = 5, 85
 REGISTERS, BANDS, ROWS = 128, 25, 5
@@ -255,6 +255,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the smallest key of each component only."""
-    kept = near_duplicates(docs, key=key, text=text, percent=percent).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, key, "left_semi")
+    """``docs`` with one row of each component only: of the smallest key, where a null is the least, then by the text's hash.
+
+    Rows are told apart by numbers of their own, so keys may be null or repeat.
+    """
+    rows = with_rows(docs, "near-rows")
+    found = near_duplicates(rows, key=ROW, text=text, percent=percent).select(F.col("doc_id").alias(ROW), "component_id")
+    order = rows.select(ROW, F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(ROW).alias("row")).alias("order"))
+    kept = found.join(order, ROW).groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

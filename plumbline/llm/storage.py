@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from plumbline.storage import materialize, new_path, shared_folder
 
-__all__ = ["arrow_schema", "materialize", "new_path", "open_fs", "shared_folder", "write_file"]
+__all__ = ["ROW", "arrow_schema", "materialize", "new_path", "open_fs", "shared_folder", "with_rows", "write_file"]
+
+#: The column that tells rows apart, whatever their keys.
+ROW = "__row"
+
+
+def with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` written to the shared folder with a distinct number ``ROW`` in each row, so that keys may be null or repeat."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
 def open_fs(uri: str):

@@ -38,3 +38,16 @@ def test_short_lines_go(spark):
     texts = {0: "Yes\n\n}\nshort line", 1: " Yes\n\n}\nshort line", 2: "short lime\n}\nYes", 3: "a line of more than 20 letters", 4: "a line of more than 20 lettres?\nYes"}
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, table(spark, texts.items()), "").collect()}
     assert got == {0: texts[0], 1: "", 2: "short lime", 3: texts[3], 4: "a line of more than 20 lettres?"}
+
+
+def test_null_and_repeated_keys(spark):
+    """Documents without a key stay, one of repeated rows stays, and rows of one key lose only their own lines."""
+    a, b, c = ("\n".join(f"{x} has line {i} of its own" + "." * i for i in range(8)) for x in ("alpha", "the second", "some other text"))
+    rows = [(None, a), (None, b), (7, c), (7, c), (None, None), (None, None), (8, "one two three\n" + c)]
+    near = corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in near), key=repr) == sorted([*rows[:3], *rows[4:6]], key=repr)
+
+    rows = [(3, "first of all the lines\nsomething quite different"), (5, "words that are only here\nlast one of them all"), (5, "zebras run on the plain\nsomething quite different"), (None, None), (9, "zz"), (9, "zz")]
+    lines = corpus_pipeline.drop_repeated_lines(spark, table(spark, rows), "").collect()
+    want = [rows[0], rows[1], (5, "zebras run on the plain"), rows[3], (9, "zz"), (9, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in lines), key=repr) == sorted(want, key=repr)
