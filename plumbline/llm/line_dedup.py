@@ -1,25 +1,30 @@
-"""Line deduplication: exact copies by hash, near copies by a segment-partition edit join.
+"""Line deduplication: exact copies by digest, near copies by a segment-partition edit join.
 
 Lines are trimmed. Exact copies are found among lines of at least ``shortest`` characters (1 is every line that is not
-blank), near copies among those of at least ``LEAST``. Two lines are near copies if one becomes the other by
-at most ``EDITS`` insertions, deletions or substitutions of characters. A class is all lines connected by exact or near
-copies; of its occurrences in all documents the first (by document, a null key before others, then line) stays.
-
-The edit join splits each line into ``EDITS + 1`` even segments, at places that depend on its length alone. Of two near
-copies, the shorter has a segment that the longer contains unchanged, at a place that differs by no more than the edits
-before and after it allow. So each line is indexed under its segments (length, number, hash), and probes, for each length
-it may be joined with, the substrings that can match. Candidates must also agree in two parity signatures (an edit flips at
-most two bits of the characters' and four of the bigrams'), which ends nearly all chance matches inside the join; the rest
-is verified by a banded bit-parallel edit distance, many pairs at a time.
+blank): a line is named by 16 bytes of BLAKE2b. Two lines are near copies if one becomes the other by insertions, deletions
+or substitutions of so many characters as ``STEPS`` allows for the shorter one: 1 from 20 characters on, 2 from 80, 3 from
+200, 4 from 400. A class is all lines connected by exact or near copies; of its occurrences in all documents
+the first (by document, a null key before others, then line) stays.
+
+The edit join splits each line into one segment more than its edits, even ones, at places that depend on its length alone.
+Of two near copies, the shorter has a segment that the longer contains unchanged, at a place that differs by no more than
+the edits before and after it allow. So each line is indexed under its segments (length, number, hash), and probes, for each
+length it may be joined with, the substrings that can match. Candidates must also agree in two parity signatures (an edit
+flips at most two bits of the characters' and four of the bigrams'), which ends nearly all chance matches inside the join;
+the rest is verified by a banded bit-parallel edit distance, many pairs at a time. A segment that more than ``HOT`` lines
+share (a common beginning, say) is parted further: of the ``2 * edits + 1`` parts of the characters' signature, near copies
+have one in common, so such lines are joined on segment and part.
 
 Defined cases: null texts are empty; blank lines and those below ``shortest`` stay; repeated rows are copies of each other, so the second
 loses its lines; an empty table gives no rows. Keys may be null or repeat: rows have numbers of their own, and those of one
-key come in the order of their texts' hashes.
+key come in the order of their texts' hashes. Columns of any name are kept; with ``counts``, ``n_lines`` and ``n_dropped``
+replace columns of that name. A text is split whole, however long; texts are worked on ``SLICE_CHARS`` at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,34 +32,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.shingles import Powers, mix64
-from plumbline.llm.storage import ROW, materialize, with_rows
+from plumbline.llm.shingles import mix64
+from plumbline.llm.storage import fresh, materialize, with_rows
 from plumbline.llm.words import text_slices
 
-LEAST, EDITS = 20, 1
-#: Characters handled at once, and bits of the filter that finds the lines to verify: 4 MB, whatever the corpus.
-SLICE_CHARS, FILTER_BITS = 1 << 20, 25
-_BLANK = np.array([9, 11, 12, 13, 32], np.uint32)
+#: Lengths from which a line may have one edit more.
+STEPS = (20, 80, 200, 400)
+#: Lines that share a segment before it is parted further.
+HOT = 200
+#: Characters handled at once. Bits of the filter that finds the lines to verify: sixteen a line, between these powers of
+#: two (128 KB and 16 MB); beyond, it lets more lines pass and the join that follows stays exact.
+SLICE_CHARS, FILTER_BITS = 1 << 20, (20, 27)
+_BLANK = " \t\x0b\x0c\r"
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+class Powers:
+    """Powers of a hash base and of its inverse modulo 2**64, grown on demand and reused between slices."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]), dtype=np.uint64)
+        return self.up[:n], self.down[:n]
+
+
+def split_lines(texts: list[str], least: int) -> Iterator[tuple[int, int, str]]:
+    """Text, number and trimmed line of every line of at least ``least`` characters, 1 at least."""
+    for at, text in enumerate(texts):
+        for number, line in enumerate(text.split("\n")):
+            if len(own := line.strip(_BLANK)) >= max(least, 1):
+                yield at, number, own
+
+
+def digest(line: str) -> bytes:
+    return blake2b(line.encode(), digest_size=16).digest()
 
 
 class Lines:
-    """The lines of a slice of documents as code points: bounds, places, hashes of any substring."""
-
-    def __init__(self, texts: list[str], powers: Powers, least: int = LEAST) -> None:
-        self.codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        breaks = np.flatnonzero(self.codes == 10)
-        counts = np.array([t.count("\n") + 1 for t in texts], np.int64)
-        starts = np.concatenate([[0], breaks[:-1] + 1]).astype(np.int64)
-        solid = np.flatnonzero(~np.isin(self.codes, _BLANK) & (self.codes != 10))
-        solid = np.append(solid, len(self.codes))
-        first, end = np.searchsorted(solid, starts), np.searchsorted(solid, breaks)
-        begin = np.minimum(solid[first], breaks)
-        stop = np.where(end > first, solid[np.maximum(end, 1) - 1] + 1, begin)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        number = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-        keep = stop - begin >= least
-        self.begin, self.stop, self.doc, self.number = begin[keep], stop[keep], doc[keep], number[keep]
-        self.length = self.stop - self.begin
+    """Distinct lines as code points, with a hash of any substring. These hashes only propose candidates."""
+
+    def __init__(self, lines: list[str], powers: Powers) -> None:
+        self.codes = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le"), np.uint32)
+        self.length = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.begin = np.cumsum(self.length + 1) - self.length - 1
+        self.stop = self.begin + self.length
         up, self.down = powers.upto(len(self.codes) + 1)
         self.sums = np.zeros(len(self.codes) + 1, np.uint64)
         np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
@@ -62,9 +88,6 @@ class Lines:
     def hashed(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix64((self.sums[stop] - self.sums[begin]) * self.down[begin] + (stop - begin).astype(np.uint64))
 
-    def keys(self) -> np.ndarray:
-        return self.hashed(self.begin, self.stop)
-
     def parities(self) -> tuple[np.ndarray, np.ndarray]:
         """For each line, a bit for each class of characters and of bigrams: whether their number is odd."""
         if not len(self.begin):
@@ -80,6 +103,11 @@ class Lines:
         return out[0], out[1]
 
 
+def edits_of(length: np.ndarray, steps: tuple[int, ...] = STEPS) -> np.ndarray:
+    """The edits that a line of this length may have."""
+    return np.searchsorted(np.array(steps), length, side="right")
+
+
 def segment_bounds(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the ``i``-th of ``edits + 1`` even segments of a line of this length begins and ends."""
     n = edits + 1
@@ -102,28 +130,27 @@ def _key(length: np.ndarray, i: int, value: np.ndarray) -> np.ndarray:
     return mix64(value ^ mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(i))).view(np.int64)
 
 
-def occurrences(rows: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``row long, doc_id, text_hash long, line int, h long`` of every line that takes part; ``rows`` have a ``ROW``."""
+def occurrences(rows: DataFrame, row: str, *, key: str = "doc_id", text: str = "text", least: int = STEPS[0]) -> DataFrame:
+    """``row long, doc_id, text_hash long, line int, h binary`` of every line that takes part; ``row`` numbers the rows."""
     id_type = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
             at = 0
             for texts in text_slices(batch.column(3).to_pylist(), SLICE_CHARS):
-                lines = Lines(texts, powers, least)
-                own = [batch.column(i).take(pa.array(lines.doc + at)) for i in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(lines.number.astype(np.int32)), pa.array(lines.keys().view(np.int64))], names=["row", "doc_id", "text_hash", "line", "h"]
-                )
+                found = [(d + at, n, digest(x)) for d, n, x in split_lines(texts, least)]
+                doc, number, h = zip(*found, strict=True) if found else ((), (), ())
+                own = [batch.column(i).take(pa.array(doc, pa.int64())) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), pa.array(h, pa.binary())], names=["row", "doc_id", "text_hash", "line", "h"])
                 at += len(texts)
 
-    columns = rows.select(F.col(ROW), F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text))
-    return columns.mapInArrow(run, f"row long, doc_id {id_type}, text_hash long, line int, h long")
+    columns = rows.select(F.col(row), F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text))
+    return columns.mapInArrow(run, f"row long, doc_id {id_type}, text_hash long, line int, h binary")
 
 
-def segments(docs: DataFrame, *, text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``k, h, c, b long, probe boolean``: the segments each line is indexed under and the substrings it probes.
+def segments(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, index_only: bool = False) -> DataFrame:
+    """``k long, h binary, e int, c, b long, probe boolean``: segments that lines are indexed under and substrings they probe,
+    with the edits of the shorter line and the two signatures.
 
     Lines that a slice holds more than once are given once.
     """
@@ -132,40 +159,58 @@ def segments(docs: DataFrame, *, text: str = "text", edits: int = EDITS, least:
         powers = Powers()
         for batch in batches:
             for texts in text_slices(batch.column(0).to_pylist(), SLICE_CHARS):
-                lines = Lines(texts, powers, least)
-                h, own = np.unique(lines.keys(), return_index=True)
-                c, b = (x[own] for x in lines.parities())
-                begin, length = lines.begin[own], lines.length[own]
-                parts = []
-                for i in range(edits + 1):
-                    x, y = segment_bounds(length, i, edits)
-                    parts.append((_key(length, i, lines.hashed(begin + x, begin + y)), False))
-                    for less in range(edits + 1):
-                        x, y = segment_bounds(length - less, i, edits)
-                        for shift in probes(edits, less, i):
-                            if less or shift:  # unshifted ones of the same length are the index entries themselves
-                                ok = begin + x + shift >= begin
-                                ok &= y + shift <= length
-                                z = np.where(ok, shift, 0)
-                                parts.append((np.where(ok, _key(length - less, i, lines.hashed(begin + x + z, begin + y + z)), 0), True))
-                n = len(parts)
-                probe = np.repeat([p for _, p in parts], len(h))
-                columns = [np.concatenate([k for k, _ in parts]), *(np.tile(a, n) for a in (h.view(np.int64), c, b)), probe]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["k", "h", "c", "b", "probe"])
-
-    return docs.select(F.col(text)).mapInArrow(run, "k long, h long, c long, b long, probe boolean")
-
-
-def candidates(parts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs ``a, b`` of lines' hashes that may be near copies."""
-    left = parts.where("NOT probe").select("k", F.col("h").alias("a"), F.col("c").alias("c1"), F.col("b").alias("b1"))
-    right = parts.select("k", F.col("h").alias("b"), F.col("c").alias("c2"), F.col("b").alias("b2"), "probe")
-    close = (F.bit_count(F.col("c1").bitwiseXOR(F.col("c2"))) <= 2 * edits) & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))) <= 4 * edits)
+                lines = list(dict.fromkeys(x for _, _, x in split_lines(texts, steps[0])))
+                yield from _segment_rows(lines, Lines(lines, powers), steps, index_only)
+
+    return docs.select(F.col(text)).mapInArrow(run, "k long, h binary, e int, c long, b long, probe boolean")
+
+
+def _segment_rows(texts: list[str], lines: Lines, steps: tuple[int, ...], index_only: bool) -> Iterator[pa.RecordBatch]:
+    h, (c, b) = pa.array([digest(x) for x in texts], pa.binary()), lines.parities()
+    for less in range(1 if index_only else len(steps) + 1):
+        edits = edits_of(lines.length - less, steps)  # of the shorter line
+        for e in range(max(less, 1), len(steps) + 1):
+            own = np.flatnonzero(edits == e)
+            length, begin, stop = lines.length[own] - less, lines.begin[own], lines.stop[own]
+            for i in range(e + 1) if len(own) else ():
+                x, y = segment_bounds(length, i, e)
+                for shift in probes(e, less, i):
+                    probe = bool(less or shift)
+                    if probe and index_only:
+                        continue
+                    ok = (x + shift >= 0) & (begin + y + shift <= stop)
+                    at = begin[ok] + shift
+                    k, who = _key(length[ok], i, lines.hashed(at + x[ok], at + y[ok])), own[ok]
+                    n = len(who)
+                    columns = [pa.array(k), h.take(pa.array(who)), pa.array(np.full(n, e, np.int32)), pa.array(c[who]), pa.array(b[who]), pa.array(np.full(n, probe))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "h", "e", "c", "b", "probe"])
+
+
+def _parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of hot keys once for each part of their characters' signature, with a key of segment and part."""
+    keys = F.expr(
+        "transform(sequence(0, 2 * e), j -> xxhash64(k, j, pmod(shiftrightunsigned(c, j * cast(floor(64 / (2 * e + 1)) as int)),"
+        " shiftleft(1L, cast(floor(64 / (2 * e + 1)) as int)))))"
+    )
+    marked = rows.join(hot.select("k", F.lit(True).alias("hot")), "k", "left")
+    return marked.withColumn("k", F.explode(F.when(F.col("hot"), keys).otherwise(F.array("k")))).drop("hot")
+
+
+def candidates(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
+    """Pairs ``a, b`` of lines' digests that may be near copies."""
+    index = segments(docs, text=text, steps=steps, index_only=True)
+    often = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot), "line-hot")
+    every = segments(docs, text=text, steps=steps)
+    if not often.isEmpty():
+        index, every = _parted(index, often), _parted(every, often)
+    left = index.select("k", "e", F.col("h").alias("a"), F.col("c").alias("c1"), F.col("b").alias("b1"))
+    right = every.select("k", F.col("h").alias("b"), F.col("c").alias("c2"), F.col("b").alias("b2"), "probe")
+    close = (F.bit_count(F.col("c1").bitwiseXOR(F.col("c2"))) <= 2 * F.col("e")) & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))) <= 4 * F.col("e"))
     order = (F.col("a") < F.col("b")) | (F.col("probe") & (F.col("a") != F.col("b")))
     return left.join(right, (left["k"] == right["k"]) & order & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def within_edits(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
+def within_edits(a: list[str], b: list[str], edits: int | np.ndarray) -> np.ndarray:
     """Whether each pair's edit distance is at most ``edits``: one band of bits per pair, all pairs a character at a time.
 
     Bit ``i`` of a band stands for the diagonal ``i - edits``; ``reach[e]`` has the diagonals on which the pair's prefixes
@@ -173,20 +218,22 @@ def within_edits(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
     """
     n = len(a)
     la, lb = (np.fromiter(map(len, x), np.int64, n) for x in (a, b))
+    edits = np.broadcast_to(edits, n)
     out = np.abs(la - lb) <= edits
-    own = np.flatnonzero(out)
-    for start in range(0, len(own), 4096):
-        part = own[start : start + 4096]
-        part = part[np.argsort(la[part], kind="stable")]
-        out[part] = _banded([a[i] for i in part.tolist()], [b[i] for i in part.tolist()], la[part], lb[part], edits)
+    for most in np.unique(edits).tolist():
+        own = np.flatnonzero(out & (edits == most))
+        for start in range(0, len(own), 4096):
+            part = own[start : start + 4096]
+            part = part[np.argsort(la[part], kind="stable")]
+            out[part] = _banded([a[i] for i in part.tolist()], [b[i] for i in part.tolist()], la[part], lb[part], most)
     return out
 
 
 def _banded(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, edits: int) -> np.ndarray:
     width = 2 * edits + 1
     ends_a, ends_b = np.cumsum(la), np.cumsum(lb)
-    codes_a = np.append(np.frombuffer("".join(a).encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(0))
-    codes_b = np.append(np.frombuffer("".join(b).encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(0))
+    codes_a = np.append(np.frombuffer("".join(a).encode("utf-32-le"), np.uint32), np.uint32(0))
+    codes_b = np.append(np.frombuffer("".join(b).encode("utf-32-le"), np.uint32), np.uint32(0))
     starts_a, starts_b = ends_a - la, ends_b - lb
     # reach[e]: bit d + edits is set if a[:j] can be turned into b[:j + d] by at most e edits; before the first column
     # insertions alone lead to the diagonals d = 1 .. e.
@@ -209,54 +256,56 @@ def _banded(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, edits: i
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, text: str, least: int) -> DataFrame:
-    """``h, body`` of the lines whose hashes are in ``wanted`` (column ``h``).
+    """``h, body`` of the lines whose digests are in ``wanted`` (column ``h``).
 
-    A filter of ``2 ** FILTER_BITS`` bits, gathered as the words that have any, lets the scan pass these lines and few others,
+    A filter of some bits a line, gathered as the words that have any, lets the scan pass these lines and few others,
     so that the texts of all lines needn't be shuffled; the join that follows is exact.
     """
-    place = F.shiftrightunsigned(F.col("h"), 64 - FILTER_BITS)
-    words = wanted.select(F.floor(place / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(h, {64 - FILTER_BITS}), 64) AS int))").alias("bit"))
+    low, high = FILTER_BITS
+    bits = min(max(low, int(16 * max(wanted.count(), 1)).bit_length()), high)
+    place = F.shiftright(F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long"), 32 - bits)
+    words = wanted.select(place.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
     rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[rows["w"].to_numpy()] = rows["bits"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, bits = Powers(), shared.value.view(np.uint64)
+        words = shared.value.view(np.uint64)
         for batch in batches:
             for texts in text_slices(batch.column(0).to_pylist(), SLICE_CHARS):
-                lines = Lines(texts, powers, least)
-                h, own = np.unique(lines.keys(), return_index=True)
-                at = h >> np.uint64(64 - FILTER_BITS)
-                hit = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
-                bodies = [lines.codes[lines.begin[i] : lines.stop[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in own[hit].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(bodies, pa.string())], names=["h", "body"])
-
-    found = docs.select(F.col(text)).mapInArrow(run, "h long, body string")
+                lines = list(dict.fromkeys(x for _, _, x in split_lines(texts, least)))
+                h = [digest(x) for x in lines]
+                at = np.frombuffer(b"".join(h), ">u4")[::4].astype(np.uint32) >> np.uint32(32 - bits)
+                hit = np.flatnonzero(words[at >> np.uint32(6)] >> (at & np.uint32(63)).astype(np.uint64) & np.uint64(1)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in hit], pa.binary()), pa.array([lines[i] for i in hit], pa.string())], names=["h", "body"])
+
+    found = docs.select(F.col(text)).mapInArrow(run, "h binary, body string")
     return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("body").alias("body"))
 
 
-def near_pairs(docs: DataFrame, *, text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Verified pairs ``a, b`` of hashes of different lines within ``edits`` edits of each other."""
-    pairs = materialize(candidates(segments(docs, text=text, edits=edits, least=least), edits), "line-candidates")
+def near_pairs(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
+    """Verified pairs ``a, b`` of digests of different lines that are near copies."""
+    pairs = materialize(candidates(docs, text=text, steps=steps, hot=hot), "line-candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    bodies = materialize(_line_texts(docs, wanted, text, least), "line-bodies")
+    bodies = materialize(_line_texts(docs, wanted, text, steps[0]), "line-bodies")
     rows = pairs.join(bodies.withColumnsRenamed({"h": "a", "body": "x"}), "a").join(bodies.withColumnsRenamed({"h": "b", "body": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = within_edits(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            shorter = np.fromiter(map(min, map(len, x), map(len, y)), np.int64, len(x))
+            yield batch.select(["a", "b"]).filter(pa.array(within_edits(x, y, edits_of(shorter, steps))))
 
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def line_classes(
-    rows: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int = LEAST
+    rows: DataFrame, row: str, *, key: str = "doc_id", text: str = "text", steps: tuple[int, ...] = STEPS, shortest: int = STEPS[0]
 ) -> DataFrame:
-    """Lines that go: ``doc_id`` (the row's ``ROW``) and ``line`` of every occurrence in a class but the class's first."""
-    lines = materialize(occurrences(rows, key=key, text=text, least=shortest), "lines")
-    classes = connected_components(materialize(near_pairs(rows, text=text, edits=edits, least=least), "line-pairs"))
+    """Lines that go: ``row`` and ``line`` of every occurrence in a class but the class's first."""
+    lines = materialize(occurrences(rows, row, key=key, text=text, least=shortest), "lines")
+    classes = connected_components(materialize(near_pairs(rows, text=text, steps=steps), "line-pairs"))
     classes = classes.select(F.col("node").alias("h"), F.col("component").alias("near"))
     place = F.struct("doc_id", "text_hash", "row", "line")
     known = lines.join(classes, "h", "left").select("doc_id", "text_hash", "row", "line", F.coalesce("near", "h").alias("class"))
@@ -264,36 +313,36 @@ def line_classes(
     firsts = firsts.select("class", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"))
     firsts = materialize(firsts, "line-firsts")  # a table of its own, so that Spark can split a class of very many lines in the join
     later = known.select("class", "row", "line").join(firsts, "class").where("row <> first_row OR line <> first_line")
-    return later.select(F.col("row").alias("doc_id"), "line")
+    return later.select("row", "line")
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame, *, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` without the lines ``gone`` (``doc_id, line``); with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    lists = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone"))
-    joined = docs.join(lists, F.col(key) == F.col("__doc"), "left").drop("__doc")
-    columns = docs.columns
-    names = columns + ["n_lines", "n_dropped"] * counts
+def drop_lines(rows: DataFrame, row: str, gone: DataFrame, *, text: str = "text", counts: bool = False) -> DataFrame:
+    """``rows`` without the lines ``gone`` (``row, line``) and the column ``row``; with ``counts`` also ``n_lines``, ``n_dropped``."""
+    own, lost = fresh(rows.columns, "__own"), fresh(rows.columns, "__gone")
+    lists = gone.groupBy(F.col("row").alias(own)).agg(F.collect_list("line").alias(lost))
+    joined = rows.join(lists, F.col(row) == F.col(own), "left").drop(own, row)
+    more = ["n_lines", "n_dropped"] * counts
+    kept = [f for f in rows.schema.fields if f.name != row and f.name.lower() not in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, totals, dropped = [], [], []
-            for body, own in zip(batch.column(text).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                lines, away = (body or "").split("\n"), set(own or ())
+            for body, away in zip(batch.column(text).to_pylist(), batch.column(lost).to_pylist(), strict=True):
+                lines, away = (body or "").split("\n"), set(away or ())
                 bodies.append("\n".join(x for i, x in enumerate(lines) if i not in away) if away else body)
                 totals.append(len(lines))
                 dropped.append(len(away))
-            own = [pa.array(bodies, pa.string()) if c == text else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(own + [pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())] * counts, names=names)
+            columns = [pa.array(bodies, pa.string()) if f.name == text else batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())] * counts, names=[f.name for f in kept] + more)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_lines long, n_dropped long" * counts
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_lines long, n_dropped long" * counts
     return joined.mapInArrow(run, schema)
 
 
 def dedup_lines(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int = LEAST, counts: bool = False
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", steps: tuple[int, ...] = STEPS, shortest: int = STEPS[0], counts: bool = False
 ) -> DataFrame:
     """``docs`` with each class of lines at its first occurrence only; ``shortest``: the length from which exact copies go."""
-    rows = with_rows(docs, "line-rows")
-    gone = line_classes(rows, key=key, text=text, edits=edits, least=least, shortest=shortest)
-    return drop_lines(rows, gone, key=ROW, text=text, counts=counts).drop(ROW)
-
+    rows, row = with_rows(docs, "line-rows")
+    gone = line_classes(rows, row, key=key, text=text, steps=steps, shortest=shortest)
+    return drop_lines(rows, row, gone, text=text, counts=counts)

@@ -1,21 +1,25 @@
 """Near-duplicate documents by SuperMinHash signatures, banding, verification on full sets and union-find.
 
-1. Each document gets its distinct word shingles (hashed) and a SuperMinHash signature: an element visits the registers
+1. Each text gets its distinct word shingles and a SuperMinHash signature: an element visits the registers
    in the order of a random permutation of its own and offers its ``j``-th register the value ``j`` plus a fraction. Ranks
    of one element are thus correlated, which lowers the variance against independent hashes; and once every register of a
    document holds a value below ``j + 1``, later offers can change nothing and the document stops.
-2. Documents of equal sets are one representative (the smallest key). Signatures are cut into bands; representatives that
-   share a band belong to one family (connected components over stars, one star a band value).
-3. The members of a family meet with their texts in one task, or, block by block, in the tasks of a large family; they
-   recompute their sets and are linked exactly: a member more than ``1 - threshold`` of whose shingles no other member has
-   can't be linked; the others are compared, one against all at a time, until all that are not yet compared are in one
-   component. Of each task's components a tree of links is kept; trees are joined to the components of the corpus.
+2. Equal texts are one node, named by their SHA-256. Signatures are cut into bands; nodes that share a band are in
+   one bucket, and every two nodes of a bucket are a candidate pair.
+3. Candidates are verified on their full sets, shingle by shingle, in cells of bounded size. First each node meets the most
+   central node of its buckets, a few members a cell, which joins nearly all groups of copies. Buckets that are still in
+   several components are gone through whole: small ones in one cell; large ones that overlap together, those outside the
+   largest component cut in blocks that meet each other and the blocks of the rest. Pairs that are connected already
+   need not meet.
 
 A pair at the threshold 0.85 is missed by all bands with probability 4e-7 (25 bands of 5), one at 0.80, from which the
-pipeline links, with 5e-5, and then only if no chain of bands joins it.
+pipeline links, with 5e-5, and then only if nothing else connects it.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; fewer words than a shingle make one
-shingle of all of them; repeated rows are near-duplicates of each other; an empty table gives no rows.
+shingle of all of them; repeated rows are near-duplicates of each other. Keys may be null or repeat, as nodes are texts: a
+component's id is its smallest key that is not null, and null where it has none; ``kept`` is true for a row whose key
+is that id or null like it. Other columns are not read, so they may have any name. A long text is split and its signature
+made piece by piece. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,40 +28,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.shingles import Powers, mix64, shingle_sets, slices, text_buffer
-from plumbline.llm.storage import ROW, materialize, with_rows
+from plumbline.llm.shingles import WordHashes, exact_sets, mix64, shingle_sets, slices, text_buffer
+from plumbline.llm.storage import materialize, with_rows
 
 SHINGLE, PERCENT = 5, 85
 REGISTERS, BANDS, ROWS = 128, 25, 5
-#: Text bytes a task turns into shingles at once.
-SLICE_BYTES = 2 << 20
-#: Members that meet in one task, and blocks of a larger family.
-CELL, MOST_BLOCKS = 1000, 64
+#: Text bytes a task turns into shingles at once, and elements that visit the registers together.
+SLICE_BYTES, ELEMENTS = 2 << 20, 1 << 15
+#: Members that meet a central node in one cell; members of a bucket that meet in one cell; members and shingles of a block.
+STAR, SMALL, BLOCK, BLOCK_SHINGLES = 32, 64, 128, 1 << 20
+#: Roles in a cell: compared with the pivots and a pivot; a pivot only; compared with the pivots only.
+BOTH, PIVOT, MEMBER = 0, 1, 2
 _STEP = 0x9E3779B97F4A7C15
 
 
 def super_minhash(values: np.ndarray, bounds: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """Signatures (documents x registers, uint64) of the sets ``values[bounds[i]:bounds[i + 1]]``; all ones if empty."""
+    """Signatures (documents x registers, uint64) of the sets ``values[bounds[i]:bounds[i + 1]]``; all ones if empty.
+
+    Elements come in blocks; a document that lies in several goes on with the registers it has.
+    """
     docs = len(bounds) - 1
-    doc = np.repeat(np.arange(docs), np.diff(bounds))
-    out = np.full(docs * registers, np.uint64(2**64 - 1))
-    order = np.tile(np.arange(registers, dtype=np.uint8), (len(values), 1))
-    own = np.arange(len(values))
-    for j in range(registers):
-        if not len(own):
-            break
-        draw = mix64(values[own] + np.uint64((j + 1) * _STEP & 2**64 - 1))
-        swap = j + (draw % np.uint64(registers - j)).astype(np.int64)
-        register = order[own, swap]
-        order[own, swap] = order[own, j]
-        np.minimum.at(out, doc[own] * registers + register, np.uint64(j) << np.uint64(40) | draw >> np.uint64(24))
-        full = (out.reshape(docs, registers) < np.uint64(j + 1) << np.uint64(40)).all(1)
-        own = own[~full[doc[own]]]
-    return out.reshape(docs, registers)
+    out = np.full((docs, registers), np.uint64(2**64 - 1))
+    for a in range(0, len(values), ELEMENTS):
+        b = min(a + ELEMENTS, len(values))
+        first, last = int(np.searchsorted(bounds, a, "right")) - 1, int(np.searchsorted(bounds, b, "left"))
+        part = out[first:last].reshape(-1)
+        doc = np.repeat(np.arange(last - first), np.diff(np.clip(bounds[first : last + 1], a, b)))
+        order = np.tile(np.arange(registers, dtype=np.uint8), (b - a, 1))
+        own = np.arange(b - a)
+        for j in range(registers):
+            if not len(own):
+                break
+            draw = mix64(values[a + own] + np.uint64((j + 1) * _STEP & 2**64 - 1))
+            swap = j + (draw % np.uint64(registers - j)).astype(np.int64)
+            register = order[own, swap]
+            order[own, swap] = order[own, j]
+            np.minimum.at(part, doc[own] * registers + register, np.uint64(j) << np.uint64(40) | draw >> np.uint64(24))
+            full = (part.reshape(-1, registers) < np.uint64(j + 1) << np.uint64(40)).all(1)
+            own = own[~full[doc[own]]]
+    return out
 
 
 def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -67,191 +80,193 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return keys.view(np.int64)
 
 
-def set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set; with its size they stand for the set."""
-    out = []
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(values ^ np.uint64(salt)))])
-        out.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
-    return out[0], out[1]
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+
+
+def _node(text: str) -> Column:
+    """The name of a text: the first 16 bytes of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(_body(text), 256), 1, 32))
 
 
 def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, s1, s2`` (the set's key) and ``bands`` of every document; an empty set has no bands."""
+    """``doc_id, node, n_shingles`` and ``bands`` of every row; an empty set has no bands."""
     id_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        hashes = WordHashes()
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            bodies = batch.column(2)
+            _, offsets = text_buffer(bodies)
             for i, j in slices(offsets, SLICE_BYTES):
-                values, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers, k)
+                values, bounds = shingle_sets(bodies.slice(i, j - i).to_pylist(), hashes, k)
                 sizes = np.diff(bounds)
-                s1, s2 = set_keys(values, bounds)
                 bands = band_keys(super_minhash(values, bounds))
-                bands[sizes == 0] = 0
                 ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[sizes > 0].ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(s1), pa.array(s2), lists], names=["doc_id", "n_shingles", "s1", "s2", "bands"]
-                )
-
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {id_type}, n_shingles long, s1 long, s2 long, bands array<long>")
-
+                own = [batch.column(c).slice(i, j - i) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), lists], names=["doc_id", "node", "n_shingles", "bands"])
 
-class UnionFind:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+    rows = docs.select(F.col(key), _node(text).alias("node"), _body(text).alias("body"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, node binary, n_shingles long, bands array<long>")
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
 
-    def union(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+def _find(up: list[int], x: int) -> int:
+    while up[x] != x:
+        up[x] = x = up[up[x]]
+    return x
 
 
-def link_sets(values: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """For each set the first set of its component, over all pairs with 100 * intersection >= percent * union. Exact.
+def link_sets(codes: np.ndarray, bounds: np.ndarray, pivots: int, others: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect as all do, between sets ``0 .. pivots - 1`` and sets from ``others`` on.
 
-    One set is compared with all at a time; sets of which more than ``100 - percent`` per cent are in no other set are
-    left out first, which may make others such sets. The next to be compared is one outside the largest component, until
-    all that were not compared are in one component.
+    Every pair of the two with ``100 * intersection >= percent * union`` is found; of those that close a circle only some
+    are given. Sets must not be empty.
     """
     sizes = np.diff(bounds)
-    n = len(sizes)
-    found = UnionFind(n)
-    _, code = np.unique(values, return_inverse=True)
-    doc = np.repeat(np.arange(n), sizes)
-    alive = sizes > 0
-    while True:
-        held = alive[doc]
-        times = np.bincount(code[held], minlength=int(code.max(initial=-1)) + 1)
-        shared = np.bincount(doc[held], weights=times[code[held]] > 1, minlength=n)
-        keep = alive & (100 * shared >= percent * sizes)
-        if (keep == alive).all():
-            break
-        alive = keep
-    own = np.flatnonzero(alive)
-    if len(own) < 2:
-        return np.array([found.find(i) for i in range(n)])
-    held = alive[doc]
-    code, doc = code[held], np.repeat(np.arange(len(own)), sizes[own])
-    _, code = np.unique(code, return_inverse=True)
-    size = sizes[own]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    times = np.bincount(code)
-    central = np.add.reduceat(times[code], ends[:-1]) / size
-    waiting = np.argsort(-central, kind="stable").tolist()
-    mark = np.zeros(len(times), bool)
-    parts = UnionFind(len(own))
-    todo = np.ones(len(own), bool)
-    while True:
-        roots = np.array([parts.find(i) for i in range(len(own))])
-        left = np.flatnonzero(todo)
-        if len(left) < 2:
-            break
-        counts = np.bincount(roots[left], minlength=len(own))
-        largest = int(counts.argmax())
-        if counts[largest] == len(left):
-            break
-        # Compare those outside the largest component; before there is one, the most central.
-        outside = [i for i in waiting if todo[i] and (counts[largest] == 1 or roots[i] != largest)]
-        for pivot in outside[: 1 if counts[largest] == 1 else 64]:
-            todo[pivot] = False
-            mark[code[ends[pivot] : ends[pivot + 1]]] = True
-            both = np.add.reduceat(mark[code].astype(np.int32), ends[:-1])
-            mark[code[ends[pivot] : ends[pivot + 1]]] = False
-            for other in np.flatnonzero(100 * both >= percent * (size + size[pivot] - both)).tolist():
-                parts.union(pivot, other)
-        waiting = [i for i in waiting if todo[i]]
-    for i in range(len(own)):
-        found.union(int(own[i]), int(own[parts.find(i)]))
-    return np.array([found.find(i) for i in range(n)])
-
-
-def _with_cells(families: DataFrame) -> DataFrame:
-    """``rep, family`` with ``cells``: where each member meets others, so that any two members of a family meet somewhere.
-
-    A family of up to ``CELL`` members is one cell. A larger one is cut into blocks by hash, at most ``MOST_BLOCKS``, and
-    each two blocks are a cell: a task holds two blocks, and a member is sent once for each other block.
+    tail, starts, rest = codes[bounds[others] :], bounds[others:-1] - bounds[others], sizes[others:]
+    mark, up, out = np.zeros(int(codes.max(initial=0)) + 1, bool), list(range(len(sizes))), []
+    for i in range(pivots):
+        own = codes[bounds[i] : bounds[i + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[tail], starts, dtype=np.int64)
+        mark[own] = False
+        for j in (np.flatnonzero(100 * both >= percent * (sizes[i] + rest - both)) + others).tolist():
+            x, y = _find(up, i), _find(up, j)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((i, j))
+    return out
+
+
+def _verified(cells: DataFrame, bodies: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links ``a, b`` of nodes that meet in a cell: ``cell long, role int, node`` rows, streamed cell by cell.
+
+    A task holds the pivots of one cell and ``SLICE_BYTES`` of the members that pass them.
     """
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    blocks = F.when(F.col("n") <= CELL, 1).otherwise(F.least(F.ceil(F.col("n") * 2 / CELL), F.lit(MOST_BLOCKS))).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))
-    pairs = F.transform(others, lambda j: F.least("block", j) * MOST_BLOCKS + F.greatest("block", j))
-    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pairs)
-    sizes = sizes.select("family", blocks.alias("blocks"))
-    return families.join(sizes, "family").withColumn("block", own).select("rep", "family", cells.alias("cells"))
-
-
-def _link_cells(members: DataFrame, percent: int, k: int) -> DataFrame:
-    """Edges ``rep, root`` within each cell: ``family, cell, rep, s1, s2, body`` rows, streamed cell by cell."""
-    id_type = members.schema["rep"].dataType.simpleString()
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        kept: dict = {}
-        current = None
-
-        def solve() -> pa.RecordBatch:
-            reps = sorted(kept)
-            bounds = np.concatenate([[0], np.cumsum([len(kept[r]) for r in reps])])
-            roots = link_sets(np.concatenate([kept[r] for r in reps]), bounds, percent)
-            pairs = [(reps[i], reps[r]) for i, r in enumerate(roots.tolist()) if i != r]
-            own = batch.schema.field("rep").type
-            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], own) for x in (0, 1)], names=["rep", "root"])
+        cell, pivots, waiting, size = None, [], [], 0
+
+        def links() -> pa.RecordBatch:
+            both = not waiting or waiting[0][0] == BOTH
+            rows = pivots + [w[1:] for w in waiting if w[0] != BOTH]
+            codes, bounds = exact_sets([body for _, body in rows], k)
+            found = link_sets(codes, bounds, len(pivots), 0 if both else len(pivots), percent)
+            return pa.RecordBatch.from_arrays([pa.array([rows[p[x]][0] for p in found], pa.binary()) for x in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            data, offsets = text_buffer(batch.column("body"))
-            cells = list(zip(batch.column("family").to_pylist(), batch.column("cell").to_pylist(), strict=True))
-            reps = batch.column("rep").to_pylist()
-            own1, own2 = batch.column("s1").to_numpy(), batch.column("s2").to_numpy()
-            for i, j in slices(offsets, SLICE_BYTES):
-                values, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers, k)
-                s1, s2 = set_keys(values, bounds)
-                for x in range(i, j):
-                    if cells[x] != current:
-                        if len(kept) > 1:
-                            yield solve()
-                        kept, current = {}, cells[x]
-                    if s1[x - i] == own1[x] and s2[x - i] == own2[x]:  # else another row of the same key
-                        kept[reps[x]] = values[bounds[x - i] : bounds[x - i + 1]].copy()
-        if len(kept) > 1:
-            yield solve()
-
-    dealt = members.repartition(n, "family", "cell").sortWithinPartitions("family", "cell")
-    return dealt.mapInArrow(run, f"rep {id_type}, root {id_type}")
+            for c, role, node, body in zip(*(batch.column(x).to_pylist() for x in ("cell", "role", "node", "body")), strict=True):
+                if c != cell:
+                    if waiting and pivots:
+                        yield links()
+                    cell, pivots, waiting, size = c, [], [], 0
+                if role != MEMBER:
+                    pivots.append((node, body))
+                if role != PIVOT:
+                    waiting.append((role, node, body))
+                    size += len(body)
+                if role == MEMBER and size > SLICE_BYTES and pivots:
+                    yield links()
+                    waiting, size = [], 0
+        if waiting and pivots:
+            yield links()
+
+    met = cells.join(bodies, "node").select("cell", "role", "node", "body")
+    return met.repartition(n, "cell").sortWithinPartitions("cell", "role").mapInArrow(run, "a binary, b binary")
+
+
+def _star_cells(buckets: DataFrame) -> DataFrame:
+    """Each node with the most central node of its buckets (the one whose buckets hold most), ``STAR`` members a cell."""
+    scores = buckets.groupBy("node").agg(F.sum("n").alias("score"))
+    heads = buckets.join(scores, "node").groupBy("band", "value").agg(F.max(F.struct("score", "node")).alias("head"))
+    stars = buckets.join(heads, ["band", "value"]).groupBy("node").agg(F.max("head").alias("head"))
+    stars = materialize(stars.select("node", F.col("head.node").alias("head")).where("node <> head"), "near-stars")
+    sizes = stars.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    own = F.xxhash64(F.lit("star"), "head", F.pmod(F.xxhash64("node"), F.col("parts")))
+    members = stars.join(sizes, "head").select("head", "node", own.alias("cell"))
+    pivots = members.select("cell", F.lit(PIVOT).alias("role"), F.col("head").alias("node")).distinct()
+    return pivots.unionByName(members.select("cell", F.lit(MEMBER).alias("role"), "node"))
+
+
+def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets in which nodes of several components still meet, with the node's component ``part``."""
+    parts = connected_components(links).select("node", F.col("component").alias("part"))
+    rows = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    still = rows.groupBy("band", "value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    return materialize(rows.join(still.select("band", "value"), ["band", "value"]), "near-open")
+
+
+def _small_cells(rows: DataFrame) -> DataFrame:
+    """A cell for each bucket of up to ``SMALL`` nodes; one of those that hold the same nodes."""
+    small = rows.where(F.col("n") <= SMALL)
+    seen = small.groupBy("band", "value", "n").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    once = seen.groupBy("n", "x", "y").agg(F.min(F.struct("band", "value")).alias("first")).select("first.band", "first.value")
+    return small.join(once, ["band", "value"]).select(F.xxhash64(F.lit("small"), "band", "value").alias("cell"), F.lit(BOTH).alias("role"), "node")
+
+
+def _block_cells(rows: DataFrame) -> DataFrame:
+    """Cells of the larger buckets, joined to families where they overlap.
+
+    A family's nodes outside its largest component are cut into blocks, and so are those inside; each outer block is a cell
+    by itself, with each later outer block, and with each inner block.
+    """
+    large = rows.where(F.col("n") > SMALL)
+    heads = large.groupBy("band", "value").agg(F.min("node").alias("head"))
+    edges = large.join(heads, ["band", "value"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    families = connected_components(edges).select("node", F.col("component").alias("family"))
+    nodes = materialize(families.join(large.select("node", "part", "n_shingles").distinct(), "node"), "near-families")
+    parts = nodes.groupBy("family", "part").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    top = F.max(F.struct("m", "part", "s")).alias("top")
+    sizes = parts.groupBy("family").agg(top, F.sum("m").alias("m"), F.sum("s").alias("s"))
+
+    def blocks(m: Column, s: Column) -> Column:
+        return F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    sizes = sizes.select(
+        "family",
+        F.col("top.part").alias("inner"),
+        blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("n_outer"),
+        blocks(F.col("top.m"), F.col("top.s")).alias("n_inner"),
+    )
+    inner = F.col("part") == F.col("inner")
+    own = nodes.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.when(inner, F.col("n_inner")).otherwise(F.col("n_outer"))).cast("int"))
+
+    def cell(kind: str, i: Column, j: Column, role: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(kind), "family", i, j).alias("cell"), role.alias("role"))
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    block = F.col("block")
+    among = F.transform(upto("n_outer"), lambda j: cell("outer", F.least(block, j), F.greatest(block, j), F.when(j == block, BOTH).when(block < j, PIVOT).otherwise(MEMBER)))
+    against = F.transform(upto("n_inner"), lambda j: cell("inner", block, j, F.lit(PIVOT)))
+    passing = F.transform(upto("n_outer"), lambda i: cell("inner", i, block, F.lit(MEMBER)))
+    cells = F.explode(F.when(inner, passing).otherwise(F.concat(among, against)))
+    return own.select("node", cells.alias("c")).select("c.cell", "c.role", "node")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``. Keys must not be null."""
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     rows = materialize(sketches(docs, key=key, text=text, k=k), "near-sketches")
-    sets = rows.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    sets = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     sets = materialize(sets, "near-sets")
-    banded = sets.select("rep", F.posexplode("bands").alias("band", "value"))
-    stars = banded.groupBy("band", "value").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = banded.join(stars, ["band", "value"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    # A member's heads are connected through it: it keeps its least head only, and its other heads get an edge to that.
-    # Heads are few and shared by many members, so this leaves about one edge a member.
-    heads = edges.groupBy("a").agg(F.collect_set("b").alias("heads"))
-    pairs = F.explode(F.transform(F.concat(F.array("a"), "heads"), lambda x: F.struct(x.alias("a"), F.array_min("heads").alias("b"))))
-    edges = heads.select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-    families = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    members = _with_cells(families).join(sets.select("rep", "s1", "s2"), "rep")
-    texts = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    met = texts.join(members, "rep").select("family", F.explode("cells").alias("cell"), "rep", "s1", "s2", "body")
-    links = materialize(_link_cells(met, percent, k), "near-links")
-    roots = connected_components(links, "rep", "root").select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    of_set = sets.drop("bands").join(roots, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    out = rows.drop("bands").join(of_set, ["s1", "s2", "n_shingles"], "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    banded = sets.select("node", "n_shingles", F.posexplode("bands").alias("band", "value"))
+    shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(banded.join(shared, ["band", "value"]), "near-buckets")
+    texts = docs.select(_node(text).alias("node"), _body(text).alias("body"))
+    wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi")
+    bodies = materialize(wanted.groupBy("node").agg(F.first("body").alias("body")), "near-bodies")
+    links = materialize(_verified(_star_cells(buckets), bodies, percent, k), "near-links")
+    left = _open_buckets(buckets, links)
+    more = materialize(_verified(_small_cells(left).unionByName(_block_cells(left)), bodies, percent, k), "near-links")
+    roots = connected_components(links.unionByName(more)).select("node", F.col("component").alias("root"))
+    own = sets.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = own.join(own.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component", F.lit(True).alias("linked"))
+    out = rows.drop("bands").join(ids, "node", "left")
+    component = F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -259,8 +274,8 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
 
     Rows are told apart by numbers of their own, so keys may be null or repeat.
     """
-    rows = with_rows(docs, "near-rows")
-    found = near_duplicates(rows, key=ROW, text=text, percent=percent).select(F.col("doc_id").alias(ROW), "component_id")
-    order = rows.select(ROW, F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(ROW).alias("row")).alias("order"))
-    kept = found.join(order, ROW).groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    rows, row = with_rows(docs, "near-rows")
+    found = near_duplicates(rows, key=row, text=text, percent=percent).select(F.col("doc_id").alias("row"), "component_id")
+    order = rows.select(F.col(row).alias("row"), F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(row).alias("row")).alias("order"))
+    kept = found.join(order, "row").groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

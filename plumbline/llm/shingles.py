@@ -1,16 +1,23 @@
-"""Vectorised word shingles: ASCII-lowercased words split on ASCII white space, hashed and windowed with numpy.
+"""Word shingles: ASCII-lowercased words split on ASCII white space, ``k`` in a row, as sets of numbers.
 
-A slice of documents is one byte buffer. Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``; each word gets a 64-bit
-polynomial hash from prefix sums, and each window of ``k`` words of one document combines those hashes. Nothing here
-loops over words in Python.
+``shingle_sets`` gives 64-bit numbers made of BLAKE2b digests of words: the same in every task, so they can be shuffled, and
+no text can be written to make two words collide. ``exact_sets`` numbers the words and shingles of the texts at hand as they
+occur, so that two numbers are equal only for equal shingles: what confirms a link.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import count
+
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Words remembered at most, and bytes of a text that are split at once.
+MOST_WORDS, PIECE_BYTES = 1 << 20, 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -20,66 +27,78 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand and reused between slices."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]), dtype=np.uint64)
-        return self.up[:n], self.down[:n]
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each document the number of words before it (one more than documents).
-
-    ``data`` holds the UTF-8 bytes of all documents, document ``i`` at ``offsets[i]:offsets[i + 1]``.
-    """
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    text = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    first = text.copy()
-    first[1:] &= ~text[:-1]
-    cut = offsets[1:-1][offsets[1:-1] < n]
-    first[cut] = text[cut]
-    starts = np.flatnonzero(first)
-    last = text.copy()
-    last[:-1] &= ~text[1:] | first[1:]
-    ends = np.flatnonzero(last) + 1
-    up, down = powers.upto(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    words = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, offsets).astype(np.int64)
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, powers: Powers, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending within each document, and their bounds by document.
-
-    A document of fewer than ``k`` words has its whole sequence as one shingle; without words its set is empty.
-    """
-    words, bounds = word_hashes(data, offsets, powers)
+class WordHashes(dict):
+    """64-bit BLAKE2b digests of words, remembered while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+def words_of(body: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order; a long text comes in pieces, so that few of its words are objects at once."""
+    at = 0
+    while len(body) - at > PIECE_BYTES:
+        cut = _SPACE.search(body, at + PIECE_BYTES)
+        if cut is None:
+            break
+        yield body[at : cut.start()].lower().split()
+        at = cut.start()
+    yield body[at:].lower().split()
+
+
+def _numbered(bodies: list[bytes], number: dict, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every word of all texts, and each text's bounds among them."""
+    parts, counts = [np.zeros(0, dtype)], []
+    for body in bodies:
+        n = 0
+        for words in words_of(body):
+            parts.append(np.fromiter(map(number.__getitem__, words), dtype, len(words)))
+            n += len(words)
+        counts.append(n)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
+
+
+def _windows(bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word and number of words of each shingle; fewer than ``k`` words are one shingle of all of them."""
     counts = np.diff(bounds)
     shingles = np.maximum(counts - k + 1, (counts > 0).astype(np.int64))
     begin = np.concatenate([[0], np.cumsum(shingles)])
-    total = int(begin[-1])
     doc = np.repeat(np.arange(len(counts)), shingles)
-    at = np.arange(total) - np.repeat(begin[:-1] - bounds[:-1], shingles)
-    width = np.minimum(counts, k)[doc]
-    padded = np.concatenate([words, np.zeros(k, np.uint64)])
-    value = np.full(total, np.uint64(0x243F6A8885A308D3))
-    for i in range(k):
-        value = np.where(i < width, mix64(value * np.uint64(0xD1342543DE82EF95) + padded[at + i]), value)
+    return doc, np.arange(int(begin[-1])) - np.repeat(begin[:-1] - bounds[:-1], shingles), np.minimum(counts, k)[doc]
+
+
+def _distinct(value: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((value, doc))
     value, doc = value[order], doc[order]
-    new = np.ones(total, bool)
+    new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    return value[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(counts)))]).astype(np.int64)
+    return value[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=docs))]).astype(np.int64)
+
+
+def shingle_sets(bodies: list[bytes], hashes: WordHashes, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, ascending within each text, and their bounds by text; empty without words."""
+    words, bounds = _numbered(bodies, hashes, np.uint64)
+    doc, at, width = _windows(bounds, k)
+    padded = np.concatenate([words, np.zeros(k, np.uint64)])
+    value = np.full(len(at), np.uint64(0x243F6A8885A308D3))
+    for i in range(k):
+        value = np.where(i < width, mix64(value * np.uint64(0xD1342543DE82EF95) + padded[at + i]), value)
+    return _distinct(value, doc, len(bodies))
+
+
+def exact_sets(bodies: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, with numbers that are equal only for equal shingles of these texts."""
+    number = defaultdict(count(1).__next__)
+    words, bounds = _numbered(bodies, number, np.int64)
+    doc, at, width = _windows(bounds, k)
+    padded = np.concatenate([words, np.zeros(k, np.int64)])
+    value = padded[at]
+    for i in range(1, k):
+        _, value = np.unique(value * (len(number) + 1) + np.where(i < width, padded[at + i], 0), return_inverse=True)
+    return _distinct(value, doc, len(bodies))
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:

@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 
 from plumbline.storage import materialize, new_path, shared_folder
 
-__all__ = ["ROW", "arrow_schema", "materialize", "new_path", "open_fs", "shared_folder", "with_rows", "write_file"]
+__all__ = ["arrow_schema", "fresh", "materialize", "new_path", "open_fs", "shared_folder", "with_rows", "write_file"]
 
-#: The column that tells rows apart, whatever their keys.
-ROW = "__row"
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-def with_rows(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` written to the shared folder with a distinct number ``ROW`` in each row, so that keys may be null or repeat."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+def with_rows(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written to the shared folder with a distinct number in each row, so that keys may be null or repeat; and the
+    name of the column that holds it, which is none of the others'."""
+    row = fresh(docs.columns, "__row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def open_fs(uri: str):

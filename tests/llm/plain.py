@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, k string, body string, line string"
 
@@ -58,12 +59,12 @@ def components(nodes: list, linked) -> dict:
     return {n: find(n) for n in nodes}
 
 
-def near_components(texts: dict) -> dict:
+def near_components(texts: dict, percent: int = 85) -> dict:
     sets = {i: shingle_set(t) for i, t in texts.items()}
 
     def linked(a, b):
         both = len(sets[a] & sets[b])
-        return both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+        return both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
 
     return components(sorted(texts), linked)
 
@@ -78,13 +79,26 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def dedup_lines(texts: dict, least: int = 20, edits: int = 1) -> dict:
+def may_differ(length: int) -> int:
+    """Edits that near copies may have, by the length of the shorter one."""
+    return sum(length >= x for x in (20, 80, 200, 400))
+
+
+def dedup_lines(texts: dict, shortest: int = 1) -> dict:
     places = [(d, n, x.strip("\t\x0b\x0c\r ")) for d, t in sorted(texts.items()) for n, x in enumerate((t or "").split("\n"))]
-    known = sorted({x for _, _, x in places if len(x) >= least})
-    near = components(known, lambda a, b: abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits)
+    known = sorted({x for _, _, x in places if len(x) >= shortest})
+    bags = {x: Counter(x) for x in known}
+
+    def close(a, b):
+        most = may_differ(min(len(a), len(b)))
+        if not most or abs(len(a) - len(b)) > most or max((bags[a] - bags[b]).total(), (bags[b] - bags[a]).total()) > most:
+            return False  # no edit changes more than one character of the bag
+        return edit_distance(a, b) <= most
+
+    near = components(known, close)
     seen, gone = set(), set()
     for d, n, x in places:
-        if len(x) >= least:
+        if len(x) >= shortest:
             if near[x] in seen:
                 gone.add((d, n))
             seen.add(near[x])

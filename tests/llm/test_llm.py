@@ -239,36 +239,67 @@ def test_packing_empty(empty):
 # 6: lines
 
 def test_line_dedup(docs):
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, shortest=1).collect()}
     assert got == dedup_lines(TEXT)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == dedup_lines(TEXT, 20)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_near_pairs_equal_all_pairs(spark, edits):
-    rng = random.Random(edits)
+@pytest.mark.parametrize("hot", [1, 10**6])
+@pytest.mark.parametrize("steps", [(10,), (10, 10), (10, 24, 30, 36)])
+def test_near_pairs_equal_all_pairs(spark, steps, hot):
+    """With and without shared segments parted by signature: every pair that all pairs have."""
+    rng = random.Random(len(steps))
     lines = set()
     for _ in range(40):
         base = "".join(rng.choice("abcdé ") for _ in range(rng.randint(18, 40))).strip()
         for _ in range(5):
             own = list(base)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, 4)):
                 at = rng.randrange(len(own))
                 own[at : at + rng.randint(0, 1)] = rng.choice(["", "x"])
             lines.add("".join(own).strip())
     texts = sorted(lines)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    own = line_dedup.Lines(texts, shingles.Powers(), 10)
-    key = {texts[d]: h for d, h in zip(own.doc.tolist(), own.keys().view(np.int64).tolist(), strict=True)}
-    known = sorted(key)
-    want = {tuple(sorted((key[a], key[b]))) for i, a in enumerate(known) for b in known[i + 1 :] if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits}
-    assert {tuple(r) for r in line_dedup.near_pairs(df, edits=edits, least=10).collect()} == want
+    most = {n: sum(n >= s for s in steps) for n in range(60)}
+    known = [t for t in texts if len(t) >= 10]
+    want = {
+        tuple(sorted(map(line_dedup.digest, (a, b))))
+        for i, a in enumerate(known)
+        for b in known[i + 1 :]
+        if abs(len(a) - len(b)) <= most[min(len(a), len(b))] and edit_distance(a, b) <= most[min(len(a), len(b))]
+    }
+    assert {tuple(map(bytes, r)) for r in line_dedup.near_pairs(df, steps=steps, hot=hot).collect()} == want
+    assert len(want) > 20
+
+
+def thue_morse(n, letters):
+    """Two texts of these are one to any polynomial hash modulo 2 ** 64 from 1024 characters on."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_no_hash_makes_texts_equal(spark, n):
+    rows = [(1, thue_morse(n, "ab")), (2, thue_morse(n, "ba")), (3, f"x {thue_morse(n, 'ab')} y z w"), (4, f"x {thue_morse(n, 'ba')} y z w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df, shortest=1).collect()} == set(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: (1, i, True) for i in range(1, 5)}
+
+
+def test_line_columns_of_any_name(spark):
+    rows = [(1, "one line here\nanother", 5, 6, 7, 8), (2, "one line here", 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long, __gone long, __own long, n_lines long")
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(df, shortest=1).collect())
+    assert got == [rows[0], (2, "", 5, 6, 7, 8)]
+    assert line_dedup.dedup_lines(df, shortest=1, counts=True).columns == ["doc_id", "text", "__row", "__gone", "__own", "n_lines", "n_dropped"]
 
 
 def test_banded_distance():
     rng = random.Random(7)
     a = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 12))) for _ in range(800)]
     b = ["".join(c for c in x if rng.random() > 0.1) + rng.choice(["", "a"]) for x in a]
-    for edits in (1, 2, 3):
+    for edits in (1, 2, 3, 4):
         assert line_dedup.within_edits(a, b, edits).tolist() == [edit_distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
 
 
@@ -285,10 +316,12 @@ def test_near_duplicates(docs):
     assert all(r["kept"] == (i == want[i]) and r["n_shingles"] == len(shingle_set(TEXT[i])) for i, r in got.items())
 
 
-@pytest.mark.parametrize("cell", [20, 1000])
-def test_near_duplicates_large_group(spark, monkeypatch, cell):
-    """A group of copies at all distances, with chains of links: components over all pairs, in one cell and in many."""
-    monkeypatch.setattr(near_dedup, "CELL", cell)
+@pytest.mark.parametrize("small", [2, 64])
+@pytest.mark.parametrize("block", [8, 128])
+def test_near_duplicates_large_group(spark, monkeypatch, small, block):
+    """A group of copies at all distances, with chains of links: components over all pairs, however its cells are cut."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     texts = {0: " ".join(base)}
@@ -302,6 +335,48 @@ def test_near_duplicates_large_group(spark, monkeypatch, cell):
     assert got == near_components(texts)
 
 
+def test_near_duplicates_null_and_repeated_keys(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    rows = [(None, texts[0]), (7, texts[0]), (7, texts[1]), (7, texts[1] + " more"), (None, texts[2]), (None, texts[2]), (3, None), (None, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 56, 7, False), (7, 56, 7, True), (7, 56, 7, True), (7, 57, 7, True), (None, 56, None, True), (None, 56, None, True), (3, 0, 3, True), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_banding_recall():
+    """Of pairs at the thresholds nearly all share a band: what the docstring states, within what 600 pairs can show."""
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        values, bounds = [], [0]
+        for _ in range(600):
+            both = 200 * percent // 100
+            own = rng.integers(0, 2**63, 200).astype(np.uint64)
+            values += [np.sort(own[: both + (200 - both) // 2]), np.sort(np.concatenate([own[:both], own[both + (200 - both) // 2 :]]))]
+            bounds += [bounds[-1] + len(values[-2]), bounds[-1] + len(values[-2]) + len(values[-1])]
+        keys = near_dedup.band_keys(near_dedup.super_minhash(np.concatenate(values), np.array(bounds)))
+        assert (keys[::2] == keys[1::2]).any(1).mean() > 0.995
+
+
+def test_signature_of_a_long_text_in_pieces(monkeypatch):
+    values = np.random.default_rng(4).integers(0, 2**63, 5000).astype(np.uint64)
+    bounds = np.array([0, 0, 10, 10, 4000, 4001, 5000])
+    whole = near_dedup.super_minhash(values, bounds)
+    monkeypatch.setattr(near_dedup, "ELEMENTS", 7)
+    assert (near_dedup.super_minhash(values, bounds) == whole).all()
+    assert (whole[[0, 2]] == np.uint64(2**64 - 1)).all()
+
+
+def test_exact_sets_equal_plain_sets(monkeypatch):
+    bodies = [(t or "").encode() for t in TEXTS]
+    for make in (shingles.exact_sets, lambda b: shingles.shingle_sets(b, shingles.WordHashes())):
+        monkeypatch.setattr(shingles, "PIECE_BYTES", 64)
+        values, bounds = make(bodies)
+        own = [set(values[bounds[i] : bounds[i + 1]].tolist()) for i in range(len(bodies))]
+        plain = [shingle_set(t) for t in TEXTS]
+        assert [len(x) for x in own] == [len(x) for x in plain]
+        assert all(len(own[i] & own[j]) == len(plain[i] & plain[j]) for i in range(len(own)) for j in range(i))
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(2)
     errors = []

@@ -41,7 +41,7 @@ def test_pipeline_stages(spark):
         elif name == "line_dedup":
             assert got == dedup_lines(texts)
         elif name == "near_dedup":
-            assert set(got) == {i for i, c in near_components(texts).items() if i == c}
+            assert set(got) == {i for i, c in near_components(texts, corpus_pipeline.NEAR_PERCENT).items() if i == c}
         elif name == "secrets":
             assert set(got) == set(texts)
             assert not any(re.search(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}", t or "") for t in got.values())
