@@ -2,14 +2,14 @@
 
 Lines are trimmed. Exact copies are found among lines of at least ``shortest`` characters (1 is every line that is not
 blank): a line is named by 16 bytes of BLAKE2b. Two lines are near copies if one becomes the other by insertions, deletions
-or substitutions of so many characters as ``STEPS`` allows for the shorter one: 1 from 20 characters on, 2 from 80, 3 from
-200, 4 from 400. A class is all lines connected by exact or near copies; of its occurrences in all documents
+or substitutions of so many characters as ``STEPS`` allows for the shorter one: 1 from 20 characters on, 2 from 200 (a tuple of more lengths
+allows more edits). A class is all lines connected by exact or near copies; of its occurrences in all documents
 the first (by document, a null key before others, then line) stays.
 
 The edit join splits each line into one segment more than its edits, even ones, at places that depend on its length alone.
 Of two near copies, the shorter has a segment that the longer contains unchanged, at a place that differs by no more than
 the edits before and after it allow. So each line is indexed under its segments (length, number, hash), and probes, for each
-length it may be joined with, the substrings that can match. Candidates must also agree in two parity signatures (an edit
+length it may be joined with, the substrings that can match. Rows of one segment meet in one task, sorted. Candidates must also agree in two parity signatures (an edit
 flips at most two bits of the characters' and four of the bigrams'), which ends nearly all chance matches inside the join;
 the rest is verified by a banded bit-parallel edit distance, many pairs at a time. A segment that more than ``HOT`` lines
 share (a common beginning, say) is parted further: of the ``2 * edits + 1`` parts of the characters' signature, near copies
@@ -37,7 +37,7 @@ from plumbline.llm.storage import fresh, materialize, with_rows
 from plumbline.llm.words import text_slices
 
 #: Lengths from which a line may have one edit more.
-STEPS = (20, 80, 200, 400)
+STEPS = (20, 200)
 #: Lines that share a segment before it is parted further.
 HOT = 200
 #: Characters handled at once. Bits of the filter that finds the lines to verify: sixteen a line, between these powers of
@@ -88,19 +88,19 @@ class Lines:
     def hashed(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix64((self.sums[stop] - self.sums[begin]) * self.down[begin] + (stop - begin).astype(np.uint64))
 
-    def parities(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each line, a bit for each class of characters and of bigrams: whether their number is odd."""
+    def parities(self) -> np.ndarray:
+        """For each line, a bit for each of 32 classes of characters (the upper half) and of bigrams: whether their number is odd."""
         if not len(self.begin):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64)
         small = (self.codes * np.uint32(2654435761)) >> np.uint32(20)
-        single = np.uint64(1) << (small >> np.uint32(6)).astype(np.uint64)
-        pairs = ((small[:-1] * np.uint32(40503) + small[1:] * np.uint32(30011)) * np.uint32(2654435761)) >> np.uint32(26)
+        single = np.uint64(1) << (np.uint32(32) + (small >> np.uint32(7))).astype(np.uint64)
+        pairs = ((small[:-1] * np.uint32(40503) + small[1:] * np.uint32(30011)) * np.uint32(2654435761)) >> np.uint32(27)
         double = np.append(np.uint64(1) << pairs.astype(np.uint64), np.uint64(0))
-        out = []
+        out = np.zeros(len(self.begin), np.uint64)
         for bits, less in ((single, 0), (double, 1)):
             cut = np.stack([self.begin, self.stop - less], 1).ravel()
-            out.append(np.bitwise_xor.reduceat(bits, cut)[::2].view(np.int64))
-        return out[0], out[1]
+            out |= np.bitwise_xor.reduceat(bits, cut)[::2]
+        return out.view(np.int64)
 
 
 def edits_of(length: np.ndarray, steps: tuple[int, ...] = STEPS) -> np.ndarray:
@@ -149,10 +149,11 @@ def occurrences(rows: DataFrame, row: str, *, key: str = "doc_id", text: str = "
 
 
 def segments(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, index_only: bool = False) -> DataFrame:
-    """``k long, h binary, e int, c, b long, probe boolean``: segments that lines are indexed under and substrings they probe,
-    with the edits of the shorter line and the two signatures.
+    """``k, h, s long``: the segments that lines are indexed under and the substrings they probe.
 
-    Lines that a slice holds more than once are given once.
+    ``k`` is the segment, ``s`` the line's signatures, ``h`` the first 55 bits of its digest, followed by the edits of the
+    shorter line and a bit that is set for probes: three numbers a row, since these rows are most of what is shuffled. Lines
+    that a slice holds more than once are given once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +163,16 @@ def segments(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = ST
                 lines = list(dict.fromkeys(x for _, _, x in split_lines(texts, steps[0])))
                 yield from _segment_rows(lines, Lines(lines, powers), steps, index_only)
 
-    return docs.select(F.col(text)).mapInArrow(run, "k long, h binary, e int, c long, b long, probe boolean")
+    return docs.select(F.col(text)).mapInArrow(run, "k long, h long, s long")
+
+
+def ids_of(digests: list[bytes]) -> np.ndarray:
+    """The first 55 bits of digests, as a number."""
+    return (np.frombuffer(b"".join(digests), ">u8")[::2].astype(np.uint64) >> np.uint64(9)).view(np.int64)
 
 
 def _segment_rows(texts: list[str], lines: Lines, steps: tuple[int, ...], index_only: bool) -> Iterator[pa.RecordBatch]:
-    h, (c, b) = pa.array([digest(x) for x in texts], pa.binary()), lines.parities()
+    h, s = ids_of([digest(x) for x in texts]) << 8, lines.parities()
     for less in range(1 if index_only else len(steps) + 1):
         edits = edits_of(lines.length - less, steps)  # of the shorter line
         for e in range(max(less, 1), len(steps) + 1):
@@ -180,34 +186,60 @@ def _segment_rows(texts: list[str], lines: Lines, steps: tuple[int, ...], index_
                         continue
                     ok = (x + shift >= 0) & (begin + y + shift <= stop)
                     at = begin[ok] + shift
-                    k, who = _key(length[ok], i, lines.hashed(at + x[ok], at + y[ok])), own[ok]
-                    n = len(who)
-                    columns = [pa.array(k), h.take(pa.array(who)), pa.array(np.full(n, e, np.int32)), pa.array(c[who]), pa.array(b[who]), pa.array(np.full(n, probe))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["k", "h", "e", "c", "b", "probe"])
+                    k = _key(length[ok], i, lines.hashed(at + x[ok], at + y[ok]))
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h[own[ok]] | e << 1 | probe), pa.array(s[own[ok]])], names=["k", "h", "s"])
 
 
 def _parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows of hot keys once for each part of their characters' signature, with a key of segment and part."""
     keys = F.expr(
-        "transform(sequence(0, 2 * e), j -> xxhash64(k, j, pmod(shiftrightunsigned(c, j * cast(floor(64 / (2 * e + 1)) as int)),"
-        " shiftleft(1L, cast(floor(64 / (2 * e + 1)) as int)))))"
+        "transform(sequence(0, 2 * e), j -> xxhash64(k, j, shiftright(s, 32 + j * width) & (shiftleft(1L, width) - 1)))"
     )
     marked = rows.join(hot.select("k", F.lit(True).alias("hot")), "k", "left")
-    return marked.withColumn("k", F.explode(F.when(F.col("hot"), keys).otherwise(F.array("k")))).drop("hot")
+    e = F.shiftright("h", 1).bitwiseAND(F.lit(127)).cast("int")
+    marked = marked.withColumn("e", e).withColumn("width", F.floor(F.lit(32) / (2 * F.col("e") + 1)).cast("int"))
+    return marked.select(F.explode(F.when(F.col("hot"), keys).otherwise(F.array("k"))).alias("k"), "h", "s")
+
+
+def _pairs_met(k: np.ndarray, h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows of one key, of which one at least is of the index, whose signatures allow so few edits.
+
+    Rows are sorted by key: they are compared with the next but ``d``, for as long as any two have one key.
+    """
+    found, own, d = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], np.arange(len(k)), 0
+    while len(own):
+        d += 1
+        own = own[own + d < len(k)]
+        own = own[k[own] == k[own + d]]
+        x, y = own, own + d
+        e = np.where(h[x] & 1, h[y], h[x]) >> 1 & 127
+        differ = (s[x] ^ s[y]).view(np.uint64)
+        close = (np.bitwise_count(differ >> np.uint64(32)) <= 2 * e) & (np.bitwise_count(differ & np.uint64(0xFFFFFFFF)) <= 4 * e)
+        ok = close & (h[x] & h[y] & 1 == 0) & (h[x] >> 8 != h[y] >> 8)
+        found.append((h[x[ok]] >> 8, h[y[ok]] >> 8))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def candidates(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
-    """Pairs ``a, b`` of lines' digests that may be near copies."""
-    index = segments(docs, text=text, steps=steps, index_only=True)
-    often = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot), "line-hot")
-    every = segments(docs, text=text, steps=steps)
+    """Pairs ``a, b`` of ids of lines that may be near copies: those that meet on a segment, a key's rows in one task."""
+    index = segments(docs, text=text, steps=steps, index_only=True).groupBy("k").agg(F.count("*").alias("n"))
+    often = materialize(index.where(F.col("n") > hot), "line-hot")
+    rows = segments(docs, text=text, steps=steps)
     if not often.isEmpty():
-        index, every = _parted(index, often), _parted(every, often)
-    left = index.select("k", "e", F.col("h").alias("a"), F.col("c").alias("c1"), F.col("b").alias("b1"))
-    right = every.select("k", F.col("h").alias("b"), F.col("c").alias("c2"), F.col("b").alias("b2"), "probe")
-    close = (F.bit_count(F.col("c1").bitwiseXOR(F.col("c2"))) <= 2 * F.col("e")) & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))) <= 4 * F.col("e"))
-    order = (F.col("a") < F.col("b")) | (F.col("probe") & (F.col("a") != F.col("b")))
-    return left.join(right, (left["k"] == right["k"]) & order & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = _parted(rows, often)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            k, h, s = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held))
+            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last key may go on in the next batch
+            held = [k[cut:], h[cut:], s[cut:]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _pairs_met(k[:cut], h[:cut], s[:cut]))), names=["a", "b"])
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, _pairs_met(*held))), names=["a", "b"])
+
+    return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
 
 
 def within_edits(a: list[str], b: list[str], edits: int | np.ndarray) -> np.ndarray:
@@ -256,15 +288,14 @@ def _banded(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, edits: i
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, text: str, least: int) -> DataFrame:
-    """``h, body`` of the lines whose digests are in ``wanted`` (column ``h``).
+    """``id, h, body`` of the lines whose ids are in ``wanted`` (column ``id``).
 
     A filter of some bits a line, gathered as the words that have any, lets the scan pass these lines and few others,
     so that the texts of all lines needn't be shuffled; the join that follows is exact.
     """
     low, high = FILTER_BITS
     bits = min(max(low, int(16 * max(wanted.count(), 1)).bit_length()), high)
-    place = F.shiftright(F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long"), 32 - bits)
-    words = wanted.select(place.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
+    words = wanted.select(F.shiftright("id", 55 - bits).alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
     rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[rows["w"].to_numpy()] = rows["bits"].to_numpy()
@@ -276,20 +307,26 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, text: str, least: int) -> Da
             for texts in text_slices(batch.column(0).to_pylist(), SLICE_CHARS):
                 lines = list(dict.fromkeys(x for _, _, x in split_lines(texts, least)))
                 h = [digest(x) for x in lines]
-                at = np.frombuffer(b"".join(h), ">u4")[::4].astype(np.uint32) >> np.uint32(32 - bits)
-                hit = np.flatnonzero(words[at >> np.uint32(6)] >> (at & np.uint32(63)).astype(np.uint64) & np.uint64(1)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in hit], pa.binary()), pa.array([lines[i] for i in hit], pa.string())], names=["h", "body"])
+                ids = ids_of(h)
+                at = ids >> (55 - bits)
+                hit = np.flatnonzero(words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).tolist()
+                own = [pa.array(ids[hit]), pa.array([h[i] for i in hit], pa.binary()), pa.array([lines[i] for i in hit], pa.string())]
+                yield pa.RecordBatch.from_arrays(own, names=["id", "h", "body"])
 
-    found = docs.select(F.col(text)).mapInArrow(run, "h binary, body string")
-    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("body").alias("body"))
+    found = docs.select(F.col(text)).mapInArrow(run, "id long, h binary, body string")
+    return found.join(wanted, "id", "left_semi").groupBy("id", "h").agg(F.first("body").alias("body"))
 
 
 def near_pairs(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
-    """Verified pairs ``a, b`` of digests of different lines that are near copies."""
+    """Verified pairs ``a, b`` of digests of different lines that are near copies.
+
+    Ids are parts of digests: lines of one id, if there are any, are all verified.
+    """
     pairs = materialize(candidates(docs, text=text, steps=steps, hot=hot), "line-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bodies = materialize(_line_texts(docs, wanted, text, steps[0]), "line-bodies")
-    rows = pairs.join(bodies.withColumnsRenamed({"h": "a", "body": "x"}), "a").join(bodies.withColumnsRenamed({"h": "b", "body": "y"}), "b")
+    left, right = bodies.toDF("a", "ha", "x"), bodies.toDF("b", "hb", "y")
+    rows = pairs.join(left, "a").join(right, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +334,7 @@ def near_pairs(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] =
             shorter = np.fromiter(map(min, map(len, x), map(len, y)), np.int64, len(x))
             yield batch.select(["a", "b"]).filter(pa.array(within_edits(x, y, edits_of(shorter, steps))))
 
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def line_classes(

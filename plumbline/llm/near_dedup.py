@@ -41,6 +41,8 @@ REGISTERS, BANDS, ROWS = 128, 25, 5
 SLICE_BYTES, ELEMENTS = 2 << 20, 1 << 15
 #: Members that meet a central node in one cell; members of a bucket that meet in one cell; members and shingles of a block.
 STAR, SMALL, BLOCK, BLOCK_SHINGLES = 32, 64, 128, 1 << 20
+#: Nodes of a bucket that one task joins with what is known of the bucket.
+PART = 256
 #: Roles in a cell: compared with the pivots and a pivot; a pivot only; compared with the pivots only.
 BOTH, PIVOT, MEMBER = 0, 1, 2
 _STEP = 0x9E3779B97F4A7C15
@@ -177,11 +179,16 @@ def _verified(cells: DataFrame, bodies: DataFrame, percent: int, k: int) -> Data
     return met.repartition(n, "cell").sortWithinPartitions("cell", "role").mapInArrow(run, "a binary, b binary")
 
 
+def _in_parts(buckets: DataFrame) -> DataFrame:
+    """A row for each part of each bucket (``band, value, n``): a large bucket's nodes are dealt to several, for joins."""
+    return buckets.withColumn("part_no", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / PART).cast("int"))))
+
+
 def _star_cells(buckets: DataFrame) -> DataFrame:
     """Each node with the most central node of its buckets (the one whose buckets hold most), ``STAR`` members a cell."""
     scores = buckets.groupBy("node").agg(F.sum("n").alias("score"))
-    heads = buckets.join(scores, "node").groupBy("band", "value").agg(F.max(F.struct("score", "node")).alias("head"))
-    stars = buckets.join(heads, ["band", "value"]).groupBy("node").agg(F.max("head").alias("head"))
+    heads = buckets.join(scores, "node").groupBy("band", "value", "n").agg(F.max(F.struct("score", "node")).alias("head"))
+    stars = buckets.join(_in_parts(heads).drop("n"), ["band", "value", "part_no"]).groupBy("node").agg(F.max("head").alias("head"))
     stars = materialize(stars.select("node", F.col("head.node").alias("head")).where("node <> head"), "near-stars")
     sizes = stars.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     own = F.xxhash64(F.lit("star"), "head", F.pmod(F.xxhash64("node"), F.col("parts")))
@@ -194,8 +201,8 @@ def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of buckets in which nodes of several components still meet, with the node's component ``part``."""
     parts = connected_components(links).select("node", F.col("component").alias("part"))
     rows = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    still = rows.groupBy("band", "value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return materialize(rows.join(still.select("band", "value"), ["band", "value"]), "near-open")
+    still = rows.groupBy("band", "value", "n").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    return materialize(rows.join(_in_parts(still).select("band", "value", "part_no"), ["band", "value", "part_no"]), "near-open")
 
 
 def _small_cells(rows: DataFrame) -> DataFrame:
@@ -213,8 +220,8 @@ def _block_cells(rows: DataFrame) -> DataFrame:
     by itself, with each later outer block, and with each inner block.
     """
     large = rows.where(F.col("n") > SMALL)
-    heads = large.groupBy("band", "value").agg(F.min("node").alias("head"))
-    edges = large.join(heads, ["band", "value"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    heads = _in_parts(large.groupBy("band", "value", "n").agg(F.min("node").alias("head"))).drop("n")
+    edges = large.join(heads, ["band", "value", "part_no"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
     families = connected_components(edges).select("node", F.col("component").alias("family"))
     nodes = materialize(families.join(large.select("node", "part", "n_shingles").distinct(), "node"), "near-families")
     parts = nodes.groupBy("family", "part").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
@@ -254,7 +261,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sets = materialize(sets, "near-sets")
     banded = sets.select("node", "n_shingles", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(banded.join(shared, ["band", "value"]), "near-buckets")
+    part = F.pmod(F.xxhash64("node"), F.floor(F.col("n") / PART) + 1).cast("int")
+    buckets = materialize(banded.join(shared, ["band", "value"]).withColumn("part_no", part), "near-buckets")
     texts = docs.select(_node(text).alias("node"), _body(text).alias("body"))
     wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi")
     bodies = materialize(wanted.groupBy("node").agg(F.first("body").alias("body")), "near-bodies")

@@ -3,14 +3,17 @@
 Strong parts are reported wherever they are: assignments of secrets, access keys and long hexadecimal runs. Weak parts
 (a bare 40-character key, a user name, an endpoint) are everywhere in harmless text, so they are reported only when the
 parts that complete them to a credential stand near: within ``WINDOW`` characters and in the same scope, a block without
-a blank line. That is an interval join of a document's parts with each other; since only the nearest part on either side
-can matter, it runs as two ordered passes over each document's parts, and no pairs are made.
+a blank line. That is an interval semi-join of a document's parts with each other: parts are intervals, and two are joined
+if the gap between them is at most the window. Of the parts before one in its scope the one that ends last is the nearest,
+of those after it the one that starts first; so the join runs as two ordered passes over each document's parts, which carry
+the largest end and the next start, and no pairs are made.
 
 Rules: a bare key needs an identifier (access key or user); a user needs a secret (assignment or bare key); an endpoint
 needs both. A weak part inside a reported strong one is part of it.
 
-Defined cases: a null text is an empty one; repeated rows are reported as often as they occur; rows of one key are told
-apart by their texts' hashes.
+Defined cases: a null text is an empty one; repeated rows are reported as often as they occur, and null or repeated keys
+change nothing, as each row's parts are numbered by row; parts that overlap are at no distance; other columns are not read
+(``redact`` keeps them, whatever their names); an empty table gives no rows; texts are scanned whole, however long.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.storage import fresh
+
 WINDOW = 400
 CHUNK = 256
 
@@ -40,6 +45,8 @@ WEAK = {
     "user": (f"({_USERS}){_SEPARATOR}([A-Za-z0-9@._-]{{3,}})", 0),
     "endpoint": (r"""[a-z][a-z0-9+]*://[^\s"'<>]+""", 0),
 }
+#: What completes weak parts; a user is an identifier and a bare key a secret.
+IDENTIFIERS, SECRETS = ("access", "user"), ("assign", "key40")
 BREAK = r"\n[\x20\t\r]*\n"
 LEAST_ASSIGNED = 6
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
@@ -109,40 +116,36 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     Texts are read once and not shuffled: what is dealt by document is its parts.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.alias("body"))
-    rows = rows.select("k", "h", "body", F.sort_array(_parts(F.col("body"), STRONG, 0)).alias("base"), _parts(F.col("body"), WEAK, len(STRONG)).alias("weak"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.alias("body"))
+    base, weak = F.sort_array(_parts(F.col("body"), STRONG, 0)), _parts(F.col("body"), WEAK, len(STRONG))
+    rows = rows.select("row", "k", "h", "body", base.alias("base"), weak.alias("weak"))
     every = F.concat("base", "weak")
-    identified, secret = _any(every, "access", "user"), _any(every, "assign", "key40")
+    identified, secret = _any(every, *IDENTIFIERS), _any(every, *SECRETS)
     linkable = (F.size("weak") > 0) & ((_any(F.col("weak"), "key40") & identified) | (_any(F.col("weak"), "user") & secret) | (identified & secret))
     breaks = F.transform(spans_of(F.col("body"), "break", BREAK, -1), lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
     parts = F.when(linkable, F.concat(every, breaks)).otherwise(F.array().cast(SPAN))
-    rows = rows.select("k", "h", "base", F.posexplode_outer(parts).alias("i", "s"))
-    rows = rows.select("k", "h", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("base")).alias("base"), F.col("s"), "s.start", "s.rank", "s.kind", "s.end")
-
-    forward = Window.partitionBy("k", "h").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
-    backward = Window.partitionBy("k", "h").orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = {"identifier": ("access", "user"), "secret": ("assign", "key40")}
-    seen = {}
-    for name, kinds in groups.items():
-        mine = F.when(F.col("kind").isin(*kinds), F.struct("start", "end"))
-        seen[f"{name}_before"], seen[f"{name}_after"] = F.last(mine, True).over(forward), F.last(mine, True).over(backward)
-    limit = F.when(F.col("kind") == "break", F.col("start"))
-    seen["break_before"], seen["break_after"] = F.last(limit, True).over(forward), F.last(limit, True).over(backward)
-    seen["covered"] = F.max(F.when(F.col("rank").between(0, len(STRONG) - 1), F.col("end"))).over(forward)
+    rows = rows.select("row", "k", "h", "base", F.posexplode_outer(parts).alias("i", "s"))
+    first = F.coalesce("i", F.lit(0)) == 0
+    rows = rows.select("row", "k", "h", F.when(first, F.col("base")).alias("base"), "s", "s.start", "s.rank", "s.kind", "s.end")
+
+    in_order = Window.partitionBy("row").orderBy("start", "rank", "end")
+    rows = rows.withColumn("scope", F.count_if(F.col("kind") == "break").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("row", "scope").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row", "scope").orderBy("start", "rank", "end").rowsBetween(1, Window.unboundedFollowing)
+    seen = {"covered": F.max(F.when(F.col("rank").between(0, len(STRONG) - 1), F.col("end"))).over(before)}
+    for name, kinds in (("identifier", IDENTIFIERS), ("secret", SECRETS)):
+        mine = F.col("kind").isin(*kinds)
+        seen |= {f"{name}_end": F.max(F.when(mine, F.col("end"))).over(before), f"{name}_start": F.min(F.when(mine, F.col("start"))).over(after)}
     rows = rows.withColumns(seen)
 
     def near(name: str) -> Column:
-        before, after = F.col(f"{name}_before"), F.col(f"{name}_after")
-        left = (F.col("start") - before["end"] <= WINDOW) & (before["start"] >= F.coalesce("break_before", F.lit(-1)))
-        right = (after["start"] - F.col("end") <= WINDOW) & (after["start"] <= F.coalesce("break_after", after["start"]))
+        left, right = F.col("start") - F.col(f"{name}_end") <= WINDOW, F.col(f"{name}_start") - F.col("end") <= WINDOW
         return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
 
     wanted = F.when(F.col("kind") == "key40", near("identifier")).when(F.col("kind") == "user", near("secret"))
     wanted = wanted.when(F.col("kind") == "endpoint", near("identifier") & near("secret")).otherwise(False)
     linked = F.when(wanted & (F.coalesce("covered", F.lit(-1)) < F.col("end")), F.col("s"))
-    # Rows of one key and text give the same parts: they are combined and repeated.
-    out = rows.groupBy("k", "h").agg(F.first("base", True).alias("base"), F.count("base").alias("n"), F.collect_set(linked).alias("linked"))
-    out = out.select("k", "h", "base", "linked", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
+    out = rows.groupBy("row").agg(F.first("k").alias("k"), F.first("h").alias("h"), F.first("base", True).alias("base"), F.collect_set(linked).alias("linked"))
     return out.select(F.col("k").alias(key), F.col("h").alias("text_hash"), "base", F.sort_array(F.concat("base", "linked")).alias("spans"))
 
 
@@ -158,8 +161,9 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mask``; spans that touch or overlap become one."""
-    found = scan(docs, key=key, text=text).where(F.size("spans") > 0).groupBy(F.col(key).alias("__k"), F.col("text_hash").alias("__h"))
-    found = found.agg(F.first("spans").alias("__spans"))
+    k, h, own = (fresh(docs.columns, n) for n in ("__k", "__h", "__spans"))
+    found = scan(docs, key=key, text=text).where(F.size("spans") > 0).groupBy(F.col(key).alias(k), F.col("text_hash").alias(h))
+    found = found.agg(F.first("spans").alias(own))
     body = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -168,6 +172,6 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mask: st
         piece = piece.when(F.size(a["out"]) == 0, F.array(F.lit(""), F.lit(mask))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece).alias("out"))
 
-    masked = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, (a["at"] + 1).cast("int"), F.length(body))))
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("__h")), "left")
-    return joined.select(*(F.when(F.col("__spans").isNotNull(), masked).otherwise(body).alias(c) if c == text else F.col(c) for c in docs.columns))
+    masked = F.aggregate(own, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, (a["at"] + 1).cast("int"), F.length(body))))
+    joined = docs.join(found, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col(h)), "left")
+    return joined.select(*(F.when(F.col(own).isNotNull(), masked).otherwise(body).alias(c) if c == text else F.col(c) for c in docs.columns))

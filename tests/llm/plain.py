@@ -81,7 +81,7 @@ def edit_distance(a: str, b: str) -> int:
 
 def may_differ(length: int) -> int:
     """Edits that near copies may have, by the length of the shorter one."""
-    return sum(length >= x for x in (20, 80, 200, 400))
+    return sum(length >= x for x in (20, 200))
 
 
 def dedup_lines(texts: dict, shortest: int = 1) -> dict:
