@@ -10,8 +10,9 @@ The edit join splits each line into one segment more than its edits, even ones,
 Of two near copies, the shorter has a segment that the longer contains unchanged, at a place that differs by no more than
 the edits before and after it allow. So each line is indexed under its segments (length, number, hash), and probes, for each
 length it may be joined with, the substrings that can match. Rows of one segment meet in one task, sorted. Candidates must also agree in two parity signatures (an edit
-flips at most two bits of the characters' and four of the bigrams'), which ends nearly all chance matches inside the join;
-the rest is verified by a banded bit-parallel edit distance, many pairs at a time. A segment that more than ``HOT`` lines
+flips at most two bits of the characters' and four of the bigrams'), which ends nearly all chance matches inside the
+join; of lines that have a partner left, those of one segment are a bucket (``cells``), whose links are verified by a banded
+bit-parallel edit distance, many pairs at a time. A segment that more than ``HOT`` lines
 share (a common beginning, say) is parted further: of the ``2 * edits + 1`` parts of the characters' signature, near copies
 have one in common, so such lines are joined on segment and part.
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.cells import bucketed, find, linked
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import mix64
 from plumbline.llm.storage import fresh, materialize, with_rows
@@ -201,28 +203,33 @@ def _parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return marked.select(F.explode(F.when(F.col("hot"), keys).otherwise(F.array("k"))).alias("k"), "h", "s")
 
 
-def _pairs_met(k: np.ndarray, h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of rows of one key, of which one at least is of the index, whose signatures allow so few edits.
+def _with_partner(k: np.ndarray, h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which rows have another of their key that they may be near copies of: one of the two is of the index, and their
+    signatures allow so few edits.
 
-    Rows are sorted by key: they are compared with the next but ``d``, for as long as any two have one key.
+    Rows are sorted by key: they are compared with the next but ``d``, until all of their key have a partner or have met.
     """
-    found, own, d = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], np.arange(len(k)), 0
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    run, out, own, d = np.cumsum(new) - 1, np.zeros(len(k), bool), np.arange(len(k)), 0
     while len(own):
         d += 1
         own = own[own + d < len(k)]
-        own = own[k[own] == k[own + d]]
+        own = own[run[own] == run[own + d]]
         x, y = own, own + d
         e = np.where(h[x] & 1, h[y], h[x]) >> 1 & 127
         differ = (s[x] ^ s[y]).view(np.uint64)
         close = (np.bitwise_count(differ >> np.uint64(32)) <= 2 * e) & (np.bitwise_count(differ & np.uint64(0xFFFFFFFF)) <= 4 * e)
         ok = close & (h[x] & h[y] & 1 == 0) & (h[x] >> 8 != h[y] >> 8)
-        found.append((h[x[ok]] >> 8, h[y[ok]] >> 8))
-    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-    return np.minimum(a, b), np.maximum(a, b)
+        out[x[ok]] = out[y[ok]] = True
+        lonely = np.zeros(len(k), bool)
+        lonely[run[~out]] = True
+        own = own[lonely[run[own]]]
+    return out
 
 
 def candidates(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
-    """Pairs ``a, b`` of ids of lines that may be near copies: those that meet on a segment, a key's rows in one task."""
+    """``k, id``: ids of lines that may be near copies of others that meet them on key ``k``, whose rows are in one task."""
     index = segments(docs, text=text, steps=steps, index_only=True).groupBy("k").agg(F.count("*").alias("n"))
     often = materialize(index.where(F.col("n") > hot), "line-hot")
     rows = segments(docs, text=text, steps=steps)
@@ -232,14 +239,19 @@ def candidates(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
+
+        def met(k: np.ndarray, h: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            own = _with_partner(k, h, s)
+            return pa.RecordBatch.from_arrays([pa.array(k[own]), pa.array(h[own] >> 8)], names=["k", "id"])
+
         for batch in batches:
             k, h, s = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held))
             cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last key may go on in the next batch
             held = [k[cut:], h[cut:], s[cut:]]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, _pairs_met(k[:cut], h[:cut], s[:cut]))), names=["a", "b"])
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, _pairs_met(*held))), names=["a", "b"])
+            yield met(k[:cut], h[:cut], s[:cut])
+        yield met(*held)
 
-    return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "k long, id long").distinct()
 
 
 def within_edits(a: list[str], b: list[str], edits: int | np.ndarray) -> np.ndarray:
@@ -317,24 +329,38 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, text: str, least: int) -> Da
     return found.join(wanted, "id", "left_semi").groupBy("id", "h").agg(F.first("body").alias("body"))
 
 
-def near_pairs(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
-    """Verified pairs ``a, b`` of digests of different lines that are near copies.
+def link_lines(bodies: list[bytes], pivots: int, others: int, steps: tuple[int, ...] = STEPS) -> list[tuple[int, int]]:
+    """Links between lines ``0 .. pivots - 1`` and those from ``others`` on: pairs that are near copies, as far as they
+    connect what was not. Signatures rule most pairs out; the rest is verified by edit distance."""
+    texts = [x.decode() for x in bodies]
+    own = Lines(texts, Powers())
+    signs, up, out = own.parities().view(np.uint64), list(range(len(texts))), []
+    for i in range(pivots):
+        j = np.arange(others, len(texts))
+        e = edits_of(np.minimum(own.length[i], own.length[j]), steps)
+        differ = signs[i] ^ signs[j]
+        close = (np.bitwise_count(differ >> np.uint64(32)) <= 2 * e) & (np.bitwise_count(differ & np.uint64(0xFFFFFFFF)) <= 4 * e)
+        j = np.array([x for x in j[close].tolist() if find(up, x) != find(up, i)], np.int64)
+        if len(j):
+            near = within_edits([texts[i]] * len(j), [texts[x] for x in j.tolist()], edits_of(np.minimum(own.length[i], own.length[j]), steps))
+            for x in j[near].tolist():
+                a, b = find(up, i), find(up, x)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((i, x))
+    return out
 
-    Ids are parts of digests: lines of one id, if there are any, are all verified.
-    """
-    pairs = materialize(candidates(docs, text=text, steps=steps, hot=hot), "line-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bodies = materialize(_line_texts(docs, wanted, text, steps[0]), "line-bodies")
-    left, right = bodies.toDF("a", "ha", "x"), bodies.toDF("b", "hb", "y")
-    rows = pairs.join(left, "a").join(right, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), "x", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            shorter = np.fromiter(map(min, map(len, x), map(len, y)), np.int64, len(x))
-            yield batch.select(["a", "b"]).filter(pa.array(within_edits(x, y, edits_of(shorter, steps))))
+def near_links(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
+    """Verified links ``a, b`` of digests of different near copies, which connect as all of their pairs do.
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    Ids are parts of digests: lines of one id, if there are several, all take part.
+    """
+    met = materialize(candidates(docs, text=text, steps=steps, hot=hot), "line-candidates")
+    bodies = materialize(_line_texts(docs, met.select("id").distinct(), text, steps[0]), "line-bodies")
+    own = bodies.select("id", F.col("h").alias("node"), F.length("body").cast("long").alias("weight"))
+    buckets = bucketed(met.join(own, "id").select("node", "weight", F.lit(0).alias("band"), F.col("k").alias("value")), "line-buckets")
+    return linked(buckets, bodies.select(F.col("h").alias("node"), F.col("body").cast("binary").alias("body")), lambda b, p, o: link_lines(b, p, o, steps))
 
 
 def line_classes(
@@ -342,7 +368,7 @@ def line_classes(
 ) -> DataFrame:
     """Lines that go: ``row`` and ``line`` of every occurrence in a class but the class's first."""
     lines = materialize(occurrences(rows, row, key=key, text=text, least=shortest), "lines")
-    classes = connected_components(materialize(near_pairs(rows, text=text, steps=steps), "line-pairs"))
+    classes = connected_components(near_links(rows, text=text, steps=steps))
     classes = classes.select(F.col("node").alias("h"), F.col("component").alias("near"))
     place = F.struct("doc_id", "text_hash", "row", "line")
     known = lines.join(classes, "h", "left").select("doc_id", "text_hash", "row", "line", F.coalesce("near", "h").alias("class"))

@@ -10,10 +10,10 @@ import zlib
 
 import numpy as np
 import pytest
-from plain import SCHEMA, TEXTS, dedup_lines, edit_distance, near_components, shingle_set
+from plain import SCHEMA, TEXTS, components as components_of, dedup_lines, edit_distance, near_components, shingle_set
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, components, exact_dedup, flac, lexicon, line_dedup, media, near_dedup, packing, queries, secrets, shingles, token_shards, toxicity
+from plumbline.llm import cells, chat, components, exact_dedup, flac, lexicon, line_dedup, media, near_dedup, packing, queries, secrets, shingles, token_shards, toxicity
 from plumbline.llm.words import LibraryWords, Vocabulary
 from plumbline.storage import new_path
 
@@ -245,10 +245,9 @@ def test_line_dedup(docs):
     assert got == dedup_lines(TEXT, 20)
 
 
-@pytest.mark.parametrize("hot", [1, 10**6])
-@pytest.mark.parametrize("steps", [(10,), (10, 10), (10, 24, 30, 36)])
-def test_near_pairs_equal_all_pairs(spark, steps, hot):
-    """With and without shared segments parted by signature: every pair that all pairs have."""
+@pytest.mark.parametrize(("steps", "hot"), [((10,), 1), ((10, 10), 10**6), ((10, 24, 30, 36), 1)])
+def test_near_links_connect_as_all_pairs(spark, steps, hot):
+    """With and without shared segments parted by signature: only true pairs, and the components of all of them."""
     rng = random.Random(len(steps))
     lines = set()
     for _ in range(40):
@@ -269,8 +268,10 @@ def test_near_pairs_equal_all_pairs(spark, steps, hot):
         for b in known[i + 1 :]
         if abs(len(a) - len(b)) <= most[min(len(a), len(b))] and edit_distance(a, b) <= most[min(len(a), len(b))]
     }
-    assert {tuple(map(bytes, r)) for r in line_dedup.near_pairs(df, steps=steps, hot=hot).collect()} == want
-    assert len(want) > 20
+    links = {tuple(sorted(map(bytes, r))) for r in line_dedup.near_links(df, steps=steps, hot=hot).collect()}
+    assert links <= want and len(want) > 20
+    names = list(map(line_dedup.digest, known))
+    assert components_of(names, lambda a, b: tuple(sorted((a, b))) in links) == components_of(names, lambda a, b: tuple(sorted((a, b))) in want)
 
 
 def thue_morse(n, letters):
@@ -316,12 +317,11 @@ def test_near_duplicates(docs):
     assert all(r["kept"] == (i == want[i]) and r["n_shingles"] == len(shingle_set(TEXT[i])) for i, r in got.items())
 
 
-@pytest.mark.parametrize("small", [2, 64])
-@pytest.mark.parametrize("block", [8, 128])
+@pytest.mark.parametrize(("small", "block"), [(2, 8), (64, 128)])
 def test_near_duplicates_large_group(spark, monkeypatch, small, block):
     """A group of copies at all distances, with chains of links: components over all pairs, however its cells are cut."""
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(cells, "SMALL", small)
+    monkeypatch.setattr(cells, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     texts = {0: " ".join(base)}
