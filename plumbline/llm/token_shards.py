@@ -7,10 +7,12 @@ Documents are encoded, sorted by key and written as shards, one per range of key
 the hash holds a 32-bit fingerprint of its key and the first row and number of rows of that key.
 
 A lookup costs a constant number of probes: hash the key level by level until its bit is set, take the rank of that bit
-as the slot, compare the fingerprint, and read ``payload[bounds[row]:bounds[row + rows]]``.
+as the slot, compare the fingerprint, and read ``payload[bounds[row]:bounds[row + rows]]``. The manifest has the range of
+keys of each shard, so ``Router`` goes from a key to its shard, or to several where texts of one key lie in neighbouring ones.
 
 Defined cases: a null text is an empty one; rows of one key are adjacent, in the order of their texts, and are found
-together; rows of a null key come first and are found under ``None``; an empty table gives empty shards.
+together; rows of a null key come first and are found under ``None``; only key and text are read, so other columns may have
+any name; a long text is encoded whole; an empty table gives empty shards.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shingles import mix64
-from plumbline.llm.storage import materialize, open_fs, write_file
+from plumbline.llm.storage import arrow_schema, materialize, open_fs, write_file
 from plumbline.llm.words import Vocabulary, text_slices
 
 GAMMA, LEVELS = 2.0, 32
-MANIFEST = "shard int, uri string, n_rows long, n_ids long"
+MANIFEST = "shard int, uri string, n_rows long, n_ids long, n_null long, first_key long, last_key long"
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -135,6 +137,62 @@ class Shard:
         return [self.ids(int(self.bounds[r]), int(self.bounds[r + 1])) for r in range(first, first + rows)]
 
 
+class Router:
+    """From keys to shards, by the ranges of the manifest's rows (dictionaries or rows, one a shard)."""
+
+    def __init__(self, manifest: list) -> None:
+        rows = sorted(({c: m[c] for c in ("shard", "uri", "n_null", "first_key", "last_key")} for m in manifest), key=lambda m: m["shard"])
+        self.without = [m["uri"] for m in rows if m["n_null"]]
+        keyed = [m for m in rows if m["first_key"] is not None]
+        self.uris = [m["uri"] for m in keyed]
+        self.first, self.last = (np.array([m[c] for m in keyed], np.int64) for c in ("first_key", "last_key"))
+        self.open: dict[str, Shard] = {}
+
+    def uris_of(self, key: int | None) -> list[str]:
+        """The shards whose range holds the key, in order."""
+        if key is None:
+            return self.without
+        return self.uris[int(np.searchsorted(self.last, key, "left")) : int(np.searchsorted(self.first, key, "right"))]
+
+    def get(self, key: int | None) -> list[np.ndarray]:
+        """The ids of each row of a key, from all shards; shards stay open once they are used."""
+        out = []
+        for uri in self.uris_of(key):
+            shard = self.open.get(uri) or self.open.setdefault(uri, Shard(uri))
+            out += shard.get(key)
+        return out
+
+
+def find_keys(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``doc_id, nth, n_tokens, ids binary`` (as in the payload) of every row of the given keys; a key that no row has gives none.
+
+    The manifest, a row a shard, goes to every task; keys are dealt to their shards, each of which is opened once a task.
+    """
+    routes = keys.sparkSession.sparkContext.broadcast([r.asDict() for r in manifest.collect()])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = Router(routes.value)
+        for batch in batches:
+            pairs = [(k, uri) for k in batch.column(0).to_pylist() for uri in router.uris_of(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([u for _, u in pairs], pa.string())], names=["k", "uri"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri, shard = None, None
+        for batch in batches:
+            rows = []
+            for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != uri:
+                    uri, shard = own, Shard(own)
+                rows += [(k, n, len(ids), ids.tobytes()) for n, ids in enumerate(shard.get(k))]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "nth", "n_tokens", "ids"])
+
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.select(F.col(key).cast("long").alias("k")).distinct().mapInArrow(route, "k long, uri string")
+    return dealt.repartition(n, "uri").sortWithinPartitions("uri").mapInArrow(read, "doc_id long, nth int, n_tokens long, ids binary")
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Encode ``docs`` and write them as shards under ``folder`` (a URI); returns the manifest, one row per shard.
 
@@ -143,7 +201,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, k
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())])
+    schema = arrow_schema(MANIFEST)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -166,8 +224,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, k
                     lengths.append(np.diff(bounds) + 1)
         store.move(part, path)
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        write_file(f"{uri}.idx", pack_index(np.concatenate(keys), nulls, bounds, dtype))
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "n_rows": len(bounds) - 1, "n_ids": int(bounds[-1])}], schema)
+        own = np.concatenate(keys)
+        write_file(f"{uri}.idx", pack_index(own, nulls, bounds, dtype))
+        ends = {"first_key": int(own[0]), "last_key": int(own[-1])} if len(own) else {"first_key": None, "last_key": None}
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "n_rows": len(bounds) - 1, "n_ids": int(bounds[-1]), "n_null": nulls, **ends}], schema)
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     written = rows.repartitionByRange(n, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t").mapInArrow(write, MANIFEST)

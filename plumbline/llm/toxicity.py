@@ -1,20 +1,24 @@
 """Toxicity by compression distance: how much shorter a window gets when toxic text is in the zstandard dictionary.
 
 Separate dictionaries are trained on windows of ordinary and of toxic documents. A window (a few whole words, about ``WINDOW``
-bytes) is compressed against the ordinary dictionary alone and against the ordinary followed by a toxic one; the difference
+bytes) is compressed with the ordinary dictionary alone and with the ordinary followed by a toxic one; the difference
 of the lengths, averaged over ``DICTIONARIES`` toxic ones, is its excess. Ordinary text finds its matches in either case; toxic expressions
-are only short where the toxic dictionary has them.
+are only short where the toxic dictionary has them. (A toxic dictionary that isn't put after the ordinary one has to hold
+ordinary text as well, and parts the classes much worse.)
 
 Most of a toxic document is ordinary, so its windows are refined in rounds: those with the highest excess train the next
 toxic dictionary, and the round whose dictionary parts the classes best is taken. Windows that occur more than once in the
 sample are left out, since copies of a document would otherwise fill the dictionary. Thresholds are calibrated on other labelled documents than those of the dictionaries: a logistic
-function of five statistics of a document's excesses.
+function of statistics of a document's excesses.
 
-The sample is bounded by ``TOXIC_DOCS``, ``ORDINARY_DOCS`` and ``CALIBRATION_DOCS`` (documents with the smallest hashes of
-their ids); their whole texts train, and every document is scored on its whole text.
+The sample of labelled rows is bounded by ``TOXIC_DOCS``, ``ORDINARY_DOCS`` and ``CALIBRATION_DOCS`` (those with the smallest hashes of
+their ids), by ``SAMPLE_BYTES`` for each of the three, and by ``DOC_BYTES`` for one text; all windows of their whole texts
+train, and every document is scored on its whole text.
 
-Defined cases: a null text is an empty one and scores as a text without excess; labels that are null or contradict each
-other count as toxic if any says so; without labels of both classes every score is 0; repeated rows score equally.
+Defined cases: a null text is an empty one, and a text without words scores 0; labels that are null or contradict each
+other count as toxic if any says so; of texts that share a key the least is in the sample; without labels of both
+classes every score is 0; equal texts score equally; a null key is held out of nothing and of no label. Only key and text
+are read, so other columns may have any name. A text is cut into windows whole, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.storage import materialize
+
 WINDOW = 24
 ORDINARY_BYTES, TOXIC_BYTES = 256 << 10, 3 << 10
 DICTIONARIES, ROUNDS, MIN_MATCH, LEVEL = 3, 5, 5, 3
 TOXIC_DOCS, ORDINARY_DOCS, CALIBRATION_DOCS = 2000, 3000, 2500
+#: Bytes of text that each part of the sample may have together, and one text.
+SAMPLE_BYTES, DOC_BYTES = 24 << 20, 256 << 10
 #: Labelled rows are divided by crc32 of the id, modulo FOLDS: fold 0 is never seen, fold 1 calibrates, the rest train.
 FOLDS = 5
 
@@ -99,7 +107,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0)
     times = Counter(w for parts in toxic_parts + ordinary_parts for w in set(parts))
     base = list(dict.fromkeys(w for parts in ordinary_parts for w in parts))
     order.shuffle(base)
-    content = b"".join(base)[:ORDINARY_BYTES]
+    content = _trained(ORDINARY_BYTES, base)
     alone = [[w for w in parts if times[w] == 1] for parts in toxic_parts]
     check = [[w for w in parts if times[w] == 1] for parts in ordinary_parts[len(ordinary_parts) // 2 :]]
     compress = compressor(content)
@@ -108,20 +116,25 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0)
     return content, [_toxic_dictionary(content, alone, check, costs, order) for _ in range(DICTIONARIES)]
 
 
-def _toxic_dictionary(content: bytes, alone: list[list[bytes]], check: list[list[bytes]], scores: list[np.ndarray], order: random.Random) -> bytes:
-    """Rounds of training on the windows of the highest scores, first their cost, then their excess."""
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary trained on samples; samples too few or too uniform to train on are one as they are."""
     import zstandard as zs
 
+    try:
+        return zs.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _toxic_dictionary(content: bytes, alone: list[list[bytes]], check: list[list[bytes]], scores: list[np.ndarray], order: random.Random) -> bytes:
+    """Rounds of training on the windows of the highest scores, first their cost, then their excess."""
     least, share, best = -1.0, 6, (-1.0, b"")
     for _ in range(ROUNDS):
         kept = [parts[k] for parts, s in zip(alone, scores, strict=True) for k in np.argsort(-s, kind="stable")[: max(2, len(parts) // share)] if s[k] > least]
         order.shuffle(kept)
         if len(kept) < 10:
             break
-        try:
-            found = zs.train_dictionary(TOXIC_BYTES, kept, level=LEVEL).as_bytes()
-        except zs.ZstdError:  # too few or too uniform samples to train on
-            found = b"".join(kept)[-TOXIC_BYTES:]
+        found = _trained(TOXIC_BYTES, kept)
         distance = Distance(content, [found])
         scores = [distance.excess(parts) for parts in alone]
         plain = [distance.excess(parts) for parts in check if parts] or [np.zeros(1)]
@@ -155,15 +168,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
     """The model: both dictionaries and the calibration; None without labels of both classes.
 
-    Only the ids of the sample, which is bounded, are sent to the documents' side, and only its texts to the driver.
+    The ids of the sample, which is bounded, are sent to the documents' side; its texts, one a key and bounded in bytes, are
+    written to the shared folder and read by the driver.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label)).alias("y"))
     rows = rows.withColumn("fold", fold("k")).where("fold <> 0").withColumn("h", F.xxhash64("k"))
     wanted = [("fold > 1 AND y = 1", TOXIC_DOCS), ("fold > 1 AND y = 0", ORDINARY_DOCS), ("fold = 1", CALIBRATION_DOCS)]
-    parts = [rows.where(c).orderBy("h", "k").limit(n).select("k", "y", F.lit(i).alias("use")) for i, (c, n) in enumerate(wanted)]
+    parts = [rows.where(c).orderBy("h", "k").limit(n).select("k", "h", "y", F.lit(i).alias("use")) for i, (c, n) in enumerate(wanted)]
     sample = F.broadcast(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    found = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")).join(sample, "k")
-    got = found.select("k", "body", "y", "use").toArrow().sort_by([("k", "ascending"), ("body", "ascending")]).to_pylist()
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    found = texts.where(F.octet_length("body") <= DOC_BYTES).join(sample, "k").groupBy("k", "h", "y", "use").agg(F.min("body").alias("body"))
+    found = materialize(found, "toxicity-sample")
+    so_far = F.sum(F.octet_length("body")).over(Window.partitionBy("use").orderBy("h", "k"))
+    fit_in = found.select("k", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_BYTES).select("k")
+    got = found.join(fit_in, "k", "left_semi").select("k", "body", "y", "use").toArrow().sort_by([("k", "ascending")]).to_pylist()
     toxic, ordinary = ([bytes(r["body"]) for r in got if r["use"] == i] for i in (0, 1))
     y = np.array([float(r["y"]) for r in got if r["use"] == 2])
     if not toxic or not ordinary or len(set(y)) < 2:
@@ -213,7 +231,8 @@ class Rater:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         x = np.array([statistics(self.distance.excess(windows(t))) for t in texts]).reshape(-1, len(self.mean))
         logit = (x - self.mean) / self.deviation @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        worded = np.array([bool(t.strip()) for t in texts], bool)
+        return np.where(worded, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 0.0)
 
 
 def held_out(key: str):

@@ -166,7 +166,18 @@ def test_token_shards(spark, docs, library):
     shard = token_shards.Shard(uris[where[14]])
     assert shard.get(14)[0].tolist() == [*ids_of(library, BYTE, TEXT[14]), 2]
     assert shard.get(987654321) == []
-    assert len(token_shards.Shard(uris[where[12]]).get(12)) == 2
+    router = token_shards.Router(manifest.collect())
+    assert len(router.get(12)) == 2 and len(router.get(None)) == 1 and router.get(987654321) == []
+    wanted = spark.createDataFrame([(k,) for k in [*TEXT, None, 5000]], "doc_id long")
+    found = {(r["doc_id"], r["nth"]): np.frombuffer(r["ids"], "<u2").tolist() for r in token_shards.find_keys(wanted, manifest).collect()}
+    assert set(found) == {(k, 0) for k in [*TEXT, None]} | {(12, 1)}
+    assert all(v == [*ids_of(library, BYTE, TEXT[3 if k is None else k]), 2] for (k, _), v in found.items())
+
+
+def test_router_over_shards_that_share_a_key():
+    rows = [(0, 2, None, None), (1, 1, 5, 9), (2, 0, 9, 9), (3, 0, 9, 12), (4, 0, 20, 30)]
+    router = token_shards.Router([{"shard": i, "uri": f"s{i}", "n_null": n, "first_key": a, "last_key": b} for i, n, a, b in rows])
+    assert [router.uris_of(k) for k in (None, 4, 5, 9, 10, 15, 20, 31)] == [["s0", "s1"], [], ["s1"], ["s1", "s2", "s3"], ["s3"], [], ["s4"], []]
 
 
 def test_perfect_hash():
@@ -428,6 +439,39 @@ def test_toxicity_held_out(spark):
     assert kept.columns == rows.columns and kept.count() == sum(r["score"] < 0.5 for r in got)
 
 
+def test_toxicity_ties_repeats_and_long_texts(spark):
+    """Repeated keys give one text to the sample; a text without words scores 0, equal texts alike, long ones whole."""
+    rows = toxic_rows(800)
+    bad = " ".join(t for _, t, y in rows if y)
+    more = [(i, t, y) for i, t, y in rows[:200] for _ in (0, 1)] + [(900, None, None), (901, " \n ", None), (None, rows[0][1], 1), (902, rows[1][1] * 400, None), (903, rows[1][1] * 400 + bad, None)]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string, toxic int").withColumn("k", F.lit(1)).withColumn("body", F.lit("x"))
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    own = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert toxicity.score(df, model).count() == len(rows) + len(more)
+    assert own[900] == own[901] == 0.0 and own[902] <= own[903] and own[903] > 0.5
+    assert own[None] == own[0]
+    distance = toxicity.Distance(model["ordinary"], model["toxic"])
+    window = toxicity.windows(rows[0][1].encode())[:3]
+    import zstandard as zs
+
+    def length(content, w):
+        params = zs.ZstdCompressionParameters.from_level(toxicity.LEVEL, dict_size=len(content), source_size=toxicity.WINDOW, min_match=toxicity.MIN_MATCH, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params).compress(w))
+
+    for w, x in zip(window, distance.excess(window), strict=True):
+        assert abs(x - (length(model["ordinary"], w) - np.mean([length(model["ordinary"] + t, w) for t in model["toxic"]]))) <= 1
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame(toxic_rows(800), "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    seen = []
+    train = toxicity.train_dictionaries
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda toxic, ordinary: seen.append((sum(map(len, toxic)), sum(map(len, ordinary)))) or train(toxic, ordinary))
+    assert toxicity.fit(rows, rows) is not None
+    assert all(10_000 < n <= 20_000 for n in seen[0])
+
+
 def test_toxicity_without_labels(docs):
     labels = docs.select("doc_id", F.lit(None).cast("int").alias("toxic"))
     assert toxicity.fit(docs, labels) is None
@@ -483,10 +527,28 @@ def test_extendible_hash():
         table.add(value, (i,))
     for value, own in known.items():
         assert [e[0] for v, e in table.bucket(value)["entries"] if v == value] == own
-    assert all(len({v for v, _ in b["entries"]}) == 1 or len(b["entries"]) <= 4 for b in table.buckets)
+    assert all({v for v, _ in b["entries"]} == b["hashes"] and len(b["hashes"]) <= 4 for b in table.buckets)
     assert len(table.directory) == 1 << table.depth
 
 
+def test_exact_null_and_repeated_keys(spark):
+    rows = [(None, "a  b", 1), (3, "a b", 2), (3, "a b", 3), (None, "c", 4), (None, "c", 5), (7, None, 6), (2, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long")
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.lookup(df, exact_dedup.build_index(df, owners=3)).collect()]
+    want = [(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, None, 2, True), (None, None, 2, True), (7, 2, 2, False), (2, 2, 2, True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = exact_dedup.drop_copies(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None) == [(2, "")] and sorted(r["text"] for r in kept if r["doc_id"] is None) == ["a  b", "c"]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "__row"}
+
+
+def test_exact_dedup_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_ENTRIES", 4)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 1100).cast("string")).alias("text"))
+    got = exact_dedup.lookup(df, exact_dedup.build_index(df, owners=2)).collect()
+    assert len(got) == 3000 and all(r["keep_id"] == r["doc_id"] % 1100 and r["group_size"] == 3 - (r["doc_id"] % 1100 >= 800) for r in got)
+
+
 def test_exact_empty(empty):
     assert exact_dedup.lookup(empty, exact_dedup.build_index(empty)).collect() == []
 
