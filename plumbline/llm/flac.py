@@ -4,9 +4,10 @@ A stream is ``fLaC``, STREAMINFO (with the MD5 of the samples), a SEEKTABLE, and
 samples. Each frame holds one subframe of the kind that takes the fewest bits: constant, verbatim, a fixed polynomial
 predictor, or a linear predictor of order 8 over the mean of the last samples; residuals are Rice-coded in one partition.
 
-The decoder reads any such frame: header and CRC-8, constant, verbatim, fixed and LPC subframes with Rice partitions of
-order 0, and CRC-16. Frames are independent, so it decodes a whole batch of them step by step: code word ``i`` of every
-frame at once, each frame at its own bit position.
+The decoder of such streams reads header and CRC-8, constant, verbatim, fixed and LPC subframes and CRC-16. Frames are
+independent, so it decodes a whole batch of them step by step: code word ``i`` of every
+frame at once, each frame at its own bit position. ``decode_any`` reads streams of other makers, sample by sample: any block
+and sample size, several channels, Rice partitions and escapes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ RATE = 8000
 MEAN_ORDER, MEAN_SHIFT, MEAN_PRECISION = 8, 3, 3
 #: Fixed polynomial predictors of orders 0 to 4; fixed values of the format.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+#: The largest Rice parameter that four bits can name; 15 is the escape.
+MOST_RICE = 14
 #: Frames handled at once; bounds memory (about 20 MB of working arrays per thousand frames).
 FRAMES = 2048
 
@@ -90,22 +93,37 @@ def _residuals(samples: np.ndarray, order: int, coefficients: tuple[int, ...], s
 
 
 def _best_rice(residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits and parameter of each row's cheapest Rice code, among those next to the logarithm of its mean."""
+    """Bits and parameter of each row's cheapest Rice code, of all parameters from 0 to ``MOST_RICE``.
+
+    The bits saved by one more bit of remainder, ``sum(ceil((f >> k) / 2)) - n``, never grow with ``k``; so the sizes fall and
+    then rise, and a walk from near the logarithm of the mean to where both neighbours cost more ends at the least of all.
+    """
     folded = (residuals << 1) ^ (residuals >> 31)
     n = folded.shape[1]
-    guess = np.log2(np.maximum(folded.sum(1) / n, 1)).astype(np.int32)
-    tried = [np.clip(guess + d, 0, 8) for d in (-1, 0, 1)]
-    bits = np.stack([(folded >> k[:, None]).sum(1) + n * (k + 1) for k in tried])
-    best = bits.argmin(0)
-    at = np.arange(len(best))
-    return bits[best, at], np.stack(tried)[best, at]
+    if folded.max(initial=0) < 1 << 16:
+        folded = folded.astype(np.uint16)
+
+    def cost(rows: np.ndarray | slice, k: np.ndarray) -> np.ndarray:
+        size = (folded[rows] >> np.clip(k, 0, MOST_RICE).astype(folded.dtype)[:, None]).sum(1, dtype=np.int64) + n * (k + 1)
+        return np.where((k < 0) | (k > MOST_RICE), np.iinfo(np.int64).max, size)
+
+    k = np.clip(np.log2(np.maximum(folded.sum(1, dtype=np.int64) / n, 1)).astype(np.int64), 0, MOST_RICE)
+    less, bits, more = (cost(slice(None), k + d) for d in (-1, 0, 1))
+    while len(rows := np.flatnonzero((less < bits) | (more < bits))):
+        step = np.where(less[rows] < bits[rows], -1, 1)
+        far = cost(rows, k[rows] + 2 * step)
+        k[rows] += step
+        old = bits[rows]
+        bits[rows] = np.where(step < 0, less[rows], more[rows])
+        less[rows], more[rows] = np.where(step < 0, far, old), np.where(step < 0, old, far)
+    return bits, k
 
 
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """The frames of rows of ``BLOCK`` unsigned bytes, each with its number in its stream."""
     signed = samples.astype(np.int32) - 128
-    predictors = [(order, FIXED[order], 0, 8 + order) for order in range(3)] + [(MEAN_ORDER, (1,) * MEAN_ORDER, MEAN_SHIFT, 32 + MEAN_ORDER - 1)]
-    own, sizes, ks = [], [np.full(len(samples), 8 * BLOCK)], [np.zeros(len(samples), np.int32)]
+    predictors = [(order, FIXED[order], 0, 8 + order) for order in range(5)] + [(MEAN_ORDER, (1,) * MEAN_ORDER, MEAN_SHIFT, 32 + MEAN_ORDER - 1)]
+    own, sizes, ks = [], [np.full(len(samples), 8 * BLOCK, np.int64)], [np.zeros(len(samples), np.int32)]
     for order, coefficients, shift, _ in predictors:
         own.append(_residuals(signed, order, coefficients, shift))
         bits, k = _best_rice(own[-1])
@@ -387,3 +405,115 @@ def decode_from(stream: bytes, sample: int, count: int) -> bytes:
         out.append(samples[0].tobytes())
         at, frame = int(ends[0]), frame + 1
     return b"".join(out)[sample - first : sample - first + count]
+
+
+class _Bits:
+    """Bits of a stream, from a byte on."""
+
+    def __init__(self, data: bytes, at: int) -> None:
+        self.data, self.at = data, at * 8
+
+    def take(self, width: int, signed: bool = False) -> int:
+        end = self.at + width
+        if end > len(self.data) * 8:
+            raise CorruptStream("the stream ends within a frame")
+        value = int.from_bytes(self.data[self.at // 8 : (end + 7) // 8], "big") >> (-end % 8) & (1 << width) - 1
+        self.at = end
+        return value - (1 << width) if signed and width and value >> (width - 1) else value
+
+    def unary(self) -> int:
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+    def byte(self) -> int:
+        """The place of the next whole byte, to which the bits move on."""
+        self.at += -self.at % 8
+        return self.at // 8
+
+
+def _one_subframe(bits: _Bits, n: int, width: int) -> list[int]:
+    bits.take(1)
+    kind, wasted = bits.take(6), 0
+    if bits.take(1):
+        wasted = bits.unary() + 1
+        width -= wasted
+    if kind == 0:
+        out = [bits.take(width, True)] * n
+    elif kind == 1:
+        out = [bits.take(width, True) for _ in range(n)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind <= 12 else kind - 31
+        out, weights, shift = [bits.take(width, True) for _ in range(order)], FIXED[min(order, 4)], 0
+        if kind >= 32:
+            precision, shift = bits.take(4) + 1, bits.take(5, True)
+            weights = [bits.take(precision, True) for _ in range(order)]
+        method, parts = bits.take(2), bits.take(4)
+        if method > 1:
+            raise CorruptStream("a reserved residual coding")
+        for part in range(1 << parts):
+            k, escape = bits.take(4 + method), (1 << (4 + method)) - 1
+            raw = bits.take(5) if k == escape else None
+            for _ in range((n >> parts) - (order if part == 0 else 0)):
+                if raw is None:
+                    folded = bits.unary() << k
+                    folded |= bits.take(k)
+                    residual = folded >> 1 ^ -(folded & 1)
+                else:
+                    residual = bits.take(raw, True)
+                out.append(residual + (sum(w * x for w, x in zip(weights, reversed(out), strict=False)) >> shift))
+    else:
+        raise CorruptStream(f"reserved subframe type {kind}")
+    return [x << wasted for x in out] if wasted else out
+
+
+def _checked(data: bytes, width: int, polynomial: int, want: int, what: str) -> None:
+    if int(crc(np.frombuffer(data, np.uint8)[None], width, polynomial)[0]) != want:
+        raise CorruptStream(f"a frame's {what} does not hold")
+
+
+def decode_any(stream: bytes) -> tuple[np.ndarray, int, int]:
+    """Samples (a row a sample, a column a channel), rate and bits of a sample of any FLAC stream, all checksums verified."""
+    if stream[:4] != b"fLaC":
+        raise CorruptStream("no fLaC marker")
+    at, last, info = 4, False, b""
+    while not last:
+        last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
+        info = stream[at + 4 : at + 4 + size] if kind == 0 else info
+        at += 4 + size
+    packed = int.from_bytes(info[10:18], "big")
+    rate, channels, depth, total = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
+    blocks: list[np.ndarray] = []
+    while at < len(stream) and (not total or sum(map(len, blocks)) < total):
+        bits = _Bits(stream, at)
+        if bits.take(15) != 0x7FFC:
+            raise CorruptStream("no frame where one should begin")
+        bits.take(1)
+        size, speed, layout, own, _ = bits.take(4), bits.take(4), bits.take(4), bits.take(3), bits.take(1)
+        first = bits.take(8)
+        bits.take(8 * (0 if first < 0x80 else 1 if first < 0xE0 else 2 if first < 0xF0 else 3 if first < 0xF8 else 4 if first < 0xFC else 5 if first < 0xFE else 6))
+        n = {1: 192, 6: -8, 7: -16}.get(size) or (144 << size if 2 <= size <= 5 else 1 << size)
+        n = bits.take(-n) + 1 if n < 0 else n
+        bits.take({12: 8, 13: 16, 14: 16}.get(speed, 0))
+        _checked(stream[at : bits.at // 8], 8, 0x07, bits.take(8), "header's CRC-8")
+        width = {0: depth, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[own]
+        side = {8: (0, 1), 9: (1, 0), 10: (0, 1)}.get(layout)
+        rows = [np.array(_one_subframe(bits, n, width + (side[c] if side else 0)), np.int64) for c in range(2 if side else layout + 1)]
+        if layout == 8:
+            rows[1] = rows[0] - rows[1]
+        elif layout == 9:
+            rows[0] = rows[0] + rows[1]
+        elif layout == 10:
+            middle = rows[0] * 2 + (rows[1] & 1)
+            rows = [(middle + rows[1]) >> 1, (middle - rows[1]) >> 1]
+        end = bits.byte()
+        _checked(stream[at:end], 16, 0x8005, bits.take(16), "CRC-16")
+        at = bits.byte()
+        blocks.append(np.stack(rows, 1))
+    out = np.concatenate(blocks) if blocks else np.zeros((0, channels), np.int64)
+    size = (depth + 7) // 8
+    raw = np.ascontiguousarray(out.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    if any(info[18:34]) and hashlib.md5(raw).digest() != info[18:34]:
+        raise CorruptStream("the MD5 of the samples does not hold")
+    return out, rate, depth

@@ -40,6 +40,8 @@ from plumbline.llm.words import text_slices
 
 #: Lengths from which a line may have one edit more.
 STEPS = (20, 200)
+#: Pairs below which it pays to verify one at a time.
+FEW = 256
 #: Lines that share a segment before it is parted further.
 HOT = 200
 #: Characters handled at once. Bits of the filter that finds the lines to verify: sixteen a line, between these powers of
@@ -266,6 +268,9 @@ def within_edits(a: list[str], b: list[str], edits: int | np.ndarray) -> np.ndar
     out = np.abs(la - lb) <= edits
     for most in np.unique(edits).tolist():
         own = np.flatnonzero(out & (edits == most))
+        if len(own) < FEW:
+            out[own] = [_banded_pair(a[i], b[i], most) for i in own.tolist()]
+            continue
         for start in range(0, len(own), 4096):
             part = own[start : start + 4096]
             part = part[np.argsort(la[part], kind="stable")]
@@ -273,6 +278,32 @@ def within_edits(a: list[str], b: list[str], edits: int | np.ndarray) -> np.ndar
     return out
 
 
+def _banded_pair(a: str, b: str, edits: int) -> bool:
+    """As ``_banded``, for one pair, whose common beginning and end are left out."""
+    n, begin = min(len(a), len(b)), 0
+    while begin < n and a[begin] == b[begin]:
+        begin += 1
+    stop = 0
+    while stop < n - begin and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    a, b = a[begin : len(a) - stop], b[begin : len(b) - stop]
+    whole = (1 << (2 * edits + 1)) - 1
+    reach = [sum(1 << (edits + d) for d in range(e + 1)) for e in range(edits + 1)]
+    for j, x in enumerate(a):
+        same = room = 0
+        for place in range(max(j - edits, 0), min(j + edits + 1, len(b))):
+            bit = 1 << (place - j + edits)
+            room |= bit
+            same |= bit if b[place] == x else 0
+        new = [reach[0] & same]
+        for e in range(1, edits + 1):
+            new.append((reach[e] & same) | (reach[e - 1] & room) | (reach[e - 1] >> 1) | (new[e - 1] << 1 & whole) | new[e - 1])
+        reach = new
+        if not reach[edits]:
+            return False
+    return bool(reach[edits] >> (len(b) - len(a) + edits) & 1)
+
+
 def _banded(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, edits: int) -> np.ndarray:
     width = 2 * edits + 1
     ends_a, ends_b = np.cumsum(la), np.cumsum(lb)

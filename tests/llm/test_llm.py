@@ -307,11 +307,12 @@ def test_line_columns_of_any_name(spark):
     assert line_dedup.dedup_lines(df, shortest=1, counts=True).columns == ["doc_id", "text", "__row", "__gone", "__own", "n_lines", "n_dropped"]
 
 
-def test_banded_distance():
+def test_banded_distance(monkeypatch):
     rng = random.Random(7)
     a = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 12))) for _ in range(800)]
     b = ["".join(c for c in x if rng.random() > 0.1) + rng.choice(["", "a"]) for x in a]
-    for edits in (1, 2, 3, 4):
+    for edits, few in [(1, 0), (2, 0), (3, 0), (4, 0), (1, 10**6), (3, 10**6)]:
+        monkeypatch.setattr(line_dedup, "FEW", few)
         assert line_dedup.within_edits(a, b, edits).tolist() == [edit_distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
 
 
@@ -506,6 +507,31 @@ def test_flac_streams():
             flac.decode_streams([bytes(broken)])
 
 
+#: The first and the third example stream of RFC 9639, appendix D.
+RFC_STEREO = "664c61438000002210001000000 00f00000f0ac442f0000000013e84b41807dc69030758 6a3dad1a2e0ffff869180000bf0358fd03128baa9a"
+RFC_MONO = "664c6143800000221000100000001f00001f07d000700000 0018f8f9e396f5cbcfc6dc807f9977906b32fff868020017e944004f6f313d1047d227cb6d090831452bdc282222 8057a3"
+
+
+def test_flac_published_streams():
+    samples, rate, depth = flac.decode_any(bytes.fromhex(RFC_STEREO.replace(" ", "")))
+    assert (samples.tolist(), rate, depth) == ([[25588, 10416]], 44100, 16)
+    samples, rate, depth = flac.decode_any(bytes.fromhex(RFC_MONO.replace(" ", "")))
+    assert (rate, depth) == (32000, 8)
+    assert samples[:, 0].tolist() == [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+    own = [media.padded(p) for p in (bytes(range(256)) * 9, b"hello world " * 300, os.urandom(600))]
+    for payload, stream in zip(own, flac.encode_streams(own), strict=True):
+        assert (flac.decode_any(stream)[0][:, 0] + 128).astype(np.uint8).tobytes() == payload
+
+
+def test_rice_parameter_is_the_best_of_all():
+    rng = np.random.default_rng(6)
+    rows = np.stack([(rng.laplace(0, 2.0**s, 576)).astype(np.int32) for s in rng.uniform(-2, 13, 200)] + [np.zeros(576, np.int32), np.r_[np.zeros(575, np.int32), 30000]])
+    folded = (rows << 1) ^ (rows >> 31)
+    sizes = np.stack([(folded >> k).sum(1) + 576 * (k + 1) for k in range(15)])
+    bits, k = flac._best_rice(rows)
+    assert (bits == sizes.min(0)).all() and (sizes[k, np.arange(len(k))] == bits).all()
+
+
 # 10: exact
 
 def test_exact_dedup(docs):
