@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.storage import materialize
+
 
 def hash_order(*keys: str) -> Column:
     """A hexadecimal digest of the keys, to order rows by instead of chance."""
@@ -43,6 +45,23 @@ def placed(df: DataFrame, strata: list[str], key: str) -> DataFrame:
     return out.select("__l.*", (F.col("__local") + F.col("__base")).alias("__place"), "__size").drop("__hash", "__digit", "__local")
 
 
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Each row's place (1 on) among all rows in order, and their number: ``__place``, ``__size``.
+
+    Rows are dealt by range and written, so that every use sees the same deal; a place is the row's number in its range plus
+    the rows of the ranges before, of which there is one row each. No task sees all rows.
+    """
+    rows = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    rows = materialize(rows, "in-order")
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    run = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    whole = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__base"), whole.alias("__size"))
+    out = rows.withColumn("__local", local).join(sizes, "__range")
+    return out.withColumn("__place", F.col("__local") + F.col("__base")).drop("__range", "__local", "__base")
+
+
 def cap_strata(df: DataFrame, strata: list[str], key: str, limit: Column) -> DataFrame:
     """At most ``limit`` (over ``__size``) rows of each stratum."""
     return placed(df, strata, key).where(F.col("__place") <= limit).drop("__place", "__size")

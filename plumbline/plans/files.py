@@ -67,10 +67,10 @@ def json_lines_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("event_id", "user_id", F.lit("ok").alias("state")).unionByName(bad.select(null.alias("event_id"), null.alias("user_id"), F.lit("broken").alias("state")))
 
 
-@query("S05", "SELECT event_id, user_id FROM events WHERE event_id < 500")
+@query("S05", "SELECT event_id, user_id FROM events")
 def zstd_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zstandard JSON lines, compressed by tasks and streamed back chunk by chunk."""
-    lines = table(spark, sf_dir, "events").where("event_id < 500").select(F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    lines = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id")).alias("value"))
 
     def packed(batches):
         import pyarrow as pa
@@ -134,12 +134,12 @@ def offline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "S13 P12 R01",
-    """WITH p AS (SELECT DISTINCT o_custkey, o_orderkey % 100 AS target, CASE o_orderkey % 3 WHEN 0 THEN 'follows' WHEN 1 THEN 'mentions' ELSE 'liked' END AS type FROM orders WHERE o_custkey < 50)
+    """WITH p AS (SELECT DISTINCT o_custkey, o_orderkey % 100 AS target, CASE o_orderkey % 3 WHEN 0 THEN 'follows' WHEN 1 THEN 'mentions' ELSE 'liked' END AS type FROM orders)
 SELECT 'twitter_' || o_custkey AS source, 'twitter_' || target AS target, type, count(*) AS n FROM p WHERE o_custkey <> target GROUP BY ALL""",
 )
 def nested_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("o_orderkey") % 3 == 0, "follow").when(F.col("o_orderkey") % 3 == 1, "mention").otherwise("liked")
-    o = orders(spark, sf_dir).where("o_custkey < 50").select("o_custkey", F.struct(kind.alias("type"), (F.col("o_orderkey") % 100).cast("string").alias("target")).alias("i"))
+    o = orders(spark, sf_dir).select("o_custkey", F.struct(kind.alias("type"), (F.col("o_orderkey") % 100).cast("string").alias("target")).alias("i"))
     posts = o.groupBy("o_custkey").agg(F.collect_set("i").alias("interactions")).select(F.struct(F.col("o_custkey").cast("string").alias("id")).alias("user"), "interactions")
     posts.write.json(path := new_path(spark, "posts"))
     read = spark.read.schema("user struct<id:string>, interactions array<struct<type:string,target:string>>").json(path)

@@ -38,16 +38,16 @@ def reply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J04 J05 J07 U09",
-    """WITH m AS (SELECT DISTINCT o_custkey AS i, p_brand AS g FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey < 300), n AS (SELECT i, count(*) AS n FROM m GROUP BY i),
+    """WITH m AS (SELECT DISTINCT o_custkey AS i, l_partkey AS g FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT i, count(*) AS n FROM m GROUP BY i),
 c AS (SELECT a.i AS a, b.i AS b, count(*) AS common FROM m a JOIN m b ON a.g = b.g AND a.i < b.i GROUP BY ALL HAVING count(*) >= 2)
 SELECT a, b, common, round(common / (x.n + y.n - common)::DOUBLE, 9) AS jaccard FROM c JOIN n x ON x.i = a JOIN n y ON y.i = b""",
 )
-def co_brand_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by brands bought in common; the groups are brands, of which there are few, and a pair is a result row."""
-    o = table(spark, sf_dir, "orders").where("o_custkey < 300").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
-    m = o.join(lines, "o_orderkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey").select("o_custkey", "p_brand").distinct()
-    return jaccard_self_join(m, "o_custkey", "p_brand", 2).withColumn("jaccard", F.round("jaccard", 9))
+def co_purchase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by parts bought in common: groups are small, since a part is bought by few, and a pair is a result row."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    m = o.join(lines, "o_orderkey").select("o_custkey", "l_partkey").distinct()
+    return jaccard_self_join(m, "o_custkey", "l_partkey", 2).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(
@@ -72,15 +72,15 @@ def temporal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J12",
-    f"""WITH RECURSIVE {SOCIAL}, e AS (SELECT a.user_id AS s, b.user_id AS d FROM social a JOIN social b ON a.parent_id = b.post_id WHERE a.user_id <> b.user_id AND a.k > 97),
+    f"""WITH RECURSIVE {SOCIAL}, e AS (SELECT a.user_id AS s, b.user_id AS d FROM social a JOIN social b ON a.parent_id = b.post_id WHERE a.user_id <> b.user_id),
 u AS (SELECT DISTINCT s, d FROM (SELECT s, d FROM e UNION ALL SELECT d, s FROM e)), r(node, steps) AS (SELECT DISTINCT s, 0 FROM u WHERE s = 8 UNION SELECT u.d, r.steps + 1 FROM r JOIN u ON u.s = r.node WHERE r.steps < 2)
 SELECT node, min(steps)::INT AS steps FROM r GROUP BY node""",
 )
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users within two steps of a user over the strongest edges."""
+    """Users within two steps of a user."""
     posts = social(spark, sf_dir)
     parents = posts.select(F.col("post_id").alias("parent_id"), F.col("user_id").alias("dst"))
-    e = posts.where("k > 97").join(parents, "parent_id").where("user_id <> dst").select(F.col("user_id").alias("src"), "dst")
+    e = posts.join(parents, "parent_id").where("user_id <> dst").select(F.col("user_id").alias("src"), "dst")
     return k_hop(e, F.col("node") == 8, 2)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.sampling import cap_strata, dedup_first, folds, hash_order, normal_key, split_strata, undersample
+from plumbline.operators.sampling import cap_strata, dedup_first, folds, hash_order, in_order, normal_key, split_strata, undersample
 from plumbline.plans.base import SOCIAL, social
 from plumbline.registry import query, table
 
@@ -82,13 +82,11 @@ def split_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_id, CASE WHEN q <= 0.8 THEN 'train' WHEN q <= 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) / count(*) OVER () AS q FROM events)""",
 )
 def split_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strictly by time: the two cuts are exact order statistics of the times; no task sees all rows."""
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    us = F.unix_micros("ts")
-    n = e.agg(F.count("*").alias("n"), *(F.percentile(us, p).alias(c) for p, c in ((0.8, "a"), (0.9, "b"))))
-    # Rows at a cut's own time are decided by their place among all rows of that time or later.
-    rows = e.withColumn("us", us).crossJoin(F.broadcast(n))
-    return rows.select("event_id", F.when(F.col("us") <= F.col("a"), "train").when(F.col("us") <= F.col("b"), "val").otherwise("test").alias("split"))
+    """Strictly by time: each row's place among all of them, by range of times, decides; ties follow the key."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    rows = in_order(e, ["ts", "event_id"])
+    share = F.col("__place") / F.col("__size")
+    return rows.select("event_id", F.when(share <= 0.8, "train").when(share <= 0.9, "val").otherwise("test").alias("split"))
 
 
 @query(
@@ -144,7 +142,7 @@ def new_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "C07 K05",
     """WITH s AS (SELECT DISTINCT ON (left(sha256(source || ':' || lower(trim(coalesce(text, '')))), 16)) doc_id, source, coalesce(l.toxic, 0) AS label FROM documents d LEFT JOIN labels l USING (doc_id) WHERE length(trim(coalesce(text, ''))) >= 10 ORDER BY left(sha256(source || ':' || lower(trim(coalesce(text, '')))), 16), doc_id),
-c AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM s), k AS (SELECT doc_id, source, label FROM c WHERE r <= 30),
+c AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM s), k AS (SELECT doc_id, source, label FROM c WHERE r <= 5000),
 p AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY source, label) AS n FROM k)
 SELECT source, label, CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM p GROUP BY ALL""",
 )
@@ -154,7 +152,7 @@ def unified_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= 10)
     docs = docs.select("doc_id", "source", F.coalesce("toxic", F.lit(0)).alias("label"), normal_key(F.col("source"), F.col("text")).alias("sample_id"))
     own = dedup_first(docs, ["sample_id"], ["doc_id"]).drop("sample_id")
-    own = cap_strata(own, ["source", "label"], "doc_id", F.lit(30))
+    own = cap_strata(own, ["source", "label"], "doc_id", F.lit(5000))
     own = split_strata(own, ["source", "label"], "doc_id", {"train": 0.8, "val": 0.1, "test": 0.1})
     return own.groupBy("source", "label", "split").agg(F.count("*").alias("n"))
 

@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from plumbline.registry import query, table
 from plumbline.sources.writers import split_dead_letters
-from plumbline.storage import new_path
+from plumbline.storage import materialize, new_path
 from plumbline.streaming import streams as Z
 
 
+#: Rows of a file of the stream, about; a file is a batch and is written by one task.
+FILE_ROWS = 200_000
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> tuple[DataFrame, str]:
-    """``events`` in files of ascending time, as a stream, ended by a far event that closes all windows."""
+    """``events`` in even ranges of ascending time, as a stream, ended by a far event that closes all windows."""
     folder = new_path(spark, "stream")
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     last = spark.sql("SELECT -1L AS event_id, timestamp '2024-06-01 00:00:00' AS ts, -1L AS user_id, 'end' AS event_type, 0.0D AS value")
-    cut = [F.lit(x).cast("timestamp") for x in ("2024-01-01", "2024-01-10", "2024-01-20", "2024-03-01")]
+    ends = e.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high"))
+    files = max(files, -(-e.count() // FILE_ROWS))
+    at = F.floor((F.unix_micros("ts") - F.col("low")) * files / (F.col("high") - F.col("low") + 1))
+    marked = materialize(e.crossJoin(F.broadcast(ends)).withColumn("file", F.coalesce(at, F.lit(0))).drop("low", "high"), "stream-events")
     for i in range(files):
-        e.where((F.col("ts") >= cut[i]) & (F.col("ts") < cut[i + 1])).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        marked.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return Z.file_stream(spark, f"{folder}/in", e.schema), folder
 

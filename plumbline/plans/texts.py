@@ -21,13 +21,13 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("@User_"), (F.col("doc_id") % 7).cast("string"), F.lit(" u/name-"), (F.col("doc_id") % 5).cast("string"),
         F.lit(" #Tag see https://t.co/x?y=1 www.a.b mail a.b@c.org call 555-123-4567 card 4111 1111 1111 1111 NOW!!! "),
     )
-    return docs.withColumn("post", F.concat(mark, F.coalesce(F.substring("text", 1, 200), F.lit(""))))
+    return docs.withColumn("post", F.concat(mark, F.coalesce("text", F.lit(""))))
 
 
 POSTS = """
 posts AS (SELECT doc_id, source, lang, text, n_chars, '@User_' || (doc_id % 7) || ' u/name-' || (doc_id % 5)
   || ' #Tag see https://t.co/x?y=1 www.a.b mail a.b@c.org call 555-123-4567 card 4111 1111 1111 1111 NOW!!! '
-  || coalesce(substring(text, 1, 200), '') AS post FROM documents)
+  || coalesce(text, '') AS post FROM documents)
 """
 
 
@@ -146,7 +146,7 @@ def text_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {POSTS} SELECT doc_id,
   regexp_replace({"replace(" * 7}lower(post || ' it can''t we''re I''m'){"".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in X.CONTRACTIONS.items())}, 'https?://\\S+|www\\.\\S+', '[URL]', 'g') AS expanded,
   array_to_string(string_split(lower(post), ' '), '|') AS tokens, regexp_replace(post, '([.,!?;:])', ' \\1', 'g') AS spaced,
-  substring(coalesce(text, ''), 1, 500) AS short, replace(substring(coalesce(text, ''), 1, 1000), chr(10), ' ') AS one_line FROM posts""",
+  substring(coalesce(text, ''), 1, 500) AS short, replace(coalesce(text, ''), chr(10), ' ') AS one_line FROM posts""",
 )
 def text_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = F.col("post")
@@ -156,7 +156,7 @@ def text_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.split(F.lower(post), " "), "|").alias("tokens"),
         X.space_before_marks(post).alias("spaced"),
         F.substring(X.whole(F.col("text")), 1, 500).alias("short"),
-        F.translate(F.substring(X.whole(F.col("text")), 1, 1000), "\n", " ").alias("one_line"),
+        F.translate(X.whole(F.col("text")), "\n", " ").alias("one_line"),
     )
 
 
@@ -229,13 +229,13 @@ def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "X29",
-    """WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(substring(coalesce(text, ''), 1, 300), '\\s+', ' ', 'g')), ' '), lambda s: s <> '') AS ws FROM documents),
+    """WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda s: s <> '') AS ws FROM documents),
 k AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM w)
 SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (left(md5(doc_id || ':' || (i - 1)), 1) NOT IN ('0', '1')), '') AS augmented FROM k GROUP BY doc_id""",
 )
 def text_word_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop an eighth of the words, chosen by a hash of document and place, so that a rerun drops the same ones."""
-    own = X.words(F.substring(X.whole(F.col("text")), 1, 300))
+    own = X.words(F.col("text"))
     docs = table(spark, sf_dir, "documents").select("doc_id", own.alias("ws")).where(F.size("ws") > 0)
     keep = F.filter("ws", lambda w, i: ~F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), i.cast("string")).cast("binary")), 1, 1).isin("0", "1"))
     return docs.select("doc_id", F.array_join(keep, " ").alias("augmented"))

@@ -84,7 +84,7 @@ def first_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "W20",
     """WITH o AS (SELECT c_custkey, c_acctbal AS x, c_custkey % 2 AS g, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_custkey) AS r FROM customer),
-p AS (SELECT n, g, count(*) AS c, avg(x) AS m, var_samp(x) AS v FROM o JOIN range(100, 701, 100) t(n) ON r <= n GROUP BY n, g HAVING count(*) = n)
+p AS (SELECT n, g, count(*) AS c, avg(x) AS m, var_samp(x) AS v FROM o JOIN range(100, 10001, 100) t(n) ON r <= n GROUP BY n, g HAVING count(*) = n)
 SELECT a.n, round((b.m - a.m) / sqrt(a.v / a.c + b.v / b.c), 5) AS t FROM p a JOIN p b ON a.n = b.n AND a.g = 0 AND b.g = 1""",
 )
 def sequential_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def sequential_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("g").orderBy("c_custkey")
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 2).alias("g"))
     block = F.ceil(F.row_number().over(w) / 100)
-    sums = rows.withColumn("n", block * 100).where("n <= 700").groupBy("g", "n").agg(F.count("*").alias("c"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    sums = rows.withColumn("n", block * 100).where("n <= 10000").groupBy("g", "n").agg(F.count("*").alias("c"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     run = Window.partitionBy("g").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.select("g", "n", *(F.sum(c).over(run).alias(c) for c in ("c", "s", "q")))
     sums = sums.select("g", "n", "c", (F.col("s") / F.col("c")).alias("m"), ((F.col("q") - F.col("s") * F.col("s") / F.col("c")) / (F.col("c") - 1) / F.col("c")).alias("v"))
@@ -103,12 +103,12 @@ def sequential_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "W21 T09 J24 X27",
-    """WITH v AS (SELECT o_custkey AS model, o_orderdate AS created, (o_orderkey % 3) || '.' || (o_orderkey % 5) || '.' || (o_orderkey % 11) AS version, o_totalprice AS metric, o_orderkey FROM orders WHERE o_custkey < 100)
+    """WITH v AS (SELECT o_custkey AS model, o_orderdate AS created, (o_orderkey % 3) || '.' || (o_orderkey % 5) || '.' || (o_orderkey % 11) AS version, o_totalprice AS metric, o_orderkey FROM orders)
 SELECT model, o_orderkey, version, lag(version) OVER w AS previous, round(metric - coalesce(lag(metric) OVER w, 0), 2) AS delta, string_split(max(printf('%03d.%03d.%03d', split_part(version, '.', 1)::INT, split_part(version, '.', 2)::INT, split_part(version, '.', 3)::INT)) OVER (PARTITION BY model), '.')[1]::INT AS top_major FROM v WINDOW w AS (PARTITION BY model ORDER BY created, o_orderkey)""",
 )
 def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    v = table(spark, sf_dir, "orders").where("o_custkey < 100").select(
+    v = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("model"), F.col("o_orderdate").alias("created"), "o_orderkey", F.col("o_totalprice").alias("metric"),
         F.concat_ws(".", (k % 3).cast("string"), (k % 5).cast("string"), (k % 11).cast("string")).alias("version"),
     )
