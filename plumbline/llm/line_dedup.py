@@ -176,7 +176,10 @@ def ids_of(digests: list[bytes]) -> np.ndarray:
 
 
 def _segment_rows(texts: list[str], lines: Lines, steps: tuple[int, ...], index_only: bool) -> Iterator[pa.RecordBatch]:
-    h, s = ids_of([digest(x) for x in texts]) << 8, lines.parities()
+    if index_only:  # its keys are counted
+        h = s = np.zeros(len(texts), np.int64)
+    else:
+        h, s = ids_of([digest(x) for x in texts]) << 8, lines.parities()
     for less in range(1 if index_only else len(steps) + 1):
         edits = edits_of(lines.length - less, steps)  # of the shorter line
         for e in range(max(less, 1), len(steps) + 1):
