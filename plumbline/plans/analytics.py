@@ -70,17 +70,36 @@ def weak_votes_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_VOTES, "weak_label", F.round("confidence", 9).alias("confidence"), ((F.col("w_pos") > 0) & (F.col("w_neg") > 0)).alias("conflict"), (F.col("confidence") < 0.3).alias("unsure"))
 
 
+#: Words and thresholds of the cancellation heuristic, whose points add up.
+CANCEL_WORDS = [
+    "cancel", "cancelled", "canceled", "boycott", "petition", "fired", "apologized", "apology", "resigned", "stepped down",
+    "backlash", "outrage", "controversy", "damning", "exposed", "hold accountable", "trending for wrong", " ratio ",
+]
+NEGATIVE_WORDS = ["hate", "disgusting", "terrible", "awful", "shame", "disgrace"]
+CANCEL_PARTS = {
+    "high_engagement": ("score > 1000", 1), "viral_engagement": ("score > 5000", 1), "reply_storm": ("comments > 500", 1), "viral_comments": ("comments > 2000", 1),
+    "ratio_collapse": ("ratio < 0.5", 1), "severe_ratio_collapse": ("ratio < 0.3", 1), "negative_tone": ("negative >= 3", 1), "official_response": ("official", 1),
+}
+_CANCEL_ROWS = """SELECT doc_id, n_chars AS score, doc_id * 31 % 2500 AS comments, doc_id * 37 % 100 / 100.0::DOUBLE AS ratio, doc_id % 11 = 0 AS official,
+  lower(coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' Boycott! He was fired' WHEN 1 THEN ' a terrible, awful shame' ELSE '' END) AS low FROM documents"""
+
+
 @query(
     "C01 G04",
-    f"""WITH {SOCIAL}, p AS (SELECT post_id, (score > 100)::INT + (score > 200)::INT + (comments > 30)::INT + (comments > 50)::INT + least(2 * (k % 3), 4) + (toxicity < 0.5)::INT + (toxicity < 0.3)::INT + (CASE WHEN k % 10 >= 3 THEN 2 ELSE 0 END) + verified::INT AS label_score FROM social)
-SELECT post_id, label_score::INT AS label_score, label_score >= 3 AS label FROM p""",
+    f"""WITH d AS ({_CANCEL_ROWS}), p AS (SELECT *, least(2 * len(regexp_extract_all(low, '\\b({"|".join(CANCEL_WORDS)})\\b')), 4) AS words, {" + ".join(f"contains(low, '{w}')::INT" for w in NEGATIVE_WORDS)} AS negative FROM d)
+SELECT doc_id, ({" + ".join(f"({c})::INT * {n}" for c, n in CANCEL_PARTS.values())} + words)::INT AS total, {" + ".join(f"({c})::INT * {n}" for c, n in CANCEL_PARTS.values())} + words >= 3 AS label, words::INT AS cancel_keywords, negative >= 3 AS negative_tone FROM p""",
 )
 def cancellation_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    score = points(
-        (c("score") > 100, 1), (c("score") > 200, 1), (c("comments") > 30, 1), (c("comments") > 50, 1), (c("toxicity") < 0.5, 1), (c("toxicity") < 0.3, 1), (c("k") % 10 >= 3, 2), (c("verified"), 1)
-    ) + F.least(2 * (c("k") % 3), F.lit(4))
-    return social(spark, sf_dir).select("post_id", score.cast("int").alias("label_score"), (score >= 3).alias("label"))
+    """Ten components of points over engagement, replies, words, ratio, tone and who answers; labelled from three points on."""
+    i = F.col("doc_id")
+    more = F.when(i % 4 == 0, " Boycott! He was fired").when(i % 4 == 1, " a terrible, awful shame").otherwise("")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("n_chars").alias("score"), (i * 31 % 2500).alias("comments"), (i * 37 % 100 / 100).alias("ratio"), (i % 11 == 0).alias("official"),
+        F.lower(F.concat(X.whole(F.col("text")), more)).alias("low"),
+    )
+    rows = rows.withColumns({"words": F.least(2 * X.whole_word_hits(F.col("low"), CANCEL_WORDS), F.lit(4)), "negative": X.distinct_hits(F.col("low"), NEGATIVE_WORDS)})
+    total = points(*((F.expr(c), n) for c, n in CANCEL_PARTS.values())) + F.col("words")
+    return rows.select("doc_id", total.cast("int").alias("total"), (total >= 3).alias("label"), F.col("words").cast("int").alias("cancel_keywords"), (F.col("negative") >= 3).alias("negative_tone"))
 
 
 @query(
@@ -98,22 +117,40 @@ def proxy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.crossJoin(F.broadcast(cuts)).select("post_id", total.cast("int").alias("points"))
 
 
-#: Placeholder lexicons with the weight of a hit; fixed values.
-LEXICON = {"severe": (["scum", "worthless"], 0.25), "strong": (["idiot", "moron"], 0.12), "mild": (["stupid", "trash"], 0.05)}
+#: Placeholder lexicons with the weights of a distinct hit in score and category, and placeholder patterns with that of a match;
+#: the weights are fixed values.
+LEXICON = {"severe": (["scum", "worthless"], 0.25, 0.3), "strong": (["idiot", "moron"], 0.12, 0.15), "mild": (["stupid", "trash"], 0.05, 0.0)}
+PATTERNS = {"hate": ("all of (?:them|those) are|go back to where", 0.3), "threat": ("(?:will|going to) (?:hurt|find) you|watch your back", 0.4), "harassment": ("send (?:me )?(?:nudes|pics)", 0.35)}
+_TOXIC_TEXT = "coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' You moron, I will find you!!!!' WHEN 1 THEN ' ALL OF THEM ARE SCUM' WHEN 2 THEN ' send me pics' ELSE '' END"
+_HIT = {n: "(" + " + ".join(f"contains(low, '{w}')::INT" for w in ws) + ")" for n, (ws, _, _) in LEXICON.items()}
+_MATCH = {n: f"len(regexp_extract_all(low, '{p}'))" for n, (p, _) in PATTERNS.items()}
 
 
 @query(
-    "C09 C10 X22",
-    "WITH t AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id, round(least("
-    + " + ".join(f"{w}::DOUBLE * len(regexp_extract_all(low, '\\b({'|'.join(ws)})\\b'))" for ws, w in LEXICON.values())
-    + " + CASE WHEN len(t) > 0 AND len(regexp_extract_all(t, '[A-Z]')) / len(t)::DOUBLE > 0.3 THEN 0.1 ELSE 0 END + least(len(regexp_extract_all(t, '!')) * 0.02::DOUBLE, 0.1), 1.0), 6) AS toxicity FROM t",
+    "C09 X22",
+    f"""WITH t AS (SELECT doc_id, {_TOXIC_TEXT} AS t FROM documents), l AS (SELECT *, lower(t) AS low, list_filter(string_split(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM t),
+h AS (SELECT doc_id, {", ".join(f"{c} AS {n}" for n, c in (_HIT | _MATCH).items())}, len(regexp_extract_all(t, '[A-Z]')) / greatest(length(t), 1)::DOUBLE AS caps, len(regexp_extract_all(t, '!')) AS marks, len(ws) AS n, len(list_distinct(ws)) AS u FROM l)
+SELECT doc_id, round(least({" + ".join(f"{n} * {w}::DOUBLE" for n, (_, w, _) in LEXICON.items())} + {" + ".join(f"{n} * {w}::DOUBLE" for n, (_, w) in PATTERNS.items())} + CASE WHEN caps > 0.3 THEN 0.1 ELSE 0 END
+  + CASE WHEN marks > 3 THEN 0.05::DOUBLE * least(marks, 10) ELSE 0 END + CASE WHEN n > 5 AND u / n::DOUBLE < 0.5 THEN 0.1 ELSE 0 END, 1.0), 6) AS toxicity,
+  round(least(0.5::DOUBLE + 0.1::DOUBLE * (severe + strong + (hate > 0)::INT + (threat > 0)::INT), 0.95), 6) AS confidence, round(least({" + ".join(f"{n} * {c}::DOUBLE" for n, (_, _, c) in LEXICON.items())}, 1.0), 6) AS profanity,
+  {", ".join(f"round(least({n} * {w}::DOUBLE, 1.0), 6) AS {n}" for n, (_, w) in PATTERNS.items())} FROM h""",
 )
 def rule_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    hits = sum((F.lit(w) * X.whole_word_hits(text, ws) for ws, w in LEXICON.values()), F.lit(0.0))
-    caps = F.when(X.caps_ratio(text) > 0.3, 0.1).otherwise(0.0)
-    marks = F.least(F.regexp_count(X.whole(text), F.lit("!")) * F.lit(0.02), F.lit(0.1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(F.least(hits + caps + marks, F.lit(1.0)), 6).alias("toxicity"))
+    """Severity-weighted words, patterns by category, capitals, exclamations and repetition; with categories and confidence."""
+    i = F.col("doc_id")
+    more = F.when(i % 6 == 0, " You moron, I will find you!!!!").when(i % 6 == 1, " ALL OF THEM ARE SCUM").when(i % 6 == 2, " send me pics").otherwise("")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(X.whole(F.col("text")), more).alias("t"))
+    t, own = F.col("t"), X.words(F.lower("t"))
+    hits = {n: X.distinct_hits(t, ws) for n, (ws, _, _) in LEXICON.items()} | {n: F.regexp_count(F.lower(t), F.lit(p)) for n, (p, _) in PATTERNS.items()}
+    rows = rows.select("doc_id", *(c.alias(n) for n, c in hits.items()), X.caps_ratio(t).alias("caps"), F.regexp_count(t, F.lit("!")).alias("marks"), F.size(own).alias("n"), F.size(F.array_distinct(own)).alias("u"))
+    weights = {n: w for n, (_, w, _) in LEXICON.items()} | {n: w for n, (_, w) in PATTERNS.items()}
+    score = sum((F.col(n) * F.lit(w) for n, w in weights.items()), F.lit(0.0))
+    score = score + F.when(F.col("caps") > 0.3, 0.1).otherwise(0.0) + F.when(F.col("marks") > 3, F.lit(0.05) * F.least("marks", F.lit(10))).otherwise(0.0)
+    score = score + F.when((F.col("n") > 5) & (F.col("u") / F.col("n") < 0.5), 0.1).otherwise(0.0)
+    signals = F.col("severe") + F.col("strong") + (F.col("hate") > 0).cast("int") + (F.col("threat") > 0).cast("int")
+    profanity = sum((F.col(n) * F.lit(c) for n, (_, _, c) in LEXICON.items()), F.lit(0.0))
+    capped = {"toxicity": score, "profanity": profanity} | {n: F.col(n) * F.lit(w) for n, (_, w) in PATTERNS.items()}
+    return rows.select("doc_id", *(F.round(F.least(c, F.lit(1.0)), 6).alias(n) for n, c in capped.items()), F.round(F.least(0.5 + F.lit(0.1) * signals, F.lit(0.95)), 6).alias("confidence"))
 
 
 @query(
@@ -179,7 +216,7 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "C21 C40",
+    "C21",
     f"""WITH {_PRED}, t AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold)
 SELECT threshold, round(count(*) FILTER (p >= threshold AND y = 1) / greatest(count(*) FILTER (p >= threshold), 1)::DOUBLE, 9) AS "precision", round(count(*) FILTER (p >= threshold AND y = 1) / (count(*) FILTER (y = 1))::DOUBLE, 9) AS recall FROM pred, t GROUP BY threshold""",
 )
@@ -194,6 +231,28 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("o.threshold", F.round(F.col("o.tp") / F.greatest("o.hit", F.lit(1)), 9).alias("precision"), F.round(F.col("o.tp") / F.col("pos"), 9).alias("recall"))
 
 
+@query(
+    "C40",
+    f"""WITH {_PRED}, m AS (SELECT p AS m1, round(least(greatest(0.9 - p / 2 + (post_id % 7) / 20.0::DOUBLE, 0), 1), 5) AS m2, (post_id % 10) / 10.0::DOUBLE AS m3, y FROM pred),
+g AS (SELECT a.i AS a, b.i AS b, 10 - a.i - b.i AS c FROM range(11) a(i), range(11) b(i) WHERE a.i + b.i <= 10),
+f AS (SELECT a, b, c, count(*) FILTER (hit AND y = 1) AS tp, count(*) FILTER (hit AND y = 0) AS fp, count(*) FILTER (NOT hit AND y = 1) AS fn FROM (SELECT g.*, y, round((a * m1 + b * m2 + c * m3) / 10, 9) >= 0.5 AS hit FROM m, g) GROUP BY ALL)
+SELECT a / 10.0::DOUBLE AS w1, b / 10.0::DOUBLE AS w2, c / 10.0::DOUBLE AS w3, round(2 * tp / greatest(2 * tp + fp + fn, 1)::DOUBLE, 9) AS f1 FROM f ORDER BY f1 DESC, a, b LIMIT 1""",
+)
+def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of three models, in tenths, with the best F1: all 66 combinations in one pass over the rows."""
+    p, i = F.col("p"), F.col("post_id")
+    other = F.round(F.least(F.greatest(0.9 - p / 2 + i % 7 / 20, F.lit(0.0)), F.lit(1.0)), 5)
+    rows = predictions(spark, sf_dir).select(p.alias("m1"), other.alias("m2"), (i % 10 / 10).alias("m3"), "y")
+    grid = [(a, b, 10 - a - b) for a in range(11) for b in range(11 - a)]
+    hits = [F.round((a * F.col("m1") + b * F.col("m2") + c * F.col("m3")) / 10, 9) >= 0.5 for a, b, c in grid]
+    sums = rows.agg(*(F.count_if(h & (F.col("y") == y)).alias(f"h{y}_{n}") for n, h in enumerate(hits) for y in (0, 1)), F.count_if(F.col("y") == 1).alias("pos"))
+    f1 = [stats.ratio(F.lit(2) * F.col(f"h1_{n}"), F.col(f"h1_{n}") + F.col(f"h0_{n}") + F.col("pos")) for n in range(len(grid))]
+    found = [F.struct(F.round(x, 9).alias("f1"), F.lit(-a).alias("a"), F.lit(-b).alias("b")) for x, (a, b, _) in zip(f1, grid, strict=True)]
+    best = sums.select(F.array_max(F.array(*found)).alias("x"))
+    a, b = -F.col("x.a"), -F.col("x.b")
+    return best.select((a / 10).alias("w1"), (b / 10).alias("w2"), ((10 - a - b) / 10).alias("w3"), "x.f1")
+
+
 @query(
     "C22 C24",
     f"""WITH {_PRED}, v AS (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM pred GROUP BY p), r AS (SELECT *, sum(neg) OVER (ORDER BY p) - neg AS nb, sum(pos) OVER (ORDER BY p DESC) AS pa, sum(neg) OVER (ORDER BY p DESC) AS na FROM v)
@@ -348,7 +407,7 @@ def reference_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "C37 C39",
+    "C37",
     """WITH m AS (SELECT o_custkey AS model, avg((o_orderstatus = 'F')::INT) AS f1, quantile_cont(o_totalprice / 10000, 0.99) AS p99, stddev_pop(o_totalprice) / 1e6 AS drift FROM orders GROUP BY 1)
 SELECT model, f1 >= 0.3 AND p99 <= 50 AND drift <= 0.15 AS promoted, concat_ws(',', CASE WHEN f1 < 0.3 THEN 'f1' END, CASE WHEN p99 > 50 THEN 'latency' END, CASE WHEN drift > 0.15 THEN 'drift' END) AS reasons FROM m""",
 )

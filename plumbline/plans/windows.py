@@ -50,7 +50,7 @@ def community_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W15 W16 J27 J28 J29 D05",
+    "W15 W16 J27 J29 D05",
     f"""WITH {EDGES}, w AS (SELECT *, floor((epoch(TIMESTAMP '{AS_OF}') - epoch(ts)) / 86400) AS age FROM edges)
 SELECT src, dst, type, ts, round(exp(-age / 30.0), 6) AS decayed, round(exp(-age / 30.0) * (1 + least(weight / 100, 1.0)), 6) AS reply_weight FROM w WHERE type IN ('mention', 'reply')""",
 )
@@ -60,6 +60,19 @@ def edge_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("src", "dst", "type", "ts", F.round(decay(F.col("age")), 6).alias("decayed"), F.round(reply_weight(F.col("age"), F.col("weight")), 6).alias("reply_weight"))
 
 
+@query(
+    "J28 W15",
+    f"""WITH {EDGES}, known AS (SELECT user_id FROM social GROUP BY user_id HAVING count(*) >= 2)
+SELECT src, dst, count(*) AS n, round(sum(exp(-floor((epoch(TIMESTAMP '{AS_OF}') - epoch(ts)) / 86400) / 30.0)), 6) AS weight FROM edges WHERE type = 'retweet' AND dst IN (SELECT user_id FROM known) GROUP BY src, dst""",
+)
+def retweet_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from who shared a post to its author, where the author is known; a pair's weight is the sum of its decays."""
+    age = F.floor((F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86400e6)
+    known = social(spark, sf_dir).groupBy(F.col("user_id").alias("dst")).agg(F.count("*").alias("posts")).where("posts >= 2").select("dst")
+    own = edges(spark, sf_dir).where("type = 'retweet'").join(known, "dst", "left_semi")
+    return own.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum(decay(age)), 6).alias("weight"))
+
+
 @query(
     "W17 W19 T05",
     f"""WITH {SOCIAL}, u AS (SELECT user_id, count(*) AS n, avg(sentiment) AS s FROM social GROUP BY user_id) SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS place FROM u ORDER BY n DESC, user_id LIMIT 50""",
@@ -146,7 +159,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "T04 J15 J22 T06 T10",
+    "T04 J22 T06 T10",
     """WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS query_label FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, query_label, vec_id, label, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE)), 5) AS score FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place, (label = query_label) AS same FROM s QUALIFY place <= 5""",
@@ -160,6 +173,22 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5").select("query_id", "vec_id", "score", "place", "same")
 
 
+@query(
+    "J15",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - q[i]::DOUBLE) ** 2))), 5) AS distance FROM q, embeddings WHERE vec_id <> query_id)
+SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s QUALIFY place <= 5""",
+)
+def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of each query by Euclidean distance; queries are a stated set, all rows pass them once."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    square = F.aggregate(F.zip_with("embedding", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    rows = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(F.sqrt(square), 5).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5")
+
+
 @query(
     "T02 W23 Z14",
     f"""WITH {SOCIAL} SELECT community, post_id, toxicity FROM social QUALIFY row_number() OVER (PARTITION BY community ORDER BY ts DESC, post_id DESC) <= 100""",
