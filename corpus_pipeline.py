@@ -4,6 +4,10 @@ Toxic documents go; repeated lines go but for their first occurrence; of near-du
 stays; secrets are masked; what is left is packed into sequences of 2048 tokens. The first four return the columns of
 ``documents`` (``n_chars`` follows the text), the last one row per packed piece. The SQL of the toxicity model and of the
 packing can't be written, so tests hold the pipeline against a plain version of its stages.
+
+Defined cases: null texts are empty for every stage and stay null where nothing is cut from them; keys may be null or repeat
+(rows are told apart by numbers of their own); of repeated rows the first keeps its lines and stays; ties of key go by the
+text's hash; texts are read whole, however long; columns of any name are kept; empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """The folder that all executors share, and tables written there.
 
-The cluster names it in ``spark.checkpoint.dir``; only where that is unset the library chooses one itself.
+The cluster names it in ``spark.checkpoint.dir``; only a local session may leave it unset.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The URI of the shared folder, without a trailing slash."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or f"file:///tmp/checkpoints/plumbline-{spark.sparkContext.applicationId}").rstrip("/")
 
 
