@@ -63,6 +63,16 @@ def test_secrets_scopes(spark):
     assert sorted(got) == [(1, ["access", "key40"]), (2, ["access"]), (3, ["access"]), (4, ["key40", "access"]), (4, ["key40", "access"])]
 
 
+def test_secrets_nearest_part_by_end(spark):
+    """An assignment that ends beside a user links it, though a bare key within it starts later and ends far before."""
+    value = "k" * 40 + "." + "v" * 500
+    rows = [(1, f"token={value} user=alice"), (2, f"user=alice token={value}"), (3, f"token={value}" + " z" * 250 + " user=alice"), (4, f"token={value}\n\nuser=alice")]
+    df = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in rows], "doc_id long, text string, __k int, __h int, __spans int")
+    got = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in secrets.scan(df).collect()}
+    assert ["user" in got[i] for i in (1, 2, 3, 4)] == [True, True, False, False]
+    assert secrets.redact(df).columns == df.columns
+
+
 def test_secrets_redaction(docs):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert got[9] == "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12 alone, [REDACTED]"
