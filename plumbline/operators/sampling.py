@@ -45,14 +45,18 @@ def placed(df: DataFrame, strata: list[str], key: str) -> DataFrame:
     return out.select("__l.*", (F.col("__local") + F.col("__base")).alias("__place"), "__size").drop("__hash", "__digit", "__local")
 
 
+def by_range(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows dealt by range of ``order``, with their range's number ``__range``; written, so that every use sees the same deal."""
+    return materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "by-range")
+
+
 def in_order(df: DataFrame, order: list[str]) -> DataFrame:
     """Each row's place (1 on) among all rows in order, and their number: ``__place``, ``__size``.
 
     Rows are dealt by range and written, so that every use sees the same deal; a place is the row's number in its range plus
     the rows of the ranges before, of which there is one row each. No task sees all rows.
     """
-    rows = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    rows = materialize(rows, "in-order")
+    rows = by_range(df, order)
     local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     run = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))

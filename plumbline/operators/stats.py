@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.sampling import by_range
+
 
 def confusion(y: str = "y", p: str = "p") -> list[Column]:
     """tp, fp, fn, tn of label and prediction columns of 0 and 1."""
@@ -41,11 +43,50 @@ def classification(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str,
 def by_value(rows: DataFrame, value: str, label: str) -> DataFrame:
     """Per distinct value: rows of label 1 and 0, and those of lower values; ranks follow without numbering rows.
 
-    The running sums are over distinct values; round scores first where those would be as many as rows.
+    Values are dealt by range: a running sum is that within the value's range plus the ranges before, of which there is one
+    row each, so that no task sees all values.
     """
     own = rows.groupBy(F.col(value).alias("x")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    return own.select("x", "pos", "neg", *(F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in ("pos", "neg")))
+    return own_and_below(own, ["x"], ["pos", "neg"])
+
+
+def own_and_below(rows: DataFrame, order: list[str], sums: list[str], group: str | None = None) -> DataFrame:
+    """The rows with, for each of the columns ``sums``, its sum over the lower rows by ``order`` (of the row's group): ``<column>_below``."""
+    groups = [group] if group else []
+    rows = by_range(rows, [*groups, *order])
+    within = Window.partitionBy(*groups, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*groups, "__range").agg(*(F.sum(c).alias(c) for c in sums))
+    bases = bases.select(F.col("__range").alias("__r"), *(F.col(g).alias("__g") for g in groups), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in sums))
+    rows = rows.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
+    same = F.col("__range") == F.col("__r")
+    joined = rows.join(bases, same & F.col(group).eqNullSafe(F.col("__g")) if group else same)
+    return joined.withColumns({f"{c}_below": F.col(f"{c}_below") + F.col(f"__{c}") for c in sums}).drop("__range", "__r", "__g", *(f"__{c}" for c in sums))
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float], group: str | None = None) -> DataFrame:
+    """``q``, the exact quantiles of a column at ``shares``, linear between neighbours; a row a group, or one row.
+
+    Values are counted, and found by their places in ranges: a group's distinct values needn't fit in a task, as they must for
+    ``percentile``. Nulls are left out; a group without values has no row, and without groups no values give nulls.
+    """
+    groups = [group] if group else []
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
+    counts = own_and_below(counts, ["__x"], ["__n"], group)
+    total = counts.groupBy(*(F.col(g).alias("__g") for g in groups)).agg(F.sum("__n").alias("__total"))
+    joined = counts.join(total, F.col(group).eqNullSafe(F.col("__g"))) if group else counts.crossJoin(F.broadcast(total))
+
+    def at(place: Column) -> Column:
+        return F.min(F.when((F.col("__n_below") <= place) & (place < F.col("__n_below") + F.col("__n")), F.col("__x")))
+
+    columns = []
+    for i, share in enumerate(shares):
+        place = (F.col("__total") - 1) * F.lit(share)
+        columns += [at(F.floor(place)).alias(f"__low{i}"), at(F.ceil(place)).alias(f"__high{i}"), F.max(place - F.floor(place)).alias(f"__part{i}")]
+    own = joined.groupBy(*groups).agg(*columns)
+    low, high, part = ([F.col(f"__{n}{i}") for i in range(len(shares))] for n in ("low", "high", "part"))
+    q = F.array(*(F.when(a == b, a).otherwise((1 - p) * a + p * b) for a, b, p in zip(low, high, part, strict=True)))
+    return own.select(*groups, q.alias("q"))
 
 
 def roc_auc(rows: DataFrame, value: str, label: str) -> DataFrame:

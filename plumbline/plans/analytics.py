@@ -110,7 +110,8 @@ SELECT post_id, ((score > q90 AND q90 > 0)::INT + (sentiment < -0.3)::INT + 2 *
 def proxy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     p = social(spark, sf_dir).withColumn("ratio", c("comments") / (c("score") + 1))
-    cuts = p.agg(F.percentile("score", 0.9).alias("q90"), F.percentile("ratio", 0.95).alias("q95"))
+    scores, ratios = stats.quantiles(p, "score", [0.9]), stats.quantiles(p, "ratio", [0.95])
+    cuts = scores.select(F.get("q", F.lit(0)).alias("q90")).crossJoin(ratios.select(F.get("q", F.lit(0)).alias("q95")))
     total = points(
         ((c("score") > c("q90")) & (c("q90") > 0), 1), (c("sentiment") < -0.3, 1), (c("k") % 5 == 0, 2), (c("k") % 7 == 0, 1), ((c("ratio") > c("q95")) & (c("q95") > 0), 1), (c("verified") & (c("sentiment") < 0), 1)
     )
@@ -400,10 +401,9 @@ SELECT feature, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, min(x)
 )
 def reference_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = social(spark, sf_dir).select("score", "sentiment", "toxicity").unpivot([], ["score", "sentiment", "toxicity"], "feature", "x")
-    return own.groupBy("feature").agg(
-        F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_pop("x"), 9).alias("std"), F.min("x").alias("low"), F.max("x").alias("high"),
-        F.round(F.percentile("x", 0.05), 9).alias("p5"), F.round(F.percentile("x", 0.95), 9).alias("p95"),
-    )
+    ends = stats.quantiles(own, "x", [0.05, 0.95], "feature").select("feature", *(F.round(F.get("q", F.lit(i)), 9).alias(n) for i, n in enumerate(("p5", "p95"))))
+    whole = own.groupBy("feature").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_pop("x"), 9).alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return whole.join(ends, "feature")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scores as S
 from plumbline.operators.columns import col_or, drop_null_keys, first_present, prefixed, wanted
+from plumbline.operators.stats import quantiles
 from plumbline.plans.base import AS_OF, SOCIAL, social
 from plumbline.registry import query, table
 
@@ -180,7 +181,8 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.log1p(F.avg("score")).alias("f"), F.avg("sentiment").alias("s"), F.avg("toxicity").alias("t"), (F.sum(angry) / F.count("*")).alias("c")
     )
     users = users.withColumn("risk", 3 * F.col("c") - 2 * F.col("s") + 2 * F.col("t"))
-    whole = users.agg(F.avg("f").alias("mean"), F.stddev_pop("f").alias("dev"), F.percentile("risk", 0.8).alias("cut"))
+    cut = quantiles(users, "risk", [0.8]).select(F.get("q", F.lit(0)).alias("cut"))
+    whole = users.agg(F.avg("f").alias("mean"), F.stddev_pop("f").alias("dev")).crossJoin(cut)
     z = (F.col("f") - F.col("mean")) / (F.col("dev") + 1e-8)
     return users.crossJoin(F.broadcast(whole)).select(
         "user_id", F.round(z, 6).alias("z"), F.round("risk", 6).alias("risk"), (F.round("risk", 9) >= F.round("cut", 9)).cast("int").alias("label")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.sampling import cap_strata, dedup_first, folds, hash_order, in_order, normal_key, split_strata, undersample
+from plumbline.operators.stats import quantiles
 from plumbline.plans.base import SOCIAL, social
 from plumbline.registry import query, table
 
@@ -171,6 +172,6 @@ def consolidated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select(F.lit("docs").alias("source"), F.lit(None).cast("double").alias("level")),
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("level", F.coalesce(clip(F.col("level"), 0, 1), F.lit(0.5)))
-    return rows.groupBy("source").agg(
-        F.count("*").alias("n"), F.round(F.avg("level"), 9).alias("mean"), F.round(F.avg((F.col("level") > 0.5).cast("int")), 9).alias("positive"), F.round(F.percentile("level", 0.5), 9).alias("median")
-    )
+    medians = quantiles(rows, "level", [0.5], "source").select("source", F.round(F.get("q", F.lit(0)), 9).alias("median"))
+    whole = rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("level"), 9).alias("mean"), F.round(F.avg((F.col("level") > 0.5).cast("int")), 9).alias("positive"))
+    return whole.join(medians, "source")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scores import decay, dot, reply_weight
 from plumbline.functions.text import words
 from plumbline.operators.temporal import forecast, temporal_features
+from plumbline.operators.vectors import against_all
 from plumbline.plans.base import AS_OF, EDGES, SOCIAL, edges, social
 from plumbline.registry import query, table
 
@@ -133,6 +134,8 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of an index of queries' words that are broadcast: some tens of megabytes.
+INDEX_ROWS = 1_000_000
 _WORDS = "list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g')), ' '), lambda s: s <> '')"
 
 
@@ -146,12 +149,14 @@ SELECT item_id, doc_id, hits, place FROM c WHERE used <= 4000 AND place <= 5""",
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by distinct words shared with a query, the best within a budget of tokens: stop at the first that exceeds it.
 
-    Queries meet documents in an inverted index; a document's words are cut and counted once.
+    Queries meet documents in an inverted index; a document's words are cut and counted once. The index is broadcast up to
+    ``INDEX_ROWS`` rows and shuffled by word beyond.
     """
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("w"))
     d = table(spark, sf_dir, "documents").select("doc_id", words(F.lower("text")).alias("ws"))
     d = d.select("doc_id", F.size("ws").alias("tokens"), F.explode(F.array_distinct("ws")).alias("w"))
-    hits = d.join(F.broadcast(q), "w").groupBy("item_id", "doc_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("hits"))
+    small = q.limit(INDEX_ROWS + 1).count() <= INDEX_ROWS
+    hits = d.join(F.broadcast(q) if small else q, "w").groupBy("item_id", "doc_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("hits"))
     order = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
     top = hits.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 20")
     used = F.sum("tokens").over(Window.partitionBy("item_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
@@ -165,10 +170,10 @@ s AS (SELECT query_id, query_label, vec_id, label, round(list_sum(list_transform
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place, (label = query_label) AS same FROM s QUALIFY place <= 5""",
 )
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of each query by dot product. Queries are a stated set; all rows pass them once."""
+    """The five nearest vectors of each query by dot product. Queries are a stated set, which all rows pass in blocks."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    rows = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("score"), (F.col("label") == F.col("query_label")).alias("same"))
+    rows = against_all(e, q, "vec_id", "query_id").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("score"), (F.col("label") == F.col("query_label")).alias("same"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5").select("query_id", "vec_id", "score", "place", "same")
 
@@ -180,11 +185,11 @@ s AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(e
 SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s QUALIFY place <= 5""",
 )
 def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest other vectors of each query by Euclidean distance; queries are a stated set, all rows pass them once."""
+    """The five nearest other vectors of each query by Euclidean distance; queries are a stated set, which all rows pass in blocks."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     square = F.aggregate(F.zip_with("embedding", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    rows = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(F.sqrt(square), 5).alias("distance"))
+    rows = against_all(e, q, "vec_id", "query_id").select("query_id", "vec_id", F.round(F.sqrt(square), 5).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5")
 

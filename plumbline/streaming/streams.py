@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -74,22 +75,36 @@ def token_bucket(stream: DataFrame, key: str, ts: str, *, capacity: float, per_s
 
 
 def circuit_breaker(calls: DataFrame, key: str, order: str, failed: str, *, limit: int = 3, cooldown: int = 5) -> DataFrame:
-    """State of a breaker after each of a key's ordered calls: open after ``limit`` failures in a row, half-open after
-    ``cooldown`` calls, closed by a success. A fold over a key's calls, which are collected in order."""
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("fails"), F.lit(0).alias("since"))
-
-    def step(s, x):
-        bad = x["failed"]
-        waited = s["since"] + 1
-        opened = F.struct(F.lit("open").alias("state"), F.lit(0).alias("fails"), F.lit(0).alias("since"))
-        half = F.struct(F.lit("half_open").alias("state"), F.lit(0).alias("fails"), F.lit(0).alias("since"))
-        return (
-            F.when((s["state"] == "open") & (waited < cooldown), F.struct(F.lit("open").alias("state"), F.lit(0).alias("fails"), waited.alias("since")))
-            .when(s["state"] == "open", half)
-            .when(bad & ((s["state"] == "half_open") | (s["fails"] + 1 >= limit)), opened)
-            .when(bad, F.struct(F.lit("closed").alias("state"), (s["fails"] + 1).alias("fails"), F.lit(0).alias("since")))
-            .otherwise(start)
-        )
-
-    own = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(failed).alias("failed")))).alias("calls"))
-    return own.select(key, F.aggregate("calls", start, step)["state"].alias("state"))
+    """State of a breaker after all of a key's calls in order: open after ``limit`` failures in a row, half-open after
+    ``cooldown`` calls, closed by a success; an unknown outcome is none of failure.
+
+    A key's calls are sorted in its task and stream through it, a batch at a time: of a key only three values are held.
+    """
+    n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key_type = calls.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, fails, since = None, "closed", 0, 0
+        for batch in batches:
+            keys, states, kind = [], [], batch.schema.field(0).type
+            for k, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if last is None or k != last[0]:
+                    if last is not None:
+                        keys.append(last[0])
+                        states.append(state)
+                    last, state, fails, since = (k,), "closed", 0, 0
+                if state == "open":
+                    since += 1
+                    state = "open" if since < cooldown else "half_open"
+                elif not bad:
+                    state, fails = "closed", 0
+                elif state == "half_open" or fails + 1 >= limit:
+                    state, fails, since = "open", 0, 0
+                else:
+                    fails += 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(states, pa.string())], names=[key, "state"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], kind), pa.array([state], pa.string())], names=[key, "state"])
+
+    rows = calls.select(key, F.col(failed).alias("failed"), F.col(order).alias("o")).repartition(n, key).sortWithinPartitions(key, "o", "failed")
+    return rows.select(key, "failed").mapInArrow(run, f"`{key}` {key_type}, state string")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scores as S
 from plumbline.functions import text as X
-from plumbline.operators import joins, labels, sampling, stats, temporal
+from plumbline.operators import joins, labels, sampling, stats, temporal, vectors
 from plumbline.sources import readers, writers
+from plumbline.streaming import streams
 
 
 def values(df):
@@ -133,6 +134,75 @@ def test_ks_and_auc(spark):
     assert stats.ks_statistic(df, "p", "y").collect()[0][0] == 0.5
 
 
+def test_running_sums_and_quantiles_by_range(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x)) for g in ("a", None, "one") for x in (rng.integers(0, 300, 1 if g == "one" else 2001))] + [("a", None)] * 5
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    shares = [0.0, 0.05, 0.5, 0.8, 0.99, 1.0]
+    for row in stats.quantiles(df, "x", shares, "g").collect():
+        want = np.quantile([x for g, x in rows if g == row["g"] and x is not None], shares)
+        assert np.allclose(row["q"], want, rtol=0, atol=1e-9)
+    assert stats.quantiles(df, "x", shares, "g").count() == 3
+    assert np.allclose(stats.quantiles(df, "x", shares).collect()[0]["q"], np.quantile([x for _, x in rows if x is not None], shares))
+    assert stats.quantiles(df.where("false"), "x", [0.5]).collect()[0]["q"] == [None]
+    counts = df.where("x IS NOT NULL").groupBy("x").count()
+    below = 0
+    for row in stats.own_and_below(counts, ["x"], ["count"]).orderBy("x").collect():
+        assert row["count_below"] == below
+        below += row["count"]
+
+
+def test_circuit_breaker(spark):
+    import random
+
+    chance = random.Random(5)
+    calls = [(k, i, chance.choice([True, True, False, None])) for k in (1, 2, 3, None) for i in range(1, 400 if k == 2 else 30)]
+    want = {}
+    for k in {c[0] for c in calls}:
+        state, fails, waited = "closed", 0, 0
+        for _, _, bad in sorted((c for c in calls if c[0] == k), key=lambda c: c[1]):
+            if state == "open":
+                waited += 1
+                if waited >= 5:
+                    state = "half_open"
+            elif bad:
+                fails += 1
+                if state == "half_open" or fails >= 3:
+                    state, fails, waited = "open", 0, 0
+            else:
+                state, fails = "closed", 0
+        want[k] = state
+    df = spark.createDataFrame(calls, "k long, i long, bad boolean").repartition(5)
+    out = streams.circuit_breaker(df, "k", "i", "bad")
+    assert dict(values(out)) == want and out.columns == ["k", "state"]
+    assert values(streams.circuit_breaker(df.where("false"), "k", "i", "bad")) == []
+
+
+def test_near_neighbours_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(40, 16))[rng.integers(0, 40, 1600)] + 0.15 * rng.normal(size=(1600, 16))).round(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, v array<double>").repartition(4)
+    square = ((points[:, None, :] - points[None]) ** 2).sum(2) + np.diag(np.full(1600, np.inf))
+    exact = np.argsort(square, axis=1)[:, :5]
+    found = {}
+    for i, j in values(vectors.near_neighbours(df, "id", "v", 5, dims=16).select("id", "neighbour")):
+        found.setdefault(i, set()).add(j)
+    assert np.mean([len(found.get(i, set()) & set(exact[i].tolist())) / 5 for i in range(1600)]) >= 0.9
+    few = vectors.near_neighbours(df.where("id < 300"), "id", "v", 5, dims=16).groupBy("id").count()
+    assert {r[1] for r in few.collect()} == {5} and few.count() == 300
+
+
+def test_queries_in_blocks(spark):
+    df = spark.range(50).selectExpr("id AS k")
+    queries = spark.range(0, 50, 10).selectExpr("id AS q")
+    assert sum(b.count() for b in vectors.query_blocks(queries, "q", rows=2)) == 5
+    assert vectors.against_all(df, queries, "k", "q").count() == 5 * 49
+
+
 def test_student_p(spark):
     df = spark.createDataFrame([(2.0, 10.0)], "t double, df double").select(stats.student_p("t", "df"))
     assert abs(df.collect()[0][0] - 0.07338803) < 1e-7
