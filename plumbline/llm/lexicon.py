@@ -17,9 +17,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.storage import materialize
+from plumbline.llm.storage import materialize, new_path, write_file
 from plumbline.llm.words import Vocabulary, byte_letters, ragged_take, text_slices
 
 #: Distinct words of the corpus that the lexicon takes, by frequency; each with and without a leading space.
@@ -295,14 +292,13 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, *, text: str = "t
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
-    """Compile a lexicon of ``words``, each with and without a leading space; Spark copies the file to every executor."""
+    """Compile a lexicon of ``words``, each with and without a leading space, into the shared folder; Spark copies the file
+    from there to every executor, a new one too."""
     data = compile_lexicon([*words, *(" " + w for w in words)], Merges(tokenizer))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with open(path, "wb") as f:
-        f.write(data)
+    path = f"{new_path(spark, 'lexicon')}.bin"
+    write_file(path, data)
     spark.sparkContext.addFile(path)
-    return name
+    return path.rpartition("/")[2]
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
