@@ -26,10 +26,12 @@ from __future__ import annotations
 import random
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.storage import materialize
@@ -179,9 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     found = texts.where(F.octet_length("body") <= DOC_BYTES).join(sample, "k").groupBy("k", "h", "y", "use").agg(F.min("body").alias("body"))
     found = materialize(found, "toxicity-sample")
-    so_far = F.sum(F.octet_length("body")).over(Window.partitionBy("use").orderBy("h", "k"))
-    fit_in = found.select("k", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_BYTES).select("k")
-    got = found.join(fit_in, "k", "left_semi").select("k", "body", "y", "use").toArrow().sort_by([("k", "ascending")]).to_pylist()
+    sizes = found.select("use", "h", F.octet_length("body").alias("size")).toArrow().sort_by([("use", "ascending"), ("h", "ascending")]).to_pylist()
+    so_far, last = Counter(), {}
+    for r in sizes:  # numbers of the bounded sample
+        so_far[r["use"]] += r["size"]
+        if so_far[r["use"]] <= SAMPLE_BYTES:
+            last[r["use"]] = r["h"]
+    fit_in = [(F.col("use") == use) & (F.col("h") <= h) for use, h in last.items()]
+    if not fit_in:
+        return None
+    got = found.where(reduce(or_, fit_in)).select("k", "body", "y", "use").toArrow().sort_by([("k", "ascending")]).to_pylist()
     toxic, ordinary = ([bytes(r["body"]) for r in got if r["use"] == i] for i in (0, 1))
     y = np.array([float(r["y"]) for r in got if r["use"] == 2])
     if not toxic or not ordinary or len(set(y)) < 2:
