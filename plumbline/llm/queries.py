@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, lexicon, line_dedup, media, near_dedup, packing, secrets, token_shards, toxicity
+from plumbline.llm import chat, exact_dedup, jaccard, lexicon, line_dedup, media, near_dedup, packing, repair, runs, secrets, token_shards, toxicity
 from plumbline.llm.storage import materialize, new_path
 
 #: Rows of an Arrow batch: documents are long, and a batch is held whole by a task.
@@ -113,6 +113,59 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 """
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with a periodic end in the text of every tenth document, by the hash of its id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), runs.SPACE), lambda w: w != "")
+    chosen = docs.withColumns({"__g": F.floor(h / 10), "__words": F.when(h % 10 == 0, words)}).withColumn("__n", F.size("__words"))
+    at = chosen.withColumn("__a", F.expr("if(__n > 0, __g % __n, null)"))
+    at = at.withColumn("__p", F.expr("1 + (__n - __a) div (3 + __g % 8)"))
+    periodic = F.expr("array_join(transform(sequence(0, __n - 1), i -> get(__words, cast(if(i < __a, i, __a + (i - __a) % __p) AS int))), ' ')")
+    return at.withColumn("text", F.when(F.col("__n") > 0, periodic).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.array_join(line, "").alias("lines"), "collapsed")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        "best.length",
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` rows, some dropped, emptied, cut, repeated or renamed, by the hash of their key."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(name) % 20).alias("damage"))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1)))
+    return rows.where("damage <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair(damaged(turns))
+    ids = turns.select(F.col("conv_id").alias("c")).distinct()
+    both = ids.join(found, found["conv_id"].eqNullSafe(ids["c"]), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    rest = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return both.select(F.col("c").alias("conv_id"), *counts, *rest)
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -125,6 +178,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_media_flac": op9_media_flac,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_ngram_jaccard": op13_ngram_jaccard,
     }
 
 
