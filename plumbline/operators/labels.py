@@ -22,16 +22,16 @@ def vote(positive: Column, negative: Column) -> Column:
     return F.when(F.coalesce(positive, F.lit(False)), 1).when(F.coalesce(negative, F.lit(False)), 0).otherwise(-1)
 
 
-def standard_functions(*, engagement: str, sentiment: str, toxicity: str, comments: str, communities: str, days: str, actions: str, hedges: str) -> list[LabelingFunction]:
+def standard_functions(*, engagement: str, sentiment: str, toxicity: str, severe: str, comments: str, communities: str, days: str, actions: str, hedges: str) -> list[LabelingFunction]:
     """The seven functions; their thresholds and weights are fixed values."""
     c = F.col
     return [
         LabelingFunction("lf_engagement", 2.0, vote(c(engagement) > 500, c(engagement) < 20)),
         LabelingFunction("lf_sentiment", 1.5, vote(c(sentiment) < -0.4, c(sentiment) > 0.2)),
-        LabelingFunction("lf_toxicity", 1.5, vote(c(toxicity) > 0.6, c(toxicity) < 0.1)),
-        LabelingFunction("lf_action", 3.0, vote((c(actions) >= 2) & (c(hedges) == 0), (c(actions) == 0) & (c(hedges) > 0))),
-        LabelingFunction("lf_comments", 1.0, vote(c(comments) > 50, c(comments) < 5)),
-        LabelingFunction("lf_communities", 2.0, vote(c(communities) >= 3, c(communities) == 0)),
+        LabelingFunction("lf_toxicity", 1.5, vote((c(toxicity) > 0.6) | (c(severe) > 0.5), (c(toxicity) < 0.2) & (c(severe) < 0.1))),
+        LabelingFunction("lf_action", 3.0, vote((c(actions) >= 2) & (c(hedges) == 0), (c(actions) == 0) & (c(hedges) >= 2))),
+        LabelingFunction("lf_communities", 1.0, vote(c(communities) >= 3, c(communities) == 0)),
+        LabelingFunction("lf_comments", 2.0, vote(c(comments) > 50, c(comments) < 5)),
         LabelingFunction("lf_persistence", 1.0, vote(c(days) >= 3, c(days) == 0)),
     ]
 

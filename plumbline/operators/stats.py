@@ -137,7 +137,7 @@ def psi(rows: DataFrame, value: str, group: str, bins: int = 10, eps: float = 1e
 
 
 def welch(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """Welch's t, its degrees of freedom, two-sided p and the lift of group 1 over group 0."""
+    """Welch's t, its degrees of freedom, two-sided p and the lift of group 1 over the absolute mean of group 0."""
     m = {}
     for g in (0, 1):
         x = F.when(F.col(group) == g, F.col(value))
@@ -146,7 +146,7 @@ def welch(rows: DataFrame, value: str, group: str) -> DataFrame:
     a, b = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
     t = (F.col("m1") - F.col("m0")) / F.sqrt(a + b)
     df = (a + b) * (a + b) / (a * a / (F.col("n0") - 1) + b * b / (F.col("n1") - 1))
-    own = own.select(t.alias("t"), df.alias("df"), ratio(F.col("m1") - F.col("m0"), F.col("m0")).alias("lift"))
+    own = own.select(t.alias("t"), df.alias("df"), ratio(F.col("m1") - F.col("m0"), F.abs("m0")).alias("lift"))
     return own.withColumn("p_value", student_p("t", "df"))
 
 

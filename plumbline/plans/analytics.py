@@ -11,23 +11,29 @@ from plumbline.operators.labels import points, standard_functions, weak_label
 from plumbline.plans.base import SOCIAL, social
 from plumbline.registry import query, table
 
-ACTION = ["the", "of", "and", "boycott", "fire", "cancel"]
-HEDGE = ["perhaps", "maybe", "allegedly"]
-_HITS = " + ".join("contains(lower(coalesce(text, '')), '{0}')::INT".format(p) for p in ACTION)
-_HEDGES = " + ".join("contains(lower(coalesce(text, '')), '{0}')::INT".format(p) for p in HEDGE)
+#: Words of action and of hedging.
+ACTION = [
+    "boycott", "petition", "fired", "fire", "resign", "resignation", "apologize", "apology", "cancel", "cancelled", "cancelling",
+    "remove", "ban", "suspend", "deplatform", "call out", "hold accountable", "step down", "drop", "cut ties",
+]
+HEDGE = ["i think", "in my opinion", "imo", "personally", "maybe", "perhaps", "could be", "might be"]
+_HITS, _HEDGES = (" + ".join(f"contains(low, '{p}')::INT" for p in ws) for ws in (ACTION, HEDGE))
 _VOTE = "CASE WHEN {0} THEN 1 WHEN {1} THEN 0 ELSE -1 END"
 _VOTES = {
     "lf_engagement": (2.0, "n_chars > 500", "n_chars < 20"),
-    "lf_sentiment": (1.5, "toxic = 1", "quality = 1 AND toxic = 0"),
-    "lf_toxicity": (1.5, "toxic = 1", "toxic = 0"),
-    "lf_action": (3.0, "actions >= 2 AND hedges = 0", "actions = 0 AND hedges > 0"),
-    "lf_comments": (1.0, "n_lines > 50", "n_lines < 5"),
-    "lf_communities": (2.0, "doc_id % 5 >= 3", "doc_id % 5 = 0"),
+    "lf_sentiment": (1.5, "sentiment < -0.4", "sentiment > 0.2"),
+    "lf_toxicity": (1.5, "toxicity > 0.6 OR severe > 0.5", "toxicity < 0.2 AND severe < 0.1"),
+    "lf_action": (3.0, "actions >= 2 AND hedges = 0", "actions = 0 AND hedges >= 2"),
+    "lf_communities": (1.0, "doc_id % 5 >= 3", "doc_id % 5 = 0"),
+    "lf_comments": (2.0, "n_lines > 50", "n_lines < 5"),
     "lf_persistence": (1.0, "doc_id % 7 >= 3", "doc_id % 7 = 0"),
 }
 _WEAK = f"""
-d AS (SELECT d.doc_id, n_chars, quality, toxic, {_HITS} AS actions, {_HEDGES} AS hedges, len(regexp_extract_all(coalesce(text, ''), '\\n')) + 1 AS n_lines FROM documents d LEFT JOIN labels USING (doc_id)),
-v AS (SELECT doc_id, {", ".join(f"{_VOTE.format(p, n)} AS {k}" for k, (_, p, n) in _VOTES.items())} FROM d),
+d AS (SELECT d.doc_id, n_chars, CASE WHEN toxic = 1 THEN -1.0 WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0.0 END AS sentiment, CASE WHEN toxic = 1 AND quality = 1 THEN 0.5 WHEN toxic = 1 THEN 1.0 WHEN toxic = 0 THEN 0.15 ELSE 0.3 END AS toxicity,
+  CASE WHEN d.doc_id % 13 = 0 THEN 0.6 WHEN d.doc_id % 13 = 1 THEN 0.1 ELSE 0.0 END AS severe, len(regexp_extract_all(coalesce(text, ''), '\\n')) + 1 AS n_lines,
+  lower(coalesce(text, '') || CASE d.doc_id % 8 WHEN 0 THEN ' Boycott them, cut ties!' WHEN 1 THEN ' Imo it might be so' WHEN 2 THEN ' Maybe a petition' ELSE '' END) AS low FROM documents d LEFT JOIN labels USING (doc_id)),
+h AS (SELECT *, {_HITS} AS actions, {_HEDGES} AS hedges FROM d),
+v AS (SELECT doc_id, {", ".join(f"{_VOTE.format(p, n)} AS {k}" for k, (_, p, n) in _VOTES.items())} FROM h),
 s AS (SELECT *, {" + ".join(f"CASE WHEN {k} = 1 THEN {w}::DOUBLE ELSE 0 END" for k, (w, _, _) in _VOTES.items())} AS w_pos, {" + ".join(f"CASE WHEN {k} = 0 THEN {w}::DOUBLE ELSE 0 END" for k, (w, _, _) in _VOTES.items())} AS w_neg FROM v),
 weak AS (SELECT *, CASE WHEN w_pos > w_neg THEN 1 WHEN w_neg > w_pos THEN 0 ELSE -1 END AS weak_label, abs(w_pos - w_neg) / 12.0::DOUBLE AS confidence FROM s)
 """
@@ -35,18 +41,21 @@ weak AS (SELECT *, CASE WHEN w_pos > w_neg THEN 1 WHEN w_neg > w_pos THEN 0 ELSE
 
 def weak_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    more = F.when(F.col("doc_id") % 8 == 0, " Boycott them, cut ties!").when(F.col("doc_id") % 8 == 1, " Imo it might be so").when(F.col("doc_id") % 8 == 2, " Maybe a petition").otherwise("")
+    low = F.concat(X.whole(F.col("text")), more)
     rows = docs.select(
         "doc_id",
         F.col("n_chars").alias("engagement"),
         F.when(F.col("toxic") == 1, -1.0).when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0).alias("sentiment"),
-        F.when(F.col("toxic") == 1, 1.0).when(F.col("toxic") == 0, 0.0).otherwise(0.3).alias("toxicity"),
+        F.when((F.col("toxic") == 1) & (F.col("quality") == 1), 0.5).when(F.col("toxic") == 1, 1.0).when(F.col("toxic") == 0, 0.15).otherwise(0.3).alias("toxicity"),
+        F.when(F.col("doc_id") % 13 == 0, 0.6).when(F.col("doc_id") % 13 == 1, 0.1).otherwise(0.0).alias("severe"),
         (F.regexp_count(X.whole(F.col("text")), F.lit("\n")) + 1).alias("comments"),
         (F.col("doc_id") % 5).alias("communities"),
         (F.col("doc_id") % 7).alias("days"),
-        X.distinct_hits(F.col("text"), ACTION).alias("actions"),
-        X.distinct_hits(F.col("text"), HEDGE).alias("hedges"),
+        X.distinct_hits(low, ACTION).alias("actions"),
+        X.distinct_hits(low, HEDGE).alias("hedges"),
     )
-    names = {n: n for n in ("engagement", "sentiment", "toxicity", "comments", "communities", "days", "actions", "hedges")}
+    names = {n: n for n in ("engagement", "sentiment", "toxicity", "severe", "comments", "communities", "days", "actions", "hedges")}
     return weak_label(rows, standard_functions(**names))
 
 
@@ -102,20 +111,35 @@ def cancellation_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", total.cast("int").alias("total"), (total >= 3).alias("label"), F.col("words").cast("int").alias("cancel_keywords"), (F.col("negative") >= 3).alias("negative_tone"))
 
 
+#: Words of consequences and of controversy.
+ACTION_WORDS = ["boycott", "petition", "fired", "removed", "banned", "apologized", "resigned", "stepped down", "under investigation"]
+CONTROVERSY_WORDS = ["cancel", "backlash", "outrage", "controversy", "under fire", "facing criticism", "under pressure"]
+_PROXY_ROWS = """posts AS (SELECT doc_id, n_chars AS likes, doc_id * 31 % 2500 AS replies, (doc_id * 7 % 100 - 50) / 50.0::DOUBLE AS sentiment, doc_id % 10 = 0 AS verified,
+  lower(coalesce(text, '') || CASE doc_id % 9 WHEN 0 THEN ' a petition to have them removed' WHEN 1 THEN ' and the backlash' ELSE '' END) AS low FROM documents)"""
+
+
 @query(
     "C06 A15",
-    f"""WITH {SOCIAL}, q AS (SELECT quantile_cont(score, 0.9) AS q90, quantile_cont(comments / (score + 1), 0.95) AS q95 FROM social)
-SELECT post_id, ((score > q90 AND q90 > 0)::INT + (sentiment < -0.3)::INT + 2 * (k % 5 = 0)::INT + (k % 7 = 0)::INT + (comments / (score + 1) > q95 AND q95 > 0)::INT + (verified AND sentiment < 0)::INT)::INT AS points FROM social, q""",
+    f"""WITH {_PROXY_ROWS}, q AS (SELECT quantile_cont(likes, 0.9) AS q90, quantile_cont(replies / (likes + 1), 0.95) AS q95 FROM posts),
+s AS (SELECT doc_id, ((likes > q90 AND q90 > 0)::INT + (sentiment < -0.3)::INT + 2 * ({" OR ".join(f"contains(low, '{w}')" for w in ACTION_WORDS)})::INT + ({" OR ".join(f"contains(low, '{w}')" for w in CONTROVERSY_WORDS)})::INT
+  + (replies / (likes + 1) > q95 AND q95 > 0)::INT + (verified AND sentiment < -0.2)::INT)::INT AS points FROM posts, q)
+SELECT doc_id, points, (points >= 3)::INT AS label FROM s""",
 )
 def proxy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    p = social(spark, sf_dir).withColumn("ratio", c("comments") / (c("score") + 1))
-    scores, ratios = stats.quantiles(p, "score", [0.9]), stats.quantiles(p, "ratio", [0.95])
-    cuts = scores.select(F.get("q", F.lit(0)).alias("q90")).crossJoin(ratios.select(F.get("q", F.lit(0)).alias("q95")))
+    """Points over likes, sentiment, words of consequences and of controversy in whole texts, replies and reach; 1 from three points on."""
+    c, i = F.col, F.col("doc_id")
+    more = F.when(i % 9 == 0, " a petition to have them removed").when(i % 9 == 1, " and the backlash").otherwise("")
+    p = table(spark, sf_dir, "documents").select(
+        "doc_id", c("n_chars").alias("likes"), (i * 31 % 2500).alias("replies"), ((i * 7 % 100 - 50) / 50.0).alias("sentiment"), (i % 10 == 0).alias("verified"), F.lower(F.concat(X.whole(c("text")), more)).alias("low")
+    )
+    p = p.select("doc_id", "likes", (c("replies") / (c("likes") + 1)).alias("ratio"), "sentiment", "verified", *(X.contains_any(c("low"), ws).alias(n) for n, ws in (("action", ACTION_WORDS), ("controversy", CONTROVERSY_WORDS))))
+    likes, ratios = stats.quantiles(p, "likes", [0.9]), stats.quantiles(p, "ratio", [0.95])
+    cuts = likes.select(F.get("q", F.lit(0)).alias("q90")).crossJoin(ratios.select(F.get("q", F.lit(0)).alias("q95")))
     total = points(
-        ((c("score") > c("q90")) & (c("q90") > 0), 1), (c("sentiment") < -0.3, 1), (c("k") % 5 == 0, 2), (c("k") % 7 == 0, 1), ((c("ratio") > c("q95")) & (c("q95") > 0), 1), (c("verified") & (c("sentiment") < 0), 1)
+        ((c("likes") > c("q90")) & (c("q90") > 0), 1), (c("sentiment") < -0.3, 1), (c("action"), 2), (c("controversy"), 1), ((c("ratio") > c("q95")) & (c("q95") > 0), 1), (c("verified") & (c("sentiment") < -0.2), 1)
     )
-    return p.crossJoin(F.broadcast(cuts)).select("post_id", total.cast("int").alias("points"))
+    out = p.crossJoin(F.broadcast(cuts)).select("doc_id", total.cast("int").alias("points"))
+    return out.withColumn("label", (F.col("points") >= 3).cast("int"))
 
 
 #: Placeholder lexicons with the weights of a distinct hit in score and category, and placeholder patterns with that of a match;
@@ -341,8 +365,8 @@ def ab_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "C26 C28",
     f"""WITH {_AB}, m AS (SELECT count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1, avg(x) FILTER (g = 0) AS m0, avg(x) FILTER (g = 1) AS m1, var_samp(x) FILTER (g = 0) AS v0, var_samp(x) FILTER (g = 1) AS v1 FROM ab)
-SELECT round((m1 - m0) / sqrt(v0 / n0 + v1 / n1), 6) AS t, round((v0 / n0 + v1 / n1) ** 2 / ((v0 / n0) ** 2 / (n0 - 1) + (v1 / n1) ** 2 / (n1 - 1)), 3) AS df, round((m1 - m0) / m0, 9) AS lift,
-  CASE WHEN n0 + n1 < 1000 THEN 'continue' WHEN (m1 - m0) / m0 < -0.05 THEN 'rollback' WHEN abs((m1 - m0) / sqrt(v0 / n0 + v1 / n1)) > 1.96 THEN 'significant' ELSE 'continue' END AS decision FROM m""",
+SELECT round((m1 - m0) / sqrt(v0 / n0 + v1 / n1), 6) AS t, round((v0 / n0 + v1 / n1) ** 2 / ((v0 / n0) ** 2 / (n0 - 1) + (v1 / n1) ** 2 / (n1 - 1)), 3) AS df, round((m1 - m0) / abs(m0), 9) AS lift,
+  CASE WHEN n0 + n1 < 1000 THEN 'continue' WHEN (m1 - m0) / abs(m0) < -0.05 THEN 'rollback' WHEN abs((m1 - m0) / sqrt(v0 / n0 + v1 / n1)) > 1.96 THEN 'significant' ELSE 'continue' END AS decision FROM m""",
 )
 def ab_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ab_rows(spark, sf_dir)
@@ -408,14 +432,15 @@ def reference_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "C37",
-    """WITH m AS (SELECT o_custkey AS model, avg((o_orderstatus = 'F')::INT) AS f1, quantile_cont(o_totalprice / 10000, 0.99) AS p99, stddev_pop(o_totalprice) / 1e6 AS drift FROM orders GROUP BY 1)
-SELECT model, f1 >= 0.3 AND p99 <= 50 AND drift <= 0.15 AS promoted, concat_ws(',', CASE WHEN f1 < 0.3 THEN 'f1' END, CASE WHEN p99 > 50 THEN 'latency' END, CASE WHEN drift > 0.15 THEN 'drift' END) AS reasons FROM m""",
+    """WITH m AS (SELECT o_custkey AS model, 1 - avg((o_orderstatus = 'F')::INT) / 4 AS f1, quantile_cont(o_totalprice / 10000, 0.99) AS p99, stddev_pop(o_totalprice) / 1e6 AS drift FROM orders GROUP BY 1)
+SELECT model, f1 >= 0.88 AND p99 <= 50 AND drift <= 0.15 AS promoted, concat_ws(',', CASE WHEN f1 < 0.88 THEN 'f1' END, CASE WHEN p99 > 50 THEN 'latency' END, CASE WHEN drift > 0.15 THEN 'drift' END) AS reasons FROM m""",
 )
-def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def promotion_gate(spark: SparkSession, sf_dir: str, least_f1: float = 0.88, most_latency_ms: float = 50.0, most_drift: float = 0.15) -> DataFrame:
+    """Models that pass the gate, and the reasons of those that don't; a model's metrics stand in from its orders."""
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("model")).agg(
-        F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("f1"), F.percentile(F.col("o_totalprice") / 10000, 0.99).alias("p99"), (F.stddev_pop("o_totalprice") / 1e6).alias("drift")
+        (1 - F.avg((F.col("o_orderstatus") == "F").cast("int")) / 4).alias("f1"), F.percentile(F.col("o_totalprice") / 10000, 0.99).alias("p99"), (F.stddev_pop("o_totalprice") / 1e6).alias("drift")
     )
-    fails = [("f1", F.col("f1") < 0.3), ("latency", F.col("p99") > 50), ("drift", F.col("drift") > 0.15)]
+    fails = [("f1", F.col("f1") < least_f1), ("latency", F.col("p99") > most_latency_ms), ("drift", F.col("drift") > most_drift)]
     reasons = F.concat_ws(",", *(F.when(c, n) for n, c in fails))
     return m.select("model", (reasons == "").alias("promoted"), reasons.alias("reasons"))
 

@@ -9,6 +9,7 @@ from plumbline.operators.graph import co_members, random_embedding, sage_layer,
 from plumbline.operators.joins import asof_join, interval_join, jaccard_self_join, k_hop
 from plumbline.plans.base import EDGES, SOCIAL, edges, social
 from plumbline.registry import query, table
+from plumbline.sources.readers import edge_name
 
 
 @query(
@@ -149,12 +150,14 @@ def users_and_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J30",
-    f"""WITH {EDGES} SELECT 'twitter_' || src AS source, 'twitter_' || dst AS target, CASE type WHEN 'mention' THEN 'mentions' WHEN 'retweet' THEN 'retweeted' ELSE type END AS type, count(*) AS n FROM edges GROUP BY ALL""",
+    f"""WITH {EDGES}, t AS (SELECT src, dst, CASE WHEN src % 4 = 0 THEN upper(type) WHEN src % 4 = 1 THEN 'Follow' WHEN src % 4 = 2 AND type = 'reply' THEN 'Liked' ELSE type END AS type FROM edges)
+SELECT 'twitter_' || src AS source, 'twitter_' || dst AS target, CASE lower(type) WHEN 'follow' THEN 'follows' WHEN 'mention' THEN 'mentions' WHEN 'retweet' THEN 'retweets' WHEN 'reply' THEN 'replies_to' ELSE lower(type) END AS type, count(*) AS n FROM t GROUP BY ALL""",
 )
 def renamed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.create_map(*(F.lit(x) for x in ("follow", "follows", "mention", "mentions", "retweet", "retweeted")))
-    kind = F.coalesce(F.try_element_at(names, F.col("type")), F.col("type"))
-    own = edges(spark, sf_dir).select(F.concat(F.lit("twitter_"), "src").alias("source"), F.concat(F.lit("twitter_"), "dst").alias("target"), kind.alias("type"))
+    """Interactions under the names of their edges: types in any case, an unknown one under its own."""
+    i, own = F.col("src") % 4, F.col("type")
+    typed = F.when(i == 0, F.upper(own)).when(i == 1, "Follow").when((i == 2) & (own == "reply"), "Liked").otherwise(own)
+    own = edges(spark, sf_dir).select(F.concat(F.lit("twitter_"), "src").alias("source"), F.concat(F.lit("twitter_"), "dst").alias("target"), edge_name(typed).alias("type"))
     return own.groupBy("source", "target", "type").agg(F.count("*").alias("n"))
 
 

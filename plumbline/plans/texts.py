@@ -144,7 +144,7 @@ def text_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "X17 X18 X20 X23 X24",
     f"""WITH {POSTS} SELECT doc_id,
-  regexp_replace({"replace(" * 7}lower(post || ' it can''t we''re I''m'){"".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in X.CONTRACTIONS.items())}, 'https?://\\S+|www\\.\\S+', '[URL]', 'g') AS expanded,
+  regexp_replace({"replace(" * len(X.CONTRACTIONS)}lower(post || ' it can''t we''re I''m they''d won''t'){"".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in X.CONTRACTIONS.items())}, 'https?://\\S+|www\\.\\S+', '[URL]', 'g') AS expanded,
   array_to_string(string_split(lower(post), ' '), '|') AS tokens, regexp_replace(post, '([.,!?;:])', ' \\1', 'g') AS spaced,
   substring(coalesce(text, ''), 1, 500) AS short, replace(coalesce(text, ''), chr(10), ' ') AS one_line FROM posts""",
 )
@@ -152,7 +152,7 @@ def text_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = F.col("post")
     return posts(spark, sf_dir).select(
         "doc_id",
-        X.expand_contractions(F.concat(post, F.lit(" it can't we're I'm"))).alias("expanded"),
+        X.expand_contractions(F.concat(post, F.lit(" it can't we're I'm they'd won't"))).alias("expanded"),
         F.array_join(F.split(F.lower(post), " "), "|").alias("tokens"),
         X.space_before_marks(post).alias("spaced"),
         F.substring(X.whole(F.col("text")), 1, 500).alias("short"),
@@ -168,14 +168,14 @@ def text_squeeze_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "X21 F11",
-    """SELECT lang, CASE WHEN regexp_matches(t, '[\\x{0900}-\\x{097F}]') AND regexp_matches(t, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(t, '[\\x{0900}-\\x{097F}]') THEN 'hi'
-  WHEN regexp_matches(lower(t), '\\b(hai|nahi|kya|bahut|yaar|kyun|matlab)\\b') THEN 'hinglish' ELSE 'en' END AS script, count(*) AS n
-FROM (SELECT lang, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' kya yaar' WHEN doc_id % 7 = 0 THEN ' ' || chr(2361) ELSE '' END AS t FROM documents WHERE lang IN ('en', 'de') OR lang IS NULL)
+    f"""SELECT lang, CASE WHEN regexp_matches(t, '[\\x{{0900}}-\\x{{097F}}]') AND regexp_matches(lower(t), '\\b({"|".join(X.ENGLISH)})\\b') THEN 'mixed' WHEN regexp_matches(t, '[\\x{{0900}}-\\x{{097F}}]') THEN 'hi'
+  WHEN regexp_matches(lower(t), '\\b({"|".join(X.ROMAN_HINDI)})\\b') THEN 'hinglish' ELSE 'en' END AS script, count(*) AS n
+FROM (SELECT lang, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' kya yaar' WHEN doc_id % 14 = 7 THEN ' would ' || chr(2361) WHEN doc_id % 7 = 0 THEN ' ' || chr(2361) ELSE '' END AS t FROM documents WHERE lang IN ('en', 'de') OR lang IS NULL)
 GROUP BY 1, 2""",
 )
 def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de") | F.col("lang").isNull())
-    more = F.when(F.col("doc_id") % 5 == 0, " kya yaar").when(F.col("doc_id") % 7 == 0, " " + chr(2361)).otherwise("")
+    more = F.when(F.col("doc_id") % 5 == 0, " kya yaar").when(F.col("doc_id") % 14 == 7, " would " + chr(2361)).when(F.col("doc_id") % 7 == 0, " " + chr(2361)).otherwise("")
     return docs.groupBy("lang", X.language_script(F.concat(X.whole(F.col("text")), more)).alias("script")).agg(F.count("*").alias("n"))
 
 

@@ -18,8 +18,8 @@ _FEATURES = ["velocity", "acceleration", "slope", "r2", "mean_7", "std_7", "mean
 @query(
     "W01 W02 W03 W04 W05 W06 W07 W08 W09 T01",
     f"""WITH {SOCIAL}, o AS (SELECT *, epoch_us(ts) / 1e6 AS sec, row_number() OVER w - 1.0 AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, post_id DESC) AS from_end FROM social WINDOW w AS (PARTITION BY user_id ORDER BY ts, post_id)),
-d AS (SELECT *, sentiment AS s, sentiment - lag(sentiment) OVER w AS d1, sentiment - 2 * lag(sentiment) OVER w + lag(sentiment, 2) OVER w AS d2, sec - lag(sec) OVER w AS gap, toxicity - lag(toxicity) OVER w AS dt FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, post_id)),
-a AS (SELECT user_id, count(*) AS n, avg(d1) AS velocity, avg(d2) AS acceleration, regr_slope(s, i) AS slope, CASE WHEN stddev_pop(s) > 0 THEN regr_r2(s, i) ELSE 1.0 END AS r2,
+d AS (SELECT *, sentiment AS s, score AS e, sentiment - lag(sentiment) OVER w AS d1, sentiment - 2 * lag(sentiment) OVER w + lag(sentiment, 2) OVER w AS d2, sec - lag(sec) OVER w AS gap, toxicity - lag(toxicity) OVER w AS dt FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, post_id)),
+a AS (SELECT user_id, count(*) AS n, avg(d1) AS velocity, avg(d2) AS acceleration, regr_slope(e, i) AS slope, CASE WHEN stddev_pop(e) > 0 THEN regr_r2(e, i) ELSE 1.0 END AS r2,
   avg(s) FILTER (from_end <= 7) AS mean_7, stddev_pop(s) FILTER (from_end <= 7) AS std_7, avg(s) FILTER (from_end <= 14) AS mean_14, stddev_pop(s) FILTER (from_end <= 14) AS std_14,
   avg(s) FILTER (from_end <= 30) AS mean_30, stddev_pop(s) FILTER (from_end <= 30) AS std_30, avg(gap) AS gap_mean, stddev_samp(gap) AS gap_std, -regr_slope(gap, i) AS posting_acceleration, avg(dt) AS toxicity_trend, max(toxicity) FILTER (from_end <= 7) AS toxicity_peak FROM d GROUP BY user_id)
 SELECT user_id, n, {", ".join(f"round(CASE WHEN n < 3 THEN {86400.0 if c == 'gap_mean' else 0.0} ELSE coalesce({c}, 0) END, {5 if c.startswith('gap') or c.startswith('posting') else 9})::DOUBLE AS {c}" for c in _FEATURES)} FROM a""",
@@ -29,25 +29,36 @@ def user_temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", *(F.round(c, 5 if c.startswith(("gap", "posting")) else 9).alias(c) for c in _FEATURES))
 
 
-_DAILY = """daily AS (SELECT event_type AS community, (date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)))::DOUBLE AS i, avg(value) / 2 AS score FROM events GROUP BY ALL)"""
+def _forecast_sql(key: str) -> str:
+    return f"""WITH RECURSIVE daily AS (SELECT {key} AS key, (date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)))::DOUBLE AS i, avg(value) / 2 AS score FROM events GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i) AS r FROM daily),
+s(key, r, level) AS (SELECT key, r, score FROM o WHERE r = 1 UNION ALL SELECT o.key, o.r, s.level * 0.7 + o.score * 0.3 FROM s JOIN o ON o.key = s.key AND o.r = s.r + 1),
+g AS (SELECT key, coalesce(regr_slope(score, i), 0) AS slope, coalesce(regr_intercept(score, i), 0) AS b, max(i) AS last_i, stddev_pop(score) AS std, count(*) AS n, arg_max(score, i) AS last FROM daily GROUP BY key),
+f AS (SELECT g.*, h, CASE WHEN n < 3 THEN last ELSE least(greatest(0.6 * (level + slope * h) + 0.4 * (b + slope * (last_i + h)), 0), 100) END AS y FROM g JOIN (SELECT key, arg_max(level, r) AS level FROM s GROUP BY key) USING (key), range(1, 8) t(h))
+SELECT key AS {key if key != "event_type" else "community"}, round(min(y) FILTER (h = 1), 5) AS next_day, round(min(y) FILTER (h = 7), 5) AS last_day,
+  any_value(CASE WHEN n < 3 THEN 'insufficient_data' WHEN slope > 2 THEN 'accelerating' WHEN slope > 0.5 THEN 'increasing' WHEN slope < -2 THEN 'decelerating' WHEN slope < -0.5 THEN 'decreasing' ELSE 'stable' END) AS trend,
+  (CASE WHEN any_value(n) >= 3 AND max(y) > any_value(last) THEN arg_max(h, y) END)::INT AS peak_day,
+  round(CASE WHEN any_value(n) < 3 THEN 0 ELSE least(greatest(least(any_value(n) / 30.0, 1.0) * (1 - any_value(std) / 50), 0), 1) END, 5)::DOUBLE AS confidence, coalesce(min(h) FILTER (y >= 80), 0)::INT AS crossing FROM f GROUP BY key"""
 
 
-@query(
-    "W10 W11 W12 W13 W14 R04",
-    f"""WITH RECURSIVE {_DAILY}, o AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY i) AS r FROM daily),
-s(community, r, level) AS (SELECT community, r, score FROM o WHERE r = 1 UNION ALL SELECT o.community, o.r, s.level * 0.7 + o.score * 0.3 FROM s JOIN o ON o.community = s.community AND o.r = s.r + 1),
-g AS (SELECT community, coalesce(regr_slope(score, i), 0) AS slope, coalesce(regr_intercept(score, i), 0) AS b, max(i) AS last_i, stddev_pop(score) AS std, count(*) AS n, arg_max(score, i) AS last FROM daily GROUP BY community),
-f AS (SELECT g.*, h, least(greatest(0.6 * (level + slope * h) + 0.4 * (b + slope * (last_i + h)), 0), 100) AS y FROM g JOIN (SELECT community, arg_max(level, r) AS level FROM s GROUP BY community) USING (community), range(1, 8) t(h))
-SELECT community, round(min(y) FILTER (h = 1), 5) AS next_day, round(min(y) FILTER (h = 7), 5) AS last_day, any_value(CASE WHEN slope > 2 THEN 'rapid_increase' WHEN slope > 0.5 THEN 'increasing' WHEN slope < -2 THEN 'rapid_decrease' WHEN slope < -0.5 THEN 'decreasing' ELSE 'stable' END) AS trend,
-  (CASE WHEN max(y) > any_value(last) THEN arg_max(h, y) ELSE 0 END)::INT AS peak_day, round(least(greatest(least(any_value(n) / 30.0, 1.0) * (1 - any_value(std) / 50), 0), 1), 5) AS confidence, coalesce(min(h) FILTER (y >= 80), 0)::INT AS crossing FROM f GROUP BY community""",
-)
-def community_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _forecasts(spark: SparkSession, sf_dir: str, column: str, name: str) -> DataFrame:
     """Forecasts over daily means, so that a series is as long as its days, whatever the posts."""
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double")
-    daily = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("community"), day.alias("i")).agg((F.avg("value") / 2).alias("score"))
-    out = forecast(daily, key="community")
+    daily = table(spark, sf_dir, "events").groupBy(F.col(column).alias(name), day.alias("i")).agg((F.avg("value") / 2).alias("score"))
+    out = forecast(daily, key=name)
     first, last = F.get("forecast", F.lit(0)), F.element_at("forecast", -1)
-    return out.select("community", F.round(first, 5).alias("next_day"), F.round(last, 5).alias("last_day"), "trend", "peak_day", F.round("confidence", 5).alias("confidence"), "crossing")
+    return out.select(name, F.round(first, 5).alias("next_day"), F.round(last, 5).alias("last_day"), "trend", "peak_day", F.round("confidence", 5).alias("confidence"), "crossing")
+
+
+@query("W10 W11 W12 W13 W14 R04", _forecast_sql("event_type"))
+def community_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecasts(spark, sf_dir, "event_type", "community")
+
+
+@query("W10 W11 W12 W13 W14", _forecast_sql("user_id"))
+def user_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the communities', for users, some of whom have too few days for a trend."""
+    return _forecasts(spark, sf_dir, "user_id", "user_id")
 
 
 @query(

@@ -117,12 +117,21 @@ def find_in_json(text: Column, key: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"?([^",}}\\]]*)'), F.lit(1))
 
 
+#: Types of interactions and the names of their edges; fixed values.
+EDGE_NAMES = {"follow": "follows", "mention": "mentions", "retweet": "retweets", "reply": "replies_to"}
+
+
+def edge_name(kind: Column) -> Column:
+    """The edge's name of an interaction's type, in any case; an unknown type is its own name, in lower case."""
+    names = F.create_map(*(F.lit(x) for pair in EDGE_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, F.lower(kind)), F.lower(kind))
+
+
 def expand_interactions(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Users and edges of posts with a nested ``user`` and an array ``interactions``; known types get their edge names."""
-    names = F.create_map(*(F.lit(x) for x in ("follow", "follows", "mention", "mentions", "retweet", "retweeted", "reply", "replied_to")))
     users = posts.select("user.*").dropDuplicates(["id"])
     rows = posts.select(F.col("user.id").alias("source"), F.explode("interactions").alias("i"))
-    kind = F.coalesce(F.try_element_at(names, F.col("i.type")), F.col("i.type"))
+    kind = edge_name(F.col("i.type"))
     edges = rows.select(F.concat(F.lit("twitter_"), "source").alias("source"), F.concat(F.lit("twitter_"), "i.target").alias("target"), kind.alias("type"))
     return users, edges.where("source <> target")
 

@@ -114,8 +114,8 @@ def test_votes(spark):
 
 
 def test_temporal_defaults_and_constant(spark):
-    rows = [("few", i, i, 0.5, 0.1) for i in range(2)] + [("same", i, i, 0.5, 0.1) for i in range(4)]
-    df = spark.createDataFrame(rows, "user_id string, post_id long, s long, sentiment double, toxicity double").withColumn("ts", F.timestamp_seconds("s"))
+    rows = [("few", i, i, 0.5, 0.1, 3.0) for i in range(2)] + [("same", i, i, 0.5, 0.1, 3.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "user_id string, post_id long, s long, sentiment double, toxicity double, score double").withColumn("ts", F.timestamp_seconds("s"))
     got = {r["user_id"]: r for r in temporal.temporal_features(df).collect()}
     assert (got["few"]["gap_mean"], got["few"]["slope"]) == (86400.0, 0.0)
     assert (got["same"]["gap_mean"], got["same"]["slope"], got["same"]["r2"]) == (1.0, 0.0, 1.0)
