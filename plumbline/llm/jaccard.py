@@ -8,10 +8,10 @@
    ``d + 1`` parts that hold enough n-grams, in the order of parts; one of two sets that link gives its last part no later than
    the other, and so they share a sum. A set with too few such parts gives them all and is cut anew with another seed,
    until it has enough. No pair that links is left out, whatever the numbers.
-3. Sets of one band that share a sum form tiles of bounded size (``cells``): a row of pivots and a row of members. In
-   a tile each set has a bitmap of hashed n-grams. Bits of one set that the other lacks are n-grams that it lacks, so bit counts
-   bound the overlap from above; where the bound is too low, the pair is done. Of the others the sorted arrays are
-   intersected exactly, n-gram by n-gram.
+3. Sets of one band that share a sum form tiles of bounded size (``cells``): a row of pivots and a row of members. They
+   meet as bitmaps of hashed n-grams first. Bits of one set that the other lacks are n-grams that it lacks, so bit counts
+   bound the overlap from above; where the bound is too low, the pair is done, and a set with no pair left leaves the tile. The
+   texts of the others meet then, and the sorted arrays of their n-grams are intersected exactly.
 4. Union-find over the links that hold gives the components.
 
 A sum that many sets share is told from the rest where it arises: if several sets of a slice have it, two of them go the common
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.cells import bucketed, find, linked
+from plumbline.llm.cells import BOTH, MEMBER, PASS_BYTES, _block_cells, _open_buckets, _small_cells, _star_cells, _verified, bucketed, find
 from plumbline.llm.components import connected_components
 from plumbline.llm.hot import join_by_key
 from plumbline.llm.shingles import WordHashes, exact_sets, mix64, shingle_sets, slices, text_buffer
@@ -48,8 +48,8 @@ SEEDS, LEAST_PERCENT = 4, 80
 SLICE_BYTES, FREQUENT = 2 << 20, 8
 #: Parts that the sets of a frequent sum are dealt to.
 DEALT = 1024
-#: Bits a bitmap has for each n-gram of the largest set of a tile, and bits it has at most.
-BITS_EACH, MOST_BITS = 4, 1 << 16
+#: Bits a bitmap has for each n-gram, at least.
+BITS_EACH = 2
 SUM_NAMES, SUMS = ["value", "dealt", "short", "band"], "value long, dealt int, short long, band int"
 _STEP, _SEED = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -124,37 +124,63 @@ def part_sums(values: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) ->
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def bitmaps(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of 64-bit words for each set, with the bit of each hashed n-gram."""
-    sizes = np.diff(bounds)
-    bits = min(MOST_BITS, max(64, 1 << int(BITS_EACH * sizes.max(initial=1) - 1).bit_length()))
-    out = np.zeros((len(sizes), bits // 64), np.uint64)
-    bit = (mix64(codes.astype(np.uint64) * np.uint64(_STEP)) & np.uint64(bits - 1)).astype(np.int64)
-    np.bitwise_or.at(out, (np.repeat(np.arange(len(sizes)), sizes), bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+def sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set its size, and a bitmap of its hashed n-grams whose bits are a power of two."""
+    sizes, out = np.diff(bounds), []
+    hashed = mix64(values * np.uint64(_SEED))
+    for i, size in enumerate(sizes.tolist()):
+        bits = max(64, 1 << max(0, BITS_EACH * size - 1).bit_length())
+        held = np.zeros(bits, bool)
+        held[(hashed[bounds[i] : bounds[i + 1]] & np.uint64(bits - 1)).astype(np.int64)] = True
+        out.append(size.to_bytes(8, "little") + np.packbits(held, bitorder="little").tobytes())
     return out
 
 
+def _unpacked(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and bitmaps as rows of 64-bit words, all folded to the least number of bits among them."""
+    sizes = np.array([int.from_bytes(x[:8], "little") for x in own], np.int64)
+    words = min((len(x) - 8) // 8 for x in own)
+    return sizes, np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64, offset=8).reshape(-1, words)) for x in own])
+
+
+def _may_link(size: int, bitmap: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and bit counts allow a set to link with each of the others."""
+    need = -(-percent * (size + sizes) // (100 + percent))
+    lacks = np.bitwise_count(bitmap & ~bitmaps).sum(1, dtype=np.int64)
+    lacked = np.bitwise_count(bitmaps & ~bitmap).sum(1, dtype=np.int64)
+    return np.minimum(size - lacks, sizes - lacked) >= need
+
+
+def left_over(pivots: list[bytes], members: list[bytes] | None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Which pivots and which members have a pair left after the bounds; without members, pivots among themselves."""
+    sizes, maps = _unpacked(pivots + (members or []))
+    at = 0 if members is None else len(pivots)
+    held, rest = np.zeros(len(pivots), bool), np.zeros(len(sizes) - at, bool)
+    for i in range(len(pivots)):
+        pairs = _may_link(sizes[i], maps[i], sizes[at:], maps[at:], percent)
+        if members is None:
+            pairs[i] = False
+        held[i] = pairs.any()
+        rest |= pairs
+    return held, rest
+
+
 def link_tile(codes: np.ndarray, bounds: np.ndarray, pivots: int, others: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect as all do, between sets ``0 .. pivots - 1`` and sets from ``others`` on; sets must not be empty.
 
-    A pair whose sizes or bit counts can't reach the overlap is done; of the rest the ascending codes are intersected.
+    Pairs that are within the bounds and not connected yet have their ascending codes intersected.
     """
-    sizes, maps = np.diff(bounds), bitmaps(codes, bounds)
-    rest, held = sizes[others:], maps[others:]
+    sizes, maps = _unpacked(sketches(codes.astype(np.uint64), bounds))
     up, out = list(range(len(sizes))), []
     for i in range(pivots):
-        own, size = codes[bounds[i] : bounds[i + 1]], sizes[i]
-        need = -(-percent * (size + rest) // (100 + percent))
-        most = np.minimum(size, rest)
-        near = np.flatnonzero(most >= need)
-        lacks = np.bitwise_count(maps[i] & ~held[near]).sum(1, dtype=np.int64)
-        lacked = np.bitwise_count(held[near] & ~maps[i]).sum(1, dtype=np.int64)
-        near = near[np.minimum(size - lacks, rest[near] - lacked) >= need[near]]
-        for j in (near + others).tolist():
+        own = codes[bounds[i] : bounds[i + 1]]
+        for j in (np.flatnonzero(_may_link(sizes[i], maps[i], sizes[others:], maps[others:], percent)) + others).tolist():
             x, y = find(up, i), find(up, j)
-            if x != y and len(np.intersect1d(own, codes[bounds[j] : bounds[j + 1]], assume_unique=True)) >= need[j - others]:
-                up[max(x, y)] = min(x, y)
-                out.append((i, j))
+            if x != y:
+                both = len(np.intersect1d(own, codes[bounds[j] : bounds[j + 1]], assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    up[max(x, y)] = min(x, y)
+                    out.append((i, j))
     return out
 
 
@@ -167,8 +193,8 @@ def _node(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(_body(text), 256), 1, 32))
 
 
-def _sized(k: int):
-    """A task that adds the size of its set to each ``node, body``."""
+def _sketched(k: int):
+    """A task that adds the size and the sketch of its set to each ``node, body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -176,8 +202,9 @@ def _sized(k: int):
             _, offsets = text_buffer(batch.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
                 own = batch.slice(i, j - i)
-                _, bounds = shingle_sets(own.column(1).to_pylist(), hashes, k)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.diff(bounds))], names=["node", "body", "n_shingles"])
+                values, bounds = shingle_sets(own.column(1).to_pylist(), hashes, k)
+                columns = [*own.columns, pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "body", "n_shingles", "sketch"])
 
     return run
 
@@ -228,12 +255,77 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held, np.array([matched or held[1][0] > 0]))
 
 
+def _pruned(tiles: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The rows of tiles (``cell, role, node``) that have a pair left after the bounds.
+
+    A task holds the sketches of a tile's pivots, and ``PASS_BYTES`` of those of the members that pass them.
+    """
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, pivots, held, members, size = None, [], None, [], 0
+
+        def rows(kept: list[tuple]) -> pa.RecordBatch:
+            roles, nodes = ([r[i] for r in kept] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([cell] * len(kept), pa.int64()), pa.array(roles, pa.int32()), pa.array(nodes, pa.binary())], names=["cell", "role", "node"])
+
+        def passed() -> pa.RecordBatch:
+            own, rest = left_over([p[2] for p in pivots], [m[2] for m in members], percent)
+            held[:] |= own
+            return rows([m for m, x in zip(members, rest, strict=True) if x])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if pivots and pivots[0][0] == BOTH:
+                held, _ = left_over([p[2] for p in pivots], None, percent)
+            elif pivots and members:
+                yield passed()
+            if pivots:
+                yield rows([p for p, x in zip(pivots, held, strict=True) if x])
+
+        for batch in batches:
+            for c, role, node, sketch in zip(*(batch.column(x).to_pylist() for x in ("cell", "role", "node", "sketch")), strict=True):
+                if c != cell:
+                    yield from closed()
+                    cell, pivots, held, members, size = c, [], None, [], 0
+                if role == MEMBER:
+                    members.append((role, node, sketch))
+                    size += len(sketch)
+                    held = np.zeros(len(pivots), bool) if held is None else held
+                    if size > PASS_BYTES and pivots:
+                        yield passed()
+                        members, size = [], 0
+                else:
+                    pivots.append((role, node, sketch))
+                    held = np.zeros(len(pivots), bool)
+        yield from closed()
+
+    met = tiles.join(sketched, "node").select("cell", "role", "node", "sketch")
+    return met.repartition(n, "cell").sortWithinPartitions("cell", "role").mapInArrow(run, "cell long, role int, node binary")
+
+
+def _linked(buckets: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links ``a, b`` of the nodes of buckets, as ``cells.linked`` finds them, with sets pruned by their sketches before texts meet."""
+
+    def link(found: list[bytes], pivots: int, others: int) -> list[tuple[int, int]]:
+        return link_tile(*exact_sets(found, k), pivots, others, percent)
+
+    def links(tiles: DataFrame) -> DataFrame:
+        left = materialize(_pruned(tiles, nodes.select("node", "sketch"), percent), "join-tiles")
+        bodies = nodes.select("node", "body").join(left.select("node").distinct(), "node", "left_semi")
+        return materialize(_verified(left, bodies, link), "join-links")
+
+    stars = links(_star_cells(buckets))
+    still = _open_buckets(buckets, stars)
+    return stars.unionByName(links(_small_cells(still).unionByName(_block_cells(still))))
+
+
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = NGRAM) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles long`` (size of its set), ``component_id`` (the smallest key reachable)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(docs.select(F.col(key).alias("doc_id"), _node(text).alias("node")), "join-rows")
     texts = docs.select(_node(text).alias("node"), _body(text).alias("body")).groupBy("node").agg(F.first("body").alias("body"))
-    nodes = materialize(texts.mapInArrow(_sized(k), "node binary, body binary, n_shingles long"), "join-texts")
+    nodes = materialize(texts.mapInArrow(_sketched(k), "node binary, body binary, n_shingles long, sketch binary"), "join-texts")
 
     short = F.xxhash64("node").alias("short")
     sums = nodes.where("n_shingles > 0").select(short, "body").mapInArrow(_sums(percent, k), SUMS)
@@ -241,12 +333,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     shared = materialize(shared, "join-sums")
     met = shared.join(nodes.select("node", F.col("n_shingles").alias("weight"), short), "short")
     buckets = bucketed(met.select("node", "weight", "band", "value"), "join-buckets")
-    bodies = materialize(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "body"), "join-bodies")
-
-    def link(found: list[bytes], pivots: int, others: int) -> list[tuple[int, int]]:
-        return link_tile(*exact_sets(found, k), pivots, others, percent)
-
-    roots = connected_components(linked(buckets, bodies, link)).select("node", F.col("component").alias("root"))
+    roots = connected_components(_linked(buckets, nodes, percent, k)).select("node", F.col("component").alias("root"))
     return with_components(rows, nodes.select("node", "n_shingles"), roots)
 
 

@@ -280,7 +280,7 @@ def test_join_of_chains_and_a_frequent_group(spark, monkeypatch):
         texts[i] = " ".join(words[:55] + [f"y{i}.{j}" for j in range(chance.randint(0, 60))] if i % 3 else [f"z{i % 40}.{j}" for j in range(i % 40)])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
-    assert got == plain_join(texts) and 1 < len(set(got.values())) < 120
+    assert got == plain_join(texts) and 1 < len(set(got.values())) < 150
 
 
 def test_join_odd_cases(spark, docs, empty):
