@@ -290,15 +290,19 @@ def map_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.try_element_at(known, F.col("lang")), F.lit(0.5)).alias("mapped"))
 
 
+_NESTED = """'{"a": [{"b": "say \\"k\\": 5, k"}, ' || props || ', [[' || props || ']]], "k": {"k": [' || event_id || ', {"k": null}]}, "d": {"e": ' || CASE WHEN event_id % 7 = 0 THEN '' ELSE '"k"' END || '}}'"""
+
+
 @query(
     "S25",
-    "SELECT event_id, json_extract_string(props, '$.k')::INT AS found FROM events",
+    f"""WITH t AS (SELECT event_id, {_NESTED} AS j FROM events)
+SELECT event_id, fullkey AS path, replace(replace(tree.value::VARCHAR, ' ', ''), chr(10), '') AS value FROM t, json_tree(j) AS tree WHERE event_id % 7 <> 0 AND tree.key = 'k'""",
 )
 def find_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key at any depth of a JSON text."""
+    """A key's values at any depth of JSON texts, some of which are broken; objects, arrays and keys within texts among them."""
     from plumbline.sources.readers import find_in_json
 
-    nested = F.concat(F.lit('{"a": [{"b": 1}, '), "props", F.lit("]}"))
-    return table(spark, sf_dir, "events").select("event_id", F.get(find_in_json(nested, "k"), F.lit(0)).cast("int").alias("found"))
+    texts = table(spark, sf_dir, "events").select("event_id", F.expr(_NESTED.replace("'{", "r'{", 1)).alias("j"))
+    return find_in_json(texts, "j", "k", ["event_id"])
 
 

@@ -36,20 +36,17 @@ def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S07 K03", _ORDERS)
 def arrow_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrow IPC files kept as binary rows, opened by tasks."""
-    own = orders(spark, sf_dir)
-    W.write_parquet(W.arrow_files(own, 2000), path := new_path(spark, "orders"))
-
-    def opened(batches):
-        import pyarrow as pa
+    """Arrow IPC files written by tasks and read by blocks of record batches."""
+    W.write_blobs(W.arrow_files(orders(spark, sf_dir), 2000), path := new_path(spark, "orders"), ".arrow")
+    return R.read_arrow(spark, path)
 
-        for batch in batches:
-            for content in batch.column("content"):
-                with pa.ipc.open_file(pa.py_buffer(content.as_py())) as f:
-                    for i in range(f.num_record_batches):
-                        yield f.get_batch(i)
 
-    return spark.read.parquet(path).select("content").mapInArrow(opened, own.schema)
+@query("S07 P16", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def arrow_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the columns of Arrow IPC files; the others are not read."""
+    W.write_blobs(W.arrow_files(orders(spark, sf_dir), 1000), path := new_path(spark, "orders"), ".arrow")
+    own = R.read_arrow(spark, path, ["o_totalprice", "o_orderpriority"], batches=1)
+    return own.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(
@@ -67,32 +64,19 @@ def json_lines_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("event_id", "user_id", F.lit("ok").alias("state")).unionByName(bad.select(null.alias("event_id"), null.alias("user_id"), F.lit("broken").alias("state")))
 
 
-@query("S05", "SELECT event_id, user_id FROM events")
+@query(
+    "S05",
+    """SELECT event_id, user_id, 1 AS n FROM events WHERE event_id % 10 <> 3 UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_id % 10 = 3""",
+)
 def zstd_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zstandard JSON lines, compressed by tasks and streamed back chunk by chunk."""
-    lines = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id")).alias("value"))
-
-    def packed(batches):
-        import pyarrow as pa
-        import zstandard
-
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"content": pa.array([zstandard.ZstdCompressor().compress("\n".join(b.column(0).to_pylist()).encode())], pa.binary())})
-
-    W.write_parquet(lines.mapInArrow(packed, "content binary"), path := new_path(spark, "zstd"))
-
-    def opened(batches):
-        import io
-
-        import pyarrow as pa
-        import zstandard
-
-        for b in batches:
-            for content in b.column(0):
-                yield pa.RecordBatch.from_pydict({"value": pa.array(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_py())).read().decode().split("\n"))})
-
-    rows = spark.read.parquet(path).mapInArrow(opened, "value string")
-    return rows.select(F.from_json("value", "event_id long, user_id long").alias("r")).select("r.*")
+    """Zstandard JSON lines, a file streamed chunk by chunk: good rows, and in one row how many lines are broken and skipped."""
+    text = F.to_json(F.struct("event_id", "user_id"))
+    line = F.when(F.col("event_id") % 10 == 3, F.expr("substring(t, 1, length(t) - 4)")).otherwise(F.col("t"))
+    lines = table(spark, sf_dir, "events").select("event_id", text.alias("t")).select(line.alias("value"))
+    W.write_blobs(W.zstd_files(lines), path := new_path(spark, "zstd"), ".ndjson.zst")
+    good, broken = R.read_zstd_lines(spark, path, "event_id long, user_id long")
+    null = F.lit(None).cast("long")
+    return good.withColumn("n", F.lit(1).cast("long")).unionByName(broken.agg(F.count("*").alias("n")).select(null.alias("event_id"), null.alias("user_id"), "n"))
 
 
 @query(

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plumbline.sources.datasources import CHUNK, ArrowBlocks, ZstdLines
+from plumbline.storage import materialize
+
 
 class UnknownFormat(ValueError):
     """A path whose suffix names no format."""
@@ -56,7 +54,7 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
     if schema is not None and bare.endswith(".zst"):
         return read_zstd_lines(spark, path, schema)[0]
     if schema is not None and bare.endswith((".arrow", ".feather")):
-        return read_arrow(spark, path, schema)
+        return read_arrow(spark, path, (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names)
     raise UnknownFormat(f"no format, or no schema for it: {path}")
 
 
@@ -81,40 +79,41 @@ def read_json_lines_with_kind(spark: SparkSession, path: str, schema: StructType
     return lines.select("kind", F.from_json("value", schema if isinstance(schema, str) else schema).alias("r")).select("kind", "r.*")
 
 
-def read_zstd_lines(spark: SparkSession, path: str, schema: StructType | str, chunk: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
-    """Zstandard JSON lines: a task streams a file chunk by chunk, as Spark's text source knows no such codec here."""
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        for content in (c for b in batches for c in b["content"]):
-            rest = b""
-            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) as stream:
-                while data := stream.read(chunk):
-                    *whole, rest = (rest + data).split(b"\n")
-                    yield pd.DataFrame({"value": [x.decode("utf-8", "replace") for x in whole]})
-            if rest:
-                yield pd.DataFrame({"value": [rest.decode("utf-8", "replace")]})
-
-    return _parsed(spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string"), schema)
-
-
-def read_arrow(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Arrow IPC files, a task a file, batch by batch."""
-
-    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                with pa.ipc.open_file(pa.py_buffer(content.as_py())) as own:
-                    for i in range(own.num_record_batches):
-                        yield own.get_batch(i)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(batches_of, schema)
-
-
-def find_in_json(text: Column, key: str) -> Column:
-    """Every scalar value of a key, at any depth of a JSON text, in the order of the text."""
-    return F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"?([^",}}\\]]*)'), F.lit(1))
+def read_zstd_lines(spark: SparkSession, path: str, schema: StructType | str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Zstandard JSON lines: good rows, and the lines that are broken, as text or as JSON; a task streams a file chunk by chunk."""
+    spark.dataSource.register(ZstdLines)
+    lines = spark.read.format("zstd_lines").option("chunk", chunk).load(path)
+    good, broken = _parsed(lines.where("NOT broken"), schema)
+    return good, broken.unionByName(lines.where("broken").select("value"))
+
+
+def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None, batches: int = 16) -> DataFrame:
+    """Arrow IPC files, so many record batches a task; only the wanted columns are read."""
+    spark.dataSource.register(ArrowBlocks)
+    own = spark.read.format("arrow_blocks").option("batches", batches)
+    return (own.option("columns", ",".join(columns)) if columns else own).load(path)
+
+
+def find_in_json(rows: DataFrame, text: str, key: str, keep: list[str]) -> DataFrame:
+    """Every value of a key, at any depth of a JSON text: the columns ``keep``, the value's ``path``, and ``value`` as JSON.
+
+    Texts become VARIANT and are opened level by level, objects by key and arrays by place, so that a key inside a text is none,
+    and a value may be an object or an array, whose own keys are searched too. A level is written before the next, as there
+    are as many as the deepest text has. Null texts and those that are no JSON have no values.
+    """
+    spark, names = rows.sparkSession, [f"__k{i}" for i in range(len(keep))]
+    own = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]
+    level = rows.select(*own, F.lit("$").alias("__path"), F.try_parse_json(text).alias("__v")).where("__v IS NOT NULL")
+    found = None
+    while found is None or not level.isEmpty():
+        open_ = level.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
+        open_ = open_.select(*names, F.concat("__path", step).alias("__path"), F.col("key").alias("__key"), F.col("value").alias("__v"))
+        open_ = materialize(open_, "json-level")
+        hits = open_.where(F.col("__key") == key).select(*names, "__path", F.to_json("__v").alias("value"))
+        found = hits if found is None else found.unionByName(hits)
+        level = open_.where(F.schema_of_variant("__v").rlike("^(OBJECT|ARRAY)")).select(*names, "__path", "__v")
+    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("__path").alias("path"), "value")
 
 
 #: Types of interactions and the names of their edges; fixed values.

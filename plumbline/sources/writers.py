@@ -7,12 +7,15 @@ import html
 import io
 import json
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.storage import materialize
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
@@ -80,6 +83,42 @@ def arrow_files(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return df.mapInArrow(run, "content binary, n long")
 
 
+def write_blobs(blobs: DataFrame, path: str, suffix: str) -> DataFrame:
+    """Each ``content`` as a file of its own below ``path``, named by what it holds, so that a repeated task writes the same
+    file: ``file, bytes`` of each. A file is written whole under another name and moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            done = []
+            for content in batch.column("content").to_pylist():
+                uri = f"{path.rstrip('/')}/{hashlib.sha256(content).hexdigest()[:32]}{suffix}"
+                store, own = fs.FileSystem.from_uri(uri)
+                store.create_dir(own.rpartition("/")[0], recursive=True)
+                part = f"{own}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, own)
+                done.append((uri, len(content)))
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file", "bytes"])
+
+    return materialize(blobs.select("content").mapInArrow(run, "file string, bytes long"), "blobs").dropDuplicates(["file"])
+
+
+def zstd_files(lines: DataFrame) -> DataFrame:
+    """Texts (the first column) as zstandard files of lines, rows of ``content binary``, one for each batch of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            body = "".join(f"{x}\n" for x in batch.column(0).to_pylist()).encode()
+            yield pa.RecordBatch.from_pydict({"content": pa.array([zstandard.ZstdCompressor().compress(body)], pa.binary())})
+
+    return lines.mapInArrow(run, "content binary")
+
+
 def tar_shards(df: DataFrame, key: str, body: str, rows: int) -> DataFrame:
     """Tar shards as rows of ``first_key, content binary, n long``, ``rows`` rows each, in each task's order."""
     id_type = df.schema[key].dataType.simpleString()
