@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.cells import BOTH, MEMBER, PASS_BYTES, _block_cells, _open_buckets, _small_cells, _star_cells, _verified, bucketed, find
+from plumbline.llm.cells import BOTH, MEMBER, PASS_BYTES, PIVOT, STAR, _block_cells, _in_parts, _open_buckets, _small_cells, _star_cells, _verified, bucketed, find
 from plumbline.llm.components import connected_components
 from plumbline.llm.hot import join_by_key
 from plumbline.llm.shingles import WordHashes, exact_sets, mix64, shingle_sets, slices, text_buffer
@@ -151,15 +151,19 @@ def _may_link(size: int, bitmap: np.ndarray, sizes: np.ndarray, bitmaps: np.ndar
     return np.minimum(size - lacks, sizes - lacked) >= need
 
 
-def left_over(pivots: list[bytes], members: list[bytes] | None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Which pivots and which members have a pair left after the bounds; without members, pivots among themselves."""
-    sizes, maps = _unpacked(pivots + (members or []))
+def left_over(pivots: list[tuple], members: list[tuple] | None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Which pivots and which members have a pair left after the bounds; without members, pivots among themselves.
+
+    Both are ``sketch, part``; those of one part are connected already, so they are no pair.
+    """
+    every = pivots + (members or [])
+    sizes, maps = _unpacked([x[0] for x in every])
+    number: dict = {}
+    parts = np.array([number.setdefault(x[1], len(number)) for x in every])
     at = 0 if members is None else len(pivots)
     held, rest = np.zeros(len(pivots), bool), np.zeros(len(sizes) - at, bool)
     for i in range(len(pivots)):
-        pairs = _may_link(sizes[i], maps[i], sizes[at:], maps[at:], percent)
-        if members is None:
-            pairs[i] = False
+        pairs = _may_link(sizes[i], maps[i], sizes[at:], maps[at:], percent) & (parts[at:] != parts[i])
         held[i] = pairs.any()
         rest |= pairs
     return held, rest
@@ -256,7 +260,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pruned(tiles: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """The rows of tiles (``cell, role, node``) that have a pair left after the bounds.
+    """The rows of tiles (``cell, role, node``) that have a pair left after the bounds, by the ``sketch`` and ``part`` of each node.
 
     A task holds the sketches of a tile's pivots, and ``PASS_BYTES`` of those of the members that pass them.
     """
@@ -270,54 +274,85 @@ def _pruned(tiles: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([cell] * len(kept), pa.int64()), pa.array(roles, pa.int32()), pa.array(nodes, pa.binary())], names=["cell", "role", "node"])
 
         def passed() -> pa.RecordBatch:
-            own, rest = left_over([p[2] for p in pivots], [m[2] for m in members], percent)
+            own, rest = left_over([p[2:] for p in pivots], [m[2:] for m in members], percent)
             held[:] |= own
             return rows([m for m, x in zip(members, rest, strict=True) if x])
 
         def closed() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if pivots and pivots[0][0] == BOTH:
-                held, _ = left_over([p[2] for p in pivots], None, percent)
+                held, _ = left_over([p[2:] for p in pivots], None, percent)
             elif pivots and members:
                 yield passed()
             if pivots:
                 yield rows([p for p, x in zip(pivots, held, strict=True) if x])
 
         for batch in batches:
-            for c, role, node, sketch in zip(*(batch.column(x).to_pylist() for x in ("cell", "role", "node", "sketch")), strict=True):
+            for c, role, node, sketch, part in zip(*(batch.column(x).to_pylist() for x in ("cell", "role", "node", "sketch", "part")), strict=True):
                 if c != cell:
                     yield from closed()
                     cell, pivots, held, members, size = c, [], None, [], 0
                 if role == MEMBER:
-                    members.append((role, node, sketch))
+                    members.append((role, node, sketch, part))
                     size += len(sketch)
                     held = np.zeros(len(pivots), bool) if held is None else held
                     if size > PASS_BYTES and pivots:
                         yield passed()
                         members, size = [], 0
                 else:
-                    pivots.append((role, node, sketch))
+                    pivots.append((role, node, sketch, part))
                     held = np.zeros(len(pivots), bool)
         yield from closed()
 
-    met = tiles.join(sketched, "node").select("cell", "role", "node", "sketch")
+    met = tiles.join(sketched, "node").select("cell", "role", "node", "sketch", "part")
     return met.repartition(n, "cell").sortWithinPartitions("cell", "role").mapInArrow(run, "cell long, role int, node binary")
 
 
+def _once(tiles: DataFrame) -> DataFrame:
+    """One of the tiles that hold the same sets in the same roles: sets that are much alike share many sums."""
+    seen = tiles.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("role", "node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "role", "node")).alias("y"))
+    return materialize(tiles.join(seen.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell"), "cell", "left_semi"), "join-once")
+
+
 def _linked(buckets: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links ``a, b`` of the nodes of buckets, as ``cells.linked`` finds them, with sets pruned by their sketches before texts meet."""
+    """Links ``a, b`` of the nodes of buckets that connect as all do, with sets pruned by their sketches before texts meet.
+
+    Each set meets the most central one of its buckets first. Then, as long as that finds links, each meets one of another
+    component; and what is open in the end is gone through whole.
+    """
 
     def link(found: list[bytes], pivots: int, others: int) -> list[tuple[int, int]]:
         return link_tile(*exact_sets(found, k), pivots, others, percent)
 
-    def links(tiles: DataFrame) -> DataFrame:
-        left = materialize(_pruned(tiles, nodes.select("node", "sketch"), percent), "join-tiles")
+    def links(tiles: DataFrame, sketched: DataFrame) -> DataFrame:
+        left = _once(materialize(_pruned(tiles, sketched, percent), "join-tiles"))
         bodies = nodes.select("node", "body").join(left.select("node").distinct(), "node", "left_semi")
         return materialize(_verified(left, bodies, link), "join-links")
 
-    stars = links(_star_cells(buckets))
-    still = _open_buckets(buckets, stars)
-    return stars.unionByName(links(_small_cells(still).unionByName(_block_cells(still))))
+    sketched = nodes.select("node", "sketch")
+    found = links(_star_cells(buckets), sketched.withColumn("part", F.col("node")))
+    while True:
+        still = _open_buckets(buckets, found)
+        parted = sketched.join(still.select("node", "part").distinct(), "node")
+        more = links(_partner_tiles(still), parted)
+        if more.isEmpty():
+            return found.unionByName(links(_small_cells(still).unionByName(_block_cells(still)), parted))
+        found = found.unionByName(more)
+
+
+def _partner_tiles(rows: DataFrame) -> DataFrame:
+    """Each set of the open buckets with the set of another component that it shares most buckets with, of two a bucket:
+    those of its least and of its greatest component. Components that link in any way mostly do so here."""
+    one, keys = F.struct("part", "node"), ["band", "value", "part_no"]
+    ends = _in_parts(rows.groupBy("band", "value", "n").agg(F.min(one).alias("low"), F.max(one).alias("high"))).drop("n")
+    met = rows.join(ends, keys).select("node", F.when(F.col("part") != F.col("low.part"), F.col("low.node")).otherwise(F.col("high.node")).alias("head"))
+    counted = met.groupBy("node", "head").agg(F.count("*").alias("n"))
+    stars = materialize(counted.groupBy("node").agg(F.max(F.struct("n", "head")).alias("best")).select("node", F.col("best.head").alias("head")), "join-stars")
+    sizes = stars.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("tiles"))
+    cell = F.xxhash64(F.lit("partner"), "head", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    members = stars.join(sizes, "head").select("head", "node", cell.alias("cell"))
+    pivots = members.select("cell", F.lit(PIVOT).alias("role"), F.col("head").alias("node")).distinct()
+    return pivots.unionByName(members.select("cell", F.lit(MEMBER).alias("role"), "node"))
 
 
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = NGRAM) -> DataFrame:
