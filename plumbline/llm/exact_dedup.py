@@ -4,10 +4,11 @@
    one entry per batch: hash, text, smallest key, rows.
 2. Owner tasks get ranges of hashes. An owner meets its entries in the order of their hashes; entries of one hash are
    compared byte by byte with the chain of texts met under that hash, so a colliding text becomes a link of its own.
-3. The owner puts one entry per text into an extendible hash: a directory over the leading bits of the hash, which doubles
-   when a full bucket needs a bit more than it has, and the full bucket splits. Entries that no bit can part (one hash)
-   stay chained in one bucket. The buckets are written to the shared folder as a table, a row each.
-4. A row finds its text's entry as in any extendible hash: its owner's depth says how many leading bits of the hash are
+3. The owner puts one entry per text into an extendible hash: a directory over the leading bits of the slot hash, which doubles
+   when a full bucket needs a bit more than it has, and the full bucket splits. The slot hash is a hash of the hash, since all
+   hashes of an owner begin alike; so a directory grows with its owner's entries, however many owners there are. Entries
+   that no bit can part (one hash) stay chained in one bucket. The buckets are written to the shared folder as a table, a row each.
+4. A row finds its text's entry as in any extendible hash: its owner's depth says how many leading bits of the slot hash are
    the slot of the directory, the slot holds the bucket, and of the bucket's entries that with the row's hash and digest is its own.
    A slot is one row of the index side, so that Spark can split the rows of a hot text in the join.
 
@@ -41,7 +42,7 @@ def normalised(text: Column) -> Column:
 
 
 class ExtendibleHash:
-    """A directory of buckets over the leading bits of 64-bit hashes, split at ``bits`` leading bits already shared."""
+    """A directory of buckets over the leading bits of 64-bit hashes."""
 
     def __init__(self, capacity: int = BUCKET_ENTRIES) -> None:
         self.capacity, self.depth = capacity, 0
@@ -80,6 +81,11 @@ def _owner(h: str, owners: Column) -> Column:
     return F.floor(F.shiftrightunsigned(h, 33) * owners / F.lit(1 << 31)).cast("int")
 
 
+def _slot_hash(h: str) -> Column:
+    """The bits that an owner's directory is over: independent of the range of hashes it owns."""
+    return F.xxhash64(h, F.lit("slot"))
+
+
 def _entries(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Texts combined within each task: ``h long, body binary, keep_id, rows long``."""
     id_type = docs.schema[key].dataType.simpleString()
@@ -105,7 +111,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", own
     """The index of ``docs`` as a table of buckets in the shared folder.
 
     A row is a bucket: ``owner int``, ``owners int`` (of the index), ``depth int, prefix long`` (the leading bits of its
-    hashes) and ``entries``, an array of
+    slot hashes) and ``entries``, an array of
     ``h, digest (sha256 of the normalised text), chain (place among texts of one hash), keep_id, rows``. ``owners`` is the
     number of hash ranges, by default one for ``OWNER_ROWS`` rows and at least that of shuffle partitions: an owner's entries
     are in a task's memory at once.
@@ -119,18 +125,18 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", own
         return b if a is None else a if b is None else min(a, b)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, current, chain, number = ExtendibleHash(), None, [], None
+        table, current, chain, number = ExtendibleHash(), (None, 0), [], None
 
         def flush() -> None:
             for link, (body, keep, rows) in enumerate(chain):
-                table.add(current & (1 << 64) - 1, (hashlib.sha256(body).hexdigest(), link, keep, rows))
+                table.add(current[1] & (1 << 64) - 1, (current[0], hashlib.sha256(body).hexdigest(), link, keep, rows))
 
         def buckets() -> Iterator[pa.RecordBatch]:
             flush()
             rows = [
                 {
                     "owner": number, "owners": n, "depth": b["depth"], "prefix": b["prefix"],
-                    "entries": [{"h": v - (v >> 63 << 64), "digest": d, "chain": c, "keep_id": k, "rows": r} for v, (d, c, k, r) in b["entries"]],
+                    "entries": [{"h": h, "digest": d, "chain": c, "keep_id": k, "rows": r} for _, (h, d, c, k, r) in b["entries"]],
                 }
                 for b in table.buckets if b["entries"]
             ]
@@ -138,14 +144,14 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", own
                 yield pa.RecordBatch.from_pylist(rows[i : i + 64], fields)
 
         for batch in batches:
-            for o, h, body, keep, rows in zip(*(batch.column(c).to_pylist() for c in ("owner", "h", "body", "keep_id", "rows")), strict=True):
+            for o, h, slot, body, keep, rows in zip(*(batch.column(c).to_pylist() for c in ("owner", "h", "slot", "body", "keep_id", "rows")), strict=True):
                 if o != number:
                     if number is not None:
                         yield from buckets()
-                    table, chain, current, number = ExtendibleHash(), [], h, o
-                elif h != current:
+                    table, chain, current, number = ExtendibleHash(), [], (h, slot), o
+                elif h != current[0]:
                     flush()
-                    chain, current = [], h
+                    chain, current = [], (h, slot)
                 for link in chain:
                     if link[0] == body:
                         link[1], link[2] = least(link[1], keep), link[2] + rows
@@ -155,7 +161,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", own
         if number is not None:
             yield from buckets()
 
-    entries = _entries(docs, key, text).withColumn("owner", _owner("h", F.lit(n)))
+    entries = _entries(docs, key, text).withColumns({"owner": _owner("h", F.lit(n)), "slot": _slot_hash("h")})
     dealt = entries.repartition(n, "owner").sortWithinPartitions("owner", "h")
     return materialize(dealt.mapInArrow(own, schema), "extendible-index")
 
@@ -170,7 +176,8 @@ def lookup(docs: DataFrame, index: DataFrame, *, key: str = "doc_id", text: str
     body = normalised(F.col(text))
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("h"), F.sha2(body.cast("binary"), 256).alias("digest"))
     rows = rows.crossJoin(F.broadcast(owners.agg(F.max("owners").alias("owners")))).withColumn("owner", _owner("h", F.col("owners")))
-    rows = rows.join(owners.drop("owners"), "owner").withColumn("slot", F.expr("if(bits = 0, 0L, shiftrightunsigned(h, 64 - bits))"))
+    rows = rows.join(owners.drop("owners"), "owner").withColumn("slot", _slot_hash("h"))
+    rows = rows.withColumn("slot", F.expr("if(bits = 0, 0L, shiftrightunsigned(slot, 64 - bits))"))
     found = rows.join(directory, ["owner", "slot"])
     entry = F.get(F.filter("entries", lambda e: (e["h"] == F.col("h")) & (e["digest"] == F.col("digest"))), F.lit(0))
     found = found.select("doc_id", "digest", entry.alias("e"))
