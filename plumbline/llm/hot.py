@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 #: A key is hot with more than a ``SHARE``-th of all rows, and ``LEAST`` rows at least; so there are ``SHARE`` hot keys at most.
 SHARE, LEAST = 10_000, 1000
+#: Groups that rows of hot keys are dealt to.
+DEALT = 1024
 
 
 def join_by_key(rows: DataFrame, table: DataFrame, key: str, copies: str = "copies", *, total: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``table`` of the same key; rows of a key that it lacks, or of none, have nulls.
 
-    ``table`` has a row for each key, with the number of rows of the key in ``copies``, which is dropped. Hot keys are
-    broadcast, at most ``SHARE`` of them, so that their rows stay where they are; all others meet by a shuffle, where
-    none has more than a ``SHARE``-th of the rows. ``total`` is the number of rows, counted if not given.
+    ``table`` has a row for each key, with the number of rows of the key in ``copies``, which is dropped, and no null key. Hot keys
+    are broadcast, at most ``SHARE`` of them, and their rows, as those of a null key, are dealt by their hash; all others meet by key, where none
+    has more than a ``SHARE``-th of the rows. ``total`` is the number of rows, counted if not given.
     """
     least = max(LEAST, (rows.count() if total is None else total) // SHARE)
-    hot, rest = table.where(F.col(copies) > least).drop(copies), table.where(F.col(copies) <= least).drop(copies)
-    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
-    near = rows.join(F.broadcast(hot), key)
-    far = marked.where("__hot IS NULL").drop("__hot").join(rest, key, "left")
-    return far.unionByName(near)
+    more = [c for c in table.columns if c not in (key, copies)]
+    named = table.select(F.col(key).alias("__key"), F.struct(*more).alias("__more"), F.col(copies).alias("__copies"))
+    hot = named.where(F.col("__copies") > least).select(F.col("__key").alias("__hot_key"), F.col("__more").alias("__hot_more"))
+    rest = named.where(F.col("__copies") <= least).select("__key", "__more", F.lit(0).alias("__part"))
+    dealt = F.when(F.col("__hot_key").isNotNull() | F.col(key).isNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(DEALT))).otherwise(0).cast("int")
+    near = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn("__row_part", dealt)
+    both = near.join(rest, (F.col(key) == F.col("__key")) & (F.col("__row_part") == F.col("__part")), "left")
+    found = F.coalesce("__hot_more", "__more")
+    return both.select(*rows.columns, *(found.getField(c).alias(c) for c in more))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.cells import bucketed, find, linked
 from plumbline.llm.components import connected_components
+from plumbline.llm.hot import join_by_key
 from plumbline.llm.shingles import mix64
 from plumbline.llm.storage import fresh, materialize, with_rows
 from plumbline.llm.words import text_slices
@@ -405,11 +406,12 @@ def line_classes(
     classes = connected_components(near_links(rows, text=text, steps=steps))
     classes = classes.select(F.col("node").alias("h"), F.col("component").alias("near"))
     place = F.struct("doc_id", "text_hash", "row", "line")
-    known = lines.join(classes, "h", "left").select("doc_id", "text_hash", "row", "line", F.coalesce("near", "h").alias("class"))
-    firsts = known.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("class", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"))
-    firsts = materialize(firsts, "line-firsts")  # a table of its own, so that Spark can split a class of very many lines in the join
-    later = known.select("class", "row", "line").join(firsts, "class").where("row <> first_row OR line <> first_line")
+    own = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(classes, "h", "left").where("n > 1 OR near IS NOT NULL")
+    own = materialize(own.select("h", "n", "first", F.coalesce("near", "h").alias("class")), "line-own")
+    firsts = own.groupBy("class").agg(F.min("first").alias("least"), F.sum("n").alias("all"), F.count("*").alias("lines")).where(F.col("all") > 1).drop("all")
+    table = join_by_key(own.select("h", "n", "class"), firsts, "class", "lines").where("least IS NOT NULL")
+    table = materialize(table.select("h", "n", F.col("least.row").alias("first_row"), F.col("least.line").alias("first_line")), "line-firsts")
+    later = join_by_key(lines.select("h", "row", "line"), table, "h", "n").where("row <> first_row OR line <> first_line")
     return later.select("row", "line")
 
 
