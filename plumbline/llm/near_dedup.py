@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.cells import bucketed, find, linked
 from plumbline.llm.components import connected_components
+from plumbline.llm.hot import join_by_key
 from plumbline.llm.shingles import WordHashes, exact_sets, mix64, shingle_sets, slices, text_buffer
 from plumbline.llm.storage import materialize, with_rows
 
@@ -129,20 +130,20 @@ def link_sets(codes: np.ndarray, bounds: np.ndarray, pivots: int, others: int, p
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     rows = materialize(sketches(docs, key=key, text=text, k=k), "near-sketches")
-    sets = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    sets = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     sets = materialize(sets, "near-sets")
     buckets = bucketed(sets.select("node", F.col("n_shingles").alias("weight"), F.posexplode("bands").alias("band", "value")), "near-buckets")
-    texts = docs.select(_node(text).alias("node"), _body(text).alias("body"))
-    wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi")
-    bodies = materialize(wanted.groupBy("node").agg(F.first("body").alias("body")), "near-bodies")
+    texts = docs.select(_node(text).alias("node"), _body(text).alias("body")).groupBy("node").agg(F.first("body").alias("body"))
+    bodies = materialize(texts.join(buckets.select("node").distinct(), "node", "left_semi"), "near-bodies")
 
     def link(texts: list[bytes], pivots: int, others: int) -> list[tuple[int, int]]:
         return link_sets(*exact_sets(texts, k), pivots, others, percent)
 
     roots = connected_components(linked(buckets, bodies, link)).select("node", F.col("component").alias("root"))
-    own = sets.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = own.join(own.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component", F.lit(True).alias("linked"))
-    out = rows.drop("bands").join(ids, "node", "left")
+    own = materialize(sets.select("node", "low", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+    lows = own.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("members"))
+    ids = join_by_key(own.drop("low"), lows, "root", "members").select("node", "copies", "component", F.lit(True).alias("linked"))
+    out = join_by_key(rows.drop("bands"), materialize(ids, "near-ids"), "node")
     component = F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

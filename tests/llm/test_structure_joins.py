@@ -298,3 +298,36 @@ def test_join_by_key_keeps_all_rows(spark, monkeypatch):
     table = spark.createDataFrame([("a", 1, 9), ("b", 2, 2)], "k string, v int, copies long")
     got = sorted((r["k"] or "", r["v"] or 0) for r in hot.join_by_key(rows, table, "k").collect())
     assert got == sorted([("a", 1)] * 9 + [("b", 2)] * 2 + [("", 0), ("c", 0)])
+
+
+# hot keys of earlier operators
+
+
+@pytest.mark.parametrize("owners", [1, 256, 65_536])
+def test_directory_does_not_grow_with_owners(spark, owners):
+    """2000 hashes of one owner's range need a directory of the same order, however narrow the range is."""
+    from plumbline.llm import exact_dedup
+
+    chance = random.Random(owners)
+    first = (owners // 3) * 2**64 // owners
+    hashes = sorted(first + chance.randrange(2**64 // owners) for _ in range(2000))
+    df = spark.createDataFrame([(h - (h >> 63 << 64),) for h in hashes], "h long")
+    table = exact_dedup.ExtendibleHash()
+    for row in df.select("h", exact_dedup._slot_hash("h").alias("slot")).collect():
+        table.add(row["slot"] & (1 << 64) - 1, (row["h"],))
+    assert len(table.directory) <= 32 and sum(len(b["entries"]) for b in table.buckets) == 2000
+
+
+def test_a_third_of_all_rows_share_a_text_and_a_line(spark, monkeypatch):
+    from plumbline.llm import exact_dedup, line_dedup, near_dedup
+
+    monkeypatch.setattr(hot, "LEAST", 3)
+    common, line = " ".join(f"w{i}" for i in range(30)), "a line that very many documents have in common"
+    texts = {i: common if i % 3 == 0 else f"{line}\nown {i} text of document {i}" if i % 3 == 1 else " ".join(f"v{i}.{j}" for j in range(12)) for i in range(90)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    near = {r["doc_id"]: r for r in near_dedup.near_duplicates(df).collect()}
+    assert {i for i, r in near.items() if r["kept"]} == {i for i in texts if i == 0 or i % 3} and all(near[i]["component_id"] == 0 for i in texts if i % 3 == 0)
+    copies = {r["doc_id"]: r for r in exact_dedup.lookup(df, exact_dedup.build_index(df)).collect()}
+    assert all((copies[i]["keep_id"], copies[i]["group_size"]) == (0, 30) for i in texts if i % 3 == 0)
+    lines = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert lines == {i: t if i % 3 == 2 or i < 2 else "" if i % 3 == 0 else f"own {i} text of document {i}" for i, t in texts.items()}
