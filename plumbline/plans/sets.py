@@ -111,17 +111,6 @@ def oversample_minority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smote(e, "vec_id", "embedding", "label", factor=2)
 
 
-@query("M11")
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap interval of a difference of means: each row enters each replicate a Poisson(1) number of times, by hash."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 2).alias("g"))
-    u = (F.pmod(F.xxhash64("c_custkey", "rep"), F.lit(1 << 30)) / F.lit(1 << 30)).cast("double")
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634)), F.lit(0))
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("w", weight)
-    means = reps.groupBy("rep").agg(*((F.sum(F.when(F.col("g") == g, F.col("x") * F.col("w"))) / F.sum(F.when(F.col("g") == g, F.col("w")))).alias(f"m{g}") for g in (0, 1)))
-    return means.agg(F.percentile(F.col("m1") - F.col("m0"), F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.avg(F.col("m1") - F.col("m0")).alias("lift"))
-
-
 @query(
     "M12 M13",
     """SELECT c_custkey, ('0x' || left(md5(c_custkey::VARCHAR), 8))::BIGINT % 5 AS client, CASE WHEN ('0x' || left(md5(c_custkey::VARCHAR), 8))::BIGINT // 5 % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM customer""",
