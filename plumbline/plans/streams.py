@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.registry import query, table
-from plumbline.sources.writers import split_dead_letters
-from plumbline.storage import materialize, new_path
+from plumbline.sources import writers as W
+from plumbline.storage import new_path
 from plumbline.streaming import streams as Z
+from plumbline.streaming.panes import ROCKSDB, paned
 
 
 #: Rows of a file of the stream, about; a file is a batch and is written by one task.
@@ -16,16 +17,16 @@ FILE_ROWS = 200_000
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> tuple[DataFrame, str]:
-    """``events`` in even ranges of ascending time, as a stream, ended by a far event that closes all windows."""
+    """``events`` in ranges of ascending time, a file each, as a stream, ended by a far event that closes all windows.
+
+    All files are written at once; a stream takes them by their times, which are then set in the order of their ranges.
+    """
     folder = new_path(spark, "stream")
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     last = spark.sql("SELECT -1L AS event_id, timestamp '2024-06-01 00:00:00' AS ts, -1L AS user_id, 'end' AS event_type, 0.0D AS value")
-    ends = e.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high"))
     files = max(files, -(-e.count() // FILE_ROWS))
-    at = F.floor((F.unix_micros("ts") - F.col("low")) * files / (F.col("high") - F.col("low") + 1))
-    marked = materialize(e.crossJoin(F.broadcast(ends)).withColumn("file", F.coalesce(at, F.lit(0))).drop("low", "high"), "stream-events")
-    for i in range(files):
-        marked.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    e.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    W.dated_by_name(spark, f"{folder}/in")
     last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return Z.file_stream(spark, f"{folder}/in", e.schema), folder
 
@@ -76,7 +77,7 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Z.checked(texts.select(F.replace("value", F.lit('"value"'), F.lit('"amount"')).alias("value")), "event_id long, user_id long, amount double", ("user_id",), lambda df: df.withColumn("score", F.col("amount") / 100))
 
     def write(batch: DataFrame, number: int) -> None:
-        kept, letters = split_dead_letters(batch, "error", "posts")
+        kept, letters = W.split_dead_letters(batch, "error", "posts")
         kept.select("event_id", "user_id", "score").write.mode("overwrite").parquet(f"{folder}/predictions/batch={number}")
         letters.write.mode("overwrite").parquet(f"{folder}/letters/batch={number}")
 
@@ -103,13 +104,20 @@ def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("Z03", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accumulating panes: each batch emits the windows it changed; a window's last pane is its result."""
+    """Accumulating panes, early, on time and late, by timers over state; a window's last pane is its result."""
     stream, folder = event_stream(spark, sf_dir)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("pane", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/panes/batch={number}")
-
-    Z.run_batches(Z.tumbling(stream, "ts", "event_type", "value", size="1 day"), folder, write, mode="update")
-    panes = spark.read.parquet(f"{folder}/panes").where("event_type <> 'end'")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        own = paned(stream, "ts", "event_type", "value", size_seconds=86400, lateness_seconds=300, early_s=0, late_s=0)
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/panes/batch={number}")
+
+        Z.run_batches(own, folder, write, mode="update")
+    finally:
+        spark.conf.set(provider, before)
+    panes = spark.read.parquet(f"{folder}/panes").where("key <> 'end'").select(F.timestamp_millis("start").alias("start"), F.col("key").alias("event_type"), "pane", "n")
     last = panes.groupBy("start", "event_type").agg(F.max_by("n", "pane").alias("n"))
     return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import Event
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW, LATENESS, TRIGGER = "60 seconds", "300 seconds", "30 seconds"
@@ -26,6 +30,33 @@ def run_batches(stream: DataFrame, folder: str, write: Callable[[DataFrame, int]
     query.awaitTermination()
 
 
+def start_batches(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], *, mode: str = "append", every: str = "0 seconds") -> StreamingQuery:
+    """Start a stream that goes on, through ``foreachBatch``; from ``folder``'s checkpoint, if it has one, where it was stopped."""
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).start()
+
+
+def stop_between_batches(query: StreamingQuery, wanted: Callable[[], bool], *, poll_s: float = 0.1) -> None:
+    """Stop a query once it is ``wanted`` and no batch is under way; a batch that is cut off all the same runs again when the query
+    is started anew, under its number, so a sink that overwrites by number has each row once."""
+    while query.isActive and not wanted():
+        query.awaitTermination(poll_s)
+    while query.isActive and query.status["isTriggerActive"] and query.status["isDataAvailable"]:
+        query.awaitTermination(poll_s)
+    query.stop()
+
+
+@contextmanager
+def stopping_on(*signals: int) -> Iterator[Event]:
+    """An event that is set by the first of the signals, whose handlers are put back afterwards; for ``stop_between_batches``."""
+    asked = Event()
+    before = {s: signal.signal(s, lambda *_: asked.set()) for s in signals}
+    try:
+        yield asked
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+
+
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """Files as a stream, in the order of their times."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
