@@ -242,18 +242,19 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "C21",
-    f"""WITH {_PRED}, t AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold)
-SELECT threshold, round(count(*) FILTER (p >= threshold AND y = 1) / greatest(count(*) FILTER (p >= threshold), 1)::DOUBLE, 9) AS "precision", round(count(*) FILTER (p >= threshold AND y = 1) / (count(*) FILTER (y = 1))::DOUBLE, 9) AS recall FROM pred, t GROUP BY threshold""",
+    f"""WITH {_PRED}, t AS (SELECT unnest([0.3, 0.7, 0.9])::DOUBLE AS threshold UNION SELECT round(0.05 + i * 0.05, 2)::DOUBLE FROM range(1, 19) r(i))
+SELECT threshold, round(count(*) FILTER (p >= threshold AND y = 1) / greatest(count(*) FILTER (p >= threshold), 1)::DOUBLE, 9) AS "precision", round(count(*) FILTER (p >= threshold AND y = 1) / (count(*) FILTER (y = 1))::DOUBLE, 9) AS recall,
+  round(2 * count(*) FILTER (p >= threshold AND y = 1) / (count(*) FILTER (p >= threshold) + count(*) FILTER (y = 1))::DOUBLE, 9) AS f1 FROM pred, t GROUP BY threshold""",
 )
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All thresholds in one pass over the rows, as an array of sums."""
-    cuts = [0.3, 0.5, 0.7, 0.9]
+    """All thresholds from 0.1 to 0.95 in one pass over the rows, as an array of sums."""
+    cuts = [round(0.1 + 0.05 * i, 2) for i in range(18)]
     rows = predictions(spark, sf_dir)
     sums = [c for t in cuts for c in (F.count_if(F.col("p") >= t), F.count_if((F.col("p") >= t) & (F.col("y") == 1)))]
     own = rows.agg(F.array(*sums).alias("s"), F.count_if(F.col("y") == 1).alias("pos"))
     out = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.get("s", F.lit(2 * i)).alias("hit"), F.get("s", F.lit(2 * i + 1)).alias("tp")) for i, t in enumerate(cuts))))
     own = own.select(out.alias("o"), "pos")
-    return own.select("o.threshold", F.round(F.col("o.tp") / F.greatest("o.hit", F.lit(1)), 9).alias("precision"), F.round(F.col("o.tp") / F.col("pos"), 9).alias("recall"))
+    return own.select("o.threshold", F.round(F.col("o.tp") / F.greatest("o.hit", F.lit(1)), 9).alias("precision"), F.round(F.col("o.tp") / F.col("pos"), 9).alias("recall"), F.round(2 * F.col("o.tp") / (F.col("o.hit") + F.col("pos")), 9).alias("f1"))
 
 
 @query(
@@ -298,21 +299,31 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.calibration_error(predictions(spark, sf_dir), "p", "y").select(F.round("ece", 9).alias("ece"), F.round("mce", 9).alias("mce"))
 
 
+@query(
+    "C25",
+    f"""WITH {_PRED} SELECT least(floor(round(p * 20, 9)), 19)::INT AS bin, count(*) AS n, round(avg(p), 9) AS predicted, round(avg(y), 9) AS observed FROM pred GROUP BY 1""",
+)
+def calibration_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean probability and the share of label 1 in each of twenty even bins."""
+    bin_ = F.least(F.floor(F.round(F.col("p") * 20, 9)), F.lit(19)).cast("int")
+    return predictions(spark, sf_dir).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 9).alias("predicted"), F.round(F.avg("y"), 9).alias("observed"))
+
+
 @query(
     "C13 C14 C15 C16",
-    f"""WITH {_PRED}, b AS (SELECT community, least(floor(round(p * 10, 9)), 9) AS bin, count(*) AS n, abs(avg(y) - avg(p)) AS gap FROM pred GROUP BY ALL), e AS (SELECT community, sum(gap * n) / sum(n) AS ece FROM b GROUP BY community),
+    f"""WITH {_PRED}, b AS (SELECT community, least(floor(round(p * 10, 9)), 9) AS bin, count(*) AS n, abs(avg(y) - avg(p)) AS gap FROM pred GROUP BY ALL), e AS (SELECT community, CASE WHEN sum(n) >= 20 THEN sum(gap * n) / sum(n) END AS ece FROM b GROUP BY community),
 g AS (SELECT community, avg((p >= 0.5)::INT) AS rate, count(*) FILTER (p >= 0.5 AND y = 1) / (count(*) FILTER (y = 1))::DOUBLE AS tpr, count(*) FILTER (p >= 0.5 AND y = 0) / (count(*) FILTER (y = 0))::DOUBLE AS fpr FROM pred GROUP BY community)
 SELECT community, round(rate, 9) AS rate, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(ece, 9) AS ece, round(max(rate) OVER () - min(rate) OVER (), 9) AS disparity, round(min(rate) OVER () / max(rate) OVER (), 9) AS impact, min(rate) OVER () / max(rate) OVER () < 0.8 AS flagged FROM g JOIN e USING (community)""",
 )
 def fairness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates, odds and calibration by group in one pass; the extremes over groups are one row."""
+    """Rates, odds and calibration by group in one pass; groups of fewer rows than twice the bins have no calibration error. The extremes over groups are one row."""
     p, y = F.col("p"), F.col("y")
     bins = predictions(spark, sf_dir).groupBy("community", F.least(F.floor(F.round(p * 10, 9)), F.lit(9)).alias("bin")).agg(
         F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(p).alias("sp"), F.count_if(p >= 0.5).alias("hit"), F.count_if((p >= 0.5) & (y == 1)).alias("tp")
     )
     g = bins.groupBy("community").agg(
         (F.sum("hit") / F.sum("n")).alias("rate"), stats.ratio(F.sum("tp"), F.sum("sy")).alias("tpr"), stats.ratio(F.sum("hit") - F.sum("tp"), F.sum("n") - F.sum("sy")).alias("fpr"),
-        (F.sum(F.abs(F.col("sy") - F.col("sp"))) / F.sum("n")).alias("ece"),
+        F.when(F.sum("n") >= 20, F.sum(F.abs(F.col("sy") - F.col("sp"))) / F.sum("n")).alias("ece"),
     )
     ends = g.agg(F.min("rate").alias("lo"), F.max("rate").alias("hi"))
     out = g.crossJoin(F.broadcast(ends))
@@ -421,13 +432,20 @@ def prediction_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "C32",
     f"""WITH {SOCIAL}, f AS (SELECT 'score' AS feature, score AS x FROM social UNION ALL SELECT 'sentiment', sentiment FROM social UNION ALL SELECT 'toxicity', toxicity FROM social)
-SELECT feature, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, min(x) AS low, max(x) AS high, round(quantile_cont(x, 0.05), 9) AS p5, round(quantile_cont(x, 0.95), 9) AS p95 FROM f GROUP BY feature""",
+SELECT feature, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, min(x) AS low, max(x) AS high, round(quantile_cont(x, 0.05), 9) AS p5, round(quantile_cont(x, 0.95), 9) AS p95,
+  (SELECT string_agg(n, ',' ORDER BY bin) FROM (SELECT bin, count(y.x) FILTER (b = bin)::VARCHAR AS n FROM range(50) r(bin), (SELECT z.x, least(floor(round((z.x - lo) / ((hi - lo) / 50), 9)), 49) AS b FROM f z, (SELECT min(x) AS lo, max(x) AS hi FROM f w WHERE w.feature = f.feature) WHERE z.feature = f.feature) y GROUP BY bin)) AS histogram FROM f GROUP BY feature""",
 )
 def reference_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = social(spark, sf_dir).select("score", "sentiment", "toxicity").unpivot([], ["score", "sentiment", "toxicity"], "feature", "x")
     ends = stats.quantiles(own, "x", [0.05, 0.95], "feature").select("feature", *(F.round(F.get("q", F.lit(i)), 9).alias(n) for i, n in enumerate(("p5", "p95"))))
     whole = own.groupBy("feature").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_pop("x"), 9).alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
-    return whole.join(ends, "feature")
+    spans = whole.select("feature", "low", "high")
+    width = (F.col("high") - F.col("low")) / 50
+    bin_ = F.least(F.floor(F.round((F.col("x") - F.col("low")) / width, 9)), F.lit(49)).cast("int")
+    counts = own.join(F.broadcast(spans), "feature").groupBy("feature", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    held = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    bars = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("string"))
+    return whole.join(ends, "feature").join(held.select("feature", F.array_join(bars, ",").alias("histogram")), "feature")
 
 
 @query(
@@ -464,7 +482,7 @@ def label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "C10 F17 T02",
+    "C10 F17",
     """WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS low, coalesce(text, '') AS t FROM documents),
 h AS (SELECT doc_id, len(regexp_extract_all(low, 'stupid|idiot|scum')) AS bad, len(regexp_extract_all(t, '!')) AS marks, len(regexp_extract_all(t, '[A-Z]')) / greatest(length(t), 1)::DOUBLE AS caps FROM t),
 p AS (SELECT doc_id, least(bad * 0.2::DOUBLE, 1.0) AS plain, least(bad * 0.15::DOUBLE + marks * 0.05::DOUBLE, 1.0) AS marked, least(bad * 0.1::DOUBLE + caps, 1.0) AS shouted FROM h)

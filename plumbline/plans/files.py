@@ -185,15 +185,18 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "K14 K15 K16",
-    "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_mktsegment END AS segment, c_acctbal AS balance FROM customer",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'new' WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'created' ELSE c_mktsegment END AS segment, c_acctbal AS balance FROM customer""",
 )
 def upsert_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replace by key, then a merge in which null leaves what is known."""
+    """A table in the store: rows replaced by key, then nodes merged, where null leaves what is known and new ones get what is theirs."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
-    old = c.withColumn("balance", F.lit(0.0))
-    state = W.upsert(old, c.where("id % 2 = 0"), ["id"])
+    path = new_path(spark, "nodes")
+    W.replace_table(c.where("id % 3 > 0").withColumn("balance", F.lit(0.0)), path)
+    W.replace_table(W.upsert(W.read_table(spark, path), c.where("id % 2 = 0"), ["id"]), path)
     newer = c.select("id", F.when(F.col("id") % 4 == 0, "new").alias("segment"), F.when(F.col("id") % 2 == 1, F.col("balance")).alias("balance"))
-    return W.merge_nodes(state, newer, "id")
+    on_create = {"segment": F.lit("created"), "balance": F.lit(-1.0)}
+    W.replace_table(W.merge_nodes(W.read_table(spark, path), newer, "id", on_create=on_create), path)
+    return W.read_table(spark, path)
 
 
 @query("K17 K22 K23", f"""WITH {EDGES} SELECT src, dst, type, round(sum(weight) * 2, 6) AS weight FROM edges WHERE type <> 'retweet' GROUP BY ALL""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import co_members, random_embedding, sage_layer, undirected
-from plumbline.operators.joins import asof_join, interval_join, jaccard_self_join, k_hop
+from plumbline.operators.joins import asof_join, interval_join, jaccard_self_join, k_hop, pairs_in_groups
 from plumbline.plans.base import EDGES, SOCIAL, edges, social
 from plumbline.registry import query, table
 from plumbline.sources.readers import edge_name
@@ -38,17 +38,31 @@ def reply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "J04 J05 J07 U09",
-    """WITH m AS (SELECT DISTINCT o_custkey AS i, l_partkey AS g FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT i, count(*) AS n FROM m GROUP BY i),
-c AS (SELECT a.i AS a, b.i AS b, count(*) AS common FROM m a JOIN m b ON a.g = b.g AND a.i < b.i GROUP BY ALL HAVING count(*) >= 2)
-SELECT a, b, common, round(common / (x.n + y.n - common)::DOUBLE, 9) AS jaccard FROM c JOIN n x ON x.i = a JOIN n y ON y.i = b""",
+    "J04 J05 U09",
+    """WITH act AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, o_custkey LIMIT 5000),
+m AS (SELECT DISTINCT o_custkey AS i, l_partkey AS g FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT o_custkey FROM act)), n AS (SELECT i, count(*) AS n FROM m GROUP BY i),
+c AS (SELECT a.i AS a, b.i AS b, count(*) AS common, array_to_string(list_sort(list(a.g))[1:10], ',') AS names FROM m a JOIN m b ON a.g = b.g AND a.i < b.i GROUP BY ALL HAVING count(*) >= 2)
+SELECT a, b, common, names, round(common / (x.n + y.n - common)::DOUBLE, 4) AS jaccard FROM c JOIN n x ON x.i = a JOIN n y ON y.i = b""",
 )
 def co_purchase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by parts bought in common: groups are small, since a part is bought by few, and a pair is a result row."""
+    """Customers by parts bought in common, the first ten of which are named: of those with three orders and more the 5000 most active."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    active = o.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "o_custkey").limit(5000).select("o_custkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    m = o.join(lines, "o_orderkey").select("o_custkey", "l_partkey").distinct()
-    return jaccard_self_join(m, "o_custkey", "l_partkey", 2).withColumn("jaccard", F.round("jaccard", 9))
+    m = o.join(active, "o_custkey", "left_semi").join(lines, "o_orderkey").select("o_custkey", "l_partkey").distinct()
+    pairs = jaccard_self_join(m, "o_custkey", "l_partkey", 2, names=10)
+    return pairs.select("a", "b", "common", F.array_join(F.transform("names", lambda x: x.cast("string")), ",").alias("names"), F.round("jaccard", 4).alias("jaccard"))
+
+
+@query(
+    "J07",
+    """WITH m AS (SELECT l_partkey AS g, o_custkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R') SELECT x.g AS part, x.i AS a, y.i AS b, count(*) AS n FROM m x JOIN m y ON x.g = y.g AND x.i < y.i GROUP BY ALL""",
+)
+def buyers_of_a_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two buyers who sent a part back, once for each two of their lines."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return pairs_in_groups(o.join(lines, "o_orderkey"), "o_custkey", "l_partkey").groupBy(F.col("g").alias("part"), "a", "b").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -62,27 +76,27 @@ def co_community_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "J08",
     f"""WITH {SOCIAL}, s AS (SELECT post_id, user_id, community, epoch_us(ts) AS us FROM social)
-SELECT a.post_id AS a_post, b.post_id AS b_post, round(1 - abs(a.us - b.us) / 600e6, 4) AS weight FROM s a JOIN s b ON a.community = b.community AND a.us < b.us AND a.user_id <> b.user_id AND b.us - a.us <= 600000000""",
+SELECT a.post_id AS a_post, b.post_id AS b_post, round(1 - abs(a.us - b.us) / 600e6, 4) AS weight, round((b.us - a.us) / 3600e6, 2) AS hours FROM s a JOIN s b ON a.community = b.community AND a.us < b.us AND a.user_id <> b.user_id AND b.us - a.us <= 600000000""",
 )
 def temporal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of one community within ten minutes of each other, by different users: an interval join over time buckets."""
     p = social(spark, sf_dir).select("post_id", "user_id", "community", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     pairs = interval_join(p, p, "community", "us", "us", 600_000_000).where("a_us < b_us AND a_user_id <> b_user_id")
-    return pairs.select(F.col("a_post_id").alias("a_post"), F.col("b_post_id").alias("b_post"), F.round(1 - F.abs(F.col("a_us") - F.col("b_us")) / 600e6, 4).alias("weight"))
+    return pairs.select(F.col("a_post_id").alias("a_post"), F.col("b_post_id").alias("b_post"), F.round(1 - F.abs(F.col("a_us") - F.col("b_us")) / 600e6, 4).alias("weight"), F.round((F.col("b_us") - F.col("a_us")) / 3600e6, 2).alias("hours"))
 
 
 @query(
     "J12",
     f"""WITH RECURSIVE {SOCIAL}, e AS (SELECT a.user_id AS s, b.user_id AS d FROM social a JOIN social b ON a.parent_id = b.post_id WHERE a.user_id <> b.user_id),
 u AS (SELECT DISTINCT s, d FROM (SELECT s, d FROM e UNION ALL SELECT d, s FROM e)), r(node, steps) AS (SELECT DISTINCT s, 0 FROM u WHERE s = 8 UNION SELECT u.d, r.steps + 1 FROM r JOIN u ON u.s = r.node WHERE r.steps < 2)
-SELECT node, min(steps)::INT AS steps FROM r GROUP BY node""",
+SELECT node, min(steps)::INT AS steps FROM r GROUP BY node ORDER BY 2, 1 LIMIT 100""",
 )
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users within two steps of a user."""
+    """The hundred nearest users within two steps of a user; ties by id."""
     posts = social(spark, sf_dir)
     parents = posts.select(F.col("post_id").alias("parent_id"), F.col("user_id").alias("dst"))
     e = posts.join(parents, "parent_id").where("user_id <> dst").select(F.col("user_id").alias("src"), "dst")
-    return k_hop(e, F.col("node") == 8, 2)
+    return k_hop(e, F.col("node") == 8, 2).orderBy("steps", "node").limit(100)
 
 
 @query(

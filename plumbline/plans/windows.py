@@ -87,7 +87,7 @@ def retweet_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W17 W19 T05",
+    "W17 W19",
     f"""WITH {SOCIAL}, u AS (SELECT user_id, count(*) AS n, avg(sentiment) AS s FROM social GROUP BY user_id) SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS place FROM u ORDER BY n DESC, user_id LIMIT 50""",
 )
 def most_active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,46 @@ def most_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W18 T08 J17 J06",
+    "T05",
+    f"""WITH {SOCIAL} SELECT community, post_id, round(sentiment * score, 6) AS weight FROM social QUALIFY row_number() OVER (PARTITION BY community ORDER BY abs(round(sentiment * score, 6)) DESC, post_id) <= 10""",
+)
+def heaviest_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten posts of each community with the greatest weight either way; a rank limit, which Spark applies before the shuffle too."""
+    order = Window.partitionBy("community").orderBy(F.desc(F.abs("weight")), "post_id")
+    rows = social(spark, sf_dir).select("community", "post_id", F.round(F.col("sentiment") * F.col("score"), 6).alias("weight"))
+    return rows.withColumn("place", F.row_number().over(order)).where("place <= 10").drop("place")
+
+
+@query(
+    "T02 F17",
+    f"""WITH {SOCIAL}, v AS (SELECT post_id, n AS variant, least(toxicity + n * 0.1::DOUBLE, 1.0) AS toxicity, round(toxicity * n / 4.0::DOUBLE - 0.3 * (n = 3)::INT, 6) AS uplift FROM social, range(1, 5) r(n))
+SELECT post_id, variant, uplift FROM v WHERE toxicity < 0.7 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY uplift DESC, variant) <= 2""",
+)
+def best_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each post's variants within the moderation limit the two with the greatest uplift."""
+    n = F.col("variant")
+    rows = social(spark, sf_dir).select("post_id", "toxicity", F.explode(F.sequence(F.lit(1), F.lit(4)).cast("array<bigint>")).alias("variant"))
+    uplift = F.round(F.col("toxicity") * n / 4 - F.when(n == 3, 0.3).otherwise(0.0), 6)
+    passing = rows.where(F.least(F.col("toxicity") + n * F.lit(0.1), F.lit(1.0)) < 0.7).select("post_id", "variant", uplift.alias("uplift"))
+    place = F.row_number().over(Window.partitionBy("post_id").orderBy(F.desc("uplift"), "variant"))
+    return passing.withColumn("place", place).where("place <= 2").drop("place")
+
+
+@query(
+    "J17 R02 G03",
+    """WITH a AS (SELECT o_custkey AS src, string_agg(((o_orderkey * 7) % 1500)::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1)
+SELECT DISTINCT src, d::BIGINT AS dst FROM a, LATERAL (SELECT unnest(string_split(ids, ',')[1:100]) AS d) WHERE src <> d::BIGINT""",
+)
+def follow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to the first hundred ids of each user's array, which is a JSON text; nobody follows themselves."""
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("src")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", ((F.col("o_orderkey") * 7) % 1500).cast("string").alias("id")))).alias("ids"))
+    texts = own.select("src", F.to_json(F.transform("ids", lambda x: x["id"])).alias("ids"))
+    rows = texts.select("src", F.explode(F.slice(F.from_json("ids", "array<string>"), 1, 100)).alias("dst"))
+    return rows.select("src", F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct()
+
+
+@query(
+    "W18 T08 J06",
     f"""WITH {EDGES}, f AS (SELECT src, dst, min(ts) AS first_ts FROM edges GROUP BY src, dst) SELECT src, dst, first_ts FROM f QUALIFY row_number() OVER (PARTITION BY src ORDER BY first_ts, dst) <= 5""",
 )
 def first_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +153,14 @@ p AS (SELECT n, g, count(*) AS c, avg(x) AS m, var_samp(x) AS v FROM o JOIN rang
 SELECT a.n, round((b.m - a.m) / sqrt(a.v / a.c + b.v / b.c), 5) AS t FROM p a JOIN p b ON a.n = b.n AND a.g = 0 AND b.g = 1""",
 )
 def sequential_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Welch's statistic after each hundred of each group: rows are summed by hundred, and the sums run up."""
-    w = Window.partitionBy("g").orderBy("c_custkey")
+    """Welch's statistic after each hundred of each group: rows are summed by hundred, and the sums run up.
+
+    Only the first 10,000 of a group are looked at, so a group's rows are cut to them by a limit in every task first.
+    """
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 2).alias("g"))
-    block = F.ceil(F.row_number().over(w) / 100)
+    first = [rows.where(F.col("g") == g).orderBy("c_custkey").limit(10_000) for g in (0, 1)]
+    rows = first[0].unionByName(first[1])
+    block = F.ceil(F.row_number().over(Window.partitionBy("g").orderBy("c_custkey")) / 100)
     sums = rows.withColumn("n", block * 100).where("n <= 10000").groupBy("g", "n").agg(F.count("*").alias("c"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     run = Window.partitionBy("g").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.select("g", "n", *(F.sum(c).over(run).alias(c) for c in ("c", "s", "q")))
@@ -225,7 +268,7 @@ def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "T02 W23 Z14",
+    "W23 Z14",
     f"""WITH {SOCIAL} SELECT community, post_id, toxicity FROM social QUALIFY row_number() OVER (PARTITION BY community ORDER BY ts DESC, post_id DESC) <= 100""",
 )
 def recent_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:

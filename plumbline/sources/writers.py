@@ -161,11 +161,29 @@ def upsert(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return known.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def merge_nodes(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """A merge by key: new values win where they are not null, known ones stay elsewhere."""
-    rest = [c for c in known.columns if c != key]
-    own = known.alias("a").join(new.alias("b"), key, "full")
-    return own.select(key, *(F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in rest))
+def merge_nodes(known: DataFrame, new: DataFrame, key: str, on_create: dict[str, Column] | None = None) -> DataFrame:
+    """A merge by key: on a match new values win where they are not null, known ones stay elsewhere; a new key's nulls become
+    what ``on_create`` has for their column."""
+    rest, first = [c for c in known.columns if c != key], on_create or {}
+    own = known.withColumn("__known", F.lit(True)).alias("a").join(new.alias("b"), key, "full")
+    created = F.col("a.__known").isNull()
+    return own.select(key, *(F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}"), *([F.when(created, first[c])] if c in first else [])).alias(c) for c in rest))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a version of a table beside those there are; it is the table once it is complete, so readers see one or the other.
+
+    A version that a lost driver left unfinished has no success marker and is passed over.
+    """
+    df.write.parquet(f"{path.rstrip('/')}/version={time.time_ns():020d}")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The latest complete version of a table."""
+    from plumbline.sources.readers import latest
+
+    done = latest(spark, f"{path.rstrip('/')}/version=*/_SUCCESS")
+    return spark.read.parquet(done.rpartition("/")[0])
 
 
 def merge_edges(known: DataFrame, new: DataFrame) -> DataFrame:

@@ -124,3 +124,26 @@ def test_lift_keeps_its_sign(spark):
 def test_edge_names(spark):
     df = spark.createDataFrame([(x,) for x in ("Follow", "mention", "RETWEET", "reply", "Liked", None)], "t string")
     assert [r[0] for r in df.select(edge_name(F.col("t"))).collect()] == ["follows", "mentions", "retweets", "replies_to", "liked", None]
+
+
+def test_pairs_where_a_group_has_a_third_of_the_members(spark):
+    chance, members = random.Random(2), []
+    for i in range(120):
+        groups = {0} if i % 3 == 0 else set()
+        groups |= {100 + i % 7, 200 + i % 5} if i % 4 else set(chance.sample(range(300, 330), 4))
+        members += [(i, g) for g in groups]
+    df = spark.createDataFrame([*members, *members[:10]], "i long, g long")
+    sets = {}
+    for i, g in members:
+        sets.setdefault(i, set()).add(g)
+    want = {}
+    for a in sets:
+        for b in sets:
+            both = sets[a] & sets[b]
+            if a < b and len(both) >= 2:
+                want[a, b] = (len(both), round(len(both) / len(sets[a] | sets[b]), 9), sorted(both)[:2])
+    for block in (7, 1000):
+        rows = joins.jaccard_self_join(df, "i", "g", 2, names=2, block=block).collect()
+        assert {(r["a"], r["b"]): (r["common"], round(r["jaccard"], 9), r["names"]) for r in rows} == want and len(rows) == len(want)
+    every = joins.pairs_in_groups(spark.createDataFrame(members, "i long, g long"), "i", "g", block=7).collect()
+    assert len(every) == len(set(every)) == sum(len(s & sets[b]) for a, s in sets.items() for b in sets if a < b)
