@@ -50,7 +50,7 @@ SLICE_BYTES, FREQUENT = 2 << 20, 8
 DEALT = 1024
 #: Bits a bitmap has for each n-gram, at least.
 BITS_EACH = 2
-SUM_NAMES, SUMS = ["value", "dealt", "short", "band"], "value long, dealt int, short long, band int"
+SUM_NAMES, SUMS = ["value", "dealt", "short"], "value long, dealt int, short long"
 _STEP, _SEED = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -197,50 +197,41 @@ def _node(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(_body(text), 256), 1, 32))
 
 
-def _sketched(k: int):
-    """A task that adds the size and the sketch of its set to each ``node, body``."""
+def _sets(percent: int, k: int):
+    """A task that gives each ``node, body`` the size and the sketch of its set, its sums, and for each sum how it is dealt:
+    0 for the common way, where the sum is rare in the slice or this is one of the two sets that stand for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
-                own = batch.slice(i, j - i)
-                values, bounds = shingle_sets(own.column(1).to_pylist(), hashes, k)
-                columns = [*own.columns, pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "body", "n_shingles", "sketch"])
-
-    return run
-
-
-def _sums(percent: int, k: int):
-    """A task that turns ``short, body`` rows into ``value, dealt, short, band`` rows: a sum of the set, and how it is dealt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            _, offsets = text_buffer(batch.column(1))
-            for i, j in slices(offsets, SLICE_BYTES):
-                short = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)
-                sets, band, value = part_sums(*shingle_sets(batch.column(1).slice(i, j - i).to_pylist(), hashes, k), percent)
+                part = batch.slice(i, j - i)
+                values, bounds = shingle_sets(part.column(1).to_pylist(), hashes, k)
+                sets, _, value = part_sums(values, bounds, percent)
                 order = np.argsort(value, kind="stable")
-                own, value = short[sets[order]], value[order]
-                new = np.ones(len(value), bool)
-                new[1:] = value[1:] != value[:-1]
+                ordered, own = value[order], sets[order]
+                new = np.ones(len(ordered), bool)
+                new[1:] = ordered[1:] != ordered[:-1]
                 at = np.flatnonzero(new)
-                counts = np.diff(np.append(at, len(value)))
-                nth = np.arange(len(value)) - np.repeat(at, counts)
-                dealt = np.where((np.repeat(counts, counts) >= FREQUENT) & (nth > 1), 1 + (mix64(own.view(np.uint64)) % np.uint64(DEALT)).astype(np.int32), 0)
-                columns = [value.view(np.int64), dealt.astype(np.int32), own, band[order].astype(np.int32)]
-                for a in range(0, len(value), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], names=SUM_NAMES)
+                counts = np.diff(np.append(at, len(ordered)))
+                nth = np.arange(len(ordered)) - np.repeat(at, counts)
+                often = (np.repeat(counts, counts) >= FREQUENT) & (nth > 1)
+                dealt = np.where(often, 1 + (mix64(own.astype(np.uint64) + np.uint64(offsets[i])) % np.uint64(DEALT)).astype(np.int32), 0)
+                by_set = np.argsort(own, kind="stable")
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(part)))]).astype(np.int32))
+                columns = [
+                    *part.columns, pa.array(np.diff(bounds)), pa.array(sketches(values, bounds), pa.binary()),
+                    pa.ListArray.from_arrays(ends, pa.array(ordered[by_set].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(dealt[by_set].astype(np.int32))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "body", "n_shingles", "sketch", "sums", "dealt"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows, sorted by ``value`` and ``dealt``, of values that several rows have; dealt rows are of such anyway."""
-    held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32)]
+    held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)]
     matched = False  # whether the held row has met an equal one
 
     def out(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
@@ -317,8 +308,8 @@ def _once(tiles: DataFrame) -> DataFrame:
 def _linked(buckets: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
     """Links ``a, b`` of the nodes of buckets that connect as all do, with sets pruned by their sketches before texts meet.
 
-    Each set meets the most central one of its buckets first. Then, as long as that finds links, each meets one of another
-    component; and what is open in the end is gone through whole.
+    Each set meets the most central one of its buckets first, then one of another component, which joins nearly all that link;
+    and what is open then is gone through whole.
     """
 
     def link(found: list[bytes], pivots: int, others: int) -> list[tuple[int, int]]:
@@ -331,13 +322,13 @@ def _linked(buckets: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataF
 
     sketched = nodes.select("node", "sketch")
     found = links(_star_cells(buckets), sketched.withColumn("part", F.col("node")))
-    while True:
-        still = _open_buckets(buckets, found)
-        parted = sketched.join(still.select("node", "part").distinct(), "node")
-        more = links(_partner_tiles(still), parted)
-        if more.isEmpty():
-            return found.unionByName(links(_small_cells(still).unionByName(_block_cells(still)), parted))
+    still = _open_buckets(buckets, found)
+    more = links(_partner_tiles(still), sketched.join(still.select("node", "part").distinct(), "node"))
+    if not more.isEmpty():
         found = found.unionByName(more)
+        still = _open_buckets(buckets, found)
+    parted = sketched.join(still.select("node", "part").distinct(), "node")
+    return found.unionByName(links(_small_cells(still).unionByName(_block_cells(still)), parted))
 
 
 def _partner_tiles(rows: DataFrame) -> DataFrame:
@@ -360,14 +351,14 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(docs.select(F.col(key).alias("doc_id"), _node(text).alias("node")), "join-rows")
     texts = docs.select(_node(text).alias("node"), _body(text).alias("body")).groupBy("node").agg(F.first("body").alias("body"))
-    nodes = materialize(texts.mapInArrow(_sketched(k), "node binary, body binary, n_shingles long, sketch binary"), "join-texts")
+    nodes = materialize(texts.mapInArrow(_sets(percent, k), "node binary, body binary, n_shingles long, sketch binary, sums array<long>, dealt array<int>"), "join-texts")
 
     short = F.xxhash64("node").alias("short")
-    sums = nodes.where("n_shingles > 0").select(short, "body").mapInArrow(_sums(percent, k), SUMS)
+    sums = nodes.select(short, F.explode(F.arrays_zip("sums", "dealt")).alias("s")).select(F.col("s.sums").alias("value"), "s.dealt", "short")
     shared = sums.repartition(n, "value", "dealt").sortWithinPartitions("value", "dealt").mapInArrow(_shared, SUMS)
     shared = materialize(shared, "join-sums")
     met = shared.join(nodes.select("node", F.col("n_shingles").alias("weight"), short), "short")
-    buckets = bucketed(met.select("node", "weight", "band", "value"), "join-buckets")
+    buckets = bucketed(met.select("node", "weight", F.lit(0).alias("band"), "value"), "join-buckets")
     roots = connected_components(_linked(buckets, nodes, percent, k)).select("node", F.col("component").alias("root"))
     return with_components(rows, nodes.select("node", "n_shingles"), roots)
 
