@@ -120,7 +120,8 @@ def with_periods(docs: DataFrame) -> DataFrame:
     chosen = docs.withColumns({"__g": F.floor(h / 10), "__words": F.when(h % 10 == 0, words)}).withColumn("__n", F.size("__words"))
     at = chosen.withColumn("__a", F.expr("if(__n > 0, __g % __n, null)"))
     at = at.withColumn("__p", F.expr("1 + (__n - __a) div (3 + __g % 8)"))
-    periodic = F.expr("array_join(transform(sequence(0, __n - 1), i -> get(__words, cast(if(i < __a, i, __a + (i - __a) % __p) AS int))), ' ')")
+    tail = "slice(flatten(array_repeat(slice(__words, cast(__a + 1 AS int), cast(__p AS int)), cast(ceil((__n - __a) / __p) AS int))), 1, cast(__n - __a AS int))"
+    periodic = F.expr(f"array_join(concat(slice(__words, 1, cast(__a AS int)), {tail}), ' ')")
     return at.withColumn("text", F.when(F.col("__n") > 0, periodic).otherwise(F.col("text"))).select(*docs.columns)
 
 
