@@ -9,7 +9,8 @@ A batch is assembled as bytes: the lengths of all segments, their running sum an
 numpy, and headers, contents and footers are copied into one buffer that becomes the Arrow column.
 
 Defined cases: null texts and roles count as empty; null turns come first; turns of equal number go by their formatted
-strings; rows of a null conversation form one conversation; repeated rows are repeated turns.
+strings; rows of a null conversation form one conversation; repeated rows are repeated turns. Keys and turns must be whole numbers. A text of
+any length is formatted in one row; other columns are not read, so they may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations

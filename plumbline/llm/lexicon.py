@@ -9,7 +9,8 @@ A word the lexicon lacks is merged by the vocabulary's ranks: in each round ever
 has. Since a merge only makes pairs of higher ranks than its own, that is the order of the merges one by one.
 
 Defined cases: null counts as empty and has no ids; special strings inside a text have their own id, as in the tokenizers
-library; a text of any length is one row.
+library; a text of any length is one row. Of words of equal frequency those of the last level may all enter or none, which changes no
+ids. Repeated rows give a row each; other columns are not read, so they may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Media columns: byte payloads kept as FLAC, and read back as PCM blocks with seekable sample offsets.
 
 Defined cases: a null payload is an empty one and is padded to one block; payloads of any length are padded with bytes 255
-to a positive multiple of the block; equal payloads give equal media.
+to a positive multiple of the block; equal payloads give equal media. Repeated rows give a row each, and there are no ties;
+an empty table gives no rows. Other columns are kept, and must not have the names of those that are added.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ its lengths lasts. Pieces then find their place by their rank within their lengt
 sort, so that a length which a third of all pieces share is spread over tasks.
 
 Defined cases: a null text is an empty one, a single end id; an empty table gives no pieces; repeated rows are packed once
-each; ties between equal lengths go by key, piece and start.
+each; ties between equal lengths go by key, piece and start. Keys must be whole numbers; a text of any length is cut in pieces. Of
+``docs`` other columns are not read; pieces must not have columns ``task, nth, rank, base, sequence_id, offset``.
 """
 
 from __future__ import annotations
