@@ -195,7 +195,7 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT post_id, round(least((score + 2 * comments + 3 * k) / 1000, 1.0), 6) AS engagement, CASE WHEN followers > 0 THEN (comments / followers::DOUBLE > 0.1)::INT ELSE 0 END AS backlash,
   round((coalesce(0.5 * m1, 0) + coalesce(0.3 * m2, 0) + 0.2 * m3) / (CASE WHEN m1 IS NULL THEN 0 ELSE 0.5 END + CASE WHEN m2 IS NULL THEN 0 ELSE 0.3 END + 0.2), 6) AS ensemble,
   round((coalesce(m1, 0) + coalesce(m2, 0) + m3) / ((m1 IS NOT NULL)::INT + (m2 IS NOT NULL)::INT + 1), 6) AS mean_of, round(greatest(coalesce(m1, -1), coalesce(m2, -1), m3), 6) AS max_of,
-  coalesce(m1 > 0.5, false) OR coalesce(m2 > 0.5, false) OR m3 > 0.5 AS any_of, round(CASE WHEN m1 IS NULL AND m2 IS NULL THEN 0 ELSE list_var_pop(list_filter([m1, m2, m3], lambda x: x IS NOT NULL)) END, 6) AS variance,
+  coalesce(m1 > 0.5, false) OR coalesce(m2 > 0.5, false) OR m3 > 0.5 AS any_of, round(CASE WHEN m1 IS NULL AND m2 IS NULL THEN 0 ELSE list_var_pop(list_filter([m1, m2, m3], lambda x: x IS NOT NULL)) END, 12) AS variance,
   len(list_distinct(list_filter([m1 > 0.5, m2 > 0.5, m3 > 0.5], lambda x: x IS NOT NULL))) > 1 AS disagree, round(exp(m3) / (exp(coalesce(m1, 0)) + exp(coalesce(m2, 0)) + exp(m3)), 6) AS softmax,
   round(1 / (1 + exp(-sentiment)), 6) AS sig, round(ln(least(greatest(toxicity, 1e-10), 1 - 1e-10)) - ln(1 - least(greatest(toxicity, 1e-10), 1 - 1e-10)), 6) AS logit FROM s""",
 )
@@ -214,7 +214,7 @@ def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(S.null_mean(models), 6).alias("mean_of"),
         F.round(F.greatest(*models), 6).alias("max_of"),
         reduce(or_, [F.coalesce(m > 0.5, F.lit(False)) for m in models]).alias("any_of"),
-        F.round(S.null_variance(models), 6).alias("variance"),
+        F.round(S.null_variance(models), 12).alias("variance"),
         S.disagree(models, 0.5).alias("disagree"),
         F.round(F.element_at(S.softmax([F.coalesce(m, F.lit(0.0)) for m in models]), -1), 6).alias("softmax"),
         F.round(S.sigmoid(F.col("sentiment")), 6).alias("sig"),
