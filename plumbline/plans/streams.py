@@ -12,23 +12,25 @@ from plumbline.streaming import streams as Z
 from plumbline.streaming.panes import ROCKSDB, paned
 
 
-#: Rows of a file of the stream, about; a file is a batch and is written by one task.
-FILE_ROWS = 200_000
+#: Rows of a file of the stream, about, which one task writes; batches of the stream at most, apart from that of the end.
+FILE_ROWS, BATCHES = 200_000, 3
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> tuple[DataFrame, str]:
     """``events`` in ranges of ascending time, a file each, as a stream, ended by a far event that closes all windows.
 
-    All files are written at once; a stream takes them by their times, which are then set in the order of their ranges.
+    All files are written at once; a stream takes them by their times, which are then set in the order of their ranges. A batch takes
+    more files where there are more: each batch goes through the state of all keys, so their number must not grow with the rows.
     """
     folder = new_path(spark, "stream")
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     last = spark.sql("SELECT -1L AS event_id, timestamp '2024-06-01 00:00:00' AS ts, -1L AS user_id, 'end' AS event_type, 0.0D AS value")
-    files = max(files, -(-e.count() // FILE_ROWS))
+    per_batch = -(-max(files, -(-e.count() // FILE_ROWS)) // max(files, BATCHES))
+    files = per_batch * max(files, BATCHES)
     e.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
     W.dated_by_name(spark, f"{folder}/in")
     last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return Z.file_stream(spark, f"{folder}/in", e.schema), folder
+    return Z.file_stream(spark, f"{folder}/in", e.schema, per_batch), folder
 
 
 @query(
