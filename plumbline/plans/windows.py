@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scores import decay, dot, reply_weight
+from plumbline.functions.scores import decay, reply_weight
 from plumbline.functions.text import words
 from plumbline.operators.search import CellIndex, WordIndex
 from plumbline.operators.temporal import forecast, temporal_features
-from plumbline.operators.vectors import against_all
+from plumbline.operators.vectors import best_candidates
 from plumbline.plans.base import AS_OF, EDGES, SOCIAL, edges, social
 from plumbline.registry import query, table
 
@@ -223,10 +223,11 @@ s AS (SELECT query_id, query_label, vec_id, label, round(list_sum(list_transform
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place, (label = query_label) AS same FROM s QUALIFY place <= 5""",
 )
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of each query by dot product. Queries are a stated set, which all rows pass in blocks."""
+    """The five nearest vectors of each query by dot product. Queries are a stated set, which all rows pass."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    rows = against_all(e, q, "vec_id", "query_id").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("score"), (F.col("label") == F.col("query_label")).alias("same"))
+    rows = best_candidates(e.select("vec_id", "embedding", "label"), q, "vec_id", "embedding", "query_id", "q", 5, "dot")
+    rows = rows.select("query_id", "vec_id", F.round("score", 5).alias("score"), (F.col("label") == F.col("query_label")).alias("same"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5").select("query_id", "vec_id", "score", "place", "same")
 
@@ -258,12 +259,12 @@ s AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(e
 SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s QUALIFY place <= 5""",
 )
 def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest other vectors of each query by Euclidean distance; queries are a stated set, which all rows pass in blocks."""
+    """The five nearest other vectors of each query by Euclidean distance; queries are a stated set, which all rows pass."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    square = F.aggregate(F.zip_with("embedding", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    rows = against_all(e, q, "vec_id", "query_id").select("query_id", "vec_id", F.round(F.sqrt(square), 5).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    rows = best_candidates(e.select("vec_id", "embedding"), q, "vec_id", "embedding", "query_id", "q", 5, "euclid")
+    rows = rows.select("query_id", "vec_id", F.round("score", 5).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5")
 
 
