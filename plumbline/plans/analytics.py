@@ -10,6 +10,7 @@ from plumbline.operators import stats
 from plumbline.operators.labels import points, standard_functions, weak_label
 from plumbline.plans.base import SOCIAL, social
 from plumbline.registry import query, table
+from plumbline.storage import materialize
 
 #: Words of action and of hedging.
 ACTION = [
@@ -469,7 +470,9 @@ def label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    rows = weak_documents(spark, sf_dir).where("weak_label >= 0").withColumn("label", F.col("weak_label").cast("double"))
+    # The models pass over the votes again and again: they are made from the texts once.
+    rows = weak_documents(spark, sf_dir).where("weak_label >= 0").select("doc_id", F.col("weak_label").cast("double").alias("label"), "confidence", *_VOTES)
+    rows = materialize(rows, "weak-votes")
     rows = VectorAssembler(inputCols=list(_VOTES), outputCol="raw").transform(rows)
     rows = StandardScaler(inputCol="raw", outputCol="features").fit(rows).transform(rows).select("doc_id", "label", "confidence", "features")
     sure = rows.where("confidence > 0.3")
