@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import stats
 from plumbline.operators.sampling import folds
+from plumbline.storage import materialize
 
 #: Blocks of rows whose sums are drawn from, of each group.
 BLOCKS = 4096
@@ -106,26 +107,24 @@ def privacy_utility(rows: DataFrame, key: str, p: str, y: str, epsilons: list[fl
 def cross_validated(rows: DataFrame, key: str, features: list[str], label: str, *, parameters: tuple[float, ...] = (0.0, 0.1), n_folds: int = 5) -> DataFrame:
     """Standardised logistic regression under cross-validation over folds by hash of the key.
 
-    The regularisation is chosen by the mean area under the curve over all folds (``CrossValidator``); then a row for each fold:
-    ``fold, parameter, n, accuracy, auc`` of the model that has not seen it.
+    The regularisation is chosen by the mean area under the curve over all folds; then a row for each fold: ``fold, parameter, n,
+    accuracy, auc`` of the model that has not seen it. A model is fitted once for each fold and parameter, which gives both.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    own = rows.select(F.col(key), *(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("label"), folds(key, n_folds).cast("int").alias("fold")).cache()
-    model = LogisticRegression(maxIter=20)
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), model])
-    grid = ParamGridBuilder().addGrid(model.regParam, list(parameters)).build()
+    own = rows.select(F.col(key), *(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("label"), folds(key, n_folds).cast("int").alias("fold"))
+    own = materialize(VectorAssembler(inputCols=features, outputCol="raw").transform(own).select("raw", "label", "fold"), "folds")
     evaluator = BinaryClassificationEvaluator()
-    validated = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator, numFolds=n_folds, foldCol="fold").fit(own)
-    best = max(range(len(grid)), key=lambda i: validated.avgMetrics[i])
-    out = []
+    figures: dict[float, list[tuple]] = {p: [] for p in parameters}
     for fold in range(n_folds):
-        scored = pipeline.fit(own.where(F.col("fold") != fold), grid[best]).transform(own.where(F.col("fold") == fold))
-        row = scored.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy")).collect()[0]
-        out.append((fold, float(parameters[best]), row["n"], row["accuracy"], evaluator.evaluate(scored)))
-    own.unpersist()
-    return rows.sparkSession.createDataFrame(out, "fold int, parameter double, n long, accuracy double, auc double")
+        seen, unseen = own.where(F.col("fold") != fold), own.where(F.col("fold") == fold)
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(seen)
+        train, test = (scaler.transform(df).select("features", "label") for df in (seen, unseen))
+        for p in parameters:
+            scored = LogisticRegression(maxIter=20, regParam=p).fit(train).transform(test)
+            row = scored.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy")).collect()[0]
+            figures[p].append((fold, float(p), row["n"], row["accuracy"], evaluator.evaluate(scored)))
+    best = max(parameters, key=lambda p: np.mean([f[-1] for f in figures[p]]))
+    return rows.sparkSession.createDataFrame(figures[best], "fold int, parameter double, n long, accuracy double, auc double")
