@@ -26,11 +26,16 @@ class WordIndex:
     """Postings of the distinct words of documents (``doc_id, tokens, ws``), in blocks by word and size of document.
 
     A document can share no more words with a query than it has, so a block's most words are an upper bound of its scores. Blocks are
-    a table of ``w, class, size, most``; postings have ``w, class, doc_id, n``.
+    a table of ``w, class, size, most``; postings have ``w, class, doc_id, n``. Where an index is made for known ``queries``, words
+    that none of them has are never looked up: they are left out of the words that are kept, but not of ``tokens`` and ``n``.
     """
 
-    def __init__(self, docs: DataFrame) -> None:
-        self.docs = materialize(docs.select("doc_id", "tokens", "ws", F.size("ws").alias("n")), "search-docs")
+    def __init__(self, docs: DataFrame, queries: DataFrame | None = None) -> None:
+        own = docs.select("doc_id", "tokens", "ws", F.size("ws").alias("n"))
+        if queries is not None:
+            asked = queries.select(F.explode("ws").alias("w")).agg(F.collect_set("w").alias("asked"))
+            own = own.crossJoin(F.broadcast(asked)).select("doc_id", "tokens", F.array_intersect("ws", "asked").alias("ws"), "n")
+        self.docs = materialize(own, "search-docs")
         rows = self.docs.where("n > 0").select("doc_id", "n", F.floor(F.log2("n")).cast("int").alias("class"), F.explode("ws").alias("w"))
         self.postings = materialize(rows.repartition("w").sortWithinPartitions("w", "class"), "search-postings")
         self.blocks = materialize(self.postings.groupBy("w", "class").agg(F.count("*").alias("size"), F.max("n").alias("most")), "search-blocks")

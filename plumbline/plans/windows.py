@@ -213,7 +213,7 @@ def keyword_top(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFram
     """The best documents of each benchmark item by shared words, and the postings read and there are."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(words(F.lower("text"))).alias("ws"))
     d = table(spark, sf_dir, "documents").select("doc_id", words(F.lower("text")).alias("ws"))
-    return WordIndex(d.select("doc_id", F.size("ws").alias("tokens"), F.array_distinct("ws").alias("ws"))).top(q, k)
+    return WordIndex(d.select("doc_id", F.size("ws").alias("tokens"), F.array_distinct("ws").alias("ws")), q).top(q, k)
 
 
 @query(
