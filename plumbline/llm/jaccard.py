@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.cells import BOTH, MEMBER, PASS_BYTES, PIVOT, STAR, _block_cells, _in_parts, _open_buckets, _small_cells, _star_cells, _verified, bucketed, find
+from plumbline.llm.cells import BOTH, MEMBER, PASS_BYTES, PART, PIVOT, STAR, _block_cells, _in_parts, _open_buckets, _small_cells, _star_cells, _verified, find
 from plumbline.llm.components import connected_components
-from plumbline.llm.hot import join_by_key
+from plumbline.llm.hot import join_by_key, likely
 from plumbline.llm.shingles import WordHashes, exact_sets, mix64, shingle_sets, slices, text_buffer
 from plumbline.llm.storage import materialize
 
@@ -250,6 +250,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held, np.array([matched or held[1][0] > 0]))
 
 
+def _buckets(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Buckets (``cells``) of the nodes that share a sum, from ``value, short`` rows: one of those that hold the same nodes.
+
+    Sets that are much alike share many sums, so there are several times as many sums as buckets; number and two hashes tell them apart.
+    """
+    seen = shared.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor("short").alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "short")).alias("y"))
+    once = seen.where("n > 1").groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value", "n")
+    met = shared.select("value", "short").join(once, "value").join(nodes.select("node", F.col("n_shingles").alias("weight"), F.xxhash64("node").alias("short")), "short")
+    part = F.pmod(F.xxhash64("node"), F.floor(F.col("n") / PART) + 1).cast("int").alias("part_no")
+    return materialize(met.select("node", "weight", F.lit(0).alias("band"), "value", "n", part), "join-buckets")
+
+
 def _pruned(tiles: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """The rows of tiles (``cell, role, node``) that have a pair left after the bounds, by the ``sketch`` and ``part`` of each node.
 
@@ -317,16 +329,15 @@ def _linked(buckets: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataF
 
     def links(tiles: DataFrame, sketched: DataFrame) -> DataFrame:
         left = _once(materialize(_pruned(tiles, sketched, percent), "join-tiles"))
-        bodies = nodes.select("node", "body").join(left.select("node").distinct(), "node", "left_semi")
-        return materialize(_verified(left, bodies, link), "join-links")
+        return materialize(_verified(left, likely(nodes.select("node", "body"), left, "node"), link), "join-links")
 
-    sketched = nodes.select("node", "sketch")
+    sketched = materialize(likely(nodes.select("node", "sketch"), buckets, "node"), "join-sketches")
     found = links(_star_cells(buckets), sketched.withColumn("part", F.col("node")))
     still = _open_buckets(buckets, found)
     more = links(_partner_tiles(still), sketched.join(still.select("node", "part").distinct(), "node"))
     if not more.isEmpty():
         found = found.unionByName(more)
-        still = _open_buckets(buckets, found)
+        still = _open_buckets(still.drop("part"), found)
     parted = sketched.join(still.select("node", "part").distinct(), "node")
     return found.unionByName(links(_small_cells(still).unionByName(_block_cells(still)), parted))
 
@@ -353,13 +364,10 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     texts = docs.select(_node(text).alias("node"), _body(text).alias("body")).groupBy("node").agg(F.first("body").alias("body"))
     nodes = materialize(texts.mapInArrow(_sets(percent, k), "node binary, body binary, n_shingles long, sketch binary, sums array<long>, dealt array<int>"), "join-texts")
 
-    short = F.xxhash64("node").alias("short")
-    sums = nodes.select(short, F.explode(F.arrays_zip("sums", "dealt")).alias("s")).select(F.col("s.sums").alias("value"), "s.dealt", "short")
+    sums = nodes.select(F.xxhash64("node").alias("short"), F.explode(F.arrays_zip("sums", "dealt")).alias("s")).select(F.col("s.sums").alias("value"), "s.dealt", "short")
     shared = sums.repartition(n, "value", "dealt").sortWithinPartitions("value", "dealt").mapInArrow(_shared, SUMS)
     shared = materialize(shared, "join-sums")
-    met = shared.join(nodes.select("node", F.col("n_shingles").alias("weight"), short), "short")
-    buckets = bucketed(met.select("node", "weight", F.lit(0).alias("band"), "value"), "join-buckets")
-    roots = connected_components(_linked(buckets, nodes, percent, k)).select("node", F.col("component").alias("root"))
+    roots = connected_components(_linked(_buckets(shared, nodes), nodes, percent, k)).select("node", F.col("component").alias("root"))
     return with_components(rows, nodes.select("node", "n_shingles"), roots)
 
 
