@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.shingles import slices
 from plumbline.llm.storage import materialize
 
 WINDOW = 24
@@ -42,6 +43,8 @@ DICTIONARIES, ROUNDS, MIN_MATCH, LEVEL = 3, 5, 5, 3
 TOXIC_DOCS, ORDINARY_DOCS, CALIBRATION_DOCS = 2000, 3000, 2500
 #: Bytes of text that each part of the sample may have together, and one text.
 SAMPLE_BYTES, DOC_BYTES = 24 << 20, 256 << 10
+#: Bytes of text whose windows a task compresses at once, windows it remembers, and those from which a call for many pays.
+SLICE_BYTES, MOST_WINDOWS, MANY = 1 << 20, 1 << 20, 256
 #: Labelled rows are divided by crc32 of the id, modulo FOLDS: fold 0 is never seen, fold 1 calibrates, the rest train.
 FOLDS = 5
 
@@ -75,12 +78,11 @@ class Distance:
         self.plain, *self.both = map(compressor, [ordinary, *(ordinary + t for t in toxic)])
 
     def excess(self, parts: list[bytes]) -> np.ndarray:
-        plain = np.fromiter(map(len, map(self.plain, parts)), np.float64, len(parts))
-        return plain - sum(np.fromiter(map(len, map(c, parts)), np.float64, len(parts)) for c in self.both) / len(self.both)
+        return self.plain(parts) - sum(c(parts) for c in self.both) / len(self.both)
 
 
 def compressor(content: bytes):
-    """A function that compresses one window against a dictionary of this content."""
+    """A function that gives the lengths of windows compressed, each alone, against a dictionary of this content."""
     import zstandard as zs
 
     own = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
@@ -89,7 +91,13 @@ def compressor(content: bytes):
         write_checksum=False, write_content_size=False, write_dict_id=False,
     )
     own.precompute_compress(compression_params=params)
-    return zs.ZstdCompressor(dict_data=own, compression_params=params).compress
+    one = zs.ZstdCompressor(dict_data=own, compression_params=params)
+
+    def lengths(parts: list[bytes]) -> np.ndarray:
+        done = one.multi_compress_to_buffer(parts) if len(parts) >= MANY and zs.backend == "cext" else map(one.compress, parts)
+        return np.fromiter(map(len, done), np.float64, len(parts))
+
+    return lengths
 
 
 def statistics(excess: np.ndarray) -> list[float]:
@@ -113,7 +121,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0)
     alone = [[w for w in parts if times[w] == 1] for parts in toxic_parts]
     check = [[w for w in parts if times[w] == 1] for parts in ordinary_parts[len(ordinary_parts) // 2 :]]
     compress = compressor(content)
-    lengths = [np.array([len(compress(w)) for w in parts], np.float64) for parts in alone]
+    lengths = [compress(parts) for parts in alone]
     costs = [s / [len(w) for w in parts] if parts else s for s, parts in zip(lengths, alone, strict=True)]
     return content, [_toxic_dictionary(content, alone, check, costs, order) for _ in range(DICTIONARIES)]
 
@@ -231,18 +239,30 @@ def keep_below(docs: DataFrame, model: dict | None, limit: float, *, text: str =
 
 
 class Rater:
-    """Scores of texts, in a task."""
+    """Scores of texts, in a task. Windows are remembered while they are few, as lines and texts repeat."""
 
     def __init__(self, model: dict) -> None:
-        self.distance = Distance(model["ordinary"], model["toxic"])
+        self.distance, self.known = Distance(model["ordinary"], model["toxic"]), {}
         self.mean, self.deviation, self.weights = model["calibration"]
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        x = np.array([statistics(self.distance.excess(windows(t))) for t in texts]).reshape(-1, len(self.mean))
+        bounds = np.cumsum([0, *map(len, texts)])
+        excess = (e for i, j in slices(bounds, SLICE_BYTES) for e in self._excess([windows(t) for t in texts[i:j]]))
+        x = np.array([statistics(e) for e in excess]).reshape(-1, len(self.mean))
         logit = (x - self.mean) / self.deviation @ self.weights[:-1] + self.weights[-1]
         worded = np.array([bool(t.strip()) for t in texts], bool)
         return np.where(worded, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 0.0)
 
+    def _excess(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The excess of the windows of each text."""
+        if len(self.known) > MOST_WINDOWS:
+            self.known.clear()
+        parts = [w for own in texts for w in own]
+        new = [w for w in dict.fromkeys(parts) if w not in self.known]
+        self.known.update(zip(new, self.distance.excess(new).tolist(), strict=True))
+        values = np.fromiter(map(self.known.__getitem__, parts), np.float64, len(parts))
+        return np.split(values, np.cumsum([len(own) for own in texts])[:-1])
+
 
 def held_out(key: str):
     return F.coalesce(fold(key) == 0, F.lit(False))
