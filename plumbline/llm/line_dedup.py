@@ -48,6 +48,8 @@ HOT = 200
 #: Characters handled at once. Bits of the filter that finds the lines to verify: sixteen a line, between these powers of
 #: two (128 KB and 16 MB); beyond, it lets more lines pass and the join that follows stays exact.
 SLICE_CHARS, FILTER_BITS = 1 << 20, (20, 27)
+#: Characters whose hashes and signatures are made at once, so few that their arrays stay in a core's cache.
+BLOCK_CHARS = 1 << 15
 _BLANK = " \t\x0b\x0c\r"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -88,23 +90,29 @@ class Lines:
         self.stop = self.begin + self.length
         up, self.down = powers.upto(len(self.codes) + 1)
         self.sums = np.zeros(len(self.codes) + 1, np.uint64)
-        np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        for i in range(0, len(self.codes), BLOCK_CHARS):
+            part = (self.codes[i : i + BLOCK_CHARS] + np.uint64(1)) * up[i : i + BLOCK_CHARS][: len(self.codes) - i]
+            part[:1] += self.sums[i : i + 1]
+            np.cumsum(part, out=self.sums[i + 1 : i + 1 + len(part)])
 
     def hashed(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix64((self.sums[stop] - self.sums[begin]) * self.down[begin] + (stop - begin).astype(np.uint64))
 
     def parities(self) -> np.ndarray:
         """For each line, a bit for each of 32 classes of characters (the upper half) and of bigrams: whether their number is odd."""
-        if not len(self.begin):
-            return np.zeros(0, np.int64)
-        small = (self.codes * np.uint32(2654435761)) >> np.uint32(20)
-        single = np.uint64(1) << (np.uint32(32) + (small >> np.uint32(7))).astype(np.uint64)
-        pairs = ((small[:-1] * np.uint32(40503) + small[1:] * np.uint32(30011)) * np.uint32(2654435761)) >> np.uint32(27)
-        double = np.append(np.uint64(1) << pairs.astype(np.uint64), np.uint64(0))
-        out = np.zeros(len(self.begin), np.uint64)
-        for bits, less in ((single, 0), (double, 1)):
-            cut = np.stack([self.begin, self.stop - less], 1).ravel()
-            out |= np.bitwise_xor.reduceat(bits, cut)[::2]
+        out, first = np.zeros(len(self.begin), np.uint64), 0
+        while first < len(out):
+            last = max(first + 1, int(np.searchsorted(self.stop, self.begin[first] + BLOCK_CHARS, side="right")))
+            start = self.begin[first]
+            begin, stop = self.begin[first:last] - start, self.stop[first:last] - start
+            small = (self.codes[start : start + stop[-1] + 1] * np.uint32(2654435761)) >> np.uint32(20)
+            single = np.uint64(1) << (np.uint32(32) + (small >> np.uint32(7))).astype(np.uint64)
+            pairs = ((small[:-1] * np.uint32(40503) + small[1:] * np.uint32(30011)) * np.uint32(2654435761)) >> np.uint32(27)
+            double = np.append(np.uint64(1) << pairs.astype(np.uint64), np.uint64(0))
+            for bits, less in ((single, 0), (double, 1)):
+                cut = np.stack([begin, stop - less], 1).ravel()
+                out[first:last] |= np.bitwise_xor.reduceat(bits, cut)[::2]
+            first = last
         return out.view(np.int64)
 
 
@@ -135,25 +143,47 @@ def _key(length: np.ndarray, i: int, value: np.ndarray) -> np.ndarray:
     return mix64(value ^ mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(i))).view(np.int64)
 
 
-def occurrences(rows: DataFrame, row: str, *, key: str = "doc_id", text: str = "text", least: int = STEPS[0]) -> DataFrame:
-    """``row long, doc_id, text_hash long, line int, h binary`` of every line that takes part; ``row`` numbers the rows."""
+def occurrences(
+    rows: DataFrame, row: str, *, key: str = "doc_id", text: str = "text", least: int = STEPS[0], steps: tuple[int, ...] = STEPS
+) -> DataFrame:
+    """``row long, doc_id, text_hash long, line int, h binary, ks array<long>`` of every line that takes part; ``row`` numbers the
+    rows. ``ks`` are the segments that the line is indexed under, of the first of equal lines of a slice; none of others."""
     id_type = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
             at = 0
             for texts in text_slices(batch.column(3).to_pylist(), SLICE_CHARS):
-                found = [(d + at, n, digest(x)) for d, n, x in split_lines(texts, least)]
-                doc, number, h = zip(*found, strict=True) if found else ((), (), ())
-                own = [batch.column(i).take(pa.array(doc, pa.int64())) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), pa.array(h, pa.binary())], names=["row", "doc_id", "text_hash", "line", "h"])
+                per = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
+                lines = [x.strip(_BLANK) for x in "\n".join(texts).split("\n")]
+                kept = np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)) >= max(least, 1))
+                doc = np.repeat(np.arange(len(texts)), per)[kept] + at
+                number = kept - np.repeat(np.cumsum(per) - per, per)[kept]
+                lines = [lines[i] for i in kept.tolist()]
+                own = [batch.column(i).take(pa.array(doc)) for i in range(3)]
+                h = pa.array([digest(x) for x in lines], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), h, _index_keys(lines, powers, steps)], names=["row", "doc_id", "text_hash", "line", "h", "ks"])
                 at += len(texts)
 
     columns = rows.select(F.col(row), F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text))
-    return columns.mapInArrow(run, f"row long, doc_id {id_type}, text_hash long, line int, h binary")
+    return columns.mapInArrow(run, f"row long, doc_id {id_type}, text_hash long, line int, h binary, ks array<long>")
+
+
+def _index_keys(lines: list[str], powers: Powers, steps: tuple[int, ...]) -> pa.Array:
+    """For each line the segments that it is indexed under; none for a line that came before or is too short."""
+    first: dict[str, int] = {}
+    for i, x in enumerate(lines):
+        if len(x) >= steps[0]:
+            first.setdefault(x, i)
+    own, at = Lines(list(first), powers), np.fromiter(first.values(), np.int64, len(first))
+    found = [(at[i], k) for i, k, _ in _segments(own, steps, index_only=True)]
+    line, k = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in (0, 1))
+    ends = np.cumsum(np.bincount(line, minlength=len(lines)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(k[np.argsort(line, kind="stable")], pa.int64()))
 
 
-def segments(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, index_only: bool = False) -> DataFrame:
+def segments(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS) -> DataFrame:
     """``k, h, s long``: the segments that lines are indexed under and the substrings they probe.
 
     ``k`` is the segment, ``s`` the line's signatures, ``h`` the first 55 bits of its digest, followed by the edits of the
@@ -166,7 +196,10 @@ def segments(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = ST
         for batch in batches:
             for texts in text_slices(batch.column(0).to_pylist(), SLICE_CHARS):
                 lines = list(dict.fromkeys(x for _, _, x in split_lines(texts, steps[0])))
-                yield from _segment_rows(lines, Lines(lines, powers), steps, index_only)
+                own = Lines(lines, powers)
+                h, s = ids_of([digest(x) for x in lines]) << 8, own.parities()
+                for i, k, kind in _segments(own, steps):
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h[i] | kind), pa.array(s[i])], names=["k", "h", "s"])
 
     return docs.select(F.col(text)).mapInArrow(run, "k long, h long, s long")
 
@@ -176,11 +209,8 @@ def ids_of(digests: list[bytes]) -> np.ndarray:
     return (np.frombuffer(b"".join(digests), ">u8")[::2].astype(np.uint64) >> np.uint64(9)).view(np.int64)
 
 
-def _segment_rows(texts: list[str], lines: Lines, steps: tuple[int, ...], index_only: bool) -> Iterator[pa.RecordBatch]:
-    if index_only:  # its keys are counted
-        h = s = np.zeros(len(texts), np.int64)
-    else:
-        h, s = ids_of([digest(x) for x in texts]) << 8, lines.parities()
+def _segments(lines: Lines, steps: tuple[int, ...], *, index_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Lines, their keys, and the edits of the shorter line followed by a bit that is set for probes."""
     for less in range(1 if index_only else len(steps) + 1):
         edits = edits_of(lines.length - less, steps)  # of the shorter line
         for e in range(max(less, 1), len(steps) + 1):
@@ -194,8 +224,7 @@ def _segment_rows(texts: list[str], lines: Lines, steps: tuple[int, ...], index_
                         continue
                     ok = (x + shift >= 0) & (begin + y + shift <= stop)
                     at = begin[ok] + shift
-                    k = _key(length[ok], i, lines.hashed(at + x[ok], at + y[ok]))
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h[own[ok]] | e << 1 | probe), pa.array(s[own[ok]])], names=["k", "h", "s"])
+                    yield own[ok], _key(length[ok], i, lines.hashed(at + x[ok], at + y[ok])), e << 1 | probe
 
 
 def _parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -210,17 +239,27 @@ def _parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def _with_partner(k: np.ndarray, h: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Which rows have another of their key that they may be near copies of: one of the two is of the index, and their
-    signatures allow so few edits.
+    """The places of rows that have another of their key that they may be near copies of: one of the two is of the index, and
+    their signatures allow so few edits. Of rows of one key that are the same line's, one stands for all.
 
-    Rows are sorted by key: they are compared with the next but ``d``, until all of their key have a partner or have met.
+    Rows are sorted by key. Those alone with their key, nearly all, are left first, and so are keys without a row of the index.
+    Others are compared with the next but ``d``, until all of their key have a partner or have met.
     """
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    run, out, own, d = np.cumsum(new) - 1, np.zeros(len(k), bool), np.arange(len(k)), 0
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    at = np.flatnonzero(same[1:] | same[:-1])
+    at = at[np.lexsort((h[at], k[at]))]
+    once = np.ones(len(at), bool)
+    once[1:] = (k[at[1:]] != k[at[:-1]]) | (h[at[1:]] != h[at[:-1]])
+    at = at[once]
+    run = np.cumsum(np.append(True, k[at[1:]] != k[at[:-1]])[: len(at)]) - 1
+    indexed = np.bincount(run, h[at] & 1 == 0)[run] > 0 if len(at) else np.zeros(0, bool)
+    at, run = at[indexed], run[indexed]
+    h, s = h[at], s[at]
+    out, own, d = np.zeros(len(at), bool), np.arange(len(at)), 0
     while len(own):
         d += 1
-        own = own[own + d < len(k)]
+        own = own[own + d < len(at)]
         own = own[run[own] == run[own + d]]
         x, y = own, own + d
         e = np.where(h[x] & 1, h[y], h[x]) >> 1 & 127
@@ -228,17 +267,21 @@ def _with_partner(k: np.ndarray, h: np.ndarray, s: np.ndarray) -> np.ndarray:
         close = (np.bitwise_count(differ >> np.uint64(32)) <= 2 * e) & (np.bitwise_count(differ & np.uint64(0xFFFFFFFF)) <= 4 * e)
         ok = close & (h[x] & h[y] & 1 == 0) & (h[x] >> 8 != h[y] >> 8)
         out[x[ok]] = out[y[ok]] = True
-        lonely = np.zeros(len(k), bool)
-        lonely[run[~out]] = True
-        own = own[lonely[run[own]]]
-    return out
+        if d & (d - 1) == 0 and len(own):  # now and then, as it goes through all rows
+            lonely = np.zeros(run[-1] + 1, bool)
+            lonely[run[~out]] = True
+            own = own[lonely[run[own]]]
+    return at[out]
+
 
+def candidates(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT, index: DataFrame | None = None) -> DataFrame:
+    """``k, id``: ids of lines that may be near copies of others that meet them on key ``k``, whose rows are in one task.
 
-def candidates(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
-    """``k, id``: ids of lines that may be near copies of others that meet them on key ``k``, whose rows are in one task."""
-    index = segments(docs, text=text, steps=steps, index_only=True).groupBy("k").agg(F.count("*").alias("n"))
-    often = materialize(index.where(F.col("n") > hot), "line-hot")
+    ``index`` has the key ``k`` of each row of the index, if they are known, so that they needn't be made to be counted.
+    """
     rows = segments(docs, text=text, steps=steps)
+    index = rows.where(F.col("h").bitwiseAND(F.lit(1)) == 0).select("k") if index is None else index
+    often = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot), "line-hot")
     if not often.isEmpty():
         rows = _parted(rows, often)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -386,12 +429,12 @@ def link_lines(bodies: list[bytes], pivots: int, others: int, steps: tuple[int,
     return out
 
 
-def near_links(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT) -> DataFrame:
+def near_links(docs: DataFrame, *, text: str = "text", steps: tuple[int, ...] = STEPS, hot: int = HOT, index: DataFrame | None = None) -> DataFrame:
     """Verified links ``a, b`` of digests of different near copies, which connect as all of their pairs do.
 
     Ids are parts of digests: lines of one id, if there are several, all take part.
     """
-    met = materialize(candidates(docs, text=text, steps=steps, hot=hot), "line-candidates")
+    met = materialize(candidates(docs, text=text, steps=steps, hot=hot, index=index), "line-candidates")
     bodies = materialize(_line_texts(docs, met.select("id").distinct(), text, steps[0]), "line-bodies")
     own = bodies.select("id", F.col("h").alias("node"), F.length("body").cast("long").alias("weight"))
     buckets = bucketed(met.join(own, "id").select("node", "weight", F.lit(0).alias("band"), F.col("k").alias("value")), "line-buckets")
@@ -402,8 +445,8 @@ def line_classes(
     rows: DataFrame, row: str, *, key: str = "doc_id", text: str = "text", steps: tuple[int, ...] = STEPS, shortest: int = STEPS[0]
 ) -> DataFrame:
     """Lines that go: ``row`` and ``line`` of every occurrence in a class but the class's first."""
-    lines = materialize(occurrences(rows, row, key=key, text=text, least=shortest), "lines")
-    classes = connected_components(near_links(rows, text=text, steps=steps))
+    lines = materialize(occurrences(rows, row, key=key, text=text, least=shortest, steps=steps), "lines")
+    classes = connected_components(near_links(rows, text=text, steps=steps, index=lines.select(F.explode("ks").alias("k"))))
     classes = classes.select(F.col("node").alias("h"), F.col("component").alias("near"))
     place = F.struct("doc_id", "text_hash", "row", "line")
     own = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(classes, "h", "left").where("n > 1 OR near IS NOT NULL")
