@@ -155,22 +155,24 @@ def parquet_with_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K06", "SELECT count(*) AS n, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents")
 def tar_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tar shards written and opened again: members and bytes."""
-    shards = W.tar_shards(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
-    W.write_parquet(shards, path := new_path(spark, "shards"))
+    """Tar shards written as files and opened again, streamed member by member: members and bytes."""
+    shards = W.write_tar_shards(table(spark, sf_dir, "documents"), "doc_id", "text", 100, new_path(spark, "tar"))
 
     def opened(batches):
-        import io
         import tarfile
 
         import pyarrow as pa
+        from pyarrow import fs
 
         for b in batches:
-            for content in b.column(0):
-                sizes = [m.size for m in tarfile.open(fileobj=io.BytesIO(content.as_py()))]
+            for uri in b.column(0).to_pylist():
+                store, own = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(own) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
+                    sizes = [m.size for m in tar]
                 yield pa.RecordBatch.from_pydict({"n": pa.array([len(sizes)], pa.int64()), "bytes": pa.array([sum(sizes)], pa.int64())})
 
-    return spark.read.parquet(path).select("content").mapInArrow(opened, "n long, bytes long").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return shards.select("file").repartition(n, "file").mapInArrow(opened, "n long, bytes long").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 @query("K09 K12 K13", "SELECT c_custkey, c_name FROM customer")

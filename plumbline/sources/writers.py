@@ -100,24 +100,27 @@ def write_blobs(blobs: DataFrame, path: str, suffix: str) -> DataFrame:
     file: ``file, bytes`` of each. A file is written whole under another name and moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
-            done = []
-            for content in batch.column("content").to_pylist():
-                uri = f"{path.rstrip('/')}/{hashlib.sha256(content).hexdigest()[:32]}{suffix}"
-                store, own = fs.FileSystem.from_uri(uri)
-                store.create_dir(own.rpartition("/")[0], recursive=True)
-                part = f"{own}.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part) as out:
-                    out.write(content)
-                store.move(part, own)
-                done.append((uri, len(content)))
+            done = [(_write_named(path, content, suffix), len(content)) for content in batch.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file", "bytes"])
 
     return materialize(blobs.select("content").mapInArrow(run, "file string, bytes long"), "blobs").dropDuplicates(["file"])
 
 
+def _write_named(path: str, content: bytes, suffix: str) -> str:
+    """Write a file below ``path`` that is named by its content: its URI."""
+    from pyarrow import fs
+
+    uri = f"{path.rstrip('/')}/{hashlib.sha256(content).hexdigest()[:32]}{suffix}"
+    store, own = fs.FileSystem.from_uri(uri)
+    store.create_dir(own.rpartition("/")[0], recursive=True)
+    part = f"{own}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(content)
+    store.move(part, own)
+    return uri
+
+
 def zstd_files(lines: DataFrame) -> DataFrame:
     """Texts (the first column) as zstandard files of lines, rows of ``content binary``, one for each batch of a task."""
 
@@ -131,26 +134,47 @@ def zstd_files(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "content binary")
 
 
+def _tar_parts(batches: Iterator[pa.RecordBatch], key: str, body: str, rows: int) -> Iterator[tuple[pa.RecordBatch, bytes]]:
+    """Slices of ``rows`` rows and the tar shard of each, one at a time."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            part = batch.slice(i, rows)
+            out = io.BytesIO()
+            with tarfile.open(fileobj=out, mode="w") as tar:
+                for k, t in zip(part.column(key).to_pylist(), part.column(body).to_pylist(), strict=True):
+                    data = (t or "").encode()
+                    info = tarfile.TarInfo(f"{k}.txt")
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+            yield part, out.getvalue()
+
+
 def tar_shards(df: DataFrame, key: str, body: str, rows: int) -> DataFrame:
     """Tar shards as rows of ``first_key, content binary, n long``, ``rows`` rows each, in each task's order."""
     id_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), rows):
-                part = batch.slice(i, rows)
-                out = io.BytesIO()
-                with tarfile.open(fileobj=out, mode="w") as tar:
-                    for k, t in zip(part.column(key).to_pylist(), part.column(body).to_pylist(), strict=True):
-                        data = (t or "").encode()
-                        info = tarfile.TarInfo(f"{k}.txt")
-                        info.size = len(data)
-                        tar.addfile(info, io.BytesIO(data))
-                yield pa.RecordBatch.from_arrays([part.column(key).slice(0, 1), pa.array([out.getvalue()], pa.binary()), pa.array([len(part)], pa.int64())], names=["first_key", "content", "n"])
+        for part, content in _tar_parts(batches, key, body, rows):
+            yield pa.RecordBatch.from_arrays([part.column(key).slice(0, 1), pa.array([content], pa.binary()), pa.array([len(part)], pa.int64())], names=["first_key", "content", "n"])
 
     return df.select(key, body).mapInArrow(run, f"first_key {id_type}, content binary, n long")
 
 
+def write_tar_shards(df: DataFrame, key: str, body: str, rows: int, path: str) -> DataFrame:
+    """Tar shards as files below ``path``, ``rows`` rows each: ``first_key, file, n``, a row a shard, also where shards are equal.
+
+    A task holds one shard, and none passes through Spark's columns, whose batches would hold as many as a file has.
+    """
+    id_type = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, content in _tar_parts(batches, key, body, rows):
+            uri = _write_named(path, content, ".tar")
+            yield pa.RecordBatch.from_arrays([part.column(key).slice(0, 1), pa.array([uri], pa.string()), pa.array([len(part)], pa.int64())], names=["first_key", "file", "n"])
+
+    return materialize(df.select(key, body).mapInArrow(run, f"first_key {id_type}, file string, n long"), "shards")
+
+
 def insert_new(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``new`` whose keys ``known`` lacks, each key once: what an insert that ignores duplicates appends."""
     return new.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
