@@ -149,17 +149,6 @@ def _tar_parts(batches: Iterator[pa.RecordBatch], key: str, body: str, rows: int
             yield part, out.getvalue()
 
 
-def tar_shards(df: DataFrame, key: str, body: str, rows: int) -> DataFrame:
-    """Tar shards as rows of ``first_key, content binary, n long``, ``rows`` rows each, in each task's order."""
-    id_type = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, content in _tar_parts(batches, key, body, rows):
-            yield pa.RecordBatch.from_arrays([part.column(key).slice(0, 1), pa.array([content], pa.binary()), pa.array([len(part)], pa.int64())], names=["first_key", "content", "n"])
-
-    return df.select(key, body).mapInArrow(run, f"first_key {id_type}, content binary, n long")
-
-
 def write_tar_shards(df: DataFrame, key: str, body: str, rows: int, path: str) -> DataFrame:
     """Tar shards as files below ``path``, ``rows`` rows each: ``first_key, file, n``, a row a shard, also where shards are equal.
 
