@@ -13,7 +13,8 @@ function of statistics of a document's excesses.
 
 The sample of labelled rows is bounded by ``TOXIC_DOCS``, ``ORDINARY_DOCS`` and ``CALIBRATION_DOCS`` (those with the smallest hashes of
 their ids), by ``SAMPLE_BYTES`` for each of the three, and by ``DOC_BYTES`` for one text; all windows of their whole texts
-train, and every document is scored on its whole text.
+train, and every document is scored on its whole text. The sample stays in the shared folder: one task trains the dictionaries on
+it, tasks take the statistics that calibrate, and the driver gets sizes, dictionaries (under a megabyte) and statistics, no text.
 
 Defined cases: a null text is an empty one, and a text without words scores 0; labels that are null or contradict each
 other count as toxic if any says so; of texts that share a key the least is in the sample; without labels of both
@@ -26,11 +27,10 @@ from __future__ import annotations
 import random
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +107,30 @@ def statistics(excess: np.ndarray) -> list[float]:
     return [top[0], top.mean(), np.sqrt((excess > 1).sum() / n), np.sqrt((excess > 3).sum() / n), excess.mean(), np.log1p((excess > 3).sum()), np.log(n)]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0) -> tuple[bytes, list[bytes]]:
+class Sample:
+    """Texts of the sample (``k`` and ``body``), as a table; going through it brings them to the driver, a partition at a time."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[bytes]:
+        return (bytes(r["body"]) for r in self.rows.select("body").toLocalIterator())
+
+
+def train_dictionaries(toxic: Sample, ordinary: Sample, seed: int = 0) -> tuple[bytes, list[bytes]]:
+    """What ``dictionaries`` makes of the texts in the order of their keys, in one task, which holds the bounded sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by([("k", "ascending")])
+        content, own = dictionaries(*(rows.filter(pc.field("toxic") == y).column("body").to_pylist() for y in (True, False)), seed)
+        yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary()), pa.array([own], pa.list_(pa.binary()))], names=["ordinary", "toxic"])
+
+    both = [part.rows.select("k", "body", F.lit(y).alias("toxic")) for part, y in ((toxic, True), (ordinary, False))]
+    [got] = both[0].unionByName(both[1]).coalesce(1).mapInArrow(run, "ordinary binary, toxic array<binary>").toArrow().to_pylist()
+    return got["ordinary"], got["toxic"]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 0) -> tuple[bytes, list[bytes]]:
     """The content of the ordinary dictionary, and of ``DICTIONARIES`` toxic ones trained in other orders of the samples.
 
     Which substrings a dictionary takes depends on that order; the mean over several is much steadier than any one.
@@ -179,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """The model: both dictionaries and the calibration; None without labels of both classes.
 
     The ids of the sample, which is bounded, are sent to the documents' side; its texts, one a key and bounded in bytes, are
-    written to the shared folder and read by the driver.
+    written to the shared folder and read there by tasks.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label)).alias("y"))
     rows = rows.withColumn("fold", fold("k")).where("fold <> 0").withColumn("h", F.xxhash64("k"))
@@ -189,26 +212,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     found = texts.where(F.octet_length("body") <= DOC_BYTES).join(sample, "k").groupBy("k", "h", "y", "use").agg(F.min("body").alias("body"))
     found = materialize(found, "toxicity-sample")
-    sizes = found.select("use", "h", F.octet_length("body").alias("size")).toArrow().sort_by([("use", "ascending"), ("h", "ascending")]).to_pylist()
+    sizes = found.select("use", "h", "y", F.octet_length("body").alias("size")).toArrow().sort_by([("use", "ascending"), ("h", "ascending")]).to_pylist()
     so_far, last = Counter(), {}
     for r in sizes:  # numbers of the bounded sample
         so_far[r["use"]] += r["size"]
         if so_far[r["use"]] <= SAMPLE_BYTES:
             last[r["use"]] = r["h"]
-    fit_in = [(F.col("use") == use) & (F.col("h") <= h) for use, h in last.items()]
-    if not fit_in:
-        return None
-    got = found.where(reduce(or_, fit_in)).select("k", "body", "y", "use").toArrow().sort_by([("k", "ascending")]).to_pylist()
-    toxic, ordinary = ([bytes(r["body"]) for r in got if r["use"] == i] for i in (0, 1))
-    y = np.array([float(r["y"]) for r in got if r["use"] == 2])
-    if not toxic or not ordinary or len(set(y)) < 2:
+    if len(last) < 3 or len({r["y"] for r in sizes if r["use"] == 2 and r["h"] <= last[2]}) < 2:
         return None
+    toxic, ordinary, checked = (Sample(found.where((F.col("use") == use) & (F.col("h") <= last[use]))) for use in range(3))
     content, own = train_dictionaries(toxic, ordinary)
-    distance = Distance(content, own)
-    x = np.array([statistics(distance.excess(windows(bytes(r["body"])))) for r in got if r["use"] == 2])
+    known = measured(checked, content, own).toArrow().sort_by([("k", "ascending")])
+    x, y = (np.array(known.column(c).to_pylist(), np.float64) for c in ("x", "y"))
     return {"ordinary": content, "toxic": own, "calibration": fit_logistic(x, y)}
 
 
+def measured(sample: Sample, content: bytes, own: list[bytes]) -> DataFrame:
+    """``k``, ``y`` and ``x`` (the statistics) of each text."""
+    rows = sample.rows.select("k", F.col("y").cast("double").alias("y"), "body")
+    shared = rows.sparkSession.sparkContext.broadcast((content, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = Distance(*shared.value)
+        for batch in batches:
+            x = [statistics(distance.excess(windows(t))) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["k", "y", "x"])
+
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, y double, x array<double>")
+
+
 def score(docs: DataFrame, model: dict | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score double``: the calibrated probability of label 1, from the whole text alone."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
